@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality
+from . import decontam, ngram_join, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_decontamination": decontam.query,
         "op5_quality_rules": quality.query,
+        "op10_ngram_jaccard_join": ngram_join.query,
     }
 
 
