@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, ngram_join, quality
+from . import decontam, ngram_join, quality, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_counts": tokens.query,
         "op4_decontamination": decontam.query,
         "op5_quality_rules": quality.query,
         "op10_ngram_jaccard_join": ngram_join.query,
