@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, ngram_join, quality, tokens
+from . import decontam, ngram_join, quality, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": tokens.query,
         "op4_decontamination": decontam.query,
+        "op7_url_filters": urls.query,
         "op5_quality_rules": quality.query,
         "op10_ngram_jaccard_join": ngram_join.query,
     }
@@ -21,4 +22,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontamination": decontam.SQL,
+        "op7_url_filters": urls.SQL,
     }
