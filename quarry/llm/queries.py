@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, ngram_join, quality, sharding, tokens, urls
+from . import decontam, mixing, ngram_join, quality, sharding, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": tokens.query,
+        "op3_source_mixing": mixing.query,
         "op4_decontamination": decontam.query,
         "op7_url_filters": urls.query,
         "op5_quality_rules": quality.query,
