@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, ngram_join, quality, sharding, tokens, urls
+from . import decontam, html_text, mixing, ngram_join, quality, sharding, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_main_text": html_text.query,
         "op2_token_counts": tokens.query,
         "op3_source_mixing": mixing.query,
         "op4_decontamination": decontam.query,
