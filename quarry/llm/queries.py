@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, langid, mixing, ngram_join, quality, sharding, tokens, urls
+from . import decontam, html_text, langid, mixing, ngram_join, pii, quality, sharding, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": decontam.query,
         "op7_url_filters": urls.query,
         "op5_quality_rules": quality.query,
+        "op6_pii_surrogates": pii.query,
         "op8_language_id": langid.query,
         "op9_sharding": sharding.query,
         "op10_ngram_jaccard_join": ngram_join.query,
