@@ -1,11 +1,642 @@
-"""Queries of the catalogue engine."""
+"""Queries of the catalogue engine, each with the SQL that DuckDB answers alike."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .. import config as C
+from ..functions import scalars as S
+from ..functions import vectors as V
+from ..operators import catalogue as K
+from ..operators import events as E
+from ..operators import feeds as P
+from ..operators import similarity as N
+from ..operators import tables as T
+from .views import NOW_MS, Catalogue, sql
+
+Query = Callable[[Catalogue], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def register(name: str, text: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _QUERIES[name] = f
+        if text is not None:
+            _SQL[name] = text
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: (lambda spark, d, f=f: f(Catalogue(spark, d))) for n, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+USABLE = "(error_count IS NULL OR error_count < 3)"
+BAD_HOSTS = "SELECT host FROM denylist WHERE is_active = 1"
+BAD_CHANNELS = "SELECT channel_id, instance_domain FROM channel_moderation WHERE status = 'blocked'"
+LIKED_IDS = ("0", "7", "32", "64", "97")
+LIKED = f"SELECT e.video_id, e.instance_domain, e.embedding, v.channel_id FROM video_embeddings e JOIN videos v USING (video_id, instance_domain) WHERE e.video_id IN {LIKED_IDS}"
+#: Cosine thresholds that the test vectors reach
+LOW, HIGH = 0.1, 0.2
+
+
+def liked(c: Catalogue) -> DataFrame:
+    return c.embeddings.where(F.col("video_id").isin(*LIKED_IDS)).join(c.videos.select("video_id", "instance_domain", "channel_id"), K.KEY)
+
+
+def candidates(c: Catalogue, with_likes: bool = True) -> P.Candidates:
+    return P.Candidates(c.videos, c.embeddings, E.signals(E.split(c.raw_events)[0]), liked(c) if with_likes else None, "s1", {**C.POOL, "popular": 2000, "exploit": 200})
+
+
+# --- scalars
+
+
+@register("popularity", sql("SELECT video_id, round(popularity, 6) AS popularity FROM videos", "videos"))
+def _(c):
+    return c.videos.select("video_id", F.round(S.popularity("views", "likes", "published_at", NOW_MS), 6).alias("popularity"))
+
+
+@register("freshness", sql(f"SELECT video_id, round(pow(0.5, greatest({NOW_MS} - published_at, 0) / 86400000.0 / 700), 6) AS freshness_700, round(pow(0.5, greatest({NOW_MS} - published_at, 0) / 86400000.0 / 14), 6) AS freshness_14 FROM videos", "videos"))
+def _(c):
+    return c.videos.select("video_id", F.round(S.freshness("published_at", NOW_MS, 700), 6).alias("freshness_700"), F.round(S.freshness("published_at", NOW_MS, 14), 6).alias("freshness_14"))
+
+
+@register("popularity_score", sql("SELECT video_id, CASE WHEN x > 0 THEN round(ln(1 + x) / (ln(1 + x) + 1), 6) ELSE 0 END AS score FROM (SELECT video_id, views * 1.0 + coalesce(likes, 0) * 2.0 AS x FROM videos)", "videos"))
+def _(c):
+    return c.videos.select("video_id", F.round(S.popularity_score("views", "likes"), 6).alias("score"))
+
+
+@register("keys", sql("SELECT video_id, coalesce(video_id, '') || '::' || coalesce(instance_domain, '') AS like_key, CASE WHEN channel_id <> '' THEN channel_id || '::' || coalesce(instance_domain, '') END AS author_key FROM videos", "videos"))
+def _(c):
+    return c.videos.select("video_id", S.like_key("video_id", "instance_domain").alias("like_key"), S.author_key("channel_id", "instance_domain").alias("author_key"))
+
+
+@register("normalize_host", r"""SELECT page_id, regexp_replace(regexp_extract(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '^(?:[^/?#@]*@)?([^/?#:@]*)', 1), '^\.+|\.+$', '', 'g') AS host FROM pages""")
+def _(c):
+    return c.table("pages").select("page_id", S.normalize_host("url").alias("host"))
+
+
+@register("video_ref", r"""SELECT page_id, regexp_extract(lower(url), '://([^/?#:]*)', 1) AS host, nullif(regexp_extract(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '([^/]+)/*$', 1), '') AS ref FROM pages""")
+def _(c):
+    host, ref = S.video_ref("url")
+    return c.table("pages").select("page_id", host.alias("host"), ref.alias("ref"))
+
+
+@register("embedding_text", "SELECT doc_id, trim(concat_ws(chr(10), nullif(trim(substr(text, 1, 40)), ''), 'tags: ' || lang || ', ' || source, 'category: ' || lang, 'comments_count: ' || n_chars)) AS payload FROM documents")
+def _(c):
+    d = c.table("documents")
+    tags = S.parse_tags(F.concat(F.lit('["'), F.col("lang"), F.lit('", " ", "'), F.col("source"), F.lit('"]')))
+    return d.select("doc_id", S.embedding_text(F.substring("text", 1, 40), F.lit(" "), tags, "lang", F.lit(None).cast("string"), "n_chars").alias("payload"))
+
+
+@register("parse_vector", "SELECT vec_id, 3 AS n, round(CAST(embedding[1] AS DOUBLE) + CAST(embedding[2] AS DOUBLE) + 2.5, 5) AS total FROM embeddings")
+def _(c):
+    text = F.concat(F.lit("["), F.col("embedding")[0].cast("string"), F.lit(", "), F.col("embedding")[1].cast("string"), F.lit(" x 2.5, nan]"))
+    v = c.table("embeddings").withColumn("v", V.parse_vector(text))
+    return v.select("vec_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+@register("failure_reason", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'not_found' WHEN 1 THEN 'cert_expired' WHEN 2 THEN 'tls_error' WHEN 3 THEN 'timeout' END AS reason FROM events""")
+def _(c):
+    m = F.element_at(F.array(*[F.lit(x) for x in ("HTTP 404 for url", "certificate has expired", "TLS handshake failed", "request timed out", "HTTP 500 for url", "odd json")]), (F.col("event_id") % 6 + 1).cast("int"))
+    return c.table("events").select("event_id", S.failure_reason(m).alias("reason"))
+
+
+@register("text_formats", """SELECT o_orderkey, printf('%02d:%02d:%02d', CAST(o_orderkey * 7 // 3600 AS INTEGER), CAST(o_orderkey * 7 % 3600 // 60 AS INTEGER), CAST(o_orderkey * 7 % 60 AS INTEGER)) AS duration, CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'error' ELSE 'unknown' END AS health FROM orders""")
+def _(c):
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "error").otherwise("pending")
+    return c.table("orders").select("o_orderkey", S.duration_text(F.col("o_orderkey") * 7).alias("duration"), S.health_from_status(status).alias("health"))
+
+
+# --- joins and lookups
+
+
+@register("metadata_join", sql(f"SELECT e.video_id, e.instance_domain, v.title, v.views, v.likes, c.display_name, c.followers_count, e.embedding_dim FROM video_embeddings e JOIN videos v USING (video_id, instance_domain) LEFT JOIN channels c ON c.channel_id = v.channel_id AND c.instance_domain = v.instance_domain WHERE {USABLE}", "video_embeddings", "channels"))
+def _(c):
+    return K.metadata(c.embeddings, c.videos, c.channels).select("video_id", "instance_domain", "title", "views", "likes", "display_name", "followers_count", "embedding_dim")
+
+
+@register("metadata_of_likes", sql(f"SELECT DISTINCT v.video_id || '::' || v.instance_domain AS like_key, v.title, c.followers_count FROM user_likes u JOIN video_embeddings e USING (video_id, instance_domain) JOIN videos v USING (video_id, instance_domain) LEFT JOIN channels c ON c.channel_id = v.channel_id AND c.instance_domain = v.instance_domain WHERE {USABLE}", "user_likes", "video_embeddings", "channels"))
+def _(c):
+    return K.metadata_of(c.user_likes, c.embeddings, c.videos, c.channels).select("like_key", "title", "followers_count")
+
+
+@register("error_threshold", sql(f"SELECT count(*) AS n, sum(views) AS views FROM videos WHERE {USABLE}", "videos"))
+def _(c):
+    return c.videos.where(K.usable()).agg(F.count("*").alias("n"), F.sum("views").alias("views"))
+
+
+@register("recent_videos", sql(f"SELECT video_id, published_at, title FROM videos WHERE {USABLE} AND (video_id, instance_domain) IN (SELECT (video_id, instance_domain) FROM video_embeddings) ORDER BY published_at DESC NULLS LAST, video_id DESC LIMIT 100", "video_embeddings"))
+def _(c):
+    return K.recent(c.videos, c.embeddings, 100).select("video_id", "published_at", "title")
+
+
+SIGNALLED = "SELECT v.*, v.likes + coalesce(s.likes_count, 0) - coalesce(s.undo_likes_count, 0) AS adjusted_likes, coalesce(s.signal_score, 0.0) AS interaction_signal_score FROM videos v LEFT JOIN signals s USING (video_uuid, instance_domain)"
+POPULAR_ORDER = "round(popularity + interaction_signal_score, 9) DESC, adjusted_likes DESC NULLS LAST, views DESC NULLS LAST, published_at DESC NULLS LAST, video_id DESC"
+
+
+@register("popular_videos", sql(f"SELECT p.video_id, p.position, p.adjusted_likes FROM (SELECT *, row_number() OVER (ORDER BY {POPULAR_ORDER}) AS position FROM ({SIGNALLED}) WHERE {USABLE}) p JOIN video_embeddings e USING (video_id, instance_domain) WHERE position <= 2000", "signals", "video_embeddings"))
+def _(c):
+    return K.popular(c.videos, E.signals(E.split(c.raw_events)[0]), c.embeddings, 2000).select("video_id", "position", "adjusted_likes")
+
+
+@register("popular_feed", sql(f"""SELECT video_id, instance_domain, channel_id, title, views, likes FROM (
+  SELECT *, row_number() OVER (PARTITION BY instance_domain ORDER BY position) AS ri FROM (
+    SELECT *, row_number() OVER (PARTITION BY channel_id, instance_domain ORDER BY position) AS ra FROM (
+      SELECT *, row_number() OVER (ORDER BY {POPULAR_ORDER}) AS position FROM ({SIGNALLED}) WHERE {USABLE}) WHERE position <= 2000) WHERE ra <= 2) f
+  WHERE ri <= 5 AND instance_domain NOT IN ({BAD_HOSTS}) AND (channel_id, instance_domain) NOT IN (SELECT (channel_id, instance_domain) FROM ({BAD_CHANNELS}))""", "signals", "denylist", "channel_moderation"))
+def _(c):
+    """Popular videos with diversity caps, moderated."""
+    v = K.with_signals(c.videos.where(K.usable()), E.signals(E.split(c.raw_events)[0]))
+    order = [F.round(F.col("popularity") + F.col("interaction_signal_score"), 9).desc(), F.desc_nulls_last("adjusted_likes"), F.desc_nulls_last("views"), F.desc_nulls_last("published_at"), F.desc("video_id")]
+    return K.moderate(K.capped(v.orderBy(*order).limit(2000), order, C.AUTHOR_CAP, C.INSTANCE_CAP), c.denylist, c.channel_moderation).select("video_id", "instance_domain", "channel_id", "title", "views", "likes")
+
+
+@register("random_rows", sql(f"SELECT video_id, adjusted_likes FROM ({SIGNALLED}) WHERE {USABLE} ORDER BY md5('s1:' || video_id || '::' || instance_domain), video_id LIMIT 50", "signals"))
+def _(c):
+    return K.shuffled(K.with_signals(c.videos.where(K.usable()), E.signals(E.split(c.raw_events)[0])), "s1", 50).select("video_id", "adjusted_likes")
+
+
+@register("video_by_id_or_uuid", sql("SELECT v.video_id, v.title, c.display_name FROM videos v LEFT JOIN channels c ON c.channel_id = v.channel_id AND c.instance_domain = v.instance_domain WHERE v.video_uuid = 'u-32'", "videos", "channels"))
+def _(c):
+    return K.lookup(c.videos, c.channels, "u-32").select("video_id", "title", "display_name")
+
+
+@register("like_seeds", sql("SELECT v.video_uuid AS ref, v.instance_domain AS host, v.video_id, v.channel_id FROM videos v JOIN video_embeddings e USING (video_id, instance_domain) WHERE CAST(v.video_id AS BIGINT) < 50 UNION ALL SELECT v.video_id AS ref, v.instance_domain AS host, v.video_id, v.channel_id FROM videos v JOIN video_embeddings e USING (video_id, instance_domain) WHERE CAST(v.video_id AS BIGINT) BETWEEN 50 AND 99", "video_embeddings"))
+def _(c):
+    n = F.col("video_id").cast("long")
+    refs = c.videos.where(n < 100).select(F.when(n < 50, F.col("video_uuid")).otherwise(F.col("video_id")).alias("ref"), F.col("instance_domain").alias("host"))
+    return K.seeds(refs, c.videos, c.embeddings).select("ref", "host", "video_id", "channel_id")
+
+
+@register("resolve_likes", sql("SELECT min(arrival) AS position, video_id, instance_domain FROM raw_events JOIN videos USING (video_uuid, instance_domain) GROUP BY video_id, instance_domain", "raw_events"))
+def _(c):
+    likes = c.raw_events.select(F.col("arrival").alias("position"), F.concat(F.lit(" "), F.col("video_uuid")).alias("uuid"), F.col("instance_domain").alias("host"))
+    return K.resolve(likes, c.videos).select("position", "video_id", "instance_domain")
+
+
+@register("likes_check", sql("SELECT count(*) AS received, count(*) > 5 AS too_many, min(CASE WHEN video_uuid IS NULL THEN arrival END) AS first_bad FROM raw_events", "raw_events"))
+def _(c):
+    return K.bad_like(c.raw_events.select(F.col("arrival").alias("position"), F.col("video_uuid").alias("uuid"), F.coalesce("instance_domain", F.lit("h")).alias("host")), C.CLIENT_LIKES)
+
+
+@register("missing_embeddings", sql("SELECT instance_domain, count(*) AS n FROM videos WHERE (video_id, instance_domain) NOT IN (SELECT (video_id, instance_domain) FROM video_embeddings) GROUP BY 1", "video_embeddings"))
+def _(c):
+    return c.videos.join(c.embeddings, K.KEY, "left_anti").groupBy("instance_domain").agg(F.count("*").alias("n"))
+
+
+@register("moderation_filter", sql(f"SELECT video_id, instance_domain FROM videos WHERE instance_domain NOT IN ({BAD_HOSTS}) AND (channel_id, instance_domain) NOT IN (SELECT (channel_id, instance_domain) FROM ({BAD_CHANNELS}))", "videos", "denylist", "channel_moderation"))
+def _(c):
+    return K.moderate(c.videos, c.denylist, c.channel_moderation).select("video_id", "instance_domain")
+
+
+@register("moderation_counts", sql(f"SELECT count(*) AS seen, count(*) FILTER (d) AS denied, count(*) FILTER (NOT d AND b) AS blocked FROM (SELECT instance_domain IN ({BAD_HOSTS}) AS d, (channel_id, instance_domain) IN (SELECT (channel_id, instance_domain) FROM ({BAD_CHANNELS})) AS b FROM videos)", "videos", "denylist", "channel_moderation"))
+def _(c):
+    return K.moderation_counts(c.videos, c.denylist, c.channel_moderation)
+
+
+# --- listings
+
+
+CHANNEL_TEXT = "(contains(lower(coalesce(display_name, channel_name, '')), 'channel 1') OR contains(instance_domain, 'channel 1'))"
+
+
+@register("channels_search", sql(f"SELECT channel_id, followers_count, videos_count, count(*) OVER () AS total FROM channels WHERE {CHANNEL_TEXT} AND followers_count >= 100 AND coalesce(videos_count, 0) >= 2 ORDER BY followers_count DESC, videos_count DESC NULLS LAST, channel_name, channel_id LIMIT 50", "channels"))
+def _(c):
+    return K.channels(c.channels, text="Channel 1", min_followers=100, min_videos=2, limit=50).select("channel_id", "followers_count", "videos_count", "total")
+
+
+@register("channels_page", sql("SELECT channel_id, channel_name FROM channels ORDER BY lower(coalesce(display_name, channel_name, '')), followers_count DESC, videos_count DESC NULLS LAST, channel_name, channel_id LIMIT 20 OFFSET 40", "channels"))
+def _(c):
+    return K.channels(c.channels, sort="name", descending=False, limit=20, offset=40).select("channel_id", "channel_name")
+
+
+@register("caps_author_instance", sql("SELECT video_id, instance_domain FROM (SELECT *, row_number() OVER (PARTITION BY instance_domain ORDER BY views DESC, video_id) AS ri FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, instance_domain ORDER BY views DESC, video_id) AS ra FROM videos) WHERE ra <= 2) WHERE ri <= 5", "videos"))
+def _(c):
+    return K.capped(c.videos, [F.desc("views"), F.col("video_id")], C.AUTHOR_CAP, C.INSTANCE_CAP).select("video_id", "instance_domain")
+
+
+@register("random_cache_filtered", sql("SELECT video_id, row_number() OVER (ORDER BY CAST(video_id AS BIGINT) < 5000, CAST(video_id AS BIGINT)) AS position FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, instance_domain ORDER BY CAST(video_id AS BIGINT) < 5000, CAST(video_id AS BIGINT)) AS ra FROM videos) WHERE ra <= 3 ORDER BY 2 LIMIT 1000", "videos"))
+def _(c):
+    return K.random_cache(c.videos.withColumn("video_number", F.col("video_id").cast("long")), "5000", 1000, 3, 0).select("video_id", "position")
+
+
+@register("random_cache_window", sql("SELECT * FROM (SELECT video_id, row_number() OVER (ORDER BY CAST(video_id AS BIGINT) < 5000, CAST(video_id AS BIGINT)) AS position FROM videos) WHERE position > 10 AND position <= 60", "videos"))
+def _(c):
+    return K.cache_window(K.random_cache(c.videos.withColumn("video_number", F.col("video_id").cast("long")), "5000", 1000, 0, 0), 10, 50).select("video_id", "position")
+
+
+@register("training_sample", "SELECT vec_id FROM embeddings WHERE vec_id % 7 = 0 ORDER BY vec_id LIMIT 40")
+def _(c):
+    return c.table("embeddings").where(F.pmod("vec_id", F.lit(7)) == 0).orderBy("vec_id").limit(40).select("vec_id")
+
+
+@register("full_page_stop", """WITH p AS (SELECT o_custkey AS channel, (o_orderkey // 4) % 50 AS page, count(*) AS size, count(*) FILTER (o_orderkey % 3 <> 1) AS known FROM orders GROUP BY 1, 2),
+ q AS (SELECT *, sum(CASE WHEN known = size THEN 0 ELSE 1 END) OVER (PARTITION BY channel ORDER BY page) AS island FROM p),
+ r AS (SELECT *, sum(CASE WHEN known = size THEN 1 ELSE 0 END) OVER (PARTITION BY channel, island ORDER BY page) AS run FROM q),
+ s AS (SELECT *, min(CASE WHEN run >= 2 THEN page END) OVER (PARTITION BY channel) AS stop FROM r)
+SELECT channel, page FROM s WHERE stop IS NULL OR page <= stop""")
+def _(c):
+    pages = c.table("orders").groupBy(F.col("o_custkey").alias("channel"), F.expr("(o_orderkey div 4) % 50").alias("page")).agg(F.count("*").alias("size"), F.count_if(F.col("o_orderkey") % 3 != 1).alias("known"))
+    return K.full_page_stop(pages, 2, ["channel"]).select("channel", "page")
+
+
+@register("health_due", sql("SELECT host FROM instances WHERE health_status = 'error' AND (length(host) % 2 = 0 OR length(host) <= 15)", "instances"))
+def _(c):
+    t = c.instances.withColumn("health_checked_at", F.when(F.length("host") % 2 != 0, F.length("host").cast("long") * 1000))
+    return K.due_for_health(t, 16_000, 1000, errors_only=True).select("host")
+
+
+# --- aggregates
+
+
+@register("pool_bounds", sql("SELECT count(*) AS n, min(CAST(video_id AS BIGINT)) AS low, max(CAST(video_id AS BIGINT)) AS high FROM videos", "videos"))
+def _(c):
+    n = F.col("video_id").cast("long")
+    return c.videos.agg(F.count("*").alias("n"), F.min(n).alias("low"), F.max(n).alias("high"))
+
+
+@register("channel_counts", sql("SELECT count(*) AS total, count(display_name) AS named, count(videos_count) AS counted FROM channels", "channels"))
+def _(c):
+    return c.channels.agg(F.count("*").alias("total"), F.count("display_name").alias("named"), F.count("videos_count").alias("counted"))
+
+
+@register("status_counts", sql("SELECT lower(trim(health_status)) AS status, count(*) AS n FROM instances GROUP BY 1", "instances"))
+def _(c):
+    return c.instances.groupBy(F.lower(F.trim("health_status")).alias("status")).agg(F.count("*").alias("n")).orderBy(F.desc("n"))
+
+
+@register("host_purge_counts", sql(f"SELECT 'channels' AS table_name, count(*) AS n FROM channels WHERE instance_domain IN ({BAD_HOSTS}) UNION ALL SELECT 'videos', count(*) FROM videos WHERE instance_domain IN ({BAD_HOSTS}) UNION ALL SELECT 'video_embeddings', count(*) FROM video_embeddings WHERE instance_domain IN ({BAD_HOSTS})", "channels", "video_embeddings", "denylist"))
+def _(c):
+    bad = c.denylist.where("is_active = 1")
+    return T.host_counts({"channels": (c.channels, "instance_domain"), "videos": (c.videos, "instance_domain"), "video_embeddings": (c.embeddings, "instance_domain")}, bad)
+
+
+@register("host_purge", sql(f"SELECT video_id FROM videos WHERE instance_domain NOT IN ({BAD_HOSTS})", "videos", "denylist"))
+def _(c):
+    return T.without_hosts(c.videos, c.denylist.where("is_active = 1")).select("video_id")
+
+
+@register("duplicate_keys", "SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def _(c):
+    return T.duplicate_keys(c.table("lineitem"), ["l_orderkey", "l_suppkey"])
+
+
+@register("top_hosts", sql("SELECT instance_domain, count(*) AS n, count(DISTINCT channel_id) AS n_channels FROM videos GROUP BY 1 HAVING count(DISTINCT channel_id) > 1 ORDER BY n DESC, instance_domain LIMIT 10", "videos"))
+def _(c):
+    g = c.videos.groupBy("instance_domain").agg(F.count("*").alias("n"), F.countDistinct("channel_id").alias("n_channels"))
+    return g.where("n_channels > 1").orderBy(F.desc("n"), "instance_domain").limit(10)
+
+
+@register("channel_samples", sql("SELECT channel_id, instance_domain, coalesce(max(channel_name), '') AS name, count(*) AS n, max(views) AS best FROM videos GROUP BY 1, 2", "videos"))
+def _(c):
+    return c.videos.groupBy("channel_id", "instance_domain").agg(F.coalesce(F.max("channel_name"), F.lit("")).alias("name"), F.count("*").alias("n"), F.max("views").alias("best"))
+
+
+@register("work_by_instance", sql("SELECT instance_domain, len(list(channel_id)) AS n, list(channel_id ORDER BY channel_id)[1] AS first FROM channels GROUP BY 1", "channels"))
+def _(c):
+    g = c.channels.groupBy("instance_domain").agg(F.array_sort(F.collect_list("channel_id")).alias("w"))
+    return g.select("instance_domain", F.size("w").cast("long").alias("n"), F.col("w")[0].alias("first"))
+
+
+# --- events and likes
+
+
+@register("event_rejects", sql("SELECT event_id, CASE WHEN event_type NOT IN ('Like', 'UndoLike', 'Comment') THEN 'unsupported event_type' ELSE 'no video_uuid' END AS reason FROM raw_events WHERE event_type NOT IN ('Like', 'UndoLike', 'Comment') OR video_uuid IS NULL", "raw_events"))
+def _(c):
+    return E.split(c.raw_events)[1].select("event_id", "reason")
+
+
+@register("event_dedup", sql("SELECT event_type, count(*) AS n FROM (SELECT DISTINCT event_id, event_type FROM raw_events) GROUP BY 1", "raw_events"))
+def _(c):
+    twice = c.raw_events.unionByName(c.raw_events.withColumn("arrival", F.col("arrival") + 1_000_000))
+    return E.first_arrivals(twice).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@register("event_signals", sql("SELECT video_uuid, instance_domain, likes_count, undo_likes_count, comments_count, round(signal_score, 6) AS signal_score FROM signals", "signals"))
+def _(c):
+    return E.signals(E.split(c.raw_events)[0]).select("video_uuid", "instance_domain", "likes_count", "undo_likes_count", "comments_count", F.round("signal_score", 6).alias("signal_score"))
+
+
+@register("recent_likes_per_user", sql("SELECT user_id, video_id, updated_at, position FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, event_id DESC) AS position FROM (SELECT *, row_number() OVER (PARTITION BY user_id, video_id, instance_domain ORDER BY updated_at DESC, event_id DESC) AS rn FROM user_likes) WHERE rn = 1) WHERE position <= 5", "user_likes"))
+def _(c):
+    return E.recent_likes(c.user_likes, 5).select("user_id", "video_id", "updated_at", "position")
+
+
+@register("published_events", "SELECT 'evt-' || event_id AS event_id, CASE event_type WHEN 'click' THEN 'Like' WHEN 'error' THEN 'UndoLike' ELSE 'Comment' END AS event_type FROM events WHERE event_type IN ('click', 'error', 'view')")
+def _(c):
+    action = F.when(F.col("event_type") == "click", " LIKE").when(F.col("event_type") == "error", "undo_like").when(F.col("event_type") == "view", "comment").otherwise("open")
+    a = c.table("events").select(F.col("event_id").alias("action_id"), "user_id", action.alias("action"), F.lit("u").alias("video_uuid"), F.lit("h").alias("instance_domain"), F.col("ts").alias("at"))
+    return E.published(a).select("event_id", "event_type")
+
+
+@register("rate_limited")
+def _(c):
+    r = c.table("events").select(F.col("user_id").cast("string").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("request"))
+    return E.rate_limited(r, 3, 86_400_000)
+
+
+# --- merges and set algebra
+
+
+@register("merge_insert_only", sql("SELECT video_id, title, views, likes, popularity IS NULL AS new FROM (SELECT video_id, title, views, likes, popularity FROM prod UNION ALL SELECT video_id, title, views, likes, NULL FROM stage WHERE video_id NOT IN (SELECT video_id FROM prod))", "prod", "stage"))
+def _(c):
+    return T.insert_only(c.prod, c.stage, K.KEY).select("video_id", "title", "views", "likes", F.col("popularity").isNull().alias("new"))
+
+
+@register("merge_replace", sql("SELECT video_id, title, views, likes FROM stage UNION ALL SELECT video_id, title, views, likes FROM prod WHERE video_id NOT IN (SELECT video_id FROM stage)", "prod", "stage"))
+def _(c):
+    return T.insert_or_replace(c.prod, c.stage, K.KEY).select("video_id", "title", "views", "likes")
+
+
+@register("merge_upsert", sql("SELECT coalesce(s.video_id, p.video_id) AS video_id, coalesce(p.title, s.title) AS title, coalesce(s.views, p.views) AS views, CASE WHEN s.video_id IS NULL THEN p.likes ELSE s.likes END AS likes, round(p.popularity, 6) AS popularity FROM prod p FULL JOIN stage s USING (video_id, instance_domain)", "prod", "stage"))
+def _(c):
+    return T.upsert(c.prod, c.stage, K.KEY, ["views", "likes"]).select("video_id", "title", "views", "likes", F.round("popularity", 6).alias("popularity"))
+
+
+@register("merge_patch", sql("SELECT video_id, coalesce(p.likes, s.likes) AS likes FROM prod p LEFT JOIN stage s USING (video_id)", "prod", "stage"))
+def _(c):
+    return T.patch(c.prod, c.stage, K.KEY, ["likes"], only_if_null=True).select("video_id", "likes")
+
+
+@register("staging_deltas", sql("SELECT 'videos' AS name, count(*) AS n FROM stage WHERE video_id NOT IN (SELECT video_id FROM prod) UNION ALL SELECT 'channels', count(*) FROM (SELECT DISTINCT channel_id, instance_domain FROM stage EXCEPT SELECT channel_id, instance_domain FROM prod)", "prod", "stage"))
+def _(c):
+    key = ["channel_id", "instance_domain"]
+    return T.delta_counts({"videos": (c.prod, c.stage, K.KEY), "channels": (c.prod.select(*key), c.stage.select(*key).distinct(), key)})
+
+
+@register("changed_rows", sql("SELECT p.video_id FROM prod p JOIN stage s USING (video_id, instance_domain) WHERE p.likes IS DISTINCT FROM s.likes", "prod", "stage"))
+def _(c):
+    return T.changed_rows(c.prod, c.stage, K.KEY, ["likes"]).select("video_id")
+
+
+@register("content_rebuild", sql("SELECT 'channels' AS name, count(*) AS n FROM channels WHERE instance_domain IN (SELECT host FROM instances WHERE health_status = 'ok') UNION ALL SELECT 'videos', count(*) FROM videos WHERE instance_domain IN (SELECT host FROM instances WHERE health_status = 'ok') UNION ALL SELECT 'embeddings', count(*) FROM video_embeddings WHERE instance_domain IN (SELECT host FROM instances WHERE health_status = 'ok')", "instances", "channels", "video_embeddings"))
+def _(c):
+    kept = T.rebuild_content(c.channels, c.videos, c.embeddings, c.instances.where("health_status = 'ok'"))
+    out = None
+    for name, df in kept.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("host_reconcile", sql("SELECT coalesce(p.host, e.host) AS host, CASE WHEN p.host IS NULL THEN 'new' WHEN e.host IS NULL THEN 'stale' ELSE 'kept' END AS state FROM (SELECT host FROM hosts WHERE n_nationkey % 3 <> 0) p FULL JOIN (SELECT host FROM hosts WHERE n_nationkey % 2 = 0 AND host NOT IN (SELECT host FROM denylist WHERE is_active = 1)) e USING (host)", "hosts", "denylist"))
+def _(c):
+    h = c.hosts
+    return T.reconcile_hosts(h.where("n_nationkey % 3 <> 0"), h.where("n_nationkey % 2 = 0"), c.denylist.where("is_active = 1"))
+
+
+@register("host_compare", sql("SELECT (SELECT count(*) FROM hosts WHERE n_nationkey % 3 <> 0) AS local_hosts, count(*) AS remote_hosts, count(*) FILTER (n_nationkey % 3 = 0) AS missing, count(*) FILTER (n_nationkey % 3 = 0 AND n_nationkey % 7 = 0) AS missing_denied FROM hosts WHERE n_nationkey % 2 = 0", "hosts"))
+def _(c):
+    return T.compare_hosts(c.hosts.where("n_nationkey % 3 <> 0"), c.hosts.where("n_nationkey % 2 = 0"), c.denylist.where("is_active = 1"))
+
+
+@register("prune_unhealthy", sql("SELECT host FROM hosts WHERE n_nationkey % 2 = 0 AND host NOT IN (SELECT host FROM instances WHERE health_status <> 'ok')", "instances"))
+def _(c):
+    return T.drop_unhealthy(c.hosts.where("n_nationkey % 2 = 0").select("host"), c.instances)
+
+
+@register("new_only", sql("SELECT video_id FROM videos WHERE video_id NOT IN (SELECT video_id FROM prod) AND video_id NOT IN (SELECT video_id FROM stage)", "prod", "stage"))
+def _(c):
+    return T.new_only(c.videos, K.KEY, c.prod, c.stage).select("video_id")
+
+
+@register("popularity_recompute", sql("SELECT video_id, CASE WHEN CAST(video_id AS BIGINT) % 4 = 0 THEN round(popularity, 6) ELSE 7.0 END AS popularity FROM videos", "videos"))
+def _(c):
+    old = F.when(F.col("video_id").cast("long") % 4 != 0, 7.0).otherwise(F.when(F.col("video_id").cast("long") % 8 == 0, 0.0))
+    v = c.videos.withColumn("old", old)
+    return v.select("video_id", F.when(F.coalesce("old", F.lit(0.0)) == 0, F.round(S.popularity("views", "likes", "published_at", NOW_MS), 6)).otherwise(F.col("old")).alias("popularity"))
+
+
+@register("federation_edges", sql("WITH e AS (SELECT DISTINCT a.host AS source_host, b.host AS target_host FROM customer JOIN hosts a ON a.n_nationkey = c_nationkey JOIN hosts b ON b.n_nationkey = c_custkey % 25 WHERE a.host <> b.host) SELECT source_host, count(*) AS n FROM e GROUP BY 1", "hosts"))
+def _(c):
+    h = c.hosts
+    a = h.select(F.col("n_nationkey").alias("na"), F.col("host").alias("source_host"))
+    b = h.select(F.col("n_nationkey").alias("nb"), F.col("host").alias("target_host"))
+    found = c.table("customer").join(a, F.col("c_nationkey") == F.col("na")).join(b, F.col("c_custkey") % 25 == F.col("nb"))
+    return T.edges(found).groupBy("source_host").agg(F.count("*").alias("n"))
+
+
+@register("federation_reach", sql("WITH RECURSIVE_PLACEHOLDER AS (SELECT 1) SELECT host, n_nationkey // 5 AS depth FROM hosts", "hosts").replace("WITH RECURSIVE_PLACEHOLDER AS (SELECT 1) ", ""))
+def _(c):
+    h = c.hosts
+    e = h.alias("a").join(h.alias("b"), F.col("b.n_nationkey") == F.col("a.n_nationkey") + 5).select(F.col("a.host").alias("source_host"), F.col("b.host").alias("target_host"))
+    return T.reachable(e, h.where("n_nationkey < 5")).select("host", F.col("depth").cast("long"))
+
+
+# --- similarity
+
+
+DOT = "list_inner_product(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
+KNN = f"SELECT a.video_id AS src_id, b.video_id, round({DOT.format('a.embedding', 'b.embedding')}, 6) AS score, row_number() OVER (PARTITION BY a.video_id ORDER BY round({DOT.format('a.embedding', 'b.embedding')}, 6) DESC, b.video_id, b.instance_domain) AS rank FROM video_embeddings a JOIN video_embeddings b ON a.video_id <> b.video_id"
+
+
+@register("knn_topk", sql(f"SELECT src_id, video_id, score, rank FROM ({KNN}) WHERE rank <= 5", "video_embeddings"))
+def _(c):
+    return N.knn(c.embeddings, c.embeddings, 5).select("src_id", "video_id", "score", "rank")
+
+
+@register("knn_author_capped", sql(f"SELECT src_id, video_id FROM (SELECT k.src_id, k.video_id, k.rank, row_number() OVER (PARTITION BY k.src_id, v.channel_id, v.instance_domain ORDER BY k.rank) AS ra FROM ({KNN}) k JOIN videos v USING (video_id) WHERE k.rank <= 50) WHERE ra = 1 QUALIFY row_number() OVER (PARTITION BY src_id ORDER BY rank) <= 10", "video_embeddings"))
+def _(c):
+    near = N.knn(c.embeddings, c.embeddings, 50).join(c.videos.select(*K.KEY, "channel_id"), K.KEY)
+    kept = K.capped(near, [F.col("rank")], 1, 0, within=["src_id"])
+    return kept.withColumn("n", F.row_number().over(W.partitionBy("src_id").orderBy("rank"))).where("n <= 10").select("src_id", "video_id")
+
+
+@register("vector_search", sql(f"SELECT b.video_id, round({DOT.format('a.embedding', 'b.embedding')}, 6) AS score FROM (SELECT * FROM video_embeddings WHERE video_id = '32') a, video_embeddings b WHERE b.video_id <> '32' ORDER BY 2 DESC, 1 LIMIT 20", "video_embeddings"))
+def _(c):
+    seed = c.embeddings.where("video_id = '32'").first()
+    if seed is None:
+        return c.embeddings.select("video_id", F.lit(0.0).alias("score")).limit(0)
+    return N.search(c.embeddings, list(seed["embedding"]), 20, ("32", seed["instance_domain"])).select("video_id", "score")
+
+
+COS = f"{DOT.format('c.embedding', 'l.embedding')} / sqrt({DOT.format('c.embedding', 'c.embedding')}) / sqrt({DOT.format('l.embedding', 'l.embedding')})"
+MAXCOS = f"SELECT c.video_id, c.instance_domain, round(greatest(max({COS}), 0), 6) AS similarity_score FROM video_embeddings c, ({LIKED}) l GROUP BY 1, 2"
+
+
+@register("max_cosine_vs_likes", sql(f"SELECT video_id, similarity_score FROM ({MAXCOS})", "video_embeddings"))
+def _(c):
+    return N.max_similarity(c.embeddings, liked(c)).select("video_id", "similarity_score")
+
+
+@register("similarity_incremental", sql("SELECT e.video_id FROM video_embeddings e WHERE e.video_id NOT IN (SELECT source_video_id FROM similar_items)", "video_embeddings", "similar_items"))
+def _(c):
+    src = c.similar_items.select(F.col("source_video_id").alias("video_id"), F.col("source_instance_domain").alias("instance_domain")).distinct()
+    return N.pending_sources(c.embeddings, src).select("video_id")
+
+
+@register("cache_validity", sql("SELECT source_video_id, count(*) AS entries, count(*) FILTER (score IS NULL) = 0 AS hit FROM similar_items GROUP BY 1", "similar_items"))
+def _(c):
+    return N.valid_cache(c.similar_items, 20).select("source_video_id", "entries", "hit")
+
+
+@register("cached_similar", sql("SELECT source_video_id, similar_video_id, rank FROM similar_items WHERE rank <= 2 AND CAST(similar_video_id AS BIGINT) - CAST(source_video_id AS BIGINT) <= 2", "similar_items"))
+def _(c):
+    return N.cached_similar(c.similar_items, 2).select("source_video_id", "similar_video_id", "rank")
+
+
+@register("similarity_host_stats", sql("SELECT count(*) FILTER (source_instance_domain = h) AS as_source, count(*) FILTER (similar_instance_domain = h) AS as_similar, count(*) FILTER (source_instance_domain = h OR similar_instance_domain = h) AS deletable FROM similar_items, (SELECT host AS h FROM hosts WHERE n_nationkey = 3)", "hosts", "similar_items"))
+def _(c):
+    return N.host_stats(c.similar_items, c.hosts.where("n_nationkey = 3").first()["host"])
+
+
+@register("similarity_purge", sql(f"SELECT source_video_id, similar_video_id FROM similar_items WHERE source_instance_domain NOT IN ({BAD_HOSTS}) AND similar_instance_domain NOT IN ({BAD_HOSTS})", "similar_items", "denylist"))
+def _(c):
+    return N.purge_similar(c.similar_items, c.denylist.where("is_active = 1")).select("source_video_id", "similar_video_id")
+
+
+@register("ivf_recall")
+def _(c):
+    """Recall of inverted lists against exact search."""
+    e = c.embeddings
+    lists = N.train_lists(e, 16)
+    exact = N.knn(e, e, 5).select("src_id", "video_id")
+    near = N.ivf_knn(e, N.build_lists(e, lists), lists, 5, 8).select("src_id", "video_id", F.lit(1).alias("hit"))
+    return exact.join(near, ["src_id", "video_id"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 2).alias("recall"), F.count("*").alias("n"))
+
+
+@register("encode_missing")
+def _(c):
+    d = c.table("documents").select(F.col("doc_id").cast("string").alias("video_id"), F.lit("docs.example").alias("instance_domain"), "text")
+    return N.encode_missing(d, d.where("cast(video_id as bigint) % 2 = 0")).select("video_id", F.size("embedding").alias("dim"))
+
+
+# --- candidates and feeds
+
+
+def _lot(name: str) -> str:
+    return f"md5('s1:{name}:' || video_id || '::' || instance_domain)"
+
+
+def _pool(source: str, order: str, instance_cap: int = 5) -> str:
+    inner = f"SELECT *, row_number() OVER (PARTITION BY channel_id, instance_domain ORDER BY {order}) AS ra FROM ({source})"
+    capped = f"SELECT * FROM ({inner}) WHERE ra <= 2"
+    if instance_cap:
+        capped = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instance_domain ORDER BY {order}) AS ri FROM ({capped})) WHERE ri <= {instance_cap}"
+    return capped
+
+
+_VIDEO = f"SELECT v.* FROM videos v JOIN video_embeddings e USING (video_id, instance_domain) WHERE {USABLE}"
+_POP = f"SELECT p.* FROM (SELECT *, row_number() OVER (ORDER BY {POPULAR_ORDER}) AS pp FROM ({SIGNALLED}) WHERE {USABLE}) p JOIN video_embeddings e USING (video_id, instance_domain) WHERE pp <= 2000"
+_SOURCES = {
+    "popular": (_POP, "pp"),
+    "fresh": (_VIDEO, "published_at DESC NULLS LAST, video_id DESC"),
+    "random": (_VIDEO, f"{_lot('random')}, video_id"),
+    "explore": (_VIDEO, f"{_lot('explore')}, video_id"),
+}
+_NEEDS = ("signals", "video_embeddings", "denylist", "channel_moderation")
+
+
+def _layer(name: str, limit: int, likes: bool, bounds: str = "true", cap: int = 5) -> str:
+    """SQL of one layer: (video columns, similarity_score, position)."""
+    if name == "exploit":
+        near = f"SELECT k.video_id, max(k.score) AS similarity_score FROM (SELECT * FROM ({KNN}) WHERE src_id IN {LIKED_IDS} AND rank <= 200) k WHERE k.video_id NOT IN {LIKED_IDS} GROUP BY 1"
+        base = f"SELECT v.*, n.similarity_score FROM ({_VIDEO}) v JOIN ({near}) n USING (video_id) ORDER BY n.similarity_score DESC, v.video_id LIMIT 200"
+        order = "similarity_score DESC, video_id"
+        scored = _pool(base, order, cap)
+    else:
+        source, order = _SOURCES[name]
+        pool = _pool(source, order, cap)
+        scored = f"SELECT p.*, m.similarity_score FROM ({pool}) p JOIN ({MAXCOS}) m USING (video_id, instance_domain)" if likes else f"SELECT *, 0.0 AS similarity_score FROM ({pool})"
+        order = "similarity_score DESC" if name == "explore" else order
+    return f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN many THEN {_lot(name)} END, {order}, video_id) AS position FROM (SELECT *, count(*) OVER () > {limit} AS many FROM ({scored}) WHERE {bounds})) WHERE position <= {limit}"
+
+
+_BOUNDS = {"explore": f"similarity_score >= {LOW} AND similarity_score < {HIGH}", "exploit": f"similarity_score >= {HIGH}", "random": f"similarity_score < {LOW}"}
+TUNED = C.scaled(C.HOME, LOW, HIGH)
+
+for _name in ("popular", "fresh", "random", "explore", "exploit"):
+
+    @register(f"gen_{_name}", sql(f"SELECT video_id, position, similarity_score FROM ({_layer(_name, 30, True, _BOUNDS.get(_name, 'true'))})", *_NEEDS))
+    def _(c, name=_name):
+        return getattr(candidates(c), name)(TUNED.layers[name], 30).select("video_id", "position", "similarity_score")
+
+
+def _score_sql(p: C.Profile, bonus: str) -> str:
+    x = f"(coalesce(views, 0) * {p.views_weight} + coalesce(likes, 0) * {p.likes_weight})"
+    pop = f"CASE WHEN {x} > 0 THEN ln(1 + {x}) / (ln(1 + {x}) + 1) ELSE 0 END"
+    return f"round({p.similarity} * least(greatest(similarity_score, 0), 1) + {p.freshness} * pow(0.5, greatest({NOW_MS} - published_at, 0) / 86400000.0 / {p.half_life_days}) + {p.popularity} * ({pop}) + {bonus}, 6)"
+
+
+@register("score_candidates", sql(f"SELECT video_id, {_score_sql(C.HOME, '0.05')} AS score FROM videos JOIN ({MAXCOS}) USING (video_id, instance_domain)", "video_embeddings"))
+def _(c):
+    s = N.max_similarity(c.videos.join(c.embeddings.select(*K.KEY, "embedding"), K.KEY), liked(c))
+    return P.score(s, C.HOME, NOW_MS, 0.05).select("video_id", "score")
+
+
+def _feed_sql(p: C.Profile, likes: bool, moderated: bool = False) -> str:
+    limits = C.fetch_limits(p, likes)
+    parts = []
+    for k, (n, limit) in enumerate(limits.items()):
+        cap = p.layers[n].instance_cap
+        cols = "video_id, instance_domain, channel_id, views, likes, published_at, similarity_score, position"
+        parts.append(f"SELECT {cols}, '{n}' AS layer, {k} AS k, CAST({p.layers[n].bonus} AS DOUBLE) AS bonus FROM ({_layer(n, limit, likes, _BOUNDS.get(n, 'true') if likes else 'true', cap)})")
+    ratios = "CASE layer " + " ".join(f"WHEN '{n}' THEN {p.layers[n].ratio}" for n in limits) + " END"
+    good = f"WHERE instance_domain NOT IN ({BAD_HOSTS}) AND (channel_id, instance_domain) NOT IN (SELECT (channel_id, instance_domain) FROM ({BAD_CHANNELS}))" if moderated else ""
+    return f"""WITH scored AS (SELECT *, {_score_sql(p, 'bonus')} AS score FROM ({' UNION ALL '.join(parts)})),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY score DESC, position) AS r FROM scored),
+sizes AS (SELECT layer, k, count(*) AS have, {ratios} AS ratio FROM ranked GROUP BY layer, k),
+base AS (SELECT *, CAST(floor({p.batch} * ratio / sum(ratio) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS BIGINT) AS b FROM sizes),
+target AS (SELECT layer, least(have, b + CASE WHEN row_number() OVER (ORDER BY k) <= {p.batch} - sum(b) OVER () THEN 1 ELSE 0 END) AS t FROM base),
+page AS (SELECT *, row_number() OVER (ORDER BY r > t, CASE WHEN r <= t THEN (r - 1) / CAST(t AS DOUBLE) END NULLS FIRST, k, r) AS pos FROM ranked JOIN target USING (layer) QUALIFY pos <= {p.batch})
+SELECT video_id, layer, score, rank_after FROM (SELECT *, row_number() OVER (ORDER BY pos) AS rank_after FROM (SELECT *, row_number() OVER (PARTITION BY video_id, instance_domain ORDER BY pos) AS rn FROM page) WHERE rn = 1) {good}"""
+
+
+@register("home_feed", sql(_feed_sql(TUNED, True), *_NEEDS))
+def _(c):
+    return P.feed(candidates(c), TUNED, NOW_MS).select("video_id", "layer", "score", "rank_after")
+
+
+@register("guest_feed", sql(_feed_sql(C.GUEST_HOME, False, True), *_NEEDS))
+def _(c):
+    return P.feed(candidates(c, False), C.GUEST_HOME, NOW_MS, c.denylist, c.channel_moderation).select("video_id", "layer", "score", "rank_after")
+
+
+@register("layer_schedule", "WITH x AS (SELECT layer, k, t, unnest(range(1, t + 1)) AS r FROM (VALUES ('explore', 0, 10), ('exploit', 1, 25), ('popular', 2, 5), ('random', 3, 4), ('fresh', 4, 4)) v(layer, k, t)) SELECT layer, CAST(r AS BIGINT) AS turn, row_number() OVER (ORDER BY (r - 1) / CAST(t AS DOUBLE), k) AS slot FROM x")
+def _(c):
+    want = C.shares(C.BATCH, {n: x.ratio for n, x in C.HOME.layers.items()})
+    rows = [(n, k, t, r) for k, (n, t) in enumerate(want.items()) for r in range(1, t + 1)]
+    df = c.spark.createDataFrame(rows, "layer string, k int, t int, r long")
+    return df.select("layer", F.col("r").alias("turn"), F.row_number().over(W.orderBy((F.col("r") - 1) / F.col("t"), "k")).alias("slot"))
+
+
+RELATED = f"SELECT v.*, k.score AS similarity_score FROM (SELECT * FROM ({KNN}) WHERE src_id = '32' AND rank <= 100) k JOIN videos v USING (video_id) WHERE {USABLE}"
+
+
+@register("related_rerank", sql(f"""WITH page AS (SELECT *, row_number() OVER (ORDER BY score DESC, similarity_score DESC, video_id) AS rank FROM (SELECT *, {_score_sql(C.UPNEXT, '0.0')} AS score FROM ({RELATED})) QUALIFY rank <= 20)
+SELECT p.video_id, p.rank, row_number() OVER (ORDER BY round({C.RELATED_ALPHA} * p.score + {C.RELATED_BETA} * m.similarity_score, 6) DESC, p.rank) AS rank_after FROM page p JOIN ({MAXCOS}) m USING (video_id, instance_domain)""", "video_embeddings"))
+def _(c):
+    near = N.knn(c.embeddings.where("video_id = '32'"), c.embeddings, 100).select(*K.KEY, F.col("score").alias("similarity_score"))
+    page = P.related(c.videos.where(K.usable()).join(near, K.KEY), C.UPNEXT, NOW_MS, 20)
+    return P.personalized(page, c.embeddings, liked(c), C.RELATED_ALPHA, C.RELATED_BETA).select("video_id", "rank", "rank_after")
+
+
+@register("jitter", sql("SELECT video_id, row_number() OVER (ORDER BY (r - 1) // 8, md5('j:' || video_id || '::' || instance_domain), r) AS jittered FROM (SELECT *, row_number() OVER (ORDER BY views DESC, video_id) AS r FROM videos QUALIFY r <= 200)", "videos"))
+def _(c):
+    top = c.videos.orderBy(F.desc("views"), "video_id").limit(200)
+    return P.jittered(top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("views"), "video_id"))), 8, "j").select("video_id", "jittered")
+
+
+@register("ratio_interleave", "WITH s AS (SELECT p, round_even((p + 1) * 0.3, 0) > round_even(p * 0.3, 0) AS up FROM range(60) t(p)), t AS (SELECT *, row_number() OVER (PARTITION BY up ORDER BY p) AS turn FROM s), i AS (SELECT 'explore' AS kind, r AS position FROM range(1, 11) a(r) UNION ALL SELECT 'exploit', r FROM range(1, 41) b(r)) SELECT kind, position, row_number() OVER (ORDER BY p NULLS LAST, kind, position) AS slot FROM i LEFT JOIN t ON t.turn = i.position AND t.up = (i.kind = 'explore')")
+def _(c):
+    rows = [("explore", r) for r in range(1, 11)] + [("exploit", r) for r in range(1, 41)]
+    return P.interleave(c.spark.createDataFrame(rows, "kind string, position long"), 0.3, 60)
+
+
+@register("events_stream", sql("SELECT video_uuid, instance_domain, likes_count, undo_likes_count, comments_count, round(signal_score, 6) AS signal_score FROM signals", "signals"))
+def _(c):
+    """The same signals by Structured Streaming over the events in arrival order."""
+    from ..streaming.events import replay
+
+    return replay(E.split(c.raw_events)[0]).select("video_uuid", "instance_domain", "likes_count", "undo_likes_count", "comments_count", F.round("signal_score", 6).alias("signal_score"))
