@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructType
+
+_TYPES = {"string": StringType(), "long": LongType(), "int": IntegerType(), "double": DoubleType(), "array<float>": ArrayType(FloatType())}
+
+
+def _schema(columns: str) -> StructType:
+    """Of "name type, name type, ...", without needing a session."""
+    out = StructType()
+    for c in columns.split(", "):
+        name, kind = c.split()
+        out.add(name, _TYPES[kind])
+    return out
+
 
 _HEALTH = "health_status string, health_checked_at long, health_error string, last_error string, last_error_at long, last_error_source string"
 TABLES: dict[str, StructType] = {
-    name: StructType.fromDDL(ddl)
+    name: _schema(ddl)
     for name, ddl in {
         "instances": f"host string, {_HEALTH}",
         "channels": f"channel_id string, instance_domain string, channel_name string, channel_url string, display_name string, videos_count long, followers_count long, avatar_url string, {_HEALTH}",
