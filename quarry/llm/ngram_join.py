@@ -9,21 +9,27 @@ and are one node from here on.
    (fixed size).
 2. ``inverted lists`` - a second pass orders each set by frequency, rarest
    first.  Linked sets of n shingles share T = ceil(0.75 n) at least, so they
-   meet in one of the n - T + 1 rarest of either: only these go to inverted
-   lists.  The lists of a bucket of shingles are merged in one task; a shingle
-   that the sketch says is frequent is dealt over several tasks.
-3. ``T-occurrence search`` - each list names a leader for its members.  A leader
-   is a query against the block of its members: of the lists of its shingles the
-   short ones are heap-merged, the long ones (DivideSkip) binary-probed for the
-   candidates left, and members that reach the required overlap are links.
-4. ``the rest`` - members of a list that are in one component by now need no
-   comparing with each other.  For every list that still holds several
-   components, the members outside its largest one are queries against all
-   members in other components, so that no link between different sets is lost.
-
-Step 4 makes the result exact; step 3 keeps it from ever writing all pairs of a
-large group of near copies.  Nothing that grows with the corpus reaches the
-driver or is broadcast: the sketch is 2**SKETCH_BITS bytes at any size.
+   meet in ``l`` or more of the n - T + l rarest of either (l grows with n): only
+   these go to inverted lists.  The lists of a bucket of shingles are merged in
+   one task; a shingle that the sketch says is frequent is dealt over several.
+3. ``candidates`` - pairs that meet in l short lists, counted over all lists; a
+   long list names a leader for its members instead of pairs, so that a large
+   group of near copies never becomes all pairs.  A pair whose first meeting is
+   in a long list is found there; of two sets that are in long lists one meeting
+   in a short list is enough.
+4. ``T-occurrence search`` - each set is a query to the block of its candidates:
+   of the lists of its shingles the short ones are heap-merged, the long ones
+   (DivideSkip) binary-probed for the sets left, and those that reach the
+   required overlap are links.  At first each candidate goes to one query only,
+   which settles nearly all components.
+5. ``the rest`` - pairs of candidates whose components still differ, and for
+   every long list that holds several components the members outside its largest
+   one against all members in other components, are searched the same way, so
+   that no link between different components is lost.
+
+Nothing that grows with the corpus reaches the driver or is broadcast: the
+sketch has 2**SKETCH_BITS bytes and the filter that selects the sets wanted has
+2**FILTER_BITS bits at any size (full, it would only let more sets pass).
 
 Cases: null texts and texts without words have empty sets, n_shingles 0, and
 are components of their own; a set that only rows without doc_id have is not
@@ -51,6 +57,9 @@ SHINGLE = 5
 NUM, DEN = 75, 100  # similarity of 0.75 as whole numbers
 SKETCH_BITS = 23
 SLICE_BITS = 17
+FILTER_BITS = 24
+SHORT_LIST = 16  # members up to which a list gives pairs
+PER_MEETING = 32  # shingles for each further meeting that is required
 LIST_TARGET = 4096  # members of a frequent shingle's list that one task takes
 CHUNK = 256  # members that a leader is compared with at once
 _U = np.uint64
@@ -95,6 +104,12 @@ def compatible(n, m):
     return (DEN * n >= NUM * m) & (DEN * m >= NUM * n)
 
 
+def admitted(n, m, i, j, meeting: int | np.ndarray = 1):
+    """Whether linked sets of n and m could have the shingle at places i and j of their orders as this meeting, or an earlier one."""
+    spare = meeting - required(n, m)
+    return compatible(n, m) & (i < n + spare) & (j < m + spare)
+
+
 # --- 1: sets and sketch
 
 
@@ -147,10 +162,15 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- 2: inverted lists
 
 
+def listed(n: int) -> int:
+    """How many shingles of a set of n go to inverted lists."""
+    return min(n, n - -(-NUM * n // DEN) + 1 + n // PER_MEETING)
+
+
 def _prefix(h: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The n - T + 1 rarest shingles of an ascending set, in one order for all sets."""
+    """The n - T + l rarest shingles of an ascending set, in one order for all sets."""
     n = len(h)
-    keep = n - -(-NUM * n // DEN) + 1
+    keep = listed(n)
     key = (level[h & _U(len(level) - 1)].astype(_U) << _U(56)) | (h >> _U(8))
     return h[np.argsort(key, kind="stable")[:keep]]
 
@@ -160,20 +180,20 @@ def _postings(level_of, buckets: int):
         level = level_of.value
         mask = _U(len(level) - 1)
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            h, cls, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, cls, n, pos = (np.concatenate(x) for x in zip(*held, strict=True))
             # members of frequent shingles are dealt over so many tasks that each has about LIST_TARGET of them
             deals = np.maximum(1, np.ceil(np.exp2(level[h & mask] / 8.0) / LIST_TARGET)).astype(_U)
             salt = W.mix(cls.view(_U)) % deals
             bucket = (W.mix(h + salt * _U(0x9E3779B97F4A7C15)) % _U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            bucket, h, cls, n, deals = bucket[order], h[order], cls[order], n[order], deals[order]
+            bucket, h, cls, n, pos, deals = bucket[order], h[order], cls[order], n[order], pos[order], deals[order]
             cut = np.flatnonzero(np.diff(bucket)) + 1
             lo, hi = np.concatenate([[0], cut]), np.append(cut, len(bucket))
-            blob = [h[a:b].tobytes() + cls[a:b].tobytes() + n[a:b].tobytes() + (deals[a:b] > 1).astype(np.uint8).tobytes() for a, b in zip(lo, hi, strict=True)]
+            blob = [h[a:b].tobytes() + cls[a:b].tobytes() + n[a:b].tobytes() + pos[a:b].tobytes() + (deals[a:b] > 1).astype(np.uint8).tobytes() for a, b in zip(lo, hi, strict=True)]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(bucket[lo]), pa.array(blob, pa.binary())], ["bucket", "blob"])
 
@@ -185,7 +205,7 @@ def _postings(level_of, buckets: int):
                     if cls[i] not in seen:
                         seen.add(cls[i])
                         own = _prefix(h[at[i] : at[i + 1]], level)
-                        held.append((own, np.full(len(own), cls[i]), np.full(len(own), at[i + 1] - at[i], np.int32)))
+                        held.append((own, np.full(len(own), cls[i]), np.full(len(own), at[i + 1] - at[i], np.int32), np.minimum(np.arange(len(own)), 65535).astype(np.uint16)))
                         size += len(own)
                 if size > 2_000_000:
                     yield flush()
@@ -196,77 +216,113 @@ def _postings(level_of, buckets: int):
     return run
 
 
+_LISTS = {"list": pa.int64(), "dealt": pa.bool_(), "members": pa.binary(), "sizes": pa.binary(), "places": pa.binary(), "a": pa.int64(), "b": pa.int64(), "least_n": pa.int64(), "meetings": pa.int64()}
+_LISTS_SQL = "list long, dealt boolean, members binary, sizes binary, places binary, a long, b long, least_n long, meetings long"
+
+
+def _unpack(parts: list[bytes]) -> tuple[np.ndarray, ...]:
+    sizes = [len(x) // 23 for x in parts]
+    both = list(zip(parts, sizes, strict=True))
+    h = np.concatenate([np.frombuffer(x, _U, k) for x, k in both])
+    cls = np.concatenate([np.frombuffer(x, np.int64, k, 8 * k) for x, k in both])
+    n = np.concatenate([np.frombuffer(x[16 * k : 20 * k], np.int32) for x, k in both])
+    pos = np.concatenate([np.frombuffer(x[20 * k : 22 * k], np.uint16) for x, k in both])
+    return h, cls, n, pos, np.concatenate([np.frombuffer(x, np.uint8, k, 22 * k) for x, k in both])
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of two members or more; equal lists of a task are given once."""
+    """Long lists (equal ones of a task once), pairs (a, b) of short lists with the number of lists, and how many shingles of a are in lists with others."""
     by_bucket: dict[int, list[bytes]] = {}
     for batch in batches:
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             by_bucket.setdefault(b, []).append(blob.as_py())
     done: set[int] = set()
-    out: list[tuple] = []
     for b in sorted(by_bucket):
-        parts = by_bucket.pop(b)
-        sizes = [len(x) // 21 for x in parts]
-        h = np.concatenate([np.frombuffer(x, _U, k) for x, k in zip(parts, sizes, strict=True)])
-        cls = np.concatenate([np.frombuffer(x, np.int64, k, 8 * k) for x, k in zip(parts, sizes, strict=True)])
-        n = np.concatenate([np.frombuffer(x[16 * k : 20 * k], np.int32) for x, k in zip(parts, sizes, strict=True)])
-        dealt = np.concatenate([np.frombuffer(x, np.uint8, k, 20 * k) for x, k in zip(parts, sizes, strict=True)])
-        del parts
+        h, cls, n, pos, dealt = _unpack(by_bucket.pop(b))
         order = np.argsort(h, kind="stable")
         twice = np.zeros(len(h), bool)
         same = h[order][1:] == h[order][:-1]
         twice[1:] = same
         twice[:-1] |= same
         order = order[twice | (dealt[order] > 0)]  # a dealt list's other members may be in another task
-        h, cls, n, dealt = h[order], cls[order], n[order], dealt[order]
-        order = np.lexsort((cls, h))
-        h, cls, n, dealt = h[order], cls[order], n[order], dealt[order]
+        order = order[np.lexsort((cls[order], h[order]))]
+        h, cls, n, pos, dealt = h[order], cls[order], n[order].astype(np.int64), pos[order].astype(np.int64), dealt[order]
         first = np.ones(len(h), bool)
         first[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])
-        h, cls, n, dealt = h[first], cls[first], n[first], dealt[first]
-        cut = np.flatnonzero(h[1:] != h[:-1]) + 1 if len(h) else np.zeros(0, np.int64)
-        lo, hi = np.concatenate([[0], cut]).astype(np.int64), np.append(cut, len(h)).astype(np.int64)
+        h, cls, n, pos, dealt = h[first], cls[first], n[first], pos[first], dealt[first]
+        if not len(h):
+            continue
+        cut = np.flatnonzero(h[1:] != h[:-1]) + 1
+        lo, hi = np.concatenate([[0], cut]), np.append(cut, len(h))
+        whole = dealt[lo] == 0
+        met, times = np.unique(cls[np.repeat(~whole | (hi - lo > 1), hi - lo)], return_counts=True)
+        if len(met):
+            yield _list_batch(a=met, meetings=times)
+        yield from _short_pairs(cls, n, pos, *(x[whole & (hi - lo > 1) & (hi - lo <= SHORT_LIST)] for x in (lo, hi)))
+        long = ~whole | (hi - lo > SHORT_LIST)
         with np.errstate(over="ignore"):
             total = np.zeros(len(h) + 1, _U)
-            np.cumsum(W.mix(cls.view(_U) + _U(77)), out=total[1:])
+            np.cumsum(W.mix(W.mix(cls.view(_U) + _U(77)) + pos.astype(_U)), out=total[1:])
             signature = W.mix(total[hi] - total[lo] + (hi - lo).astype(_U)).view(np.int64)
-        for a, z, sig in zip(lo, hi, signature, strict=True):
-            if dealt[a:z].any():  # the members of one shingle meet again under its hash
-                out.append((int(W.mix(h[a : a + 1] ^ _U(5)).view(np.int64)[0]), True, cls[a:z].tobytes(), n[a:z].tobytes()))
-            elif z - a > 1 and sig not in done:
+        shingle = W.mix(h[lo] ^ _U(5)).view(np.int64)  # the members of a dealt list meet again under it
+        for x, y, w, sig, own in zip(lo[long], hi[long], whole[long], signature[long], shingle[long], strict=True):
+            if not w or sig not in done:
                 done.add(sig)
-                out.append((int(sig), False, cls[a:z].tobytes(), n[a:z].tobytes()))
-        while len(out) >= 20_000:
-            yield _list_batch(out[:20_000])
-            out = out[20_000:]
-    if out:
-        yield _list_batch(out)
-
-
-def _list_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["list", "dealt", "members", "sizes"])
-
-
-def stars(members: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Leaders (least member not yet led) with the members that can link to them."""
+                yield _list_batch(list=[int(sig if w else own)], dealt=[not w], members=[cls[x:y].tobytes()], sizes=[n[x:y].astype(np.int32).tobytes()], places=[pos[x:y].astype(np.uint16).tobytes()])
+
+
+def _short_pairs(cls: np.ndarray, n: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs that can link, of the lists lo..hi, each with the number of lists."""
+    left, right = [], []
+    for size in np.unique(hi - lo):
+        at = lo[hi - lo == size]
+        i, j = np.triu_indices(int(size), 1)
+        left.append((at[:, None] + i).ravel())
+        right.append((at[:, None] + j).ravel())
+    if not left:
+        return
+    left, right = np.concatenate(left), np.concatenate(right)
+    able = admitted(n[left], n[right], pos[left], pos[right], 1 + np.minimum(n[left], n[right]) // PER_MEETING)
+    left, right = left[able], right[able]
+    if not len(left):
+        return
+    order = np.lexsort((cls[right], cls[left]))
+    left, right = left[order], right[order]
+    new = np.ones(len(left), bool)
+    new[1:] = (cls[left][1:] != cls[left][:-1]) | (cls[right][1:] != cls[right][:-1])
+    at = np.flatnonzero(new)
+    left, right = left[at], right[at]
+    yield _list_batch(a=cls[left], b=cls[right], least_n=np.minimum(n[left], n[right]), meetings=np.diff(np.append(at, len(order))))
+
+
+def _list_batch(**given) -> pa.RecordBatch:
+    rows = len(next(iter(given.values())))
+    return pa.RecordBatch.from_arrays([pa.array(given[k], t) if k in given else pa.nulls(rows, t) for k, t in _LISTS.items()], list(_LISTS))
+
+
+def stars(members: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Leaders with the members that can link to them.
+
+    The member whose order has the fewest rarer shingles leads first: among near
+    copies it is the one with the fewest words of its own.
+    """
     left = np.ones(len(members), bool)
-    while left.any():
-        k = int(np.argmax(left))  # members ascend
-        left[k] = False
-        led = left & compatible(sizes, sizes[k])
-        if led.any():
-            yield k, np.flatnonzero(led)
-        left &= ~led
+    for k in np.lexsort((members, places)):
+        if left[k]:
+            left[k] = False
+            led = left & admitted(sizes, sizes[k], places, places[k])
+            if led.any():
+                yield int(k), np.flatnonzero(led)
+            left &= ~led
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[tuple[int, int]] = set()
     for batch in batches:
         a, b = [], []
-        for members, sizes in zip(batch.column(0), batch.column(1), strict=True):
-            m, n = np.frombuffer(members.as_py(), np.int64), np.frombuffer(sizes.as_py(), np.int32).astype(np.int64)
-            for k, led in stars(m, n):
+        for packed in zip(*batch.columns, strict=True):
+            m, n, i = (np.frombuffer(x.as_py(), t).astype(np.int64) for x, t in zip(packed, (np.int64, np.int32, np.uint16), strict=True))
+            for k, led in stars(m, n, i):
                 lead = int(m[k])
                 for x in m[led].tolist():
                     if (lead, x) not in seen:
@@ -280,9 +336,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lid, members, sizes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            m = np.frombuffer(members.as_py(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), lid, np.int64)), pa.array(m), pa.array(np.frombuffer(sizes.as_py(), np.int32).astype(np.int64))], ["list", "cls", "n"])
+        for lid, *packed in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+            m, n, i = (np.frombuffer(x.as_py(), t).astype(np.int64) for x, t in zip(packed, (np.int64, np.int32, np.uint16), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), lid, np.int64)), pa.array(m), pa.array(n), pa.array(i)], ["list", "cls", "n", "place"])
 
 
 # --- 3: T-occurrence search
@@ -358,24 +414,68 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bit for every doc_id, in slices."""
+    bits = np.zeros(1 << FILTER_BITS, np.uint8)
     for batch in batches:
-        for part, data, offsets in W.slices(batch):
-            h, at = shingles(W.find(data, offsets, W.NOT_SPACE, True))
-            cls, _ = classes(h, at)
-            own = np.flatnonzero(cls == part.column(0).to_numpy())  # another text under the same doc_id is not meant
-            packed = [h[at[i] : at[i + 1]].tobytes() for i in own]
-            yield pa.RecordBatch.from_arrays([pa.array(cls[own]), pa.array(packed, pa.binary())], ["cls", "set"])
+        bits[_spot(batch.column(0))] = 1
+    for s, own in enumerate(np.packbits(bits).reshape(-1, 1 << SLICE_BITS)):
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([own.tobytes()])], ["slice", "bits"])
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for s, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out.setdefault(s, np.zeros(1 << SLICE_BITS, np.uint8))
+            out[s] |= np.frombuffer(own.as_py(), np.uint8)
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.tobytes() for x in out.values()])], ["slice", "bits"])
+
+
+def _spot(ids: pa.Array) -> np.ndarray:
+    return (W.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(_U)) & _U((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def _packed_sets(wanted):
+    """(doc_id, class, set) of the documents that the filter lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
+        for batch in batches:
+            at = _spot(batch.column(0))
+            batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            for part, data, offsets in W.slices(batch):
+                h, at = shingles(W.find(data, offsets, W.NOT_SPACE, True))
+                cls, _ = classes(h, at)
+                packed = [h[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls), pa.array(packed, pa.binary())], ["doc_id", "cls", "set"])
+
+    return run
+
+
+def passing(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, cls, set) of texts whose doc_id is among ids(doc_id), and perhaps of a few others."""
+    spark = texts.sparkSession
+    slices = 1 << (FILTER_BITS - 3 - SLICE_BITS)
+    found = ids.mapInArrow(_marked, "slice int, bits binary").repartition(slices, "slice").mapInArrow(_either, "slice int, bits binary").collect()
+    bits = np.zeros((slices, 1 << SLICE_BITS), np.uint8)  # 2**FILTER_BITS bits at any size
+    for s, own in found:
+        bits[s] = np.frombuffer(own, np.uint8)
+    return texts.where("doc_id is not null").mapInArrow(_packed_sets(spark.sparkContext.broadcast(bits.reshape(-1))), "doc_id long, cls long, set binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
+def verify(pairs: DataFrame, texts: DataFrame, stand: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that link; stand (k, doc) names the document whose text gives a class's set."""
     led = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = pairs.join(led.withColumnRenamed("a", "k"), F.col("a") == F.col("k")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
-    members = dealt.join(sets, F.col("b") == F.col("cls")).select("a", "chunk", F.col("b").alias("member"), "set")
-    heads = led.join(sets, F.col("a") == F.col("cls")).select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("member"), "set")
-    both = members.unionByName(heads).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("member").asc_nulls_first())
-    return both.mapInArrow(_search, "a long, b long")
+    dealt = pairs.join(led.withColumnRenamed("a", "lead"), F.col("a") == F.col("lead"))
+    members = dealt.select(F.col("b").alias("want"), "a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.col("b").alias("member"))
+    heads = led.select(F.col("a").alias("want"), "a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("member"))
+    wants = materialise(members.unionByName(heads).join(stand, F.col("want") == F.col("k")).select("want", "doc", "a", "chunk", "member"))
+    sets = passing(texts, wants.select(F.col("doc").alias("doc_id")).distinct())
+    both = wants.join(sets, (F.col("doc") == F.col("doc_id")) & (F.col("want") == F.col("cls"))).select("a", "chunk", "member", "set")
+    return both.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("member").asc_nulls_first()).mapInArrow(_search, "a long, b long")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -393,32 +493,46 @@ def join(docs: DataFrame) -> DataFrame:
     level_of = spark.sparkContext.broadcast(level.reshape(-1))
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     posted = texts.mapInArrow(_postings(level_of, buckets), "bucket int, blob binary").repartition(buckets, "bucket")
-    lists = materialise(posted.mapInArrow(_lists, "list long, dealt boolean, members binary, sizes binary"))
+    merged_lists = materialise(posted.mapInArrow(_lists, _LISTS_SQL))
+    lists = merged_lists.where("list is not null").select("list", "dealt", "members", "sizes", "places")
     plain = lists.where("not dealt").dropDuplicates(["list"])
-    members = materialise(plain.unionByName(lists.where("dealt")).select("list", "members", "sizes").mapInArrow(_members, "list long, cls long, n long"))
-    # leaders of parts of one frequent shingle's list meet as a list of their own
-    starred = lists.select("members", "sizes").mapInArrow(_stars, "a long, b long")
-    heads = lists.where("dealt").groupBy("list").agg(F.min(F.conv(F.hex(F.reverse(F.substring("members", 1, 8))), 16, -10).cast("long")).alias("lead"), F.count("*").alias("parts")).where("parts > 1")
-    tops = lists.where("dealt").select("list", F.conv(F.hex(F.reverse(F.substring("members", 1, 8))), 16, -10).cast("long").alias("own"))
-    starred = starred.unionByName(tops.join(heads, "list").where("own <> lead").select(F.col("lead").alias("a"), F.col("own").alias("b")))
-    pairs = materialise(starred.distinct())
-    # sets of all members: the class's least document stands for it
-    met = members.select("cls").distinct()
-    stand = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(met, "cls")
-    one_each = texts.join(stand, "doc_id").select("cls", "text")
-    sets = materialise(one_each.mapInArrow(_packed_sets, "cls long, set binary"))
-    links = materialise(verify(pairs, sets))
+    members = materialise(plain.unionByName(lists.where("dealt")).select("list", "members", "sizes", "places").mapInArrow(_members, "list long, cls long, n long, place long"))
+    met = merged_lists.where("b is not null").groupBy("a", "b").agg(F.sum("meetings").alias("meetings"), F.first("least_n").alias("least_n"))
+    in_long = lambda k: members.select(F.col("cls").alias(f"h{k}")).distinct()
+    both_long = met.join(in_long("a"), F.col("a") == F.col("ha"), "left").join(in_long("b"), F.col("b") == F.col("hb"), "left")
+    enough = (F.col("meetings") > F.floor(F.col("least_n") / PER_MEETING)) | (F.col("ha").isNotNull() & F.col("hb").isNotNull())
+    close = materialise(both_long.where(enough).select("a", "b"))
+    starred = lists.select("members", "sizes", "places").mapInArrow(_stars, "a long, b long")
+    # leaders of the parts of one dealt list meet as a list of their own
+    lead = F.conv(F.hex(F.reverse(F.substring("members", 1, 8))), 16, -10).cast("long")
+    parts = lists.where("dealt").select("list", lead.alias("own"))
+    heads = parts.groupBy("list").agg(F.min("own").alias("lead"), F.count("*").alias("parts")).where("parts > 1")
+    starred = starred.unionByName(parts.join(heads, "list").where("own <> lead").select(F.col("lead").alias("a"), F.col("own").alias("b")))
+    pairs = materialise(starred.unionByName(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct())
+    # a class's least document stands for it
+    stand = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc")).where("doc is not null").withColumnRenamed("cls", "k")
+    links = materialise(verify(pairs, texts, stand))
     comp = materialise(components(links))
-    placed = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("list", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
+    # shingles that no other class has cannot be shared: what is left bounds any overlap
+    alone = f"(least(n, n - ceil({NUM} * n / {DEN}) + 1 + n div {PER_MEETING}L) - met)"
+    shared = merged_lists.where("a is not null and b is null").join(members.select(F.col("cls").alias("a")).distinct(), "a", "left_semi").groupBy("a").agg(F.sum("meetings").alias("met"))
+    in_comp = comp.select(F.col("node").alias("cls"), "comp")
+    most = members.select("cls", "n").distinct().join(shared.withColumnRenamed("a", "cls"), "cls").select("cls", F.expr(f"n - {alone}").alias("most"))
+    placed = members.join(in_comp, "cls", "left").join(most, "cls").select("list", "cls", "n", "place", "most", F.coalesce("comp", "cls").alias("comp"))
     share = placed.groupBy("list", "comp").count()
     mixed = share.groupBy("list").agg(F.count("*").alias("comps"), F.max(F.struct("count", "comp")).alias("top")).where("comps > 1").select("list", F.col("top.comp").alias("main"))
     apart = materialise(placed.join(mixed, "list"))
-    query = apart.where("comp <> main").select("list", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    other = apart.select(F.col("list").alias("l2"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    able = (DEN * F.col("na") >= NUM * F.col("nb")) & (DEN * F.col("nb") >= NUM * F.col("na"))
-    rest = query.join(other, (F.col("list") == F.col("l2")) & (F.col("ca") != F.col("cb")) & able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    query = apart.where("comp <> main").select("list", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("place").alias("ia"), F.col("most").alias("ma"), F.col("comp").alias("ca"))
+    other = apart.select(F.col("list").alias("l2"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("ib"), F.col("most").alias("mb"), F.col("comp").alias("cb"))
+    need = f"ceil({NUM} * (na + nb) / {NUM + DEN})"
+    spare = f"1 - {need}"
+    able = F.expr(f"{DEN} * na >= {NUM} * nb and {DEN} * nb >= {NUM} * na and ia < na + {spare} and ib < nb + {spare} and least(ma, mb) >= {need}")
+    far = query.join(other, (F.col("list") == F.col("l2")) & (F.col("ca") != F.col("cb")) & able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    of = lambda k: in_comp.select(F.col("cls").alias(f"k{k}"), F.col("comp").alias(f"c{k}"))
+    still = close.join(of("a"), F.col("a") == F.col("ka"), "left").join(of("b"), F.col("b") == F.col("kb"), "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    rest = far.union(still).distinct()
     tried = materialise(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = materialise(verify(tried, sets))
+    more = materialise(verify(tried, texts, stand))
     if more.isEmpty():
         final = comp
     else:
