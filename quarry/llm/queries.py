@@ -28,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontamination": decontam.SQL,
         "op7_url_filters": urls.SQL,
+        "op10_ngram_jaccard_join": ngram_join.SQL,
     }
