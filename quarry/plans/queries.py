@@ -96,7 +96,7 @@ def _(c):
 def _(c):
     d = c.table("documents")
     tags = S.parse_tags(F.concat(F.lit('["'), F.col("lang"), F.lit('", " ", "'), F.col("source"), F.lit('"]')))
-    return d.select("doc_id", S.embedding_text(F.substring("text", 1, 40), F.lit(" "), tags, "lang", F.lit(None).cast("string"), "n_chars").alias("payload"))
+    return d.select("doc_id", S.embedding_text(F.col("text"), F.lit(" "), tags, "lang", F.lit(None).cast("string"), "n_chars").alias("payload"))
 
 
 @register("parse_vector", "SELECT vec_id, 3 AS n, round(CAST(embedding[1] AS DOUBLE) + CAST(embedding[2] AS DOUBLE) + 2.5, 5) AS total FROM embeddings")
