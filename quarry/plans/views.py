@@ -101,7 +101,7 @@ class Catalogue:
     @property
     def similar_items(self) -> DataFrame:
         """A stored similarity cache: each even video's three successors, some without score."""
-        v = self.videos.where("cast(video_id as bigint) < 400").select(F.col("video_id").cast("long").alias("n"), "instance_domain")
+        v = self.videos.select(F.col("video_id").cast("long").alias("n"), "instance_domain")
         src = v.where("n % 2 = 0").select(F.col("n").alias("s"), F.col("instance_domain").alias("source_instance_domain"))
         j = src.withColumn("n", F.explode(F.sequence(F.col("s") + 1, F.col("s") + 3))).join(v, "n")
         return j.select(
