@@ -15,7 +15,7 @@ EXPLORE_MIN, EXPLOIT_MIN = 0.2, 0.4
 POOL = {"popular": 5000, "fresh": 5000, "explore": 5000, "exploit": 2000, "random": 5000}
 MAX_LIKES, LIKES_FOR_FEED, CLIENT_LIKES = 100, 10, 5
 RELATED_ALPHA, RELATED_BETA = 0.2, 0.8
-SIMILAR_PER_LIKE, SEARCH_LIMIT = 1000, 5000
+SIMILAR_PER_LIKE, SEARCH_LIMIT, SIMILAR_AUTHOR_CAP = 1000, 5000, 1
 RANDOM_CACHE, RANDOM_AUTHOR_CAP, RANDOM_INSTANCE_CAP = 500_000, 100, 0
 NPROBE = 24
 RATE_LIMIT, RATE_WINDOW_S = 60, 60

@@ -55,7 +55,7 @@ def liked(c: Catalogue) -> DataFrame:
 
 
 def candidates(c: Catalogue, with_likes: bool = True) -> P.Candidates:
-    return P.Candidates(c.videos, c.embeddings, E.signals(E.split(c.raw_events)[0]), liked(c) if with_likes else None, "s1", {**C.POOL, "popular": 2000, "exploit": 200})
+    return P.Candidates(c.videos, c.embeddings, E.signals(E.split(c.raw_events)[0]), liked(c) if with_likes else None, "s1", C.POOL)
 
 
 # --- scalars
@@ -147,7 +147,7 @@ POPULAR_ORDER = "round(popularity + interaction_signal_score, 9) DESC, adjusted_
 
 @register("popular_videos", sql(f"SELECT p.video_id, p.position, p.adjusted_likes FROM (SELECT *, row_number() OVER (ORDER BY {POPULAR_ORDER}) AS position FROM ({SIGNALLED}) WHERE {USABLE}) p JOIN video_embeddings e USING (video_id, instance_domain) WHERE position <= 2000", "signals", "video_embeddings"))
 def _(c):
-    return K.popular(c.videos, E.signals(E.split(c.raw_events)[0]), c.embeddings, 2000).select("video_id", "position", "adjusted_likes")
+    return K.popular(c.videos, E.signals(E.split(c.raw_events)[0]), c.embeddings, C.POOL["popular"]).select("video_id", "position", "adjusted_likes")
 
 
 @register("popular_feed", sql(f"""SELECT video_id, instance_domain, channel_id, title, views, likes FROM (
@@ -159,7 +159,7 @@ def _(c):
     """Popular videos with diversity caps, moderated."""
     v = K.with_signals(c.videos.where(K.usable()), E.signals(E.split(c.raw_events)[0]))
     order = [F.round(F.col("popularity") + F.col("interaction_signal_score"), 9).desc(), F.desc_nulls_last("adjusted_likes"), F.desc_nulls_last("views"), F.desc_nulls_last("published_at"), F.desc("video_id")]
-    return K.moderate(K.capped(v.orderBy(*order).limit(2000), order, C.AUTHOR_CAP, C.INSTANCE_CAP), c.denylist, c.channel_moderation).select("video_id", "instance_domain", "channel_id", "title", "views", "likes")
+    return K.moderate(K.capped(v.orderBy(*order).limit(C.POOL["popular"]), order, C.AUTHOR_CAP, C.INSTANCE_CAP), c.denylist, c.channel_moderation).select("video_id", "instance_domain", "channel_id", "title", "views", "likes")
 
 
 @register("random_rows", sql(f"SELECT video_id, adjusted_likes FROM ({SIGNALLED}) WHERE {USABLE} ORDER BY md5('s1:' || video_id || '::' || instance_domain), video_id LIMIT 50", "signals"))
@@ -228,12 +228,12 @@ def _(c):
 
 @register("random_cache_filtered", sql("SELECT video_id, row_number() OVER (ORDER BY CAST(video_id AS BIGINT) < 5000, CAST(video_id AS BIGINT)) AS position FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, instance_domain ORDER BY CAST(video_id AS BIGINT) < 5000, CAST(video_id AS BIGINT)) AS ra FROM videos) WHERE ra <= 3 ORDER BY 2 LIMIT 1000", "videos"))
 def _(c):
-    return K.random_cache(c.videos.withColumn("video_number", F.col("video_id").cast("long")), "5000", 1000, 3, 0).select("video_id", "position")
+    return K.random_cache(c.videos.withColumn("video_number", F.col("video_id").cast("long")), "5000", C.RANDOM_CACHE, 3, 0).select("video_id", "position")
 
 
 @register("random_cache_window", sql("SELECT * FROM (SELECT video_id, row_number() OVER (ORDER BY CAST(video_id AS BIGINT) < 5000, CAST(video_id AS BIGINT)) AS position FROM videos) WHERE position > 10 AND position <= 60", "videos"))
 def _(c):
-    return K.cache_window(K.random_cache(c.videos.withColumn("video_number", F.col("video_id").cast("long")), "5000", 1000, 0, 0), 10, 50).select("video_id", "position")
+    return K.cache_window(K.random_cache(c.videos.withColumn("video_number", F.col("video_id").cast("long")), "5000", C.RANDOM_CACHE, 0, 0), 10, 50).select("video_id", "position")
 
 
 @register("training_sample", "SELECT vec_id FROM embeddings WHERE vec_id % 7 = 0 ORDER BY vec_id LIMIT 40")
@@ -617,8 +617,9 @@ RELATED = f"SELECT v.*, k.score AS similarity_score FROM (SELECT * FROM ({KNN})
 @register("related_rerank", sql(f"""WITH page AS (SELECT *, row_number() OVER (ORDER BY score DESC, similarity_score DESC, video_id) AS rank FROM (SELECT *, {_score_sql(C.UPNEXT, '0.0')} AS score FROM ({RELATED})) QUALIFY rank <= 20)
 SELECT p.video_id, p.rank, row_number() OVER (ORDER BY round({C.RELATED_ALPHA} * p.score + {C.RELATED_BETA} * m.similarity_score, 6) DESC, p.rank) AS rank_after FROM page p JOIN ({MAXCOS}) m USING (video_id, instance_domain)""", "video_embeddings"))
 def _(c):
-    near = N.knn(c.embeddings.where("video_id = '32'"), c.embeddings, 100).select(*K.KEY, F.col("score").alias("similarity_score"))
-    page = P.related(c.videos.where(K.usable()).join(near, K.KEY), C.UPNEXT, NOW_MS, 20)
+    near = N.knn(c.embeddings.where("video_id = '32'"), c.embeddings, C.SEARCH_LIMIT).select(*K.KEY, "rank", F.col("score").alias("similarity_score"))
+    similar = K.capped(c.videos.where(K.usable()).join(near, K.KEY), [F.col("rank")], C.SIMILAR_AUTHOR_CAP, 0, C.SIMILAR_PER_LIKE).drop("rank")
+    page = P.related(similar, C.UPNEXT, NOW_MS, 20)
     return P.personalized(page, c.embeddings, liked(c), C.RELATED_ALPHA, C.RELATED_BETA).select("video_id", "rank", "rank_after")
 
 
