@@ -90,7 +90,8 @@ def schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
     slots = max(1, sum(share.values()))
     bucket = F.pmod(F.col("q_hash"), F.lit(buckets_for(max(counted.values(), default=0))))
     hashed = docs.withColumn("q_hash", F.xxhash64(F.col("doc_id")))
-    order = [F.col("q_hash"), F.col("doc_id"), *([F.xxhash64("text")] if "text" in docs.columns else [])]
+    tie = F.xxhash64("text") if "text" in docs.columns else F.col("text_hash") if "text_hash" in docs.columns else None
+    order = [F.col("q_hash"), F.col("doc_id"), *([] if tie is None else [tie])]
     numbered = number_within(hashed, ["source"], order, bucket, "q_index", light).drop("q_hash")
     placed = numbered.join(per_source, F.col("source").eqNullSafe(F.col("q_source")), "left").drop("q_source")
     placed = placed.withColumn("q_block", F.expr(f"q_index div {block_rows}L")).withColumn("q_turn", F.expr("q_block div q_per")).withColumn("q_place", F.pmod("q_index", F.lit(block_rows)))

@@ -30,6 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import mixing
 from .cluster import materialise, table
 from .numbering import buckets_for, number_within
 
@@ -124,7 +125,7 @@ class _Hunt:
         return None
 
 
-def metadata(docs: DataFrame) -> DataFrame:
+def metadata(docs: DataFrame, *others: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     chars = F.char_length(text).cast("long")
     octets = F.octet_length(text).cast("long")
@@ -137,6 +138,7 @@ def metadata(docs: DataFrame) -> DataFrame:
         F.when(chars > 0, F.expr("octet_length(coalesce(cast(text as string), '')) * 1000L div char_length(coalesce(cast(text as string), ''))")).otherwise(0).cast("long").alias("k_script"),
         F.shiftrightunsigned(F.xxhash64(text), 2).alias("text_hash"),
         F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long")), 2).alias("row_hash"),
+        *others,
     )
 
 
@@ -180,13 +182,23 @@ def grow(rows: DataFrame, shards: int) -> tuple[_Node, int]:
     return root, whole["n"]
 
 
-def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
-    rows = materialise(metadata(docs))
+def shard(docs: DataFrame, shards: int = 8, mixed: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
+
+    Slots follow hashes of doc_id and text or, if mixed, the places of the rows
+    in the mix of the sources (column source), which are looked up again.
+    """
+    rows = materialise(metadata(docs, *["source"] * mixed))
     tree, n = grow(rows, shards)
-    placed = rows.select("doc_id", "size", "text_crc32", "row_hash", "text_hash", tree.place().cast("int").alias("shard"))
-    bucket = F.pmod(F.col("row_hash"), F.lit(buckets_for(-(-n // shards))))
-    numbered = number_within(placed, ["shard"], [F.col("row_hash"), F.col("doc_id"), F.col("text_hash")], bucket, "slot")
+    if mixed:
+        rows = mixing.schedule(rows)
+        order = [F.col("q_slot"), F.col("q_place")]
+        bucket = F.expr(f"q_slot div {mixing.stretches(mixing.BLOCK_ROWS)}L")
+    else:
+        order = [F.col("row_hash"), F.col("doc_id"), F.col("text_hash")]
+        bucket = F.pmod(F.col("row_hash"), F.lit(buckets_for(-(-n // shards))))
+    placed = rows.select("*", tree.place().cast("int").alias("shard"))
+    numbered = number_within(placed, ["shard"], order, bucket, "slot")
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -4,7 +4,7 @@ import random
 import re
 
 import corpus_pipeline
-from quarry.llm import quality
+from quarry.llm import mixing, quality
 
 
 def words(t, pattern=r"[^\x20\x09-\x0D]+"):
@@ -73,3 +73,15 @@ def test_columns(spark, tmp_path):
     spark.createDataFrame([(1, "no such words at all here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+
+
+def test_shards_in_order_of_the_mix(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, " ".join("abcdefg"[: rng.randint(1, 7)] * rng.randint(1, 90)), "en", rng.choice(["x", "x", "x", "y", "z", None]), 1) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    place = {r["doc_id"]: (r["q_slot"], r["q_place"]) for r in mixing.schedule(docs).collect()}
+    out = corpus_pipeline.shards(spark, corpus_pipeline.source_mixing(spark, docs, str(tmp_path)), str(tmp_path)).toPandas()
+    assert sorted(out["doc_id"]) == list(range(3000)) and set(out["shard"]) == set(range(8))
+    for _, g in out.sort_values("slot").groupby("shard"):
+        assert list(g["slot"]) == list(range(len(g)))
+        assert list(g["doc_id"]) == sorted(g["doc_id"], key=place.get)
