@@ -35,13 +35,16 @@ Cases: null texts and texts without words have empty sets, n_shingles 0, and
 are components of their own; a set that only rows without doc_id have is not
 compared; with 1 to 4 words the whole sequence is the one
 shingle.  Repeated rows get equal results.  Other columns are not read.
-Shingles are 64-bit hashes and a class is a 128-bit digest of its set.
+Shingles are 64-bit hashes and a class is a 128-bit digest of its set: its first
+half names the class, and if sets with equal first halves differ in the second,
+all digests are taken anew with other salts.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import partial
 from itertools import groupby
 
 import numpy as np
@@ -82,14 +85,14 @@ def shingles(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, _U)), np.cumsum(size)
 
 
-def classes(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit digests of each set."""
+def classes(h: np.ndarray, at: np.ndarray, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit digests of each set, others in each turn."""
     out = []
     with np.errstate(over="ignore"):
         n = np.diff(at).astype(_U)
         for salt in (0x632BE59BD9B4E019, 0x9AE16A3B2F90404F):
             total = np.zeros(len(h) + 1, _U)
-            np.cumsum(W.mix(h ^ _U(salt)), out=total[1:])
+            np.cumsum(W.mix(h ^ (_U(salt) + _U(turn) * _U(0xD1B54A32D192ED03))), out=total[1:])
             out.append(W.mix(total[at[1:]] - total[at[:-1]] + n).view(np.int64))
     return out[0], out[1]
 
@@ -113,7 +116,7 @@ def admitted(n, m, i, j, meeting: int | np.ndarray = 1):
 # --- 1: sets and sketch
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], turn: int = 0) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n", "cls", "chk", "slice", "counts"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -121,7 +124,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offsets in W.slices(batch):
             h, at = shingles(W.find(data, offsets, W.NOT_SPACE, True))
-            cls, chk = classes(h, at)
+            cls, chk = classes(h, at, turn)
             np.add.at(sketch, h & mask, np.uint32(1))
             k = part.num_rows
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(cls), pa.array(chk), pa.nulls(k, types[4]), pa.nulls(k, types[5])], names)
@@ -175,7 +178,7 @@ def _prefix(h: np.ndarray, level: np.ndarray) -> np.ndarray:
     return h[np.argsort(key, kind="stable")[:keep]]
 
 
-def _postings(level_of, buckets: int):
+def _postings(level_of, buckets: int, turn: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = level_of.value
         mask = _U(len(level) - 1)
@@ -200,7 +203,7 @@ def _postings(level_of, buckets: int):
         for batch in batches:
             for _, data, offsets in W.slices(batch):
                 h, at = shingles(W.find(data, offsets, W.NOT_SPACE, True))
-                cls, _chk = classes(h, at)
+                cls, _chk = classes(h, at, turn)
                 for i in np.flatnonzero(np.diff(at)):
                     if cls[i] not in seen:
                         seen.add(cls[i])
@@ -438,7 +441,7 @@ def _spot(ids: pa.Array) -> np.ndarray:
     return (W.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(_U)) & _U((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
-def _packed_sets(wanted):
+def _packed_sets(wanted, turn: int = 0):
     """(doc_id, class, set) of the documents that the filter lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,14 +451,14 @@ def _packed_sets(wanted):
             batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
             for part, data, offsets in W.slices(batch):
                 h, at = shingles(W.find(data, offsets, W.NOT_SPACE, True))
-                cls, _ = classes(h, at)
+                cls, _ = classes(h, at, turn)
                 packed = [h[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls), pa.array(packed, pa.binary())], ["doc_id", "cls", "set"])
 
     return run
 
 
-def passing(texts: DataFrame, ids: DataFrame) -> DataFrame:
+def passing(texts: DataFrame, ids: DataFrame, turn: int = 0) -> DataFrame:
     """(doc_id, cls, set) of texts whose doc_id is among ids(doc_id), and perhaps of a few others."""
     spark = texts.sparkSession
     slices = 1 << (FILTER_BITS - 3 - SLICE_BITS)
@@ -463,28 +466,39 @@ def passing(texts: DataFrame, ids: DataFrame) -> DataFrame:
     bits = np.zeros((slices, 1 << SLICE_BITS), np.uint8)  # 2**FILTER_BITS bits at any size
     for s, own in found:
         bits[s] = np.frombuffer(own, np.uint8)
-    return texts.where("doc_id is not null").mapInArrow(_packed_sets(spark.sparkContext.broadcast(bits.reshape(-1))), "doc_id long, cls long, set binary")
+    return texts.where("doc_id is not null").mapInArrow(_packed_sets(spark.sparkContext.broadcast(bits.reshape(-1)), turn), "doc_id long, cls long, set binary")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, stand: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, stand: DataFrame, turn: int = 0) -> DataFrame:
     """Those of the pairs (a, b) that link; stand (k, doc) names the document whose text gives a class's set."""
     led = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     dealt = pairs.join(led.withColumnRenamed("a", "lead"), F.col("a") == F.col("lead"))
     members = dealt.select(F.col("b").alias("want"), "a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.col("b").alias("member"))
     heads = led.select(F.col("a").alias("want"), "a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("member"))
     wants = materialise(members.unionByName(heads).join(stand, F.col("want") == F.col("k")).select("want", "doc", "a", "chunk", "member"))
-    sets = passing(texts, wants.select(F.col("doc").alias("doc_id")).distinct())
+    sets = passing(texts, wants.select(F.col("doc").alias("doc_id")).distinct(), turn)
     both = wants.join(sets, (F.col("doc") == F.col("doc_id")) & (F.col("want") == F.col("cls"))).select("a", "chunk", "member", "set")
     return both.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("member").asc_nulls_first()).mapInArrow(_search, "a long, b long")
 
 
+def clash(rows: DataFrame) -> bool:
+    """Whether different sets of rows (n, cls, chk) have the same cls."""
+    g = rows.groupBy("cls").agg(F.min("chk").alias("lo"), F.max("chk").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return not g.where("lo <> hi or least <> most").isEmpty()
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    first = materialise(texts.mapInArrow(_sets, "doc_id long, n long, cls long, chk long, slice int, counts binary"))
-    rows = first.where("slice is null").select("doc_id", "n", "cls", "chk")
+    turn = 0
+    while True:
+        first = materialise(texts.mapInArrow(partial(_sets, turn=turn), "doc_id long, n long, cls long, chk long, slice int, counts binary"))
+        rows = first.where("slice is null").select("doc_id", "n", "cls")
+        if not clash(first.where("slice is null")):
+            break
+        turn += 1
     slices = 1 << (SKETCH_BITS - SLICE_BITS)
     merged = first.where("slice is not null").select("slice", "counts").repartition(slices, "slice").mapInArrow(_merge, "slice int, level binary").collect()  # 2**SKETCH_BITS bytes
     level = np.zeros((slices, 1 << SLICE_BITS), np.uint8)
@@ -492,7 +506,7 @@ def join(docs: DataFrame) -> DataFrame:
         level[s] = np.frombuffer(own, np.uint8)
     level_of = spark.sparkContext.broadcast(level.reshape(-1))
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    posted = texts.mapInArrow(_postings(level_of, buckets), "bucket int, blob binary").repartition(buckets, "bucket")
+    posted = texts.mapInArrow(_postings(level_of, buckets, turn), "bucket int, blob binary").repartition(buckets, "bucket")
     merged_lists = materialise(posted.mapInArrow(_lists, _LISTS_SQL))
     lists = merged_lists.where("list is not null").select("list", "dealt", "members", "sizes", "places")
     plain = lists.where("not dealt").dropDuplicates(["list"])
@@ -511,7 +525,7 @@ def join(docs: DataFrame) -> DataFrame:
     pairs = materialise(starred.unionByName(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct())
     # a class's least document stands for it
     stand = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc")).where("doc is not null").withColumnRenamed("cls", "k")
-    links = materialise(verify(pairs, texts, stand))
+    links = materialise(verify(pairs, texts, stand, turn))
     comp = materialise(components(links))
     # shingles that no other class has cannot be shared: what is left bounds any overlap
     alone = f"(least(n, n - ceil({NUM} * n / {DEN}) + 1 + n div {PER_MEETING}L) - met)"
@@ -532,7 +546,7 @@ def join(docs: DataFrame) -> DataFrame:
     still = close.join(of("a"), F.col("a") == F.col("ka"), "left").join(of("b"), F.col("b") == F.col("kb"), "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     rest = far.union(still).distinct()
     tried = materialise(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = materialise(verify(tried, texts, stand))
+    more = materialise(verify(tried, texts, stand, turn))
     if more.isEmpty():
         final = comp
     else:

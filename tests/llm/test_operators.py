@@ -241,3 +241,18 @@ def test_pii(spark):
     assert cards[0] == cards[1] != "4539148803436467" and luhn(cards[0]) == luhn("4539148803436467")
     assert by[2][0].startswith("Frau ") and by[2][0].split()[1] in pii.NAMES["latin"]["f"] and "Schmidt" not in by[2][0]
     assert by[3] == [None] and "nothing 12 here" in by[4] and by[None][0] in by[4]
+
+
+def test_equal_digests_of_different_sets(spark, monkeypatch):
+    rows = lambda *r: spark.createDataFrame(r, "n long, cls long, chk long")
+    assert not ngram_join.clash(rows((2, 5, 6), (2, 5, 6), (3, 7, 6)))
+    assert ngram_join.clash(rows((2, 5, 6), (2, 5, 7))) and ngram_join.clash(rows((2, 5, 6), (3, 5, 6)))
+    h, at = np.arange(9, dtype=np.uint64), np.array([0, 4, 9])
+    assert not set(np.concatenate(ngram_join.classes(h, at))) & set(np.concatenate(ngram_join.classes(h, at, 1)))
+    turns = iter([True, False])
+    monkeypatch.setattr(ngram_join, "clash", lambda rows: next(turns))
+    rng = random.Random(13)
+    texts = [prose(rng, rng.randint(0, 40)) for _ in range(40)]
+    texts += [t + " one more" for t in texts[:20]] + texts[:5]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [c for _, c in brute_components(texts)] and next(turns, None) is None
