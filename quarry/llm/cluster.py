@@ -34,12 +34,15 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests on one machine) is one made.
+    Only where the session names none and runs on one machine (tests) is one made;
+    on a cluster a folder of the driver's machine would lose what executors write.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not getattr(sc, "_quarry_own_dir", None):
         sc._quarry_own_dir = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
     return sc._quarry_own_dir

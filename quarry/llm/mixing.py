@@ -1,109 +1,132 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 A source is a task, a block of its documents a subtask.  With the source's
-weight w, its block i may not be placed before slot floor(i / w) (release) and
-must be placed by slot ceil((i + 1) / w) (deadline).  Earliest deadline first
-among the released blocks places one block a slot and keeps every source within
-less than one block of its weight's share of all slots so far, as long as no
+weight w (its share of all slots, kept as an exact fraction), its block i may
+not be placed before slot floor(i / w) (release) and must be placed by slot
+ceil((i + 1) / w) (deadline).  Earliest deadline first among the released blocks
+places one block a slot and keeps every source within less than one block of its
+weight's share of all slots so far, however long the schedule is, as long as no
 source has run out; then its slots stay empty and the others keep their
 proportions.
 
-Weights are whole shares of a period of slots, so the schedule repeats: only one
-period is simulated (``SLOTS_PER_SOURCE`` slots a source, on the driver, from
-the sources' row counts), and a block's place follows from its number.  All
-rows are placed, each once; the mix is their order.
+The whole schedule is made on the driver, from a count for each source, in whole
+numbers.  Its length is bounded: a block is a fixed part of the corpus
+(1 / ``MAX_BLOCKS``, and ``BLOCK_ROWS`` rows at least), so there are MAX_BLOCKS
+blocks and one more for each source at most, at any size.  Weights are given by
+source, so sources are few (``MAX_SOURCES``; more are refused).  The schedule is
+written to the shared folder and joined with the blocks.  All rows are placed,
+each once; the mix is their order.
 
 A source's rows are numbered in an order that follows from a hash of doc_id
 (ties: doc_id, then the text), over as many tasks as its size asks for; nothing
 is gathered by source.
 
-Cases: a null source is a source of its own, apart from ''; null doc_ids hash
-like any value; repeated rows are placed each; an empty table gives an empty
+Cases: a null source is a source of its own, apart from ''; rows without doc_id
+are dealt by their place in the input, a stored table; repeated rows are placed
+each; very long texts are carried along unread; an empty table gives an empty
 schedule; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from math import lcm
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .cluster import materialise, table
 from .numbering import BUCKET_ROWS, buckets_for, number_within
 
 BLOCK_ROWS = 32
-SLOTS_PER_SOURCE = 64
+MAX_BLOCKS = 1 << 20
+MAX_SOURCES = 1_000_000
 #: Default weights follow row counts to this power: large sources give way a little.
 TEMPERATURE = 0.7
 
 
-def shares(weights: Mapping[str | None, float], slots: int) -> dict[str | None, int]:
-    """Whole shares of the slots, one at least, by largest remainders."""
-    total = sum(weights.values())
-    names = sorted(weights, key=lambda s: (s is not None, s))
-    spare = slots - len(names)
-    exact = {s: spare * weights[s] / total for s in names}
-    out = {s: 1 + math.floor(exact[s]) for s in names}
-    for s in sorted(names, key=lambda s: (math.floor(exact[s]) - exact[s], s is not None, s))[: slots - sum(out.values())]:
-        out[s] += 1
-    return out
+def whole_weights(weights: Mapping[str | None, float | Fraction]) -> dict[str | None, int]:
+    """The same proportions in whole numbers, exactly."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = lcm(*(f.denominator for f in exact.values())) if exact else 1
+    return {s: int(f * unit) for s, f in exact.items()}
 
 
-def period(share: Mapping[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
-    """(source, subtask, slot, release, deadline) of one period, by earliest deadline first."""
-    slots = sum(share.values())
-    names = sorted(share, key=lambda s: (s is not None, s))
-    waiting = [(0, k, 0) for k in range(len(names))]  # release, source, subtask
+def earliest_deadline_first(weights: Mapping[str | None, float | Fraction], blocks: Mapping[str | None, int]) -> Iterator[tuple[str | None, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of all blocks, by slot.
+
+    Ties of deadlines go to the source named first; slots that no released block
+    can take are left out.
+    """
+    whole = whole_weights(weights)
+    total = sum(whole.values())
+    names = sorted(blocks, key=lambda s: (s is not None, s))
+    waiting = [(0, k, 0) for k, s in enumerate(names) if blocks[s]]  # release, source, block
     heapq.heapify(waiting)
-    ready: list[tuple[int, int, int, int]] = []
-    out = []
-    for slot in range(slots):
+    ready: list[tuple[int, int, int, int]] = []  # deadline, source, block, release
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             release, k, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * slots // share[names[k]]), k, i, release))
+            heapq.heappush(ready, (-(-(i + 1) * total // whole[names[k]]), k, i, release))
         deadline, k, i, release = heapq.heappop(ready)
-        out.append((names[k], i, slot, release, deadline))
-        if i + 1 < share[names[k]]:
-            heapq.heappush(waiting, ((i + 1) * slots // share[names[k]], k, i + 1))
-    return out
+        yield names[k], i, slot, release, deadline
+        if i + 1 < blocks[names[k]]:
+            heapq.heappush(waiting, ((i + 1) * total // whole[names[k]], k, i + 1))
+        slot += 1
+
+
+def rows_of_block(rows: int, block_rows: int = BLOCK_ROWS) -> int:
+    return max(block_rows, -(-rows // MAX_BLOCKS))
+
+
+def _hash() -> Column:
+    """Of doc_id, or of the place in the input of a row without one."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id"))
 
 
 def schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """docs with columns q_block, q_release, q_deadline, q_slot, q_place (in the block) and q_share."""
+    """docs with columns q_block, q_release, q_deadline, q_slot and q_place (in the block)."""
     spark = docs.sparkSession
-    light = docs.select("source", F.xxhash64(F.col("doc_id")).alias("q_hash"))
-    counted = {r["source"]: r["n"] for r in light.groupBy("source").agg(F.count("*").alias("n")).collect()}  # a row for each source
+    light = docs.select("source", _hash().alias("q_hash"))
+    rows_by = light.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()  # a row for each source
+    if len(rows_by) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; name groups of them")
+    counted = {r["source"]: r["n"] for r in rows_by}
     if weights is None:
         weights = {s: n**TEMPERATURE for s, n in counted.items()}
-    given = {s: float(weights.get(s, 0)) for s in counted}
+    given = {s: weights.get(s, 0) for s in counted}
     if any(w <= 0 for w in given.values()):
         raise ValueError("every source needs a weight above 0")
-    share = shares(given, SLOTS_PER_SOURCE * len(given)) if given else {}
-    schema = T.StructType([T.StructField("q_source", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("q_sub", "q_first", "q_rel", "q_due", "q_share")]])
-    one = spark.createDataFrame([(*r, share[r[0]]) for r in period(share)], schema) if share else spark.createDataFrame([], schema)
-    per_source = spark.createDataFrame([(s, n) for s, n in share.items()], T.StructType([schema["q_source"], T.StructField("q_per", T.LongType())]))
-    slots = max(1, sum(share.values()))
+    size = rows_of_block(sum(counted.values()), block_rows)
+    # sources that are not in the table keep their share of the slots
+    shares = given | {s: w for s, w in weights.items() if s not in given and w > 0}
+    number = {s: k for k, s in enumerate(sorted(given, key=lambda s: (s is not None, s)))}
+    times = [(number[s], i, slot, release, due) for s, i, slot, release, due in earliest_deadline_first(shares, {s: -(-n // size) for s, n in counted.items()})]
+    frame = lambda rows, columns: pd.DataFrame(rows, columns=columns)
+    one = spark.createDataFrame(frame(times, ["q_k", "q_b", "q_slot", "q_release", "q_deadline"]).astype("int64"), "q_k long, q_b long, q_slot long, q_release long, q_deadline long")
+    one = materialise(one)
+    sources = spark.createDataFrame([(s, k) for s, k in number.items()], "q_source string, q_number long")  # a row for each source
     bucket = F.pmod(F.col("q_hash"), F.lit(buckets_for(max(counted.values(), default=0))))
-    hashed = docs.withColumn("q_hash", F.xxhash64(F.col("doc_id")))
+    hashed = docs.withColumn("q_hash", _hash())
     tie = F.xxhash64("text") if "text" in docs.columns else F.col("text_hash") if "text_hash" in docs.columns else None
     order = [F.col("q_hash"), F.col("doc_id"), *([] if tie is None else [tie])]
     numbered = number_within(hashed, ["source"], order, bucket, "q_index", light).drop("q_hash")
-    placed = numbered.join(per_source, F.col("source").eqNullSafe(F.col("q_source")), "left").drop("q_source")
-    placed = placed.withColumn("q_block", F.expr(f"q_index div {block_rows}L")).withColumn("q_turn", F.expr("q_block div q_per")).withColumn("q_place", F.pmod("q_index", F.lit(block_rows)))
-    same = F.col("source").eqNullSafe(F.col("q_source")) & (F.pmod("q_block", "q_per") == F.col("q_sub"))
-    timed = placed.join(one, same, "left")
-    at = lambda c: F.col("q_turn") * slots + F.col(c)
-    return timed.withColumns({"q_slot": at("q_first"), "q_release": at("q_rel"), "q_deadline": at("q_due")}).drop("q_source", "q_sub", "q_first", "q_rel", "q_due", "q_turn", "q_per", "q_index")
+    placed = numbered.join(sources, F.col("source").eqNullSafe(F.col("q_source")), "left").drop("q_source")
+    placed = placed.withColumns({"q_block": F.expr(f"q_index div {size}L"), "q_place": F.pmod("q_index", F.lit(size))})
+    timed = placed.join(one, (F.col("q_number") == F.col("q_k")) & (F.col("q_block") == F.col("q_b")), "left")
+    return timed.drop("q_index", "q_number", "q_k", "q_b")
 
 
-def stretches(block_rows: int) -> int:
-    """Neighbouring slots that are numbered or written together."""
-    return max(1, BUCKET_ROWS // block_rows)
+def stretch(rows: int, block_rows: int = BLOCK_ROWS) -> Column:
+    """Neighbouring slots of a table of so many rows that are numbered or written together."""
+    return F.expr(f"q_slot div {max(1, BUCKET_ROWS // rows_of_block(rows, block_rows))}L")
 
 
 #: Rows up to which the table of stretches (16 bytes each) is broadcast; beyond, a shuffled join.
@@ -117,24 +140,24 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     order, so that the files written from them, read one after the other, are
     the mixed stream.
     """
-    stretch = F.expr(f"q_slot div {stretches(block_rows)}L")
-    sizes = materialise(schedule(docs.select("doc_id", "source"), weights, block_rows).groupBy(stretch.alias("q_stretch")).agg(F.count("*").alias("q_rows")))
+    by = stretch(docs.count(), block_rows)
+    sizes = materialise(schedule(docs.select("doc_id", "source"), weights, block_rows).groupBy(by.alias("q_stretch")).agg(F.count("*").alias("q_rows")))
     known = sizes.agg(F.count("*"), F.sum("q_rows")).first()
     parts = max(1, -(-(known[1] or 0) // BUCKET_ROWS))
     upto = Win.orderBy("q_stretch").rowsBetween(Win.unboundedPreceding, -1)  # a row for each stretch
     before = sizes.withColumn("q_before", F.coalesce(F.sum("q_rows").over(upto), F.lit(0)))
     part = before.select(F.col("q_stretch").alias("q_from"), F.expr(f"cast(q_before div {BUCKET_ROWS}L as int)").alias("q_part"))
     part = F.broadcast(part) if known[0] <= MAX_BROADCAST_STRETCHES else part
-    timed = schedule(docs, weights, block_rows).withColumn("q_stretch", stretch).join(part, F.col("q_stretch") == F.col("q_from"))
-    return timed.repartitionById(parts, F.col("q_part")).sortWithinPartitions("q_slot", "q_place").select(*docs.columns)
+    tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
+    packed = docs.select("doc_id", "source", tie.alias("text_hash"), F.struct(*docs.columns).alias("q_row"))  # so that no column's name can clash
+    timed = schedule(packed, weights, block_rows).withColumn("q_stretch", by).join(part, F.col("q_stretch") == F.col("q_from"))
+    return timed.repartitionById(parts, F.col("q_part")).sortWithinPartitions("q_slot", "q_place").select("q_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """doc_id, source, block, release, deadline, slot, place and the gapless position in the mix."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    timed = schedule(docs)
-    stretch = F.expr(f"q_slot div {stretches(BLOCK_ROWS)}L")
-    numbered = number_within(timed, [], [F.col("q_slot"), F.col("q_place")], stretch, "position")
+    numbered = number_within(schedule(docs), [], [F.col("q_slot"), F.col("q_place")], stretch(docs.count()), "position")
     return numbered.select(
         "doc_id", "source", F.col("q_block").alias("block"), F.col("q_release").alias("release"), F.col("q_deadline").alias("deadline"),
         F.col("q_slot").alias("slot"), F.col("q_place").cast("long").alias("place"), F.col("position").cast("long"),

@@ -29,12 +29,15 @@ and are one node from here on.
 
 Nothing that grows with the corpus reaches the driver or is broadcast: the
 sketch has 2**SKETCH_BITS bytes and the filter that selects the sets wanted has
-2**FILTER_BITS bits at any size (full, it would only let more sets pass).
+8 bits a set, from 2**FILTER_BITS to 2**MAX_FILTER_BITS (16 MB; full, it would
+only let more sets pass).
 
 Cases: null texts and texts without words have empty sets, n_shingles 0, and
-are components of their own; a set that only rows without doc_id have is not
-compared; with 1 to 4 words the whole sequence is the one
-shingle.  Repeated rows get equal results.  Other columns are not read.
+are components of their own; rows without doc_id are linked like any, and the
+component's id is the least doc_id that it has (null if none); with 1 to 4 words
+the whole sequence is the one shingle.  Very long texts are sets like any.
+Repeated rows get equal results, an empty table an empty one.  Other columns are
+not read.
 Shingles are 64-bit hashes and a class is a 128-bit digest of its set: its first
 half names the class, and if sets with equal first halves differ in the second,
 all digests are taken anew with other salts.
@@ -60,9 +63,10 @@ SHINGLE = 5
 NUM, DEN = 75, 100  # similarity of 0.75 as whole numbers
 SKETCH_BITS = 23
 SLICE_BITS = 17
-FILTER_BITS = 24
+FILTER_BITS, MAX_FILTER_BITS = 24, 27
 SHORT_LIST = 16  # members up to which a list gives pairs
 PER_MEETING = 32  # shingles for each further meeting that is required
+BUCKET_POSTINGS = 1 << 20  # entries of lists that one bucket holds, about (23 bytes each)
 LIST_TARGET = 4096  # members of a frequent shingle's list that one task takes
 CHUNK = 256  # members that a leader is compared with at once
 _U = np.uint64
@@ -130,25 +134,31 @@ def _sets(batches: Iterator[pa.RecordBatch], turn: int = 0) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(cls), pa.array(chk), pa.nulls(k, types[4]), pa.nulls(k, types[5])], names)
     if sketch.any():
         rows = []
-        for s, own in enumerate(np.minimum(sketch, 255).astype(np.uint8).reshape(-1, 1 << SLICE_BITS)):
+        for s, own in enumerate(sketch.reshape(-1, 1 << SLICE_BITS)):
             rows.append((s, pack_counts(own)))
         nothing = pa.nulls(len(rows), pa.int64())
         yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.array([r[0] for r in rows], types[4]), pa.array([r[1] for r in rows], types[5])], names)
 
 
 def pack_counts(own: np.ndarray) -> bytes:
-    at = np.flatnonzero(own)
+    """Counts of a slice: a byte each for all or for those above 0, and in full those that no byte holds."""
+    at, large = np.flatnonzero(own), np.flatnonzero(own >= 255).astype(np.uint32)
+    small = np.minimum(own, 254).astype(np.uint8)
+    rest = np.array([len(large)], np.uint32).tobytes() + large.tobytes() + (own[large] - 254).astype(np.uint32).tobytes()
     if 5 * len(at) < len(own):
-        return b"s" + at.astype(np.uint32).tobytes() + own[at].tobytes()
-    return b"d" + own.tobytes()
+        return b"s" + rest + at.astype(np.uint32).tobytes() + small[at].tobytes()
+    return b"d" + rest + small.tobytes()
 
 
 def add_counts(total: np.ndarray, packed: bytes) -> None:
+    n = int(np.frombuffer(packed, np.uint32, 1, 1)[0])
+    total[np.frombuffer(packed, np.uint32, n, 5)] += np.frombuffer(packed, np.uint32, n, 5 + 4 * n)
+    at = 5 + 8 * n
     if packed[:1] == b"d":
-        total += np.frombuffer(packed, np.uint8, offset=1)
+        total += np.frombuffer(packed, np.uint8, offset=at)
     else:
-        n = (len(packed) - 1) // 5
-        total[np.frombuffer(packed, np.uint8, 4 * n, 1).view(np.uint32)] += np.frombuffer(packed, np.uint8, n, 1 + 4 * n)
+        n = (len(packed) - at) // 5
+        total[np.frombuffer(packed, np.uint32, n, at)] += np.frombuffer(packed, np.uint8, n, at + 4 * n)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +188,7 @@ def _prefix(h: np.ndarray, level: np.ndarray) -> np.ndarray:
     return h[np.argsort(key, kind="stable")[:keep]]
 
 
-def _postings(level_of, buckets: int, turn: int = 0):
+def _postings(level_of, buckets: int, turn: int = 0, list_target: int = LIST_TARGET):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = level_of.value
         mask = _U(len(level) - 1)
@@ -189,7 +199,7 @@ def _postings(level_of, buckets: int, turn: int = 0):
         def flush() -> pa.RecordBatch:
             h, cls, n, pos = (np.concatenate(x) for x in zip(*held, strict=True))
             # members of frequent shingles are dealt over so many tasks that each has about LIST_TARGET of them
-            deals = np.maximum(1, np.ceil(np.exp2(level[h & mask] / 8.0) / LIST_TARGET)).astype(_U)
+            deals = np.maximum(1, np.ceil(np.exp2(level[h & mask] / 8.0) / list_target)).astype(_U)
             salt = W.mix(cls.view(_U)) % deals
             bucket = (W.mix(h + salt * _U(0x9E3779B97F4A7C15)) % _U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -219,8 +229,8 @@ def _postings(level_of, buckets: int, turn: int = 0):
     return run
 
 
-_LISTS = {"list": pa.int64(), "dealt": pa.bool_(), "members": pa.binary(), "sizes": pa.binary(), "places": pa.binary(), "a": pa.int64(), "b": pa.int64(), "least_n": pa.int64(), "meetings": pa.int64()}
-_LISTS_SQL = "list long, dealt boolean, members binary, sizes binary, places binary, a long, b long, least_n long, meetings long"
+_LISTS = {"list": pa.int64(), "dealt": pa.bool_(), "lead": pa.int64(), "members": pa.binary(), "sizes": pa.binary(), "places": pa.binary(), "a": pa.int64(), "b": pa.int64(), "least_n": pa.int64(), "meetings": pa.int64()}
+_LISTS_SQL = "list long, dealt boolean, lead long, members binary, sizes binary, places binary, a long, b long, least_n long, meetings long"
 
 
 def _unpack(parts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -233,8 +243,8 @@ def _unpack(parts: list[bytes]) -> tuple[np.ndarray, ...]:
     return h, cls, n, pos, np.concatenate([np.frombuffer(x, np.uint8, k, 22 * k) for x, k in both])
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Long lists (equal ones of a task once), pairs (a, b) of short lists with the number of lists, and how many shingles of a are in lists with others."""
+def _lists(batches: Iterator[pa.RecordBatch], short_list: int = SHORT_LIST) -> Iterator[pa.RecordBatch]:
+    """Long lists (equal ones of a task once) with their first leader, pairs (a, b) of short lists with the number of lists, and how many shingles of a are in lists with others."""
     by_bucket: dict[int, list[bytes]] = {}
     for batch in batches:
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -261,8 +271,8 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met, times = np.unique(cls[np.repeat(~whole | (hi - lo > 1), hi - lo)], return_counts=True)
         if len(met):
             yield _list_batch(a=met, meetings=times)
-        yield from _short_pairs(cls, n, pos, *(x[whole & (hi - lo > 1) & (hi - lo <= SHORT_LIST)] for x in (lo, hi)))
-        long = ~whole | (hi - lo > SHORT_LIST)
+        yield from _short_pairs(cls, n, pos, *(x[whole & (hi - lo > 1) & (hi - lo <= short_list)] for x in (lo, hi)))
+        long = ~whole | (hi - lo > short_list)
         with np.errstate(over="ignore"):
             total = np.zeros(len(h) + 1, _U)
             np.cumsum(W.mix(W.mix(cls.view(_U) + _U(77)) + pos.astype(_U)), out=total[1:])
@@ -271,7 +281,8 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, y, w, sig, own in zip(lo[long], hi[long], whole[long], signature[long], shingle[long], strict=True):
             if not w or sig not in done:
                 done.add(sig)
-                yield _list_batch(list=[int(sig if w else own)], dealt=[not w], members=[cls[x:y].tobytes()], sizes=[n[x:y].astype(np.int32).tobytes()], places=[pos[x:y].astype(np.uint16).tobytes()])
+                lead = cls[x + np.lexsort((cls[x:y], pos[x:y]))[0]]
+                yield _list_batch(list=[int(sig if w else own)], dealt=[not w], lead=[int(lead)], members=[cls[x:y].tobytes()], sizes=[n[x:y].astype(np.int32).tobytes()], places=[pos[x:y].astype(np.uint16).tobytes()])
 
 
 def _short_pairs(cls: np.ndarray, n: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -417,12 +428,16 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bit for every doc_id, in slices."""
-    bits = np.zeros(1 << FILTER_BITS, np.uint8)
+def _spot(ids: pa.Array, bits: int) -> np.ndarray:
+    return (W.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(_U)) & _U((1 << bits) - 1)).astype(np.int64)
+
+
+def _marked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """A bit for every id, in slices."""
+    own_bits = np.zeros(1 << bits, np.uint8)
     for batch in batches:
-        bits[_spot(batch.column(0))] = 1
-    for s, own in enumerate(np.packbits(bits).reshape(-1, 1 << SLICE_BITS)):
+        own_bits[_spot(batch.column(0), bits)] = 1
+    for s, own in enumerate(np.packbits(own_bits).reshape(-1, 1 << SLICE_BITS)):
         if own.any():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([own.tobytes()])], ["slice", "bits"])
 
@@ -437,47 +452,53 @@ def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.tobytes() for x in out.values()])], ["slice", "bits"])
 
 
-def _spot(ids: pa.Array) -> np.ndarray:
-    return (W.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(_U)) & _U((1 << FILTER_BITS) - 1)).astype(np.int64)
+def _packed_sets(wanted, bits: int, turn: int = 0):
+    """(doc_id, class, set) of the documents that the filter lets pass; one without doc_id by its class."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = wanted.value
 
-def _packed_sets(wanted, turn: int = 0):
-    """(doc_id, class, set) of the documents that the filter lets pass."""
+        def passes(ids: pa.Array) -> np.ndarray:
+            at = _spot(ids, bits)
+            return (marks[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
         for batch in batches:
-            at = _spot(batch.column(0))
-            batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            batch = batch.filter(pa.array(passes(batch.column(0).fill_null(0)) | batch.column(0).is_null().to_numpy(zero_copy_only=False)))
             for part, data, offsets in W.slices(batch):
                 h, at = shingles(W.find(data, offsets, W.NOT_SPACE, True))
                 cls, _ = classes(h, at, turn)
-                packed = [h[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls), pa.array(packed, pa.binary())], ["doc_id", "cls", "set"])
+                packed = pa.array([h[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                out = pa.RecordBatch.from_arrays([part.column(0), pa.array(cls), packed], ["doc_id", "cls", "set"])
+                unnamed = part.column(0).is_null().to_numpy(zero_copy_only=False)
+                yield out.filter(pa.array(~unnamed | passes(pa.array(cls)))) if unnamed.any() else out
 
     return run
 
 
 def passing(texts: DataFrame, ids: DataFrame, turn: int = 0) -> DataFrame:
-    """(doc_id, cls, set) of texts whose doc_id is among ids(doc_id), and perhaps of a few others."""
+    """(doc_id, cls, set) of texts whose doc_id (or class, without one) is among ids(id), and perhaps of a few others."""
     spark = texts.sparkSession
-    slices = 1 << (FILTER_BITS - 3 - SLICE_BITS)
-    found = ids.mapInArrow(_marked, "slice int, bits binary").repartition(slices, "slice").mapInArrow(_either, "slice int, bits binary").collect()
-    bits = np.zeros((slices, 1 << SLICE_BITS), np.uint8)  # 2**FILTER_BITS bits at any size
+    bits = min(MAX_FILTER_BITS, max(FILTER_BITS, (8 * ids.count()).bit_length()))
+    slices = 1 << (bits - 3 - SLICE_BITS)
+    found = ids.mapInArrow(partial(_marked, bits=bits), "slice int, bits binary").repartition(slices, "slice").mapInArrow(_either, "slice int, bits binary").collect()
+    marks = np.zeros((slices, 1 << SLICE_BITS), np.uint8)  # 2**MAX_FILTER_BITS bits at most
     for s, own in found:
-        bits[s] = np.frombuffer(own, np.uint8)
-    return texts.where("doc_id is not null").mapInArrow(_packed_sets(spark.sparkContext.broadcast(bits.reshape(-1)), turn), "doc_id long, cls long, set binary")
+        marks[s] = np.frombuffer(own, np.uint8)
+    return texts.mapInArrow(_packed_sets(spark.sparkContext.broadcast(marks.reshape(-1)), bits, turn), "doc_id long, cls long, set binary")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, stand: DataFrame, turn: int = 0) -> DataFrame:
-    """Those of the pairs (a, b) that link; stand (k, doc) names the document whose text gives a class's set."""
+def verify(pairs: DataFrame, texts: DataFrame, stand: DataFrame, turn: int = 0, unnamed: bool = False) -> DataFrame:
+    """Those of the pairs (a, b) that link; stand (k, doc) names the document whose text gives a class's set, null for any without doc_id."""
     led = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     dealt = pairs.join(led.withColumnRenamed("a", "lead"), F.col("a") == F.col("lead"))
     members = dealt.select(F.col("b").alias("want"), "a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.col("b").alias("member"))
     heads = led.select(F.col("a").alias("want"), "a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("member"))
     wants = materialise(members.unionByName(heads).join(stand, F.col("want") == F.col("k")).select("want", "doc", "a", "chunk", "member"))
-    sets = passing(texts, wants.select(F.col("doc").alias("doc_id")).distinct(), turn)
-    both = wants.join(sets, (F.col("doc") == F.col("doc_id")) & (F.col("want") == F.col("cls"))).select("a", "chunk", "member", "set")
+    sets = passing(texts, wants.select(F.coalesce("doc", "want").alias("id")).distinct(), turn)
+    both = wants.join(sets.where("doc_id is not null"), (F.col("doc") == F.col("doc_id")) & (F.col("want") == F.col("cls"))).select("a", "chunk", "member", "set")
+    if unnamed:  # classes that only rows without doc_id have
+        own = sets.where("doc_id is null").dropDuplicates(["cls"])
+        both = both.unionByName(wants.where("doc is null").join(own, F.col("want") == F.col("cls")).select("a", "chunk", "member", "set"))
     return both.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("member").asc_nulls_first()).mapInArrow(_search, "a long, b long")
 
 
@@ -487,7 +508,7 @@ def clash(rows: DataFrame) -> bool:
     return not g.where("lo <> hi or least <> most").isEmpty()
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, short_list: int = SHORT_LIST, list_target: int = LIST_TARGET) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     ship(spark)
@@ -505,10 +526,11 @@ def join(docs: DataFrame) -> DataFrame:
     for s, own in merged:
         level[s] = np.frombuffer(own, np.uint8)
     level_of = spark.sparkContext.broadcast(level.reshape(-1))
-    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    posted = texts.mapInArrow(_postings(level_of, buckets, turn), "bucket int, blob binary").repartition(buckets, "bucket")
-    merged_lists = materialise(posted.mapInArrow(_lists, _LISTS_SQL))
-    lists = merged_lists.where("list is not null").select("list", "dealt", "members", "sizes", "places")
+    postings = rows.select(F.sum(F.expr(f"least(n, n - ceil({NUM} * n / {DEN}) + 1 + n div {PER_MEETING}L)"))).first()[0] or 0
+    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-postings // BUCKET_POSTINGS))
+    posted = texts.mapInArrow(_postings(level_of, buckets, turn, list_target), "bucket int, blob binary").repartition(buckets, "bucket")
+    merged_lists = materialise(posted.mapInArrow(partial(_lists, short_list=short_list), _LISTS_SQL))
+    lists = merged_lists.where("list is not null").select("list", "dealt", "lead", "members", "sizes", "places")
     plain = lists.where("not dealt").dropDuplicates(["list"])
     members = materialise(plain.unionByName(lists.where("dealt")).select("list", "members", "sizes", "places").mapInArrow(_members, "list long, cls long, n long, place long"))
     met = merged_lists.where("b is not null").groupBy("a", "b").agg(F.sum("meetings").alias("meetings"), F.first("least_n").alias("least_n"))
@@ -518,14 +540,14 @@ def join(docs: DataFrame) -> DataFrame:
     close = materialise(both_long.where(enough).select("a", "b"))
     starred = lists.select("members", "sizes", "places").mapInArrow(_stars, "a long, b long")
     # leaders of the parts of one dealt list meet as a list of their own
-    lead = F.conv(F.hex(F.reverse(F.substring("members", 1, 8))), 16, -10).cast("long")
-    parts = lists.where("dealt").select("list", lead.alias("own"))
+    parts = lists.where("dealt").select("list", F.col("lead").alias("own"))
     heads = parts.groupBy("list").agg(F.min("own").alias("lead"), F.count("*").alias("parts")).where("parts > 1")
     starred = starred.unionByName(parts.join(heads, "list").where("own <> lead").select(F.col("lead").alias("a"), F.col("own").alias("b")))
     pairs = materialise(starred.unionByName(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct())
     # a class's least document stands for it
-    stand = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc")).where("doc is not null").withColumnRenamed("cls", "k")
-    links = materialise(verify(pairs, texts, stand, turn))
+    stand = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc")).withColumnRenamed("cls", "k")
+    unnamed = not rows.where("doc_id is null and n > 0").isEmpty()
+    links = materialise(verify(pairs, texts, stand, turn, unnamed))
     comp = materialise(components(links))
     # shingles that no other class has cannot be shared: what is left bounds any overlap
     alone = f"(least(n, n - ceil({NUM} * n / {DEN}) + 1 + n div {PER_MEETING}L) - met)"
@@ -546,7 +568,7 @@ def join(docs: DataFrame) -> DataFrame:
     still = close.join(of("a"), F.col("a") == F.col("ka"), "left").join(of("b"), F.col("b") == F.col("kb"), "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     rest = far.union(still).distinct()
     tried = materialise(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = materialise(verify(tried, texts, stand, turn))
+    more = materialise(verify(tried, texts, stand, turn, unnamed))
     if more.isEmpty():
         final = comp
     else:

@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +137,44 @@ def test_ngram_join(spark):
     assert [(r["n_shingles"], r["component_id"]) for r in sorted(out, key=lambda r: r["doc_id"])] == want
 
 
+def test_ngram_join_dealt_lists(spark):
+    """Lists that are dealt over tasks, and many long ones: the same components."""
+    rng = random.Random(14)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(120)]
+    texts = []
+    for _ in range(400):
+        w = list(base)
+        for _ in range(rng.randint(0, 8)):
+            w[rng.randrange(len(w))] = f"v{rng.randint(0, 500)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:60] + [f"u{rng.randint(0, 99999)}" for _ in range(60)]) for _ in range(60)]  # a shared passage, unlike texts
+    out = ngram_join.join(table(spark, texts), short_list=3, list_target=40).collect()
+    assert [(r["n_shingles"], r["component_id"]) for r in sorted(out, key=lambda r: r["doc_id"])] == brute_components(texts)
+
+
+def test_ngram_join_without_doc_id(spark):
+    words = [f"w{i}" for i in range(100)]
+    chain = [" ".join(words[:k] + ["x"] * (100 - k)) for k in (100, 92, 84)]  # 1 - null - 3, linked only through the middle
+    rows = [(1, chain[0]), (None, chain[1]), (None, chain[1]), (3, chain[2]), (None, "some other words that nobody else has"), (None, None), (4, ""), (4, "")]
+    out = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_components(chain)
+    assert want[2][1] == 0 and len(sets_of(chain[0]) & sets_of(chain[2])) * 100 < 75 * len(sets_of(chain[0]) | sets_of(chain[2]))
+    assert sorted(str((r["doc_id"], r["component_id"])) for r in out) == sorted(map(str, [(1, 1), (None, 1), (None, 1), (3, 1), (None, None), (None, None), (4, 4), (4, 4)]))
+    assert ngram_join.join(table(spark, texts := ["a b c d e f"]).limit(0)).count() == 0 and texts
+
+
+def test_sketch_counts():
+    rng = np.random.default_rng(3)
+    total, want = np.zeros(1 << 17, np.uint64), np.zeros(1 << 17, np.uint64)
+    for dense in (True, False):
+        own = np.zeros(1 << 17, np.uint32)
+        at = rng.choice(len(own), 60_000 if dense else 50, False)
+        own[at] = rng.integers(1, 300_000, len(at))
+        want += own
+        ngram_join.add_counts(total, ngram_join.pack_counts(own))
+    assert (total == want).all()
+
+
 def test_divide_skip():
     rng = np.random.default_rng(5)
     query = np.unique(rng.integers(0, 400, 120)).astype(np.uint64)
@@ -204,6 +243,19 @@ def test_sharding(spark):
     assert sharding.shard(table(spark, texts).limit(0)).count() == 0
 
 
+def test_sharding_equal_rows(spark):
+    """Rows that nothing tells apart are still dealt evenly, and a tree may have any number of leaves."""
+    for rows in ([(None, "same", "en", "s", 1)] * 400, [(7, "same", "en", "s", 1)] * 400):
+        out = sharding.shard(spark.createDataFrame(rows, DOCS)).toPandas()
+        assert out.groupby("shard").size().tolist() == [50] * 8
+        assert all(sorted(g["slot"]) == list(range(50)) for _, g in out.groupby("shard"))
+    rng = random.Random(10)
+    docs = table(spark, [prose(rng, rng.randint(1, 60)) for _ in range(700)])
+    total = sum(r["size"] for r in sharding.metadata(docs).collect())
+    size = sharding.shard(docs, target_bytes=total // 11 + 1).toPandas().groupby("shard")["size"].sum()
+    assert len(size) == 11 and size.max() / size.mean() < 1.1
+
+
 def test_mixing(spark):
     rows = [(i, "t", "en", s, 1) for i, s in enumerate(["a"] * 600 + ["b"] * 250 + [None] * 90 + [""] * 60)]
     docs = spark.createDataFrame(rows, DOCS)
@@ -214,15 +266,42 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", range(6))
 def test_pfair_deviation(seed):
+    """Against the weights as given, for any number of slots."""
     rng = random.Random(seed)
-    share = mixing.shares({str(i): rng.random() + 0.01 for i in range(rng.randint(1, 9))}, 512)
-    placed = dict.fromkeys(share, 0)
-    for name, _, slot, release, deadline in mixing.period(share):
-        placed[name] += 1
-        assert release <= slot < deadline
-        assert all(abs(placed[s] - n * (slot + 1) / 512) < 1 for s, n in share.items())
+    if seed == 0:
+        weights = {"a": 0.9, "b": 0.0995, "c": 0.0005}
+    else:
+        weights = {str(i): rng.random() ** 3 + 1e-4 for i in range([3, 9, 40, 1000, 2][seed - 1])}
+    total = sum(map(Fraction, weights.values()))
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    slots = 20_000 if len(weights) < 1000 else 3000
+    placed, last = dict.fromkeys(weights, 0), -1
+    for name, i, slot, release, deadline in mixing.earliest_deadline_first(weights, dict.fromkeys(weights, 10**9)):
+        if slot >= slots:
+            break
+        assert slot == last + 1 and release <= slot < deadline and i == placed[name]
+        placed[name], last = i + 1, slot
+        if len(weights) < 1000 or slot % 97 == 0:
+            assert all(abs(placed[s] - w * (slot + 1)) < 1 for s, w in share.items())
+    assert all(abs(placed[s] - w * slots) < 1 for s, w in share.items())
+
+
+def test_pfair_sources_that_run_out():
+    rows = list(mixing.earliest_deadline_first({"a": 1, "b": 1, None: 2}, {"a": 2, "b": 40, None: 5}))
+    assert len(rows) == 47 and len({r[2] for r in rows}) == 47 and all(r[3] <= r[2] < r[4] for r in rows)
+    assert list(mixing.earliest_deadline_first({}, {})) == []
+
+
+def test_mixing_edges(spark):
+    rows = [(None if i % 3 else i, None if i % 2 else "t", "en", "s", 1) for i in range(200)] * 2
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as q_slot", "2 as q_index", "3 as q_k")
+    out = mixing.schedule(spark.createDataFrame(rows, DOCS), block_rows=8).toPandas()
+    assert sorted(zip(out.q_slot, out.q_place)) == [(i, j) for i in range(50) for j in range(8)]
+    assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, docs.collect()))
+    with pytest.raises(ValueError):
+        mixing.schedule(docs, {"other": 1.0})
 
 
 def test_pii(spark):
@@ -256,3 +335,41 @@ def test_equal_digests_of_different_sets(spark, monkeypatch):
     texts += [t + " one more" for t in texts[:20]] + texts[:5]
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(table(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == [c for _, c in brute_components(texts)] and next(turns, None) is None
+
+
+def test_pii_coreference(spark):
+    """A surname has one surrogate, alone or with a given name; addresses of one domain keep it in common."""
+    texts = ["Frau Anna Schmidt came. Frau Schmidt left. Herr Schmidt and Paul Schmidt too. Мария Иванова, Frau Zora Schmidt.", "a@one.org b@one.org a@two.org", "10.1.1.1 192.168.0.9 172.20.1.1 8.8.8.8"]
+    got = {r["doc_id"]: r["text"] for r in pii.scrub(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    m = re.fullmatch(r"Frau (\w+) (\w+) came. Frau (\w+) left. Herr (\w+) and (\w+) (\w+) too. (\w+) (\w+), Frau (\w+) (\w+).", got[0])
+    assert len({m[2], m[3], m[4], m[6], m[10]}) == 1 and m[2] != "Schmidt" and len({m[1], m[5], m[9]}) == 3
+    assert m[1] in pii.NAMES["latin"]["f"] and m[5] in pii.NAMES["latin"]["m"] and m[7] in pii.NAMES["cyrillic"]["f"] and m[9].endswith("a")
+    a, b, c = got[1].split()
+    assert a.split("@")[1] == b.split("@")[1] != c.split("@")[1] and len({a, b, c}) == 3 and not {a, b, c} & set(texts[1].split())
+    ips = got[2].split()
+    assert ips[0].startswith("10.") and ips[1].startswith("192.168.") and re.match(r"172\.(1[6-9]|2\d|3[01])\.", ips[2]) and not re.match(r"10\.|192\.168|172", ips[3])
+
+
+def test_pii_few_values(spark):
+    """A format with too few values gives longer surrogates instead of none."""
+    mails = [f"{c}@q.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    got = pii.scrub(spark.createDataFrame([(1, " ".join(mails))], "doc_id long, text string")).first()
+    assert got["n_entities"] == 26 and len(set(got["text"].split())) == 26 and not set(got["text"].split()) & set(mails)
+
+
+N = 10**6
+LONG = {
+    "labels": "x@" + "a." * (N // 2), "dots": "a." * (N // 2), "ats": "a@" * (N // 2), "ones": "1" * N, "spaced": "1 " * (N // 2), "hex": "0123456789abcdef" * (N // 16), "ibans": "AB12 " * (N // 5),
+    "quads": "1.2.3.4." * (N // 8), "names": "Anna " * (N // 5), "titles": "Frau Anna " * (N // 10), "quotes": "'" * N, "mailbox": "a" * N + "@x.org", "label": "x@" + "b" * N + ".org", "phones": "+1 22 33 " * (N // 9),
+    "parens": "(22)" * (N // 4), "secret": "token='" + "z" * N + "'",
+}
+
+
+def test_pii_long_texts(spark):
+    docs = spark.createDataFrame(list(enumerate(LONG.values())), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.scrub(docs).collect()}
+    assert len(got) == len(LONG)
+    names = dict(enumerate(LONG))
+    kinds = {names[i]: r["kinds"] for i, r in got.items()}
+    assert kinds["hex"] == kinds["secret"] == kinds["ones"] == ["secret"] and kinds["mailbox"] == ["email"] and kinds["names"] == ["person"] and kinds["labels"] == []
+    assert all(r["text"] != LONG[names[i]] for i, r in got.items() if r["kinds"])
