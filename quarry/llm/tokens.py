@@ -5,24 +5,26 @@ A byte-level BPE tokenizer is two deterministic transducers in a row:
 * the *splitter* reads classes of code points (12 of them) and has 12 states; a
   transition is annotated with the piece starts it emits, at the character read
   or at the one before, so that its bounded lookahead needs no second reading;
-* the *lexicon* maps a piece to the number of tokens emitted when the piece
-  ends.  It is compiled from the merge ranks as pieces turn up and kept by the
-  worker between tasks (``LEXICON_ITEMS`` entries at most, then begun anew).
+* the *counter* reads the bytes of a piece; a transition is annotated with the
+  number of tokens by which the count of the prefix changes (see ``Machine``).
+  It begins anew at every piece start.
 
 Whole texts are cut into chunks of ``CHUNK`` characters.  For every chunk the
-map from each start state to its end state is found, the maps are composed by a
-parallel prefix scan (log2 of the number of chunks steps), and then all chunks
-run side by side from their true start states.
+map from each start state of the splitter to its end state is found, the maps
+are composed by a parallel prefix scan (log2 of the number of chunks steps), and
+then all chunks run side by side from their true start states.  The counter
+needs no map: the scan gives the pieces, which all run side by side, and their
+counts add up.
 
 Special tokens of the vocabulary file split a text first and count as one each,
 the library's default.  Cases: null counts as empty (0 bytes, 0 tokens); very
-long texts only make more chunks; repeated rows are counted each; other columns
-are not read.
+long texts only make more chunks; repeated rows are counted each; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -40,7 +42,8 @@ from .cluster import ship, table
 
 TOKENIZER = "byte_bpe_50k.json"
 CHUNK = 256
-LEXICON_ITEMS = 1_000_000
+MAX_STATES = 1 << 17  # of the counting machine: 1.5 KB each
+FEW = 8  # pieces that are not worth a step side by side
 LIMIT = 512
 _SYNC = 8
 
@@ -166,11 +169,13 @@ class Merges:
     rank: dict[tuple[int, int], int]
     whole: list[int]  # the token that the pair of a rank becomes
     special: list[str]
+    digest: str  # of the vocabulary file
 
 
 def read_tokenizer(path: str) -> Merges:
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    with open(path, "rb") as f:
+        raw = f.read()
+    spec = json.loads(raw)
     byte = _visible_bytes()
     number = {c: b for c, b in byte.items()}
     rank, whole = {}, []
@@ -178,26 +183,60 @@ def read_tokenizer(path: str) -> Merges:
         a, b = pair.split(" ") if isinstance(pair, str) else pair
         whole.append(number.setdefault(a + b, 256 + k))
         rank[number[a], number[b]] = k
-    return Merges(rank, whole, [t["content"] for t in spec["added_tokens"]])
+    return Merges(rank, whole, [t["content"] for t in spec["added_tokens"]], hashlib.sha256(raw).hexdigest())
 
 
-class Lexicon(dict):
-    """Piece -> number of tokens, compiled when first asked for."""
+class Machine:
+    """The deterministic transducer that counts the tokens of a piece byte by byte.
 
-    def __init__(self, merges: Merges):
-        super().__init__()
-        self.rank, self.whole = merges.rank, merges.whole
+    A piece's tokens are the one way to cut it in which every two neighbours are a
+    pair that merging would leave alone, so the count of a prefix is the count
+    before its last token plus one, and the last token is the one token that ends
+    there and suits the token before it.  What the future depends on is, for every
+    place from which some token still runs through the present byte: its node in
+    the tree of the vocabulary's byte strings, the last token before the place, and
+    how many tokens fewer were counted there.  These triples are a state; a
+    transition carries the (possibly negative) number of tokens by which the count
+    changes.
 
-    def __missing__(self, piece: bytes) -> int:
-        if len(self) >= LEXICON_ITEMS:
-            self.clear()
-        n = self[piece] = self._count(piece) if len(piece) > 1 else len(piece)
-        return n
+    States are made when first reached and kept between tasks, ``MAX_STATES`` at
+    most: then the machine is begun anew, at the price of making states again (what
+    is known of pairs of tokens stays).
+    """
 
-    def _count(self, piece: bytes) -> int:
-        if len(piece) > 48:
-            return self._count_long(piece)
-        find, whole, none, parts = self.rank.get, self.whole, len(self.whole), list(piece)
+    def __init__(self, merges: Merges):
+        self.rank, self.whole = merges.rank, merges.whole
+        self.child: dict[int, int] = {}  # node * 256 + byte -> node
+        self.token = [-1]  # that ends at a node
+        self.inner = [True]  # whether a node has children
+        self.bytes = [bytes([k]) for k in range(256)] + [b""] * (max(self.whole, default=255) - 255)
+        for (x, y), r in sorted(self.rank.items(), key=lambda e: e[1]):
+            self.bytes[self.whole[r]] = self.bytes[x] + self.bytes[y]
+        for number, text in enumerate(self.bytes):
+            if text and self.encode(text) == [number]:  # others never come out
+                node = 0
+                for b in text:
+                    self.inner[node] = True
+                    if (node << 8 | b) not in self.child:
+                        self.child[node << 8 | b] = len(self.token)
+                        self.token.append(-1)
+                        self.inner.append(False)
+                    node = self.child[node << 8 | b]
+                self.token[node] = number
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        if len(self.pairs) > 8 * MAX_STATES:
+            self.pairs.clear()
+        self.states: dict[tuple, int] = {((0, -1, 0),): 0}
+        self.parts: list[tuple] = [((0, -1, 0),)]
+        self.next = np.full(1 << 18, -1, np.int32)  # by state * 256 + byte
+        self.emit = np.zeros(1 << 18, np.int16)
+
+    def encode(self, text: bytes) -> list[int]:
+        """Tokens of a piece by its merges, lowest rank first."""
+        find, whole, none, parts = self.rank.get, self.whole, len(self.whole), list(text)
         ranks = [find(p, none) for p in zip(parts, parts[1:])]
         while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
@@ -207,46 +246,86 @@ class Lexicon(dict):
                 ranks[i] = find((parts[i], parts[i + 1]), none)
             if i:
                 ranks[i - 1] = find((parts[i - 1], parts[i]), none)
-        return len(parts)
-
-    def _count_long(self, piece: bytes) -> int:
-        """The same with a heap of pairs: n log n for pieces of any length."""
-        rank, token = self.rank, list(piece)
-        after, before = [*range(1, len(token)), -1], [-1, *range(len(token) - 1)]
-        heap = [(r, i, *pair) for i, pair in enumerate(zip(token, token[1:])) if (r := rank.get(pair)) is not None]
-        heapq.heapify(heap)
-        left = len(token)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if token[i] != a or j < 0 or token[j] != b:
+        return parts
+
+    def suits(self, before: int, token: int) -> bool:
+        """Whether merging leaves these neighbours alone."""
+        if before < 0:
+            return True
+        known = self.pairs.get((before, token))
+        if known is None:
+            known = self.pairs[before, token] = self.encode(self.bytes[before] + self.bytes[token]) == [before, token]
+        return known
+
+    def make(self, spot: int) -> None:
+        """The transition at state * 256 + byte."""
+        byte = spot & 255
+        alive, last, change = [], -1, 0
+        for node, before, behind in self.parts[spot >> 8]:
+            after = self.child.get(node << 8 | byte)
+            if after is None:
                 continue
-            token[i], token[j] = self.whole[r], -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            after[j] = -1
-            left -= 1
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (r := rank.get((token[x], token[y]))) is not None:
-                    heapq.heappush(heap, (r, x, token[x], token[y]))
-        return left
-
-
-_lexicons: dict[int, Lexicon] = {}
-
-
-def _lexicon(merges: Merges) -> Lexicon:
-    key = hash((len(merges.rank), *list(merges.rank)[:50], *list(merges.rank)[-50:]))
-    if key not in _lexicons:
-        _lexicons.clear()
-        _lexicons[key] = Lexicon(merges)
-    return _lexicons[key]
+            token = self.token[after]
+            if last < 0 and token >= 0 and self.suits(before, token):
+                last, change = token, behind + 1
+            if self.inner[after]:
+                alive.append((after, before, behind))
+        state = (*((n, t, d - change) for n, t, d in alive), (0, last, 0))
+        number = self.states.get(state)
+        if number is None:
+            number = self.states[state] = len(self.parts)
+            self.parts.append(state)
+            if len(self.parts) << 8 > len(self.next):
+                self.next = np.concatenate([self.next, np.full(len(self.next), -1, np.int32)])
+                self.emit = np.concatenate([self.emit, np.zeros(len(self.emit), np.int16)])
+        self.next[spot], self.emit[spot] = number, change
+
+    def count(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Tokens of the pieces data[start:end], all pieces side by side, the longest first."""
+        if len(self.parts) >= MAX_STATES:
+            self._clear()
+        order = np.argsort(start - end, kind="stable")
+        begin, left = start[order], (end - start)[order]
+        ends = np.searchsorted(-left, -np.arange(1, int(left[0]) + 1 if len(left) else 1), "right")  # pieces with a byte k
+        state, total = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int64)
+        for k, n in enumerate(ends):
+            if n < FEW:
+                break
+            spot = (state[:n] << 8) + data[begin[:n] + k]
+            state[:n] = self.next[spot]
+            if (state[:n] < 0).any():
+                for x in np.unique(spot[state[:n] < 0]).tolist():
+                    self.make(x)
+                state[:n] = self.next[spot]
+            total[:n] += self.emit[spot]
+        else:
+            k = len(ends)
+        for i in range(int(ends[k]) if k < len(ends) else 0):  # the few long ones, one by one
+            at, n = int(state[i]), 0
+            for byte in data[begin[i] + k : begin[i] + left[i]].tolist():
+                spot = at << 8 | byte
+                if self.next[spot] < 0:
+                    self.make(spot)
+                at, n = int(self.next[spot]), n + int(self.emit[spot])
+            total[i] += n
+        out = np.empty(len(begin), np.int64)
+        out[order] = total
+        return out
+
+
+_machines: dict[str, Machine] = {}
+
+
+def machine(merges: Merges) -> Machine:
+    if merges.digest not in _machines:
+        _machines.clear()
+        _machines[merges.digest] = Machine(merges)
+    return _machines[merges.digest]
 
 
 def count_tokens(data: np.ndarray, offsets: np.ndarray, merges: Merges) -> np.ndarray:
     """Tokens of each text."""
-    lexicon, raw, n = _lexicon(merges), data.tobytes(), len(offsets) - 1
+    raw, n = data.tobytes(), len(offsets) - 1
     cuts, extra = offsets, np.zeros(n, np.int64)
     if merges.special:
         found = [(m.start(), m.end()) for m in re.finditer(b"|".join(re.escape(s.encode()) for s in sorted(merges.special, key=len, reverse=True)), raw)]
@@ -276,7 +355,7 @@ def count_tokens(data: np.ndarray, offsets: np.ndarray, merges: Merges) -> np.nd
     if cuts is not offsets:
         start = start[~special[start]]
     end = np.minimum(np.append(start[1:], len(data)), stops[np.searchsorted(stops, start, "right")])
-    tokens = np.fromiter(map(lexicon.__getitem__, [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]), np.int64, len(start))
+    tokens = machine(merges).count(data, start, end)
     total = np.zeros(len(start) + 1, np.int64)
     np.cumsum(tokens, out=total[1:])
     return np.diff(total[np.searchsorted(start, offsets)]) + extra
