@@ -6,25 +6,27 @@ words, a block is two neighbouring words.  For the windows of one length:
 
 * the shift table says, for the block that ends at a place of a document, how
   many places no window can end at, so that most places are never looked at;
-* where the shift is 0, the block's hash selects the bucket of windows that end
-  with this block;
+* where the shift is 0, the hashes of the last and of the first block select the
+  bucket of windows that end and begin with them (so that one common pair of words
+  at the end of many windows does not make all of them candidates);
 * these windows are compared directly, word hashes first and then the words'
   bytes, so that an occurrence is certain.
 
 Documents are scanned in lanes of some hundred words side by side, whole texts,
-one vector step for all lanes.  The benchmark travels in blocks of bounded
-size (``BLOCK_BYTES`` of item text each); a larger benchmark takes more blocks,
-scanned one after the other by the same tasks, and the documents are never
-shuffled.
+one vector step for all lanes; they are never shuffled.  The benchmark, a stated
+query set of at most ``MAX_BENCHMARK_BYTES`` (more is refused), travels in blocks of
+``BLOCK_BYTES`` of item text each.  A task scans some ``ROUND_BYTES`` of documents
+with one block after the other and holds one block at a time.
 
 Cases: a null text has no words; a null item text gives no windows; a row of
 the benchmark without item_id is left out, as it could not be named; repeated
-items count once.  An empty benchmark or table gives no hits or no rows.
+items count once; repeated documents are judged each.  An empty benchmark or
+table gives no hits or no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +39,8 @@ from .cluster import ship, table
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
+MAX_BENCHMARK_BYTES = 1 << 30
+ROUND_BYTES = 32 << 20
 LANE = 512
 _U = np.uint64
 _SCHEMA = "doc_id long, n_words long, spans array<struct<first: long, last: long>>, items array<string>"
@@ -49,8 +53,8 @@ class _Length:
     length: int
     block: int
     shift: np.ndarray  # by the low bits of a block's hash
-    suffix: np.ndarray  # hashes of the last blocks, sorted
-    start: np.ndarray  # first word of each window, in order of suffix
+    ends: np.ndarray  # hashes of the last and first blocks together, sorted
+    start: np.ndarray  # first word of each window, in order of ends
     item: np.ndarray
 
 
@@ -81,12 +85,17 @@ def compile_items(ids: list[str], texts: list[str], window: int = WINDOW) -> Pat
         mask = _U((1 << bits) - 1)
         for back in range(length - block, -1, -1):  # blocks nearer to the end overwrite
             shift[h[start + length - block - back] & mask] = back
-        suffix = h[start + length - block]
-        order = np.argsort(suffix, kind="stable")
-        lengths.append(_Length(length, block, shift, suffix[order], start[order], item[order]))
+        ends = _both_ends(h, start, length - block)
+        order = np.argsort(ends, kind="stable")
+        lengths.append(_Length(length, block, shift, ends[order], start[order], item[order]))
     return Patterns(ids, w, lengths)
 
 
+def _both_ends(h: np.ndarray, start: np.ndarray, last: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return W.mix(h[start + last] + W.mix(h[start]))
+
+
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each i, (i, lo[i]), ..., (i, hi[i] - 1)."""
     n = hi - lo
@@ -94,6 +103,17 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
+def _same_words(a: W.Words, i: np.ndarray, b: W.Words, j: np.ndarray) -> np.ndarray:
+    """Whether the words a[i] and b[j] have the same bytes."""
+    n = a.end[i] - a.start[i]
+    same = n == b.end[j] - b.start[j]
+    at = np.flatnonzero(same)
+    owner, place = _ranges(np.zeros(len(at), np.int64), n[at])
+    differ = a.data[a.start[i[at]][owner] + place] != b.data[b.start[j[at]][owner] + place]
+    same[at[owner[differ]]] = False
+    return same
+
+
 def occurrences(p: Patterns, w: W.Words) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(first word, item, length) of all windows found, for each length."""
     for t in p.lengths:
@@ -114,80 +134,119 @@ def occurrences(p: Patterns, w: W.Words) -> Iterator[tuple[np.ndarray, np.ndarra
             at, limit = at[on], limit[on]
         start = np.concatenate(hits)
         start = start[w.doc[start] == w.doc[start + t.length - 1]]
-        block = h[start + t.length - t.block]
-        owner, window = _ranges(np.searchsorted(t.suffix, block, "left"), np.searchsorted(t.suffix, block, "right"))
+        ends = _both_ends(h, start, t.length - t.block)
+        owner, window = _ranges(np.searchsorted(t.ends, ends, "left"), np.searchsorted(t.ends, ends, "right"))
         start = start[owner]
         for k in range(t.length):
             same = w.hash[start + k] == p.words.hash[t.start[window] + k]
             start, window = start[same], window[same]
-        sure = [all(w.text(s + k) == p.words.text(b + k) for k in range(t.length)) for s, b in zip(start, t.start[window], strict=True)]
-        sure = np.array(sure, bool)
+        sure = np.ones(len(start), bool)
+        for k in range(t.length):
+            sure &= _same_words(w, start + k, p.words, t.start[window] + k)
         yield start[sure], t.item[window[sure]], t.length
 
 
-def scan(data: np.ndarray, offsets: np.ndarray, blocks: Iterator[Patterns]) -> tuple[np.ndarray, list[list[dict]], list[list[str]]]:
-    """Number of words, spans of hit words and items found, for each text."""
-    w = W.find(data, offsets, W.ALNUM, True)
-    cover = np.zeros(len(w.hash) + 1, np.int64)
-    items: list[set[str]] = [set() for _ in range(w.n)]
-    for p in blocks:
+class Scan:
+    """What is found so far in a slice of documents."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.words = W.find(data, offsets, W.ALNUM, True)
+        self.cover = np.zeros(len(self.words.hash) + 1, np.int64)
+        self.items: list[set[str]] = [set() for _ in range(self.words.n)]
+
+    def search(self, p: Patterns) -> None:
+        w = self.words
         for start, item, length in occurrences(p, w):
-            np.add.at(cover, start, 1)
-            np.add.at(cover, start + length, -1)
+            np.add.at(self.cover, start, 1)
+            np.add.at(self.cover, start + length, -1)
             if len(start):
                 for doc, i in np.unique(np.stack([w.doc[start], item], 1), axis=0):
-                    items[doc].add(p.ids[i])
-    hit = np.cumsum(cover[:-1]) > 0
-    # maximal runs of hit words inside a text
-    edge = np.ones(len(hit), bool)
-    if len(hit):
-        edge[1:] = (hit[1:] != hit[:-1]) | (w.doc[1:] != w.doc[:-1])
-    run = np.flatnonzero(edge)
-    until = np.append(run[1:], len(hit)) if len(run) else run
-    keep = hit[run] if len(run) else np.zeros(0, bool)
-    spans: list[list[dict]] = [[] for _ in range(w.n)]
-    for a, b in zip(run[keep], until[keep], strict=True):
-        doc = w.doc[a]
-        spans[doc].append({"first": int(a - w.first[doc]), "last": int(b - 1 - w.first[doc])})
-    return w.counts, spans, [sorted(x) for x in items]
+                    self.items[doc].add(p.ids[i])
+
+    def result(self) -> tuple[np.ndarray, list[list[dict]], list[list[str]]]:
+        """Number of words, spans of hit words and items found, for each text."""
+        w, hit = self.words, np.cumsum(self.cover[:-1]) > 0
+        # maximal runs of hit words inside a text
+        edge = np.ones(len(hit), bool)
+        if len(hit):
+            edge[1:] = (hit[1:] != hit[:-1]) | (w.doc[1:] != w.doc[:-1])
+        run = np.flatnonzero(edge)
+        until = np.append(run[1:], len(hit)) if len(run) else run
+        keep = hit[run] if len(run) else np.zeros(0, bool)
+        spans: list[list[dict]] = [[] for _ in range(w.n)]
+        for a, b in zip(run[keep], until[keep], strict=True):
+            doc = w.doc[a]
+            spans[doc].append({"first": int(a - w.first[doc]), "last": int(b - 1 - w.first[doc])})
+        return w.counts, spans, [sorted(x) for x in self.items]
+
+
+def scan(data: np.ndarray, offsets: np.ndarray, blocks: Iterable[Patterns]) -> tuple[np.ndarray, list[list[dict]], list[list[str]]]:
+    found = Scan(data, offsets)
+    for p in blocks:
+        found.search(p)
+    return found.result()
 
 
 def compiled(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Patterns]:
     """The benchmark in blocks of about block_bytes of text (one item at least)."""
-    ids, texts, size = [], [], 0
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > MAX_BENCHMARK_BYTES:
+        raise ValueError(f"a benchmark of {total} bytes; search it in parts of {MAX_BENCHMARK_BYTES}")
+    ids, texts, size = [], [], 0
     for item, text in rows.toLocalIterator():
-        if size and size + len(text) > block_bytes:
+        own = len(text.encode())
+        if size and size + own > block_bytes:
             yield compile_items(ids, texts, window)
             ids, texts, size = [], [], 0
         ids.append(item)
         texts.append(text)
-        size += len(text)
+        size += own
     if ids:
         yield compile_items(ids, texts, window)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, spans of hit words (word numbers, both ends counted) and the items found."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, spans of hit words (word numbers, both ends counted) and the items found; columns named in carry go along."""
     spark = docs.sparkSession
     ship(spark)
-    sent = [spark.sparkContext.broadcast(p) for p in compiled(benchmark, window)]
+    sent = [spark.sparkContext.broadcast(p) for p in compiled(benchmark, window, block_bytes)]  # MAX_BENCHMARK_BYTES of text in all
+
+    def blocks() -> Iterator[Patterns]:
+        for b in sent:  # one alone stays; of several each is read when its turn comes and not kept
+            yield b.value if len(sent) == 1 else b.load_from_path(b._path)
+
+    types = [pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.string())]
+
+    def flush(held: list[tuple[pa.RecordBatch, Scan]]) -> Iterator[pa.RecordBatch]:
+        for p in blocks():
+            for _, found in held:
+                found.search(p)
+        for part, found in held:
+            own = [pa.array(x, t) for x, t in zip(found.result(), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *own, *part.columns[2:]], ["doc_id", "n_words", "spans", "items", *carry])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.string())]
+        held, size = [], 0
         for batch in batches:
             for part, data, offsets in W.slices(batch):
-                n, spans, items = scan(data, offsets, (b.value for b in sent))
-                columns = [part.column(0), pa.array(n, types[1]), pa.array(spans, types[2]), pa.array(items, types[3])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "spans", "items"])
+                held.append((part, Scan(data, offsets)))
+                size += len(data)
+                if len(sent) < 2 or size > ROUND_BYTES:
+                    yield from flush(held)
+                    held, size = [], 0
+        yield from flush(held)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, _SCHEMA)
+    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carry)
+    return read.mapInArrow(each, _SCHEMA + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in read.schema[2:]))
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from spans and items."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    others = [c for c in found.columns if c not in ("doc_id", "n_words", "spans", "items")]
     return found.select(
+        *others,
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),

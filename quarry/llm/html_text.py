@@ -2,24 +2,30 @@
 
 A page is cut into flat text blocks at block-level tags.  A block is described
 by its number of words and link density, those of its neighbours, and where it
-stands: its kind of tag, whether a container around it is named like page
-furniture (by tag, role, class or id), or is the page's article.  A decision
-tree, trained here on a small table of labelled blocks (``LABELLED``: pages whose
-blocks begin with + for text and - for the rest), keeps or drops each block.
-
-Kept blocks have their character references decoded once and white space made
-one space; they are joined by line feeds in page order.  Markup may be broken:
-unclosed elements end with their container, an unfinished tag at the end is
-dropped, a stray ``<`` is text, an unclosed comment or script runs to the end.
+stands: its kind of tag, whether an element around it is page furniture by tag or
+role, or the page's article; how much of a name (class or id) around it speaks of
+furniture, from 0 ("share-price" is half a name) to 1, and how much of the
+page's words lie under such names, for a name that holds most of the page cannot
+be furniture.  A decision tree, trained here on a small table of labelled blocks
+(``LABELLED``: pages whose blocks begin with + for text and - for the rest),
+keeps or drops each block.
+
+Kept blocks have their character references decoded once, each piece of text by
+itself, and white space made one space; they are joined by line feeds in page
+order.  Markup may be broken: unclosed elements end with their container, end
+tags without a start are skipped, an unfinished tag at the end is dropped, a
+stray ``<`` is text, an unclosed comment or script runs to the end.
 
 Cases: null or empty html gives an empty text; pages of any length are read
-whole; repeated rows are extracted each; other columns are not read.
+whole, in linear time; repeated rows are extracted each; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -38,6 +44,8 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
 SKIPPED = frozenset("script style noscript template textarea title iframe svg math object audio video canvas select button xmp noframes noembed".split())
+#: Of these, what may close itself.
+FOREIGN = frozenset("svg math".split())
 CLOSED_BY_SAME = frozenset("p li dt dd option tr td th".split())
 #: Block-level tags that end an open paragraph.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -49,6 +57,12 @@ FURNITURE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup privacy promo promoted promotion recommended related replies reply respond share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags taglist teaser toc toolbar topbar warning widget widgets".split()
 )
 TEXT_NAMES = frozenset("article body content entry main post story text".split())
+#: Parts that say nothing of what a container holds
+NEUTRAL_NAMES = frozenset(
+    "area bar block bottom box btn button buttons col column container element group holder icon icons inner item items js left links list outer page panel primary right row secondary section site slot top unit wrap wrapper zone".split()
+) | TEXT_NAMES | frozenset("articles posts stories".split())
+#: A name with one of them tells of a state of the page
+STATE_NAMES = frozenset("has with no without is not enable enabled disable disabled".split())
 
 _TOKEN = re.compile(
     r"""<!--(?:.*?--!?>|.*\Z) | <!\[CDATA\[.*?(?:\]\]>|\Z) | <[!?][^>]*(?:>|\Z)
@@ -56,8 +70,9 @@ _TOKEN = re.compile(
     | </?[a-zA-Z][^>]*(?:>|\Z) | <(?=/)[^>]*(?:>|\Z)""",
     re.S | re.X,
 )
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in SKIPPED}
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -68,36 +83,58 @@ class Block:
     tag: str
     words: int
     links: float  # share of words inside links
-    place: int  # 1 in the page's article, -1 in furniture, 0 elsewhere
-
-
-def _kind(name: str, attrs: str, in_text: bool) -> int:
-    """1 text container, -1 furniture, 0 neither."""
-    if attrs:
-        if _HIDDEN.search(attrs):
-            return -1
-        names: set[str] = set()
-        for m in _ATTR.finditer(attrs):
-            key = m[1].lower()
-            if key in ("class", "id"):
-                names.update(_SPLIT.split(_CAMEL.sub("-", m[2] or m[3] or m[4] or "").lower()))
-            elif key == "role":
-                role = (m[2] or m[3] or m[4] or "").lower()
-                if role in FURNITURE_ROLES:
-                    return -1
-                if role in TEXT_TAGS:
-                    return 1
-        if name not in ("html", "body") and names & FURNITURE_NAMES and not (names & TEXT_NAMES and name not in TEXT_TAGS and not names & {"comment", "comments"}):
-            return -1
-    if name in FURNITURE_TAGS:
-        return 0 if name == "header" and in_text else -1
-    return 1 if name in TEXT_TAGS else 0
+    furniture: bool  # by tag, role or as hidden
+    article: bool
+    named: float  # share of furniture in the names around it
+
+
+@dataclass(frozen=True)
+class Place:
+    """What is known of all that lies in an element."""
+
+    furniture: bool = False
+    article: bool = False
+    named: float = 0.0
+
+
+def _named(names: list[str]) -> float:
+    """How much of an element's names speaks of furniture."""
+    best, text = 0.0, False
+    for name in names:
+        parts = {x for x in _SPLIT.split(_CAMEL.sub("-", name).lower()) if x}
+        if parts & STATE_NAMES:
+            continue
+        text |= bool(parts) and parts <= TEXT_NAMES
+        told = parts & FURNITURE_NAMES
+        if told:
+            best = max(best, len(told) / (len(told) + len(parts - FURNITURE_NAMES - NEUTRAL_NAMES)))
+    return best / 2 if text else best
+
+
+def _inside(outer: Place, name: str, attrs: str) -> Place:
+    """The place inside an element with this tag."""
+    names: list[str] = []
+    furniture, article = name in FURNITURE_TAGS and not (name == "header" and outer.article), name in TEXT_TAGS
+    for m in _ATTR.finditer(attrs) if attrs else ():
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in ("class", "id"):
+            names += value.split()
+        elif key == "hidden" or (key == "style" and _UNSEEN.search(value)):
+            furniture = True
+        elif key == "role":
+            furniture |= value.lower() in FURNITURE_ROLES
+            article |= value.lower() in TEXT_TAGS
+    own = 0.0 if name in ("html", "body") else _named(names)
+    before = 0.0 if article and outer.named < 1 else outer.named  # what half speaks of furniture cannot hold the article
+    return Place(outer.furniture or furniture, outer.article or article, max(own, before))
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open block elements and the place inside
-    place, tag = 0, ""
+    stack: list[tuple[str, Place]] = []  # open block elements and the place inside
+    is_open: Counter[str] = Counter()
+    nowhere = Place()
+    place, tag = nowhere, ""
     pieces: list[str] = []
     link_words, in_link = 0, False
     at, n = 0, len(page)
@@ -105,18 +142,22 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal link_words
         if pieces:
-            text = " ".join(_html.unescape("".join(pieces)).split())
+            text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
                 words = text.count(" ") + 1
-                out.append(Block(text, tag, words, min(1.0, link_words / words), place))
+                out.append(Block(text, tag, words, min(1.0, link_words / words), place.furniture, place.article, place.named))
         link_words = 0
 
     def add(raw: str) -> None:
         nonlocal link_words
-        pieces.append(raw)
+        text = _html.unescape(raw)
+        pieces.append(text)
         if in_link:
-            link_words += len(raw.split())
+            link_words += len(text.split())
+
+    def close() -> None:
+        is_open[stack.pop()[0]] -= 1
 
     find = _TOKEN.search
     while at < n:
@@ -133,9 +174,9 @@ def blocks(page: str) -> list[Block]:
         name = name.lower()
         if not m["end"]:
             attrs = m["attrs"]
-            if name in SKIPPED and not attrs.endswith("/"):
-                close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                at = close.end() if close else n
+            if name in SKIPPED and not (name in FOREIGN and attrs.endswith("/")):
+                end = _END[name].search(page, at)
+                at = end.end() if end else n
                 if name in BLOCK:
                     flush()
             elif name == "br":
@@ -148,29 +189,29 @@ def blocks(page: str) -> list[Block]:
                 if name == "hr":
                     continue
                 if name in CLOSED_BY_SAME or name in HEADINGS:
-                    while stack and stack[-1][0] == "p" or stack and stack[-1][0] == name:
-                        stack.pop()
+                    while stack and stack[-1][0] in ("p", name):
+                        close()
                 elif stack and stack[-1][0] == "p":
-                    stack.pop()
-                outer = stack[-1][1] if stack else 0
-                kind = _kind(name, attrs, outer == 1)
-                stack.append((name, -1 if outer == -1 or kind == -1 else max(outer, kind)))
-                place, tag = stack[-1][1], name
+                    close()
+                place, tag = _inside(stack[-1][1] if stack else nowhere, name, attrs), name
+                stack.append((name, place))
+                is_open[name] += 1
         elif name == "a":
             in_link = False
         elif name in BLOCK:
             flush()
             in_link = False
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            while is_open[name]:
+                found = stack[-1][0] == name
+                close()
+                if found:
                     break
-            tag, place = stack[-1] if stack else ("", 0)
+            tag, place = stack[-1] if stack else ("", nowhere)
     flush()
     return out
 
 
-FEATURES = "place outside words links words_before links_before words_after links_after heading item".split()
+FEATURES = "furniture article outside named mass words links words_before links_before words_after links_after heading item".split()
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -178,16 +219,18 @@ def features(found: list[Block]) -> np.ndarray:
     x = np.zeros((len(found), len(FEATURES)))
     if not found:
         return x
-    place = np.array([b.place for b in found])
-    words = np.array([b.words for b in found])
+    article = np.array([b.article and not b.furniture for b in found])
+    words, named = np.array([b.words for b in found]), np.array([b.named for b in found])
     links = np.array([b.links for b in found])
-    x[:, 0] = place
-    x[:, 1] = (place == 1).any() & (place != 1)
-    x[:, 2], x[:, 3] = words, links
-    x[1:, 4], x[1:, 5] = words[:-1], links[:-1]
-    x[:-1, 6], x[:-1, 7] = words[1:], links[1:]
-    x[:, 8] = [b.tag in HEADINGS for b in found]
-    x[:, 9] = [b.tag in ("li", "td", "th", "dt", "dd") for b in found]
+    x[:, 0], x[:, 1] = [b.furniture for b in found], article
+    x[:, 2] = article.any() & ~article
+    x[:, 3] = named
+    x[:, 4] = words[named > 0].sum() / words.sum()
+    x[:, 5], x[:, 6] = words, links
+    x[1:, 7], x[1:, 8] = words[:-1], links[:-1]
+    x[:-1, 9], x[:-1, 10] = words[1:], links[1:]
+    x[:, 11] = [b.tag in HEADINGS for b in found]
+    x[:, 12] = [b.tag in ("li", "td", "th", "dt", "dd") for b in found]
     return x
 
 
@@ -269,6 +312,35 @@ LABELLED = [
     f"<body><div role=alert>{_paragraphs(16, 50, mark='-')}</div><aside>{_paragraphs(70, 1, mark='-')}</aside><article>{_paragraphs(2, 90)}</article><div id=comments>{_paragraphs(60, 33, mark='-')}</div><form>{_paragraphs(21, mark='-')}</form>",
     f"<body><div class=sidebar>{_paragraphs(44, 52, mark='-')}</div><div>{_paragraphs(38, 61, 4, 29)}</div><div class=advert>{_paragraphs(37, mark='-')}</div><footer>{_paragraphs(26, mark='-')}</footer>",
     "<body><p>+Nothing but this one paragraph of eleven words stands on it.</p>",
+    # half a name says little: long blocks without links stay
+    f"<body>{_MENU}<article>{_paragraphs(40, 30)}<div class=share-price>{_paragraphs(60)}</div><section class=warning-signs>{_paragraphs(55, 20)}</section>{_paragraphs(25)}</article>{_FOOT}",
+    f"<body>{_MENU}<div class=share-price>{_paragraphs(60, 44)}</div>{_FOOT}",
+    f"<body>{_MENU}<main><section class=login-history>{_paragraphs(13, 4, 35)}</section>{_paragraphs(22)}</main>{_FOOT}",
+    f"<body><article>{_paragraphs(40, 30)}<div class=share-tools><a href=1>-Send it</a> <a href=2>print</a></div></article>{_FOOT}",
+    # a whole name in the article tells
+    f"<body>{_MENU}<article>{_paragraphs(50, 30)}<div class=newsletter-signup>{_paragraphs(28, mark='-')}</div>{_paragraphs(25)}<div class=related-posts>{_paragraphs(5, 44, 9, mark='-')}</div></article>{_FOOT}",
+    f"<body>{_MENU}<article>{_paragraphs(20, 30)}<div class=comment-list>{_paragraphs(48, 60, 3, 90, 33, mark='-')}</div></article>{_FOOT}",
+    f"<body><article>{_paragraphs(70)}</article><section class=comments>{_paragraphs(48, 60, 3, 90, 33, mark='-')}</section>",
+    f"<body><div class=notice>{_paragraphs(42, mark='-')}</div><div>{_paragraphs(60, 33, 70)}</div><div class=comments>{_paragraphs(40, 25, mark='-')}</div>",
+    f"<body>{_paragraphs(66, 58)}<div class=comments>{_paragraphs(38, 12, mark='-')}</div><div class=copyright>{_paragraphs(14, mark='-')}</div>",
+    # a name that holds the page is no furniture
+    f"<body>{_MENU}<div class=widget><h1>+Title of it</h1>{_paragraphs(80, 60, 44)}</div>{_FOOT}",
+    f"<body><div class=notice>{_paragraphs(38, 90, 51, 27)}</div>{_FOOT}",
+    # pages that end with their text
+    f"<body><article>{_paragraphs(20, 5, 12)}</article>",
+    f"<body>{_MENU}<article><h1>+T</h1>{_paragraphs(3, 2)}</article>",
+    f"<body>{_MENU}<main>{_paragraphs(1, 2, 1)}</main>",
+    f"<body><article>{_paragraphs(30, 1)}<section class=warning-signs>{_paragraphs(58)}</section></article>",
+    f"<body><article><p>+see <a href=1>this page</a></p>{_paragraphs(2)}</article>",
+    f"<body>{_MENU}<div>{_paragraphs(44, 31, 26)}</div>",
+    f"<body>{_paragraphs(24, 51)}",
+    # furniture by its tag, on pages without an article
+    f"<body><header>{_paragraphs(18, mark='-')}</header><div>{_paragraphs(64, 45)}</div><aside>{_paragraphs(30, 41, 3, mark='-')}</aside><footer>{_paragraphs(35, 12, mark='-')}</footer>",
+    f"<body><nav>{_paragraphs(26, 2, mark='-')}</nav>{_paragraphs(55, 39)}<form>{_paragraphs(33, mark='-')}</form><aside>{_paragraphs(77, mark='-')}</aside>",
+    f"<body>{_paragraphs(81, 34)}<footer>{_paragraphs(48, mark='-')}</footer>",
+    f"<body><aside>{_paragraphs(52, 60, mark='-')}</aside><p hidden>{_prose(31, '-')}</p><div role=alert>{_paragraphs(36, mark='-')}</div><div>{_paragraphs(47, 29)}</div>",
+    f"<body><article>{_paragraphs(9)}<aside>{_paragraphs(40, 62, mark='-')}</aside>{_paragraphs(14, 3)}</article><footer>{_paragraphs(20, mark='-')}</footer>",
+    f"<body class='page with-sidebar'>{_MENU}<div id=page class=has-sidebar><h1>+Title</h1>{_paragraphs(45, 61)}</div>{_FOOT}",
 ]
 
 

@@ -3,21 +3,27 @@
 The kernel is the blended spectrum in its presence form: two texts are as alike
 as the number of 1- to 3-grams that both have at all, over the geometric mean of
 their numbers of grams.  Grams are of lower-cased letters, with everything else
-as one blank, and come from a table of ``GRAMS`` columns drawn from the
-landmarks.  ``LANDMARKS`` training texts (Nystroem) give every text a vector of
-kernel values; one-versus-rest kernel ridge regression on it has a column of
-weights for each language.  A batch is scored by two matrix products: presence
-of grams by landmarks, then by weights.
-
-Training rows are a bounded sample: at most ``TRAIN_ROWS`` labelled documents
-that are not held out, the same number for every language, chosen by a hash of
-doc_id; whole texts are learned from and whole texts are scored.  Held out are
-documents with crc32(doc_id as text) mod 4 = 2; neither they nor lang, source or
+as one blank; all grams count, as one of 2**``SLOTS`` hashes each.  ``LANDMARKS``
+training texts (Nystroem) give every text a vector of kernel values; one-versus-
+rest kernel ridge regression on it has a column of weights for each language.
+Kernel and weights are linear in the presence of grams, so the product of the
+landmarks' grams and the weights is taken once (a row for each gram that any
+landmark has), and a batch is scored by the product of its presence rows, which
+are sparse, with that matrix.
+
+Training rows are a bounded sample: at most ``TRAIN_ROWS`` labelled documents and
+``TRAIN_BYTES`` of text that are not held out, equal shares of both for every
+language, chosen by a hash of doc_id; whole texts are learned from (one that alone
+exceeds its language's share of bytes is not) and whole texts are scored.  Held out
+are documents with crc32(doc_id as text) mod 4 = 2; neither they nor lang, source or
 doc_id enter a prediction.
 
 Cases: null text or one without letters is ``und`` with score 0; without any
-training row every text is; a null doc_id is not held out and not learned from;
-texts of any length make one row of presence; repeated rows are judged each.
+training row every text is; a text none of whose grams any landmark has gets the
+language that sorts first, with score 0; a null doc_id is not held out and not
+learned from; texts of any length make one row of presence; ties go to the language
+that sorts first; repeated rows are judged each; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,16 +36,18 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from . import words as W
 from .cluster import ship, table
 
 TRAIN_ROWS = 1600
+TRAIN_BYTES = 64 << 20
 LANDMARKS = 192
-GRAMS = 4096
 RIDGE = 1e-2
-_SLOTS = 18
+SLOTS = 20
+TEXTS = 16  # that are looked at together
 _U = np.uint64
 
 
@@ -73,100 +81,122 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 break
             code = code[: len(letter) - n + 1] * _U(0x110001) + letter[n - 1 :] + _U(n)
             inside = doc[: len(code)] == doc[n - 1 :]
-            slots.append((W.mix(code[inside]) >> _U(64 - _SLOTS)).astype(np.int64))
+            slots.append((W.mix(code[inside]) >> _U(64 - SLOTS)).astype(np.int64))
             docs.append(doc[: len(code)][inside])
     return (np.concatenate(slots), np.concatenate(docs), n_letters) if slots else (np.zeros(0, np.int64), np.zeros(0, np.int64), n_letters)
 
 
+_places: list[np.ndarray] = []
+
+
+def presence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot, text) of every gram that a text has, once each, by text, and the number of letters of each text."""
+    if not _places:
+        _places.append(np.empty(TEXTS << SLOTS, np.int32))
+    last = _places[0]  # where a (text, slot) was seen last; needs no clearing
+    slots, docs, letters = [], [], []
+    for at in range(0, len(offsets) - 1, TEXTS):
+        cut = offsets[at : at + TEXTS + 1]
+        slot, doc, own = grams(data[cut[0] : cut[-1]], cut - cut[0])
+        key = (doc << SLOTS) + slot
+        number = np.arange(len(key), dtype=np.int32)
+        last[key] = number
+        once = np.flatnonzero(last[key] == number)
+        once = once[np.argsort(doc[once], kind="stable")]
+        slots.append(slot[once])
+        docs.append(doc[once] + at)
+        letters.append(own)
+    empty = np.zeros(0, np.int64)
+    return (np.concatenate(slots), np.concatenate(docs), np.concatenate(letters)) if slots else (empty, empty, empty)
+
+
 @dataclass
 class Model:
     languages: list[str]
     column: np.ndarray  # of each slot, -1 for none
-    landmarks: np.ndarray  # (grams, landmarks), scaled
-    weights: np.ndarray  # (landmarks, languages)
+    matrix: np.ndarray  # (grams of landmarks, outputs): the landmarks' presence rows, scaled, times weights
 
-    def presence(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot, doc, letters = grams(data, offsets)
-        x = np.zeros((len(offsets) - 1, self.landmarks.shape[0]), np.float32)
+    def product(self, slot: np.ndarray, doc: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled presence rows times the matrix, and how many grams of each text are known."""
+        size = np.sqrt(np.maximum(np.bincount(doc, minlength=texts), 1))
         col = self.column[slot]
-        known = col >= 0
-        x[doc[known], col[known]] = 1
-        return x, letters
-
-    def kernel(self, x: np.ndarray) -> np.ndarray:
-        size = np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-        return (x @ self.landmarks) / size
+        col, doc = col[col >= 0], doc[col >= 0]
+        known = np.bincount(doc, minlength=texts)
+        out = np.zeros((texts, self.matrix.shape[1]))
+        full = np.flatnonzero(known)
+        begin = np.cumsum(known)[full] - known[full]
+        for i in range(0, len(full), 64):
+            part, upto = full[i : i + 64], begin[i + 64] if i + 64 < len(full) else len(col)
+            out[part] = np.add.reduceat(self.matrix[col[begin[i] : upto]], begin[i : i + 64] - begin[i], axis=0)
+        return out / size[:, None], known
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
-        x, letters = self.presence(data, offsets)
+        slot, doc, letters = presence(data, offsets)
         if not self.languages:
             return ["und"] * len(letters), np.zeros(len(letters))
-        f = self.kernel(x) @ self.weights
+        f, known = self.product(slot, doc, len(letters))
         best = f.argmax(1)
-        score = np.clip((f[np.arange(len(f)), best].astype(float) + 1) / 2, 0, 1)
-        return [self.languages[b] if n else "und" for b, n in zip(best, letters, strict=True)], np.where(letters > 0, score, 0.0)
+        score = np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1)
+        return [self.languages[b] if n else "und" for b, n in zip(best, letters, strict=True)], np.where((letters > 0) & (known > 0), score, 0.0)
 
 
-def train(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, n_grams: int = GRAMS, ridge: float = RIDGE) -> Model:
+def train(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Texts come in a fixed order; landmarks are taken from each language in turn."""
     languages = sorted(set(langs))
     own = {g: [i for i, x in enumerate(langs) if x == g] for g in languages}
     chosen: list[int] = []
     for k in range(max(map(len, own.values()), default=0)):
         chosen += [own[g][k] for g in languages if k < len(own[g])]
-    chosen = chosen[:landmarks]
-    nothing = np.full(1 << _SLOTS, -1, np.int32)
+    chosen = chosen[: max(landmarks, len(languages))]
+    column = np.full(1 << SLOTS, -1, np.int32)
     if not chosen:
-        return Model([], nothing, np.zeros((1, 1), np.float32), np.zeros((1, 0), np.float32))
+        return Model([], column, np.zeros((1, 0)))
     encode = lambda rows: W.text_bytes(pa.array(rows, pa.large_string()))
-    slot, doc, _ = grams(*encode([texts[i] for i in chosen]))
-    pair = np.unique(slot * np.int64(len(chosen)) + doc)
-    seen = np.bincount(pair // len(chosen), minlength=1 << _SLOTS)
-    column = nothing.copy()
-    common = np.lexsort((np.arange(len(seen)), -seen))[:n_grams]
-    common = np.sort(common[seen[common] > 0])
-    column[common] = np.arange(len(common))
-    model = Model(languages, column, np.zeros((max(1, len(common)), 1), np.float32), np.zeros((1, 1), np.float32))
-    marks, _ = model.presence(*encode([texts[i] for i in chosen]))
-    model.landmarks = np.ascontiguousarray((marks / np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))).T)
-    rows = [model.kernel(model.presence(*encode(texts[i : i + 200]))[0]) for i in range(0, len(texts), 200)]
-    k, kmm = np.concatenate(rows).astype(float), model.kernel(marks).astype(float)
+    slot, doc, _ = presence(*encode([texts[i] for i in chosen]))
+    known = np.unique(slot)
+    column[known] = np.arange(len(known))
+    marks = np.zeros((max(1, len(known)), len(chosen)), np.float32)
+    marks[column[slot], doc] = (1 / np.sqrt(np.bincount(doc, minlength=len(chosen))))[doc]
+    kernel = Model(languages, column, marks)
+    of = lambda rows: kernel.product(*presence(*encode(rows))[:2], len(rows))[0]
+    k = np.concatenate([of(texts[i : i + 200]) for i in range(0, len(texts), 200)])
+    kmm = of([texts[i] for i in chosen])
     value, vector = np.linalg.eigh((kmm + kmm.T) / 2)
-    good = value > value.max() * 1e-6
+    good = value > max(value.max() * 1e-6, 1e-12)
     root = vector[:, good] / np.sqrt(value[good])
     z = k @ root
     y = np.where(np.array(langs)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     w = np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ y)
-    model.weights = (root @ w).astype(np.float32)
-    return model
+    return Model(languages, column, marks @ (root @ w))
 
 
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], list[str]]:
-    """Texts and languages of the training sample: rows in all at most, equally many a language."""
+def sample(docs: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> tuple[list[str], list[str]]:
+    """Texts and languages of the training sample: rows and bytes in all at most, equal shares a language (one row at least)."""
     able = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["count"] for r in able.groupBy("lang").count().collect()}  # a row for each language
-    each = max(1, rows // max(1, len(counts)))
+    share = lambda n: most_bytes // max(1, n)
+    counts = able.groupBy("lang").count()
+    languages = counts.count()
+    each = max(1, rows // max(1, languages))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    below = F.coalesce(*[F.when(F.col("lang") == g, F.lit(min(1 << 30, int(1.5 * each / n * (1 << 30)) + 1))) for g, n in sorted(counts.items())]) if counts else F.lit(0)
-    got = able.withColumn("draw", draw).where(F.col("draw") < below).orderBy("draw", "doc_id", F.xxhash64("text")).limit(2 * rows).select("text", "lang").collect()
-    texts, langs, have = [], [], dict.fromkeys(counts, 0)
-    for text, lang in got:
-        if have[lang] < each:
-            have[lang] += 1
-            texts.append(text)
-            langs.append(lang)
-    return texts, langs
+    # few more than the sample pass, of every language alike
+    limit = counts.select(F.col("lang").alias("of"), F.least(F.lit(1 << 30), F.ceil(F.lit(1.5 * each * (1 << 30)) / F.col("count")) + 1).alias("below"))
+    some = able.withColumn("draw", draw).join(F.broadcast(limit), F.col("lang") == F.col("of")).where(F.col("draw") < F.col("below"))  # a row a language
+    some = some.withColumn("size", F.octet_length("text")).where(F.col("size") <= share(languages))
+    order = Win.partitionBy("lang").orderBy("draw", "doc_id", "text_hash")
+    ranked = some.withColumn("text_hash", F.xxhash64("text")).withColumns({"nth": F.row_number().over(order), "upto": F.sum("size").over(order)})
+    got = ranked.where((F.col("nth") <= each) & (F.col("upto") <= share(languages))).orderBy("draw", "doc_id", "text_hash").select("text", "lang").collect()
+    return [r["text"] for r in got], [r["lang"] for r in got]
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every row."""
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(model)  # GRAMS x LANDMARKS numbers
+    sent = spark.sparkContext.broadcast(model)  # a row for each gram of the landmarks, whose texts TRAIN_BYTES bounds
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -97,16 +98,18 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure_batches(batches: Iterator[pa.RecordBatch], carry: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offsets in W.slices(batch):
             got = measure(data, offsets)
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(got[x]) for x in FEATURES)], ["doc_id", *FEATURES])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(got[x]) for x in FEATURES), *part.columns[2:]], ["doc_id", *FEATURES, *carry])
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and the features of every row; columns named in carry go along."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_measure_batches, _SCHEMA)
+    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carry)
+    return read.mapInArrow(partial(_measure_batches, carry=carry), _SCHEMA + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in read.schema[2:]))
 
 
 @dataclass(frozen=True)
@@ -165,26 +168,28 @@ class LabelModel:
 BAD_GIVEN_BAD, BAD_GIVEN_GOOD, GOOD_PRIOR = 0.35, 0.01, 0.85
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance: float = 1e-9, strength: float = 0.02) -> LabelModel:
+#: Texts that the starting values count as, at any size of the corpus.
+PRIOR_TEXTS = 50.0
+
+
+def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 500, tolerance: float = 1e-9, prior_texts: float = PRIOR_TEXTS) -> LabelModel:
     """EM for two classes with votes independent given the class.
 
     Texts are bad in different ways, so a bad text gets good votes from most
     rules; what tells is how rare a bad vote is among good texts.  The starting
-    values act as prior counts worth ``strength`` of the corpus (10 texts at
-    least): a rule that never votes bad keeps a probability above 0, and the
-    two classes cannot swap.
+    values act as prior counts of a fixed number of texts: a rule that never votes
+    bad keeps a probability above 0, and the two classes do not swap.
     """
     rules = votes.shape[1]
     start = np.repeat(np.array([[BAD_GIVEN_BAD], [BAD_GIVEN_GOOD]]), rules, 1)
     model = LabelModel(GOOD_PRIOR, start)
-    pseudo = max(10.0, strength * counts.sum())
     for _ in range(rounds):
         q = model.posterior(votes)
         new = np.empty_like(start)
         for k, weight in ((0, counts * (1 - q)), (1, counts * q)):
             bad, voted = ((votes < 0) * weight[:, None]).sum(0), ((votes != 0) * weight[:, None]).sum(0)
-            new[k] = (bad + pseudo * start[k]) / (voted + pseudo)
-        prior = float(np.clip((counts @ q + pseudo * GOOD_PRIOR) / (counts.sum() + pseudo), 0.05, 0.99))
+            new[k] = (bad + prior_texts * start[k]) / (voted + prior_texts)
+        prior = float(np.clip((counts @ q + prior_texts * GOOD_PRIOR) / (counts.sum() + prior_texts), 0.05, 0.99))
         moved = max(np.abs(new - model.bad_given).max(), abs(prior - model.prior))
         model = LabelModel(prior, new)
         if moved < tolerance:
@@ -192,17 +197,17 @@ def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance: flo
     return model
 
 
-def judge(docs: DataFrame, threshold: float = 0.5, rules: list[Rule] | None = None) -> DataFrame:
-    """doc_id, the features, each rule's vote, p_good, base_failed and kept."""
+def judge(docs: DataFrame, threshold: float = 0.5, rules: list[Rule] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the features, each rule's vote, p_good, base_failed and kept; columns named in carry go along."""
     spark = docs.sparkSession
     rules = default_rules() if rules is None else rules
     names = [f"vote_{r.name}" for r in rules]
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     code = sum(((F.col(n) + 1) * 3**k for k, n in enumerate(names)), F.lit(0)).cast("int")
     voted = materialise(
-        features(docs).withColumns({n: r.vote().cast("int") for n, r in zip(names, rules, strict=True)}).withColumn("pattern", code).withColumn("base_failed", base)
+        features(docs, carry).withColumns({n: r.vote().cast("int") for n, r in zip(names, rules, strict=True)}).withColumn("pattern", code).withColumn("base_failed", base)
     )
-    counted = voted.groupBy("pattern").count().collect()  # at most 3**R rows
+    counted = sorted(voted.groupBy("pattern").count().collect())  # at most 3**R rows, in one order so that sums are the same each time
     pattern = np.array([r["pattern"] for r in counted], np.int64)
     votes = np.stack([pattern // 3**k % 3 - 1 for k in range(len(rules))], 1) if len(rules) else np.zeros((len(pattern), 0), np.int64)
     model = fit(votes, np.array([r["count"] for r in counted], float))
