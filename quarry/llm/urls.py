@@ -16,7 +16,9 @@ one array is mapped at a time; memory-mapped pages are the system's to drop.
 Cases: null or no "://": host and path are empty and no rule fits.  Repeated
 rules count once, the first verdict in string order of (key, verdict) wins; a
 rule with a null key is ignored.  Urls without rule get the default verdict:
-the list names what is blocked, so anything else is allowed.
+the list names what is blocked, so anything else is allowed.  Repeated pages are
+judged each, urls of any length whole; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations

@@ -93,6 +93,20 @@ def test_decontamination():
     assert got == brute_windows(texts, items)
 
 
+def test_decontamination_blocks(spark):
+    """A benchmark in many blocks, held one at a time, gives what one block gives; hot ends of windows do not matter."""
+    rng = random.Random(18)
+    items = [(str(i), prose(rng, rng.randint(3, 40)) + " of the") for i in range(40)] + [("9999", " ".join(["of the"] * 9))]
+    texts = [prose(rng, 60) + " " + rng.choice(items)[1] + " " + prose(rng, 40) for _ in range(60)] + ["of the " * 2000, None, "", "of the"] * 2
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = table(spark, texts, extra=True)
+    got = [{r["doc_id"]: (r["n_words"], sum(s["last"] - s["first"] + 1 for s in r["spans"]), r["items"]) for r in decontam.decontaminate(docs, bench, block_bytes=b, carry=("kept",)).collect()} for b in (1 << 20, 300)]
+    assert got[0] == got[1]
+    few = [i for i, t in enumerate(texts) if len(t or "") < 2000]
+    assert [got[0][i] for i in few] == brute_windows([texts[i] for i in few], items)
+    assert decontam.decontaminate(docs.limit(0), bench).count() == 0
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, "one"), (1, "one"), (None, "a b c"), (3, None)], "item_id long, text string")
     out = {r["doc_id"]: r for r in decontam.digest(decontam.decontaminate(table(spark, ODD, extra=True), bench)).collect()}
@@ -195,6 +209,31 @@ def test_token_counts():
     assert tokens.count_tokens(*W.text_bytes(pa.array(texts)), tokens.read_tokenizer(path)).tolist() == want
 
 
+def test_counting_machine():
+    """Counts on transitions equal those of merging, piece by piece; the machine may begin anew at any time."""
+    P = pytest.importorskip("public_tokenizers")
+    merges = tokens.read_tokenizer(P.path(tokens.TOKENIZER))
+    m, rng = tokens.machine(merges), random.Random(17)
+    pieces = [b"".join(rng.choices(m.bytes, k=rng.randint(1, 6))) for _ in range(3000)] + [bytes(rng.choices(range(256), k=rng.randint(1, 40))) for _ in range(500)] + [b"a" * 700, b"-" * 900]
+    data, at = np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+    want = [len(m.encode(p)) for p in pieces]
+    assert m.count(data, at[:-1], at[1:]).tolist() == want
+    m._clear()
+    assert m.count(data, at[:-1], at[1:]).tolist() == want and m.count(data, at[:0], at[:0]).tolist() == []
+    assert (m.emit < 0).any()  # a merge takes back what was counted
+
+
+def test_token_counts_spark(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    texts = ODD + ["word " * 300_000, "x" * 200_000] + ODD
+    out = tokens.token_counts(table(spark, texts, extra=True), P.path(tokens.TOKENIZER)).collect()
+    want = [len(x) for x in Tokenizer.from_file(P.path(tokens.TOKENIZER)).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [(r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in sorted(out, key=lambda r: r["doc_id"])] == [(len((t or "").encode()), n, n > 512) for t, n in zip(texts, want)]
+    assert tokens.token_counts(table(spark, texts).limit(0), P.path(tokens.TOKENIZER)).count() == 0
+
+
 def test_scan_of_maps():
     rng = np.random.default_rng(7)
     maps, out, at = rng.integers(0, 12, (37, 12)).astype(np.uint8), tokens.compose_scan, np.arange(12)
@@ -212,6 +251,113 @@ def test_html():
     assert x("<article><p>1 < 2 &amp;lt; 3<br>4</p><p unfinished") == "1 < 2 &lt; 3 4"
 
 
+def plain_main_text(page):
+    """The article of a well-formed page by the standard library's parser: what stands in article or main, without furniture."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.lines, self.now = [], [], []
+
+        def cut(self):
+            text = " ".join("".join(self.now).split())
+            self.now = []
+            if text:
+                self.lines.append(text)
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.now.append(" ")
+            if tag in html_text.BLOCK:
+                self.cut()
+            if tag not in html_text.VOID:
+                self.stack.append((tag, dict(attrs).get("class") or ""))
+
+        def handle_endtag(self, tag):
+            if tag in html_text.BLOCK:
+                self.cut()
+            if any(t == tag for t, _ in self.stack):
+                while self.stack.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            tags = {t for t, _ in self.stack}
+            if tags & {"article", "main"} and not tags & {"nav", "aside", "footer", "form", "script", "style"} and not {c for _, c in self.stack} & {"comments", "ad", "newsletter"}:
+                self.now.append(data)
+
+    reader = Reader()
+    reader.feed(page or "")
+    reader.close()
+    reader.cut()
+    return "\n".join(reader.lines)
+
+
+def test_html_plain(spark):
+    """Generated pages with every kind of furniture, through Spark, against a plain reader."""
+    rng = random.Random(15)
+    para = lambda: "<p>" + prose(rng, rng.randint(1, 60)).replace("mu", "<b>m</b>u &amp; &#233;", 1) + "</p>"
+    menu = "<nav><ul>" + "".join(f"<li><a href=/{i}>{prose(rng, 2)}</a></li>" for i in range(5)) + "</ul></nav>"
+    pages_ = []
+    for i in range(120):
+        body = [f"<h1>{prose(rng, 5)}</h1>", *(para() for _ in range(rng.randint(1, 9)))]
+        for extra in rng.sample(['<div class="ad">' + para() + "</div>", '<div class="newsletter">' + para() + "</div>", "<aside>" + para() + "</aside>", "<form>" + para() + "</form>", "<script src=https://x.com/>var a = '<p>no</p>'</script>", "<ul><li>one of</li><li>two of</li></ul>", '<section class="warning-signs">' + "<p>" + prose(rng, 50) + "</p></section>"], rng.randint(0, 4)):
+            body.insert(rng.randint(1, len(body)), extra)
+        text = "".join(body) + ('<div class="comments">' + para() + para() + "</div>" if i % 3 == 0 else "")
+        pages_.append(f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body>{menu}<article>{text}</article>" + ("<aside>" + para() * 3 + "</aside>" if i % 2 else "") + "<footer><p>All rights of " + prose(rng, 4) + "</p></footer></body></html>")
+    rows = [(i, f"u{i}", p) for i, p in enumerate(pages_)] + [(900, None, None), (901, "u", ""), (0, "u0", pages_[0])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
+    got = html_text.main_text(df).collect()
+    want = {i: plain_main_text(p) for i, p in enumerate(pages_)} | {900: "", 901: ""}
+    assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
+    alike = [r["text"] == want[r["page_id"]] for r in got]
+    lines = [(len(set(r["text"].split("\n")) & set(want[r["page_id"]].split("\n"))), len(set(r["text"].split("\n")) | set(want[r["page_id"]].split("\n")))) for r in got]
+    assert sum(alike) >= 0.95 * len(alike) and sum(a for a, _ in lines) >= 0.99 * sum(b for _, b in lines)
+    assert html_text.main_text(df.limit(0)).count() == 0
+
+
+def test_html_edges():
+    x, words = html_text.extract, lambda n: "<p>" + " ".join(["word"] * n) + "</p>"
+    assert x("<article><p>a b</p><script src=https://x.com/>var leak=1</script><p>c &<b>amp;</b> d</p></article>") == "a b\nc &amp; d"
+    assert len(x(f'<body><nav><a href=/>x</a></nav><div class="share-price">{words(60)}</div>').split()) == 60
+    assert len(x(f'<article><p>hello there</p><section class="warning-signs">{words(60)}</section></article>').split()) == 62
+    assert x('<article><p>a b</p><p class="hidden-gem">c d</p><p title="hidden">e f</p><p hidden>g</p><p style="display: none">h</p></article>') == "a b\nc d\ne f"
+    assert x("<div>" * 40_000 + "</ul>" * 40_000 + words(30)) == " ".join(["word"] * 30)
+    assert len(x("<article>" + words(500_000) + "</article>")) == 5 * 500_000 - 1
+
+
+def test_urls_lists(spark, monkeypatch):
+    """Several arrays, equal digests, null and repeated rules, other columns, an empty table."""
+    rng = random.Random(16)
+    rules = [(f"h{rng.randint(0, 400)}.{rng.choice(['net', 'org'])}/{rng.choice(['', 'a/', 'a/b/'])}", rng.choice(["block", "allow"])) for _ in range(300)] + [(None, "block"), ("net/", "block"), ("net/", "allow")]
+    rows = [(i, f"http://{rng.choice(['', 'www.'])}H{rng.randint(0, 400)}.{rng.choice(['net', 'org'])}/{rng.choice(['', 'a/x', 'a/b/c?d'])}") for i in range(500)] * 2
+    first = {}
+    for k, v in sorted(r for r in rules if r[0]):
+        first.setdefault(k, v)
+
+    def plain(url):
+        host, _, path = url.partition("://")[2].partition("/")
+        host, path = host.lower(), "/" + path.split("?")[0]
+        fits = [k for k in first if (host == k[: k.index("/")] or host.endswith("." + k[: k.index("/")])) and path.startswith(k[k.index("/") :])]
+        best = min(fits, key=lambda k: (-len(k), k), default=None)
+        return best, first.get(best, "allow")
+
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'x' as host", "'y' as rule", "'z' as verdict")
+    for most in (1 << 20, 2000):
+        monkeypatch.setattr(urls, "MAX_LIST_BYTES", most)
+        got = urls.judge(df, rules).collect()
+        assert len(got) == len(rows) and all((r["rule"], r["verdict"]) == plain(rows[r["page_id"]][1]) for r in got)
+    assert urls.judge(df.limit(0), rules).count() == 0
+
+
+def test_urls_equal_digests(tmp_path, monkeypatch):
+    monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda x: len(x) % 3)
+    keys = [(f"k{i}" * (i % 4 + 1), "block") for i in range(30)]
+    urls.build(keys, tmp_path, "l")
+    found = urls.DigestArray(*(str(tmp_path / f"l.{e}") for e in ("keys", "at", "text")))
+    assert found.find([k.encode() for k, _ in keys] + [b"nothing", b"k"]) == ["block"] * 30 + [None, None]
+
+
 def test_urls(spark):
     rows = [(1, "https://a.Example.NET/en/x?q"), (2, "http://b.net/de/"), (3, "http://example.com/de/1#t"), (4, "https://x.org/fr/"), (5, None), (6, "no scheme"), (7, "http://net?x"), (8, "http://notexample.com/de/")]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), urls.RULES).collect()}
@@ -231,6 +377,42 @@ def test_language(spark):
     assert langid.identify(docs, langid.train([], [])).first()["lang_pred"] == "und"
 
 
+def test_language_rare(spark):
+    """Many languages, rare ones too, in shares; whole texts beyond their share of bytes are not learned from."""
+    rng = random.Random(19)
+    rows, n = [], 0
+    for k in range(30):
+        voice = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz" if k % 2 else "абвгдежзиклмнопрстуфхцч", k=4)) for _ in range(5)]
+        for _ in range(400 if k == 0 else 12):
+            n += 1
+            rows.append((n, " ".join(rng.choices(voice, k=20)), f"l{k:02}", "s", 0))
+    docs = spark.createDataFrame(rows + rows[:5] + [(5000, "x" * 400_000, "l99", "s", 0)], DOCS).selectExpr("*", "1 as lang_pred", "2 as score")
+    texts, langs = langid.sample(docs, 90, 300_000)
+    assert len(set(langs)) == 30 and max(map(langs.count, langs)) == 2 and max(map(len, texts)) < 1000
+    model = langid.train(*langid.sample(docs))
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    assert np.mean([got[r[0]]["lang_pred"] == r[2] for r in rows]) > 0.97 and len(got) == len(rows) + 1
+    unknown = langid.identify(spark.createDataFrame([(1, "日本語", None, None, 0)], DOCS), model).first()
+    assert (unknown["lang_pred"], unknown["score"]) == ("l00", 0.0)
+    assert langid.identify(docs.limit(0), model).count() == 0
+
+
+def test_language_kernel():
+    """Scores equal the kernel written out: shared grams over the root of both numbers of grams."""
+    rng = random.Random(20)
+    texts = [prose(rng, rng.randint(1, 30)) for _ in range(40)]
+    grams = [{t[i : i + n] for t in [re.sub(r"[^a-z]+", " ", t)] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t in texts]
+    slot, doc, _ = langid.presence(*W.text_bytes(pa.array(texts, pa.large_string())))
+    assert np.bincount(doc, minlength=40).tolist() == list(map(len, grams))
+    column = np.full(1 << langid.SLOTS, -1, np.int32)
+    column[np.unique(slot)] = np.arange(len(np.unique(slot)))
+    marks = np.zeros((len(np.unique(slot)), 40))
+    marks[column[slot], doc] = (1 / np.sqrt(np.bincount(doc)))[doc]
+    got = langid.Model(["a"], column, marks).product(slot, doc, 40)[0]
+    want = [[len(a & b) / (len(a) * len(b)) ** 0.5 for b in grams] for a in grams]
+    assert np.allclose(got, want)
+
+
 def test_sharding(spark):
     rng = random.Random(9)
     texts = [prose(rng, rng.randint(1, 60)) for _ in range(400)] + ["the same text"] * 150 + ODD[:5]
