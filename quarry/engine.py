@@ -14,6 +14,7 @@ from .operators import events as E
 from .operators import feeds as P
 from .operators import similarity as N
 from .operators import tables as T
+from .schemas import conform
 from .sources.stores import Store
 
 
@@ -55,20 +56,18 @@ class Engine:
         rows = K.shuffled(videos, self.seed, limit) if cache.isEmpty() else videos.join(K.cache_window(cache, 0, limit).select(*K.KEY, "position"), K.KEY).orderBy("position")
         return K.moderate(rows, self._t("instance_denylist"), self._t("channel_moderation"))
 
-    def similar(self, ref: str, host: str | None = None, limit: int = C.BATCH, likes: DataFrame | None = None) -> DataFrame:
-        """Videos like one: from the cache if its list is valid, else searched; one a channel; ordered by unified score."""
-        videos, embeddings = self._t("videos"), self._t("video_embeddings")
+    def similar(self, ref: str, host: str | None = None, limit: int = C.BATCH, likes: DataFrame | None = None, policy: N.CachePolicy = N.CachePolicy(), at: int | None = None) -> DataFrame:
+        """Videos like one: from the cache if its list is valid, else searched (and the new list stored, where policy and ``at`` allow); one a channel; ordered by unified score."""
+        videos, embeddings, items = self._t("videos"), self._t("video_embeddings"), self._t("similarity_items")
         seed = K.lookup(videos, self._t("channels"), ref, host).join(embeddings.select(*K.KEY, "embedding"), K.KEY)
         if seed.isEmpty():
             raise LookupError(f"no embedding for {ref}")
-        own = seed.select(F.col("video_id").alias("source_video_id"), F.col("instance_domain").alias("source_instance_domain"))
-        items = self._t("similarity_items").join(own, own.columns, "left_semi")
-        if N.valid_cache(items, limit).where("hit").isEmpty():
-            found = N.knn(seed, embeddings, C.SEARCH_LIMIT).select(*K.KEY, F.col("score").alias("similarity_score"), "rank")
-        else:
-            found = items.select(F.col("similar_video_id").alias("video_id"), F.col("similar_instance_domain").alias("instance_domain"), F.col("score").alias("similarity_score"), "rank")
+        near, new = N.similar_candidates(seed, embeddings, items, C.SEARCH_LIMIT, policy)
+        if at is not None and not new.isEmpty():
+            self.store.write("similarity_items", N.store_similar(items, new), at)
+        found = near.select(F.col("similar_video_id").alias("video_id"), F.col("similar_instance_domain").alias("instance_domain"), F.col("score").alias("similarity_score"), "rank")
         rows = videos.where(K.usable()).join(found, K.KEY)
-        page = P.related(K.capped(rows, [F.col("rank")], 1, 0).drop("rank"), C.UPNEXT, self.now_ms, limit)
+        page = P.related(K.capped(rows, [F.col("rank")], C.SIMILAR_AUTHOR_CAP, 0).drop("rank"), C.UPNEXT, self.now_ms, limit)
         page = page.withColumn("rank_after", F.col("rank")) if likes is None else P.personalized(page, embeddings, likes, C.RELATED_ALPHA, C.RELATED_BETA)
         return K.moderate(page, self._t("instance_denylist"), self._t("channel_moderation"))
 
@@ -90,13 +89,12 @@ class Engine:
         return self._t("video_embeddings").agg(F.count("*").alias("total"), F.any_value("embedding_dim").alias("dim"))
 
     def ingest(self, events: DataFrame, at: int) -> DataFrame:
-        """Store new valid events (with arrival) and their signals; the rejects are returned."""
-        good, bad = E.split(events)
-        stored = self._t("interaction_raw_events")
-        new = E.first_arrivals(good, stored).drop("arrival")
-        self.store.write("interaction_raw_events", stored.unionByName(new.withColumn("ingested_at", F.lit(at).cast("long")), allowMissingColumns=True), at)
-        every = self._t("interaction_raw_events").withColumn("arrival", F.struct("ingested_at", "published_at", "event_id"))
-        self.store.write("interaction_signals", E.signals(every).drop("last_arrival").withColumn("updated_at", F.lit(at).cast("long")), at)
+        """Store new valid events (with arrival) and update the signals of the videos they touch, both or neither; the rejects are returned."""
+        stored, old = self._t("interaction_raw_events"), self._t("interaction_signals")
+        new, touched, bad = E.ingest(events, stored, old)
+        rows = conform(new.withColumn("ingested_at", F.lit(at).cast("long")), "interaction_raw_events")
+        signals = old.join(touched.select(*E.KEY), E.KEY, "left_anti").unionByName(touched.drop("last_arrival").withColumn("updated_at", F.lit(at).cast("long")))
+        self.store.write_all({"interaction_raw_events": stored.unionByName(rows, allowMissingColumns=True), "interaction_signals": signals}, at)
         return bad
 
     def block_host(self, host: str, at: int, purge: bool = False, yes: bool = False) -> DataFrame:
@@ -116,8 +114,8 @@ class Engine:
         one = self.spark.createDataFrame([(host,)], "host string").select(S.normalize_host("host").alias("host"), F.lit(0).alias("is_active"), F.lit(at).cast("long").alias("updated_at"))
         self.store.write("instance_denylist", T.patch(self._t("instance_denylist"), one, ["host"], ["is_active", "updated_at"]), at)
 
-    def refresh(self, stage: dict[str, DataFrame], rules: Sequence[dict], at: int, top_k: int = C.SIMILAR_PER_LIKE) -> dict[str, int]:
-        """Batch refresh: deltas, merge, denylist prune, popularity, similarity.  A failure leaves the old versions current."""
+    def refresh(self, stage: dict[str, DataFrame], rules: Sequence[dict], at: int, top_k: int = C.SIMILAR_PER_LIKE, least_recall: float = 0.9) -> dict[str, int]:
+        """Batch refresh: deltas, merge, denylist prune, popularity, similarity (by the index, with the probes that reach least_recall on a sample).  A failure leaves the old versions current."""
         prod = {r["name"]: self._t(r["name"]) for r in rules}
         deltas = {r["name"]: r["n"] for r in T.delta_counts({r["name"]: (prod[r["name"]], stage[r["name"]], r["keys"]) for r in rules}).collect()}
         denied = self._t("instance_denylist").where("is_active = 1")
@@ -128,6 +126,8 @@ class Engine:
                 kept = kept.withColumn("popularity", F.when(F.coalesce("popularity", F.lit(0.0)) == 0, S.popularity("views", "likes", "published_at", self.now_ms)).otherwise(F.col("popularity")))
             self.store.write(name, kept, at)
         e = self._t("video_embeddings").select(*K.KEY, "embedding")
-        near = N.knn(e, e, top_k)
+        lists = max(1, min(N.LISTS, int(e.count() ** 0.5)))
+        index = N.build_index(e, *N.train_index(e, lists))
+        near = N.ivf_knn(e, index, e, top_k, N.probes_for(index, e, min(top_k, 10), least_recall))
         self.store.write("similarity_items", near.select(F.col("src_id").alias("source_video_id"), F.col("src_host").alias("source_instance_domain"), F.col("video_id").alias("similar_video_id"), F.col("instance_domain").alias("similar_instance_domain"), "score", "rank"), at)
         return deltas

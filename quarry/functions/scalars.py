@@ -88,9 +88,10 @@ def video_ref(url) -> tuple[Column, Column]:
 
 
 def parse_tags(x) -> Column:
-    """Array of trimmed tags of a JSON list; any other text is one tag."""
+    """Array of trimmed tags of a JSON list; a JSON string, or any other text, is one tag."""
     listed = F.from_json(_c(x), "array<string>")
-    return F.filter(F.transform(F.coalesce(listed, F.array(_c(x))), lambda t: F.trim(t)), lambda t: t.isNotNull() & (t != ""))
+    single = F.when(F.trim(_c(x)).rlike(r'(?s)^".*"$'), F.element_at(F.from_json(F.concat(F.lit("["), _c(x), F.lit("]")), "array<string>"), 1))
+    return F.filter(F.transform(F.coalesce(listed, F.array(F.coalesce(single, _c(x)))), lambda t: F.trim(t)), lambda t: t.isNotNull() & (t != ""))
 
 
 def embedding_text(title, description, tags, category, channel, comments) -> Column:

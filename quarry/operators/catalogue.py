@@ -51,13 +51,15 @@ def recent(videos: DataFrame, embeddings: DataFrame, limit: int, threshold: int
     return v.orderBy(F.desc_nulls_last("published_at"), F.desc("video_id")).limit(limit)
 
 
+def ranked_popular(rows: DataFrame, limit: int) -> DataFrame:
+    """The first rows (of with_signals) by popularity and signals, with their position."""
+    order = [F.round(F.col("popularity") + F.col("interaction_signal_score"), 9).desc(), F.desc_nulls_last("adjusted_likes"), F.desc_nulls_last("views"), F.desc_nulls_last("published_at"), F.desc("video_id")]
+    return rows.orderBy(*order).limit(limit).withColumn("position", F.row_number().over(W.orderBy(*order)))  # limit rows, not the catalogue
+
+
 def popular(videos: DataFrame, signals: DataFrame, embeddings: DataFrame, limit: int, threshold: int | None = ERROR_THRESHOLD) -> DataFrame:
     """The pool is cut first, and only then joined with embeddings, so fewer rows than limit may be left."""
-    v = with_signals(videos.where(usable(threshold)), signals)
-    order = [F.round(F.col("popularity") + F.col("interaction_signal_score"), 9).desc(), F.desc_nulls_last("adjusted_likes"), F.desc_nulls_last("views"), F.desc_nulls_last("published_at"), F.desc("video_id")]
-    pool = v.orderBy(*order).limit(limit)
-    ranked = pool.withColumn("position", F.row_number().over(W.orderBy(*order)))  # limit rows, not the catalogue
-    return ranked.join(embeddings.select(*KEY), KEY, "left_semi")
+    return ranked_popular(with_signals(videos.where(usable(threshold)), signals), limit).join(embeddings.select(*KEY), KEY, "left_semi")
 
 
 def shuffled(videos: DataFrame, seed: str, limit: int | None = None) -> DataFrame:

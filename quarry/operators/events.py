@@ -26,28 +26,58 @@ def split(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def first_arrivals(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """One row for each event_id, the first to arrive, none that is stored."""
-    rn = F.row_number().over(W.partitionBy("event_id").orderBy("arrival"))
-    new = events.withColumn("_rn", rn).where("_rn = 1").drop("_rn")
-    return new if stored is None else new.join(stored.select("event_id"), "event_id", "left_anti")
+    """One row for each event_id, the first to arrive, none that is stored.  Copies of one event are reduced before the shuffle."""
+    one = events.groupBy("event_id").agg(F.min_by(F.struct(*events.columns), "arrival").alias("_e")).select("_e.*")
+    return one if stored is None else one.join(stored.select("event_id"), "event_id", "left_anti")
 
 
-def signals(events: DataFrame) -> DataFrame:
-    """Counters of each video after its events in order of arrival.
+#: Arrival numbers that one slice of a video's events spans.
+SLICE = 100_000
+COUNTERS = ["likes_count", "undo_likes_count", "comments_count", "signal_score"]
 
-    The first event sets the counters, below zero too; each later one adds and
-    clamps at zero.  With running sums S the result is S_n - min(0, S_2..S_n), so
-    no row is folded one by one.
+
+def signals(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Counters of each video after its events in order of arrival, on top of stored ones.
+
+    The first event of a video that has no counters sets them, below zero too; each
+    later one adds and clamps at zero.  With running sums S on top of x the result
+    is x + S_n - min(0, x + S_1, ..., x + S_n), without S_1 where it sets, so no row
+    is folded one by one.  Sums and least running sums of slices of arrival numbers
+    compose, so a video with very many events is dealt over its slices.
     """
-    order = W.partitionBy(*KEY).orderBy("arrival")
-    names = ["likes_count", "undo_likes_count", "comments_count", "signal_score"]
-    df = events.withColumn("_n", F.row_number().over(order))
-    for k, c in enumerate(names):
-        df = df.withColumn(c, F.sum(S.event_delta("event_type", k)).over(order))
-    done = df.groupBy(*KEY).agg(
-        *[(F.max_by(c, "arrival") - F.least(F.lit(0), F.coalesce(F.min(F.when(F.col("_n") > 1, F.col(c))), F.lit(0)))).alias(c) for c in names], F.max("arrival").alias("last_arrival")
-    )
-    return done.select(*KEY, *[F.col(c).cast("double" if c == "signal_score" else "long") for c in names], "last_arrival")
+    slices = W.partitionBy(*KEY, "_slice")
+    df = events.withColumn("_slice", F.expr(f"cast(arrival as bigint) div {SLICE}L")).select(*KEY, "_slice", "arrival", *[S.event_delta("event_type", k).alias(c) for k, c in enumerate(COUNTERS)])
+    order = slices.orderBy("arrival")
+    df = df.withColumn("_n", F.row_number().over(order)).withColumns({f"_s{k}": F.sum(c).over(order) for k, c in enumerate(COUNTERS)})
+    parts = df.groupBy(*KEY, "_slice").agg(
+        F.max("arrival").alias("last_arrival"), *[F.sum(c).alias(f"t{k}") for k, c in enumerate(COUNTERS)],
+        *[F.min(f"_s{k}").alias(f"m{k}") for k in range(4)], *[F.min(F.when(F.col("_n") > 1, F.col(f"_s{k}"))).alias(f"f{k}") for k in range(4)],
+    )
+    before = W.partitionBy(*KEY).orderBy("_slice")
+    parts = parts.withColumn("_first", F.row_number().over(before) == 1)
+    earlier = before.rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumns({f"b{k}": F.coalesce(F.sum(f"t{k}").over(earlier), F.lit(0)) for k in range(4)})
+    done = parts.groupBy(*KEY).agg(
+        F.max("last_arrival").alias("last_arrival"), *[F.sum(f"t{k}").alias(f"t{k}") for k in range(4)],
+        *[F.min(F.col(f"b{k}") + F.col(f"m{k}")).alias(f"m{k}") for k in range(4)],
+        *[F.min(F.col(f"b{k}") + F.when(F.col("_first"), F.col(f"f{k}")).otherwise(F.col(f"m{k}"))).alias(f"f{k}") for k in range(4)],
+    )
+    if stored is None:
+        old = {c: F.lit(0) for c in COUNTERS}
+        has = F.lit(False)
+    else:
+        done = done.join(stored.select(*KEY, *[F.col(c).alias(f"_old_{c}") for c in COUNTERS], F.lit(True).alias("_has")), KEY, "left")
+        old = {c: F.coalesce(f"_old_{c}", F.lit(0)) for c in COUNTERS}
+        has = F.coalesce("_has", F.lit(False))
+    value = lambda k, c: old[c] + F.col(f"t{k}") - F.least(F.lit(0), F.coalesce(old[c] + F.when(has, F.col(f"m{k}")).otherwise(F.col(f"f{k}")), F.lit(0)))
+    return done.select(*KEY, *[value(k, c).cast("double" if c == "signal_score" else "long").alias(c) for k, c in enumerate(COUNTERS)], "last_arrival")
+
+
+def ingest(events: DataFrame, stored_events: DataFrame, stored_signals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new events, counters of the videos they touch, rejects): a batch with arrival numbers on top of what is stored."""
+    good, bad = split(events)
+    new = first_arrivals(good, stored_events)
+    return new, signals(new, stored_signals), bad
 
 
 def recent_likes(likes: DataFrame, limit: int, per: str = "user_id") -> DataFrame:

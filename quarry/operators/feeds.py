@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..config import NEEDS_LIKES, POOL, Layer, Profile, fetch_limits, shares
 from ..functions import scalars as S
 from . import similarity as V
-from .catalogue import KEY, capped, moderate, popular, recent, shuffled, stable, usable
+from .catalogue import KEY, capped, moderate, ranked_popular, shuffled, stable, usable, with_signals
+from .tables import settled
 
 
 def sampled(pool: DataFrame, limit: int, seed: str, order: list[Column]) -> DataFrame:
@@ -33,10 +34,19 @@ def in_range(rows: DataFrame, low: float | None, high: float | None) -> DataFram
 
 
 class Candidates:
-    """The five layers over one catalogue; each gives video columns, similarity_score and position."""
+    """The layers over one catalogue; each gives video columns, similarity_score and position.
+
+    ``base`` (usable videos with signals, and whether they have an embedding) is what
+    all layers start from; a feed computes it once.
+    """
 
     def __init__(self, videos: DataFrame, embeddings: DataFrame, signals: DataFrame, liked: DataFrame | None, seed: str, pools: dict[str, int] = POOL):
-        self.videos, self.embeddings, self.signals, self.liked, self.seed, self.pools = videos, embeddings, signals, liked, seed, pools
+        self.embeddings, self.liked, self.seed, self.pools = embeddings, liked, seed, pools
+        known = embeddings.select(*KEY).distinct().withColumn("_embedded", F.lit(True))
+        self.base = with_signals(videos.where(usable()), signals).join(known, KEY, "left")
+
+    def _able(self) -> DataFrame:
+        return self.base.where("_embedded").drop("_embedded", "adjusted_likes", "interaction_signal_score")
 
     def _scored(self, pool: DataFrame) -> DataFrame:
         if self.liked is None:
@@ -44,18 +54,19 @@ class Candidates:
         return V.max_similarity(pool.join(self.embeddings.select(*KEY, "embedding"), KEY), self.liked).drop("embedding")
 
     def _random_pool(self, name: str, size: int) -> DataFrame:
-        v = self.videos.where(usable()).join(self.embeddings.select(*KEY), KEY, "left_semi")
         lot = S.seeded(f"{self.seed}:{name}", S.like_key("video_id", "instance_domain"))
-        return shuffled(v, f"{self.seed}:{name}", size).withColumn("_lot", lot)
+        return shuffled(self._able(), f"{self.seed}:{name}", size).withColumn("_lot", lot)
 
     def popular(self, layer: Layer, limit: int) -> DataFrame:
-        pool = popular(self.videos, self.signals, self.embeddings, self.pools["popular"]).withColumnRenamed("position", "_lot").drop("adjusted_likes", "interaction_signal_score")
+        ranked = ranked_popular(self.base, self.pools["popular"]).where("_embedded")
+        pool = ranked.withColumnRenamed("position", "_lot").drop("_embedded", "adjusted_likes", "interaction_signal_score")
         kept = self._scored(capped(pool, [F.col("_lot")], layer.author_cap, layer.instance_cap))
         return sampled(kept, limit, f"{self.seed}:popular", [F.col("_lot")]).drop("_lot")
 
     def fresh(self, layer: Layer, limit: int) -> DataFrame:
         order = [F.desc_nulls_last("published_at"), F.desc("video_id")]
-        kept = self._scored(capped(recent(self.videos, self.embeddings, self.pools["fresh"]), order, layer.author_cap, layer.instance_cap))
+        pool = self._able().orderBy(*order).limit(self.pools["fresh"])
+        kept = self._scored(capped(pool, order, layer.author_cap, layer.instance_cap))
         return sampled(kept, limit, f"{self.seed}:fresh", order)
 
     def random(self, layer: Layer, limit: int) -> DataFrame:
@@ -74,7 +85,7 @@ class Candidates:
         """Similar to any like: each like's best, liked videos left out, the best score of each video counts."""
         near = V.knn(self.liked.select(*KEY, "embedding"), self.embeddings.select(*KEY, "embedding"), self.pools["exploit"])
         best = near.groupBy(*KEY).agg(F.max("score").alias("similarity_score")).join(self.liked.select(*KEY), KEY, "left_anti")
-        rows = self.videos.where(usable()).join(best, KEY)
+        rows = self.base.drop("_embedded", "adjusted_likes", "interaction_signal_score").join(best, KEY)
         order = [F.desc("similarity_score"), F.col("video_id")]
         kept = in_range(capped(rows.orderBy(*order).limit(max(self.pools["exploit"], limit)), order, layer.author_cap, layer.instance_cap), layer.low, layer.high)
         return sampled(kept, limit, f"{self.seed}:exploit", order)
@@ -98,7 +109,7 @@ def mix(layers: dict[str, DataFrame], profile: Profile, now_ms: int) -> DataFram
     for k, n in enumerate(names):
         one = score(layers[n], profile, now_ms, profile.layers[n].bonus).withColumns({"layer": F.lit(n), "_k": F.lit(k)})
         scored = one if scored is None else scored.unionByName(one, allowMissingColumns=True)
-    ranked = scored.withColumn("rank_before", F.row_number().over(W.partitionBy("layer").orderBy(F.desc("score"), "position"))).cache()
+    ranked = settled(scored.withColumn("rank_before", F.row_number().over(W.partitionBy("layer").orderBy(F.desc("score"), "position"))))  # a page's worth of rows
     have = {r["layer"]: r["count"] for r in ranked.groupBy("layer").count().collect()}
     want = shares(profile.batch, {n: profile.layers[n].ratio for n in names if have.get(n)})
     target = F.lit(0)
@@ -134,8 +145,11 @@ def feed(source: Candidates, profile: Profile, now_ms: int, denylist: DataFrame
     has_likes = source.liked is not None
     makers = {n: getattr(source, n) for n in ("popular", "fresh", "random", "explore", "exploit")} | (custom or {})
     limits = fetch_limits(profile, has_likes)
+    base, source.base = source.base, source.base.persist()  # for this page only
     layers = {n: makers[n](profile.layers[n], limits[n]) for n in profile.layers if n in limits and (has_likes or n not in NEEDS_LIKES)}
     page = mix(layers, profile, now_ms)
+    source.base.unpersist()
+    source.base = base
     return page if denylist is None else moderate(page, denylist, moderation)
 
 

@@ -1,23 +1,34 @@
-"""Vector similarity: exact search, inverted lists, caches of similar videos."""
+"""Vector similarity: exact search, inverted lists with product codes, caches of similar videos."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..workers import ship
 from .catalogue import KEY
+from .tables import settled
 
-#: Vectors that one block of the exact join holds.
+#: Vectors that one block of the exact join holds, and queries that travel as one broadcast matrix.
 BLOCK = 1024
 
 
+def valid(df: DataFrame, dim: int | None = None) -> DataFrame:
+    """Rows whose embedding has the dimension (any, if None) and finite numbers only; others are skipped."""
+    e = F.col("embedding")
+    right = F.size(e) > 0 if dim is None else F.size(e) == dim
+    return df.where(e.isNotNull() & right & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
+
+
 def search(embeddings: DataFrame, query: list[float], limit: int, exclude: tuple[str, str] | None = None) -> DataFrame:
     """The vectors most like one query, best first."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -38,74 +49,236 @@ def max_similarity(candidates: DataFrame, liked: DataFrame) -> DataFrame:
     return c.withColumn("similarity_score", F.when(F.col("_unit").isNotNull(), F.round(best, 6)).otherwise(0.0)).drop("_unit", "_likes")
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Rows of a list array of equal lengths."""
+    lists = lists.cast(pa.large_list(pa.float64()))
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _best(q_ids: list[tuple], q: np.ndarray, v_ids: list[tuple], v: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best of v for each row of q, its own key left out; equal scores by key."""
+    order = sorted(range(len(v_ids)), key=v_ids.__getitem__)
+    v_ids, score = [v_ids[i] for i in order], np.round(q @ v[order].T, 6)
+    at = {key: i for i, key in enumerate(v_ids)}
+    picked = []
+    for i, key in enumerate(q_ids):
+        own = score[i]
+        if key in at:
+            own[at[key]] = -np.inf
+        top = np.flatnonzero(own >= np.partition(own, -k)[-k]) if k < len(own) else np.arange(len(own))  # keys ascending
+        top = top[np.argsort(-own[top], kind="stable")][:k]
+        picked.append(top[own[top] > -np.inf])
+    n = [len(p) for p in picked]
+    flat = np.concatenate(picked) if picked else np.zeros(0, int)
+    src = np.repeat(np.arange(len(q_ids)), n)
+    columns = [pa.array([q_ids[i][j] for i in src], pa.string()) for j in (0, 1)] + [pa.array([v_ids[i][j] for i in flat], pa.string()) for j in (0, 1)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(score[src, flat], pa.float64())], _NEAR)
+
+
+_NEAR = ["src_id", "src_host", "video_id", "instance_domain", "score"]
+_NEAR_SQL = "src_id string, src_host string, video_id string, instance_domain string, score double"
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("src_id", "src_host").orderBy(F.desc("score"), "video_id", "instance_domain"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact k nearest by inner product for every query key, itself left out: (src_id, src_host, video_id, instance_domain, score, rank).
 
-    Both sides are cut into blocks of about BLOCK vectors; every query block meets
-    every vector block in one task as a matrix product and only each query's best
-    k of the block go on, so what is shuffled is k rows a query and block.
+    Vectors that are null, not finite or of another dimension than the first query
+    are skipped.  Up to BLOCK queries travel as one matrix and the vectors stay where
+    they are; of each partition only the k best a query go on.  More queries are a
+    job for :func:`ivf_knn`; here (as its yardstick) both sides are dealt into blocks
+    and every block of queries meets every block of vectors in one task.
     """
-    n = blocks or max(1, -(-vectors.count() // BLOCK))
-    m = blocks or max(1, -(-queries.count() // BLOCK))
-    of = lambda df, b, a: df.select(F.pmod(F.xxhash64(*KEY), F.lit(b)).cast("int").alias(a), F.struct(*KEY, "embedding").alias("row")).groupBy(a).agg(F.collect_list("row").alias(f"{a}_rows"))
-    left, right = of(queries, m, "qb"), of(vectors, n, "vb")
-    pairs = left.crossJoin(right).repartition(max(1, min(n * m, 2000)), "qb", "vb") if n * m > 1 else left.crossJoin(right)  # blocks, not rows
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["src_id", "src_host", "video_id", "instance_domain", "score"]
+    ship(queries.sparkSession)
+    some = valid(queries).select(*KEY, "embedding")
+    few = some.limit(BLOCK + 1).collect()
+    if not few:
+        return ranked(queries.sparkSession.createDataFrame([], _NEAR_SQL), k)
+    dim = len(few[0]["embedding"])
+    good = valid(vectors, dim).select(*KEY, "embedding")
+    if len(few) <= BLOCK:
+        few = [r for r in few if len(r["embedding"]) == dim]
+        sent = queries.sparkSession.sparkContext.broadcast(([(r["video_id"], r["instance_domain"]) for r in few], np.array([r["embedding"] for r in few], float)))  # BLOCK rows at most
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            for batch in batches:
+                if batch.num_rows:
+                    keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+                    yield _best(ids, q, keys, _matrix(batch.column(2)), k)
+
+        return ranked(good.mapInArrow(scan, _NEAR_SQL), k)
+    n, m = (max(1, -(-df.count() // BLOCK)) for df in (good, some))
+    of = lambda df, b, a: df.groupBy(F.pmod(F.xxhash64(*KEY), F.lit(b)).cast("int").alias(a)).agg(F.collect_list(F.struct(*KEY)).alias(f"{a}_ids"), F.flatten(F.collect_list("embedding")).alias(f"{a}_rows"))
+    left = of(valid(queries, dim), m, "qb").withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    pairs = left.join(of(good, n, "vb"), "vb").repartition(max(1, min(n * m, 2000)), "qb", "vb")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                q, v = row["qb_rows"], row["vb_rows"]
-                score = np.round(np.array([x["embedding"] for x in q], float) @ np.array([x["embedding"] for x in v], float).T, 6)
-                out = []
-                ids = [(x["video_id"], x["instance_domain"]) for x in v]
-                for i, x in enumerate(q):
-                    own = (x["video_id"], x["instance_domain"])
-                    top = [j for j in sorted(range(len(ids)), key=lambda j: (-score[i, j], ids[j])) if ids[j] != own][:k]
-                    out += [(*own, *ids[j], float(score[i, j])) for j in top]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string())] * 4 + [pa.array([], pa.float64())], names)
-
-    found = pairs.mapInArrow(best, "src_id string, src_host string, video_id string, instance_domain string, score double")
-    rank = F.row_number().over(W.partitionBy("src_id", "src_host").orderBy(F.desc("score"), "video_id", "instance_domain"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+            for r in range(batch.num_rows):
+                part = [batch.column(c)[r] for c in ("qb_ids", "qb_rows", "vb_ids", "vb_rows")]
+                (qi, q), (vi, v) = (([tuple(x.values()) for x in ids.as_py()], rows.values.to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)) for ids, rows in (part[:2], part[2:]))
+                yield _best(qi, q, vi, v, k)
 
+    return ranked(pairs.mapInArrow(meet, _NEAR_SQL), k)
 
-def train_lists(embeddings: DataFrame, lists: int, sample: int = 20_000, rounds: int = 10, seed: int = 7) -> np.ndarray:
-    """Centroids by spherical k-means on a bounded, reproducible sample."""
-    rows = embeddings.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), *KEY))).limit(sample).select("embedding").toPandas()["embedding"]
-    x = np.array(rows.tolist(), float)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    c = x[:lists].copy()
+
+# --- approximate search: inverted lists, product codes, exact re-ranking
+
+# Fixed values of the index: lists, parts of a vector, values of a part's code, training rows
+LISTS, PARTS, CODES, TRAINING = 4096, 8, 256, 200_000
+#: Rows of one list that one task takes.
+LIST_ROWS = 20_000
+
+
+@dataclass
+class Index:
+    """Centroids and code books (small) and the stored rows: (list_id, part, video_id, instance_domain, code)."""
+
+    centroids: np.ndarray  # (lists, dim)
+    books: np.ndarray  # (parts, codes, dim / parts)
+    rows: DataFrame
+    split: dict[int, int]  # lists dealt over several parts
+
+    @property
+    def dim(self) -> int:
+        return self.centroids.shape[1]
+
+
+def _means(x: np.ndarray, k: int, rounds: int = 10, unit: bool = False) -> np.ndarray:
+    """k-means from the first k rows."""
+    c = x[:k].copy()
     for _ in range(rounds):
-        owner = (x @ c.T).argmax(1)
-        for j in range(len(c)):
-            if (owner == j).any():
-                c[j] = x[owner == j].mean(0)
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        near = _nearest(x, c, unit)
+        total, n = np.zeros_like(c), np.bincount(near, minlength=len(c))
+        np.add.at(total, near, x)
+        c[n > 0] = total[n > 0] / n[n > 0, None]
+        if unit:
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     return c
 
 
-def nearest_lists(df: DataFrame, centroids: np.ndarray, probes: int, out: str) -> DataFrame:
-    """df with array column out: numbers of the nearest lists."""
-    @F.pandas_udf("array<int>")
-    def near(v: pd.Series) -> pd.Series:
-        x = np.array(v.tolist(), float) @ centroids.T
-        return pd.Series(np.argsort(-x, 1, kind="stable")[:, :probes].astype(np.int32).tolist())
+def _nearest(x: np.ndarray, c: np.ndarray, unit: bool = False) -> np.ndarray:
+    near = x @ c.T
+    return (near if unit else 2 * near - (c * c).sum(1)).argmax(1)
 
-    return df.withColumn(out, near("embedding"))
 
+def _encode(x: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Code of each part of the vectors."""
+    parts = np.split(x, len(books), axis=1)
+    return np.stack([_nearest(p, b) for p, b in zip(parts, books, strict=True)], 1).astype(np.uint8)
 
-def ivf_knn(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: int, probes: int) -> DataFrame:
-    """Approximate knn: queries join the lists they probe (index has column list_id); scores are exact."""
-    q = nearest_lists(queries, centroids, probes, "p").select(F.col("video_id").alias("src_id"), F.col("instance_domain").alias("src_host"), F.col("embedding").alias("qv"), F.explode("p").alias("list_id"))
-    j = q.join(index.select("list_id", *KEY, "embedding"), "list_id").where(~((F.col("src_id") == F.col("video_id")) & (F.col("src_host") == F.col("instance_domain"))))
-    scored = j.select("src_id", "src_host", *KEY, F.round(V.dot("qv", "embedding"), 6).alias("score"))
-    rank = F.row_number().over(W.partitionBy("src_id", "src_host").orderBy(F.desc("score"), "video_id", "instance_domain"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
+def train_index(embeddings: DataFrame, lists: int = LISTS, parts: int = PARTS, sample: int = TRAINING, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids and code books from a bounded, reproducible sample."""
+    rows = valid(embeddings).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), *KEY)), *KEY).limit(sample).select("embedding").toPandas()["embedding"]
+    if not len(rows):
+        raise ValueError("no embeddings to train on")
+    dim = len(rows.iloc[0])
+    x = np.array([r for r in rows if len(r) == dim], float)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centroids = _means(x, min(lists, len(x)), unit=True)
+    parts = next(p for p in range(min(parts, dim), 0, -1) if dim % p == 0)
+    return centroids, np.stack([np.pad(b := _means(p, min(CODES, len(p))), ((0, CODES - len(b)), (0, 0)), mode="edge") for p in np.split(x, parts, axis=1)])
 
-def build_lists(embeddings: DataFrame, centroids: np.ndarray) -> DataFrame:
-    return nearest_lists(embeddings, centroids, 1, "_l").withColumn("list_id", F.col("_l")[0]).drop("_l")
+
+def build_index(embeddings: DataFrame, centroids: np.ndarray, books: np.ndarray) -> Index:
+    """Every valid vector in its nearest list; lists of more than LIST_ROWS rows are dealt over parts."""
+    ship(embeddings.sparkSession)
+    dim = centroids.shape[1]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(2))
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                yield pa.RecordBatch.from_arrays([pa.array(_nearest(x, centroids, True).astype(np.int32)), batch.column(0), batch.column(1), pa.array([c.tobytes() for c in _encode(x, books)], pa.binary())], ["list_id", *KEY, "code"])
+
+    rows = settled(valid(embeddings, dim).select(*KEY, "embedding").mapInArrow(place, "list_id int, video_id string, instance_domain string, code binary"))
+    split = {r["list_id"]: -(-r["count"] // LIST_ROWS) for r in rows.groupBy("list_id").count().where(F.col("count") > LIST_ROWS).collect()}  # long lists only
+    return Index(centroids, books, _dealt(rows, split, F.pmod(F.xxhash64(*KEY), F.col("_parts")).cast("int")), split)
+
+
+def _dealt(rows: DataFrame, split: dict[int, int], part: Column) -> DataFrame:
+    if not split:
+        return rows.withColumn("part", F.lit(0))
+    parts = F.broadcast(rows.sparkSession.createDataFrame([(k, n) for k, n in split.items()], "_list int, _parts int"))  # a row a long list
+    return rows.join(parts, F.col("list_id") == F.col("_list"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).withColumn("part", part).drop("_list", "_parts")
+
+
+def save_index(index: Index, folder: str) -> None:
+    """Rows as Parquet by list, and centroids, books and counts as one JSON text beside them."""
+    spark = index.rows.sparkSession
+    index.rows.write.mode("overwrite").parquet(f"{folder}/rows")
+    meta = {"dim": index.dim, "lists": len(index.centroids), "parts": len(index.books), "codes": CODES, "total": index.rows.count(), "split": index.split, "centroids": index.centroids.tolist(), "books": index.books.tolist()}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/meta")
+
+
+def load_index(spark: SparkSession, folder: str, dim: int | None = None) -> Index:
+    """A stored index; one of another dimension raises."""
+    meta = json.loads(spark.read.text(f"{folder}/meta", wholetext=True).first()["value"])
+    if dim is not None and meta["dim"] != dim:
+        raise ValueError(f"index of dimension {meta['dim']}, not {dim}")
+    return Index(np.array(meta["centroids"]), np.array(meta["books"]), spark.read.parquet(f"{folder}/rows"), {int(k): n for k, n in meta["split"].items()})
+
+
+def ivf_knn(queries: DataFrame, index: Index, embeddings: DataFrame, k: int, probes: int, shortlist: int = 8) -> DataFrame:
+    """Approximate knn: each query meets the lists it probes, codes give a shortlist of shortlist * k, which exact scores rank."""
+    ship(queries.sparkSession)
+    centroids, books, wide = index.centroids, index.books, shortlist * k
+    dim, step = index.dim, index.dim // len(index.books)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(2))
+                near = np.argsort(-(x @ centroids.T), 1, kind="stable")[:, :probes].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int32()))], ["src_id", "src_host", "qv", "lists"])
+
+    asked = valid(queries, dim).select(*KEY, F.col("embedding").cast("array<double>")).mapInArrow(probe, "src_id string, src_host string, qv array<double>, lists array<int>")
+    asked = asked.select("src_id", "src_host", "qv", F.explode("lists").alias("list_id"))
+    asked = _dealt(asked, index.split, F.lit(0)) if not index.split else _dealt(asked, index.split, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).cast("int"))
+
+    def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_batches([], pa.schema([(c, pa.string()) for c in _NEAR[:4]] + [("score", pa.float64())]))
+        q = _matrix(left.column("qv").combine_chunks())
+        code = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
+        ids = list(zip(right.column("video_id").to_pylist(), right.column("instance_domain").to_pylist(), strict=True))
+        decoded = np.concatenate([b[c] for b, c in zip(books, code.T, strict=True)], 1)
+        out = [_best(list(zip(left.column("src_id").to_pylist()[i : i + BLOCK], left.column("src_host").to_pylist()[i : i + BLOCK], strict=True)), q[i : i + BLOCK], ids, decoded, wide) for i in range(0, len(q), BLOCK)]
+        return pa.Table.from_batches(out)
+
+    rough = asked.groupBy("list_id", "part").cogroup(index.rows.groupBy("list_id", "part")).applyInArrow(meet, _NEAR_SQL)
+    near = ranked(rough, wide).select(*_NEAR[:4])
+    qv = valid(queries, dim).select(F.col("video_id").alias("src_id"), F.col("instance_domain").alias("src_host"), F.col("embedding").alias("qv"))
+    exact = near.join(embeddings.select(*KEY, "embedding"), KEY).join(qv, ["src_id", "src_host"])
+    return ranked(exact.select("src_id", "src_host", *KEY, F.round(V.dot("qv", "embedding"), 6).alias("score")), k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: the share of exact neighbours that were found, and their number."""
+    hits = found.select("src_id", "src_host", *KEY, F.lit(1).alias("hit"))
+    return exact.join(hits, ["src_id", "src_host", *KEY], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"), F.count("*").alias("n"))
+
+
+def probes_for(index: Index, embeddings: DataFrame, k: int, least: float, sample: int = 200, seed: int = 11) -> int:
+    """The fewest probes, doubling, that reach a recall on a bounded sample of queries; all lists if none does."""
+    some = settled(valid(embeddings, index.dim).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), *KEY)), *KEY).limit(sample).select(*KEY, "embedding"))
+    exact = settled(knn(some, embeddings, k))
+    probes = max(1, len(index.centroids) // 16)
+    while probes < len(index.centroids):
+        if (recall(ivf_knn(some, index, embeddings, k, probes), exact).first()["recall"] or 0) >= least:
+            return probes
+        probes *= 2
+    return len(index.centroids)
+
+
+# --- caches
 
 
 def valid_cache(items: DataFrame, limit: int, require_full: bool = False) -> DataFrame:
@@ -124,6 +297,39 @@ def pending_sources(embeddings: DataFrame, sources: DataFrame) -> DataFrame:
     return embeddings.join(sources.select(*KEY), KEY, "left_anti")
 
 
+@dataclass(frozen=True)
+class CachePolicy:
+    """What a request may do with stored lists of similar videos."""
+
+    allow_write: bool = True
+    refresh: bool = False
+    require_full: bool = False
+    allow_compute: bool = True
+
+
+def similar_candidates(seeds: DataFrame, embeddings: DataFrame, items: DataFrame, limit: int, policy: CachePolicy, index: Index | None = None, probes: int = 24) -> tuple[DataFrame, DataFrame]:
+    """(candidates of every seed, new lists to store): from the cache where its list is valid, searched otherwise.
+
+    Candidates have source and similar keys, score and rank.  Only seeds without
+    stored list, or all with refresh, give lists to store, and none without allow_write.
+    """
+    src, same = ["source_video_id", "source_instance_domain"], {"video_id": "source_video_id", "instance_domain": "source_instance_domain"}
+    own = seeds.select(*[F.col(a).alias(b) for a, b in same.items()]).distinct()
+    mine = items.join(own, src, "left_semi")
+    hits = valid_cache(mine, limit, policy.require_full).where("hit").select(*src)
+    if policy.refresh:
+        hits = hits.limit(0)
+    cached = cached_similar(mine.join(hits, src, "left_semi"), limit).select(*src, "similar_video_id", "similar_instance_domain", "score", "rank")
+    missed = seeds.join(hits.select(*[F.col(b).alias(a) for a, b in same.items()]), KEY, "left_anti")
+    if not policy.allow_compute:
+        return cached, cached.limit(0)
+    found = knn(missed, embeddings, limit) if index is None else ivf_knn(missed, index, embeddings, limit, probes)
+    found = found.select(F.col("src_id").alias(src[0]), F.col("src_host").alias(src[1]), F.col("video_id").alias("similar_video_id"), F.col("instance_domain").alias("similar_instance_domain"), "score", "rank")
+    stored = items.select(*src).distinct()
+    new = found.limit(0) if not policy.allow_write else found if policy.refresh else found.join(stored, src, "left_anti")
+    return cached.unionByName(found), new
+
+
 def store_similar(items: DataFrame, new: DataFrame) -> DataFrame:
     """The cache with each new source's list in place of its old one."""
     src = ["source_video_id", "source_instance_domain"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -103,11 +104,11 @@ def patch(target: DataFrame, changes: DataFrame, keys: Sequence[str], columns: S
 
 
 def count_errors(target: DataFrame, failures: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Failures (keys, message): error_count + 1 and last_error, by key."""
-    f = failures.select(*keys, F.col("message").alias("_m")).alias("r")
+    """Failures (keys, message; any number a key): error_count + their number, and the last_error that sorts last."""
+    f = failures.where("message is not null").groupBy(*keys).agg(F.max("message").alias("_m"), F.count("*").cast("int").alias("_n")).alias("r")
     j = target.alias("l").join(f, _on(keys), "left")
     hit = F.col("r._m").isNotNull()
-    new = {"error_count": F.coalesce(F.col("l.error_count"), F.lit(0)) + hit.cast("int"), "last_error": F.coalesce(F.col("r._m"), F.col("l.last_error") if "last_error" in target.columns else F.lit(None))}
+    new = {"error_count": F.coalesce(F.col("l.error_count"), F.lit(0)) + F.col("r._n"), "last_error": F.coalesce(F.col("r._m"), F.col("l.last_error") if "last_error" in target.columns else F.lit(None))}
     return j.select(*[F.when(hit, new[c]).otherwise(F.col(f"l.{c}")).alias(c) if c in new else F.col(f"l.{c}") for c in target.columns])
 
 
@@ -172,14 +173,26 @@ def edges(found: DataFrame) -> DataFrame:
     return found.select("source_host", "target_host").where("source_host <> target_host").distinct()
 
 
-def reachable(edge_table: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(host, depth) by breadth-first rounds from seeds(host); the frontier is cut by checkpoint each round."""
-    seen = seeds.select("host").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(edge_table, F.col("host") == F.col("source_host")).select(F.col("target_host").alias("host")).distinct().join(seen.select("host"), "host", "left_anti").withColumn("depth", F.lit(depth))
-        frontier = step.checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
+def settled(df: DataFrame) -> DataFrame:
+    """df, written once to the folder that driver and executors share, so that what follows neither computes it again nor grows its plan."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+    return df.checkpoint()
+
+
+def reachable(edge_table: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(host, depth) by breadth-first rounds from seeds(host), until no new host is found; each round is settled."""
+    edge_table = settled(edge_table.select("source_host", "target_host").distinct())
+    frontier = settled(seeds.select("host").distinct().withColumn("depth", F.lit(0)))
+    seen, depth = frontier, 0
+    while not frontier.isEmpty():
+        depth += 1
+        step = frontier.join(edge_table, F.col("host") == F.col("source_host")).select(F.col("target_host").alias("host")).distinct()
+        frontier = settled(step.join(seen.select("host"), "host", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = seen.unionByName(frontier) if depth % 10 else settled(seen.unionByName(frontier))
     return seen

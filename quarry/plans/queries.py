@@ -92,7 +92,7 @@ def _(c):
     return c.table("pages").select("page_id", host.alias("host"), ref.alias("ref"))
 
 
-@register("embedding_text", "SELECT doc_id, trim(concat_ws(chr(10), nullif(trim(substr(text, 1, 40)), ''), 'tags: ' || lang || ', ' || source, 'category: ' || lang, 'comments_count: ' || n_chars)) AS payload FROM documents")
+@register("embedding_text", "SELECT doc_id, trim(concat_ws(chr(10), nullif(trim(text), ''), 'tags: ' || lang || ', ' || source, 'category: ' || lang, 'comments_count: ' || n_chars)) AS payload FROM documents")
 def _(c):
     d = c.table("documents")
     tags = S.parse_tags(F.concat(F.lit('["'), F.col("lang"), F.lit('", " ", "'), F.col("source"), F.lit('"]')))
@@ -145,7 +145,7 @@ SIGNALLED = "SELECT v.*, v.likes + coalesce(s.likes_count, 0) - coalesce(s.undo_
 POPULAR_ORDER = "round(popularity + interaction_signal_score, 9) DESC, adjusted_likes DESC NULLS LAST, views DESC NULLS LAST, published_at DESC NULLS LAST, video_id DESC"
 
 
-@register("popular_videos", sql(f"SELECT p.video_id, p.position, p.adjusted_likes FROM (SELECT *, row_number() OVER (ORDER BY {POPULAR_ORDER}) AS position FROM ({SIGNALLED}) WHERE {USABLE}) p JOIN video_embeddings e USING (video_id, instance_domain) WHERE position <= 2000", "signals", "video_embeddings"))
+@register("popular_videos", sql(f"SELECT p.video_id, p.position, p.adjusted_likes FROM (SELECT *, row_number() OVER (ORDER BY {POPULAR_ORDER}) AS position FROM ({SIGNALLED}) WHERE {USABLE}) p JOIN video_embeddings e USING (video_id, instance_domain) WHERE position <= {C.POOL['popular']}", "signals", "video_embeddings"))
 def _(c):
     return K.popular(c.videos, E.signals(E.split(c.raw_events)[0]), c.embeddings, C.POOL["popular"]).select("video_id", "position", "adjusted_likes")
 
@@ -153,7 +153,7 @@ def _(c):
 @register("popular_feed", sql(f"""SELECT video_id, instance_domain, channel_id, title, views, likes FROM (
   SELECT *, row_number() OVER (PARTITION BY instance_domain ORDER BY position) AS ri FROM (
     SELECT *, row_number() OVER (PARTITION BY channel_id, instance_domain ORDER BY position) AS ra FROM (
-      SELECT *, row_number() OVER (ORDER BY {POPULAR_ORDER}) AS position FROM ({SIGNALLED}) WHERE {USABLE}) WHERE position <= 2000) WHERE ra <= 2) f
+      SELECT *, row_number() OVER (ORDER BY {POPULAR_ORDER}) AS position FROM ({SIGNALLED}) WHERE {USABLE}) WHERE position <= {C.POOL['popular']}) WHERE ra <= 2) f
   WHERE ri <= 5 AND instance_domain NOT IN ({BAD_HOSTS}) AND (channel_id, instance_domain) NOT IN (SELECT (channel_id, instance_domain) FROM ({BAD_CHANNELS}))""", "signals", "denylist", "channel_moderation"))
 def _(c):
     """Popular videos with diversity caps, moderated."""
@@ -172,10 +172,10 @@ def _(c):
     return K.lookup(c.videos, c.channels, "u-32").select("video_id", "title", "display_name")
 
 
-@register("like_seeds", sql("SELECT v.video_uuid AS ref, v.instance_domain AS host, v.video_id, v.channel_id FROM videos v JOIN video_embeddings e USING (video_id, instance_domain) WHERE CAST(v.video_id AS BIGINT) < 50 UNION ALL SELECT v.video_id AS ref, v.instance_domain AS host, v.video_id, v.channel_id FROM videos v JOIN video_embeddings e USING (video_id, instance_domain) WHERE CAST(v.video_id AS BIGINT) BETWEEN 50 AND 99", "video_embeddings"))
+@register("like_seeds", sql("SELECT v.video_uuid AS ref, v.instance_domain AS host, v.video_id, v.channel_id FROM videos v JOIN video_embeddings e USING (video_id, instance_domain) WHERE CAST(v.video_id AS BIGINT) % 2 = 0 UNION ALL SELECT v.video_id AS ref, v.instance_domain AS host, v.video_id, v.channel_id FROM videos v JOIN video_embeddings e USING (video_id, instance_domain) WHERE CAST(v.video_id AS BIGINT) % 2 = 1", "video_embeddings"))
 def _(c):
     n = F.col("video_id").cast("long")
-    refs = c.videos.where(n < 100).select(F.when(n < 50, F.col("video_uuid")).otherwise(F.col("video_id")).alias("ref"), F.col("instance_domain").alias("host"))
+    refs = c.videos.select(F.when(n % 2 == 0, F.col("video_uuid")).otherwise(F.col("video_id")).alias("ref"), F.col("instance_domain").alias("host"))
     return K.seeds(refs, c.videos, c.embeddings).select("ref", "host", "video_id", "channel_id")
 
 
@@ -226,7 +226,7 @@ def _(c):
     return K.capped(c.videos, [F.desc("views"), F.col("video_id")], C.AUTHOR_CAP, C.INSTANCE_CAP).select("video_id", "instance_domain")
 
 
-@register("random_cache_filtered", sql("SELECT video_id, row_number() OVER (ORDER BY CAST(video_id AS BIGINT) < 5000, CAST(video_id AS BIGINT)) AS position FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, instance_domain ORDER BY CAST(video_id AS BIGINT) < 5000, CAST(video_id AS BIGINT)) AS ra FROM videos) WHERE ra <= 3 ORDER BY 2 LIMIT 1000", "videos"))
+@register("random_cache_filtered", sql(f"SELECT video_id, row_number() OVER (ORDER BY CAST(video_id AS BIGINT) < 5000, CAST(video_id AS BIGINT)) AS position FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, instance_domain ORDER BY CAST(video_id AS BIGINT) < 5000, CAST(video_id AS BIGINT)) AS ra FROM videos) WHERE ra <= 3 ORDER BY 2 LIMIT {C.RANDOM_CACHE}", "videos"))
 def _(c):
     return K.random_cache(c.videos.withColumn("video_number", F.col("video_id").cast("long")), "5000", C.RANDOM_CACHE, 3, 0).select("video_id", "position")
 
@@ -427,11 +427,15 @@ def _(c):
     return T.edges(found).groupBy("source_host").agg(F.count("*").alias("n"))
 
 
-@register("federation_reach", sql("WITH RECURSIVE_PLACEHOLDER AS (SELECT 1) SELECT host, n_nationkey // 5 AS depth FROM hosts", "hosts").replace("WITH RECURSIVE_PLACEHOLDER AS (SELECT 1) ", ""))
+@register("federation_reach", sql("""WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS a, 'c' || (c_custkey // 2) AS b FROM customer UNION SELECT 'c' || c_custkey, 'c' || (c_custkey - 25) FROM customer WHERE c_custkey > 25),
+ r AS (SELECT DISTINCT 'c' || max(c_custkey) OVER (PARTITION BY c_nationkey) AS host, 0 AS depth FROM customer UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.host WHERE r.depth < 200)
+SELECT host, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY 1""", "hosts").replace("WITH hosts", "WITH RECURSIVE hosts", 1).replace("RECURSIVE e AS", "e AS", 1))
 def _(c):
-    h = c.hosts
-    e = h.alias("a").join(h.alias("b"), F.col("b.n_nationkey") == F.col("a.n_nationkey") + 5).select(F.col("a.host").alias("source_host"), F.col("b.host").alias("target_host"))
-    return T.reachable(e, h.where("n_nationkey < 5")).select("host", F.col("depth").cast("long"))
+    t = c.table("customer")
+    name = lambda x: F.concat(F.lit("c"), x.cast("string"))
+    k = F.col("c_custkey")
+    found = t.select(name(k).alias("source_host"), name(F.expr("c_custkey div 2")).alias("target_host")).unionByName(t.where(k > 25).select(name(k).alias("source_host"), name(k - 25).alias("target_host")))
+    return T.reachable(T.edges(found), t.groupBy("c_nationkey").agg(name(F.max("c_custkey")).alias("host"))).select("host", F.col("depth").cast("long"))
 
 
 # --- similarity
@@ -498,12 +502,11 @@ def _(c):
 
 @register("ivf_recall")
 def _(c):
-    """Recall of inverted lists against exact search."""
+    """Recall of the index against exact search, with as many probes as a sample of queries asks for."""
     e = c.embeddings
-    lists = N.train_lists(e, 16)
-    exact = N.knn(e, e, 5).select("src_id", "video_id")
-    near = N.ivf_knn(e, N.build_lists(e, lists), lists, 5, 8).select("src_id", "video_id", F.lit(1).alias("hit"))
-    return exact.join(near, ["src_id", "video_id"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 2).alias("recall"), F.count("*").alias("n"))
+    index = N.build_index(e, *N.train_index(e, 32))
+    probes = N.probes_for(index, e, 5, 0.95)
+    return N.recall(N.ivf_knn(e, index, e, 5, probes), N.knn(e, e, 5))
 
 
 @register("encode_missing")
@@ -528,7 +531,7 @@ def _pool(source: str, order: str, instance_cap: int = 5) -> str:
 
 
 _VIDEO = f"SELECT v.* FROM videos v JOIN video_embeddings e USING (video_id, instance_domain) WHERE {USABLE}"
-_POP = f"SELECT p.* FROM (SELECT *, row_number() OVER (ORDER BY {POPULAR_ORDER}) AS pp FROM ({SIGNALLED}) WHERE {USABLE}) p JOIN video_embeddings e USING (video_id, instance_domain) WHERE pp <= 2000"
+_POP = f"SELECT p.* FROM (SELECT *, row_number() OVER (ORDER BY {POPULAR_ORDER}) AS pp FROM ({SIGNALLED}) WHERE {USABLE}) p JOIN video_embeddings e USING (video_id, instance_domain) WHERE pp <= {C.POOL['popular']}"
 _SOURCES = {
     "popular": (_POP, "pp"),
     "fresh": (_VIDEO, "published_at DESC NULLS LAST, video_id DESC"),
@@ -541,8 +544,8 @@ _NEEDS = ("signals", "video_embeddings", "denylist", "channel_moderation")
 def _layer(name: str, limit: int, likes: bool, bounds: str = "true", cap: int = 5) -> str:
     """SQL of one layer: (video columns, similarity_score, position)."""
     if name == "exploit":
-        near = f"SELECT k.video_id, max(k.score) AS similarity_score FROM (SELECT * FROM ({KNN}) WHERE src_id IN {LIKED_IDS} AND rank <= 200) k WHERE k.video_id NOT IN {LIKED_IDS} GROUP BY 1"
-        base = f"SELECT v.*, n.similarity_score FROM ({_VIDEO}) v JOIN ({near}) n USING (video_id) ORDER BY n.similarity_score DESC, v.video_id LIMIT 200"
+        near = f"SELECT k.video_id, max(k.score) AS similarity_score FROM (SELECT * FROM ({KNN}) WHERE src_id IN {LIKED_IDS} AND rank <= {C.POOL['exploit']}) k WHERE k.video_id NOT IN {LIKED_IDS} GROUP BY 1"
+        base = f"SELECT v.*, n.similarity_score FROM ({_VIDEO}) v JOIN ({near}) n USING (video_id) ORDER BY n.similarity_score DESC, v.video_id LIMIT {C.POOL['exploit']}"
         order = "similarity_score DESC, video_id"
         scored = _pool(base, order, cap)
     else:
@@ -611,7 +614,7 @@ def _(c):
     return df.select("layer", F.col("r").alias("turn"), F.row_number().over(W.orderBy((F.col("r") - 1) / F.col("t"), "k")).alias("slot"))
 
 
-RELATED = f"SELECT v.*, k.score AS similarity_score FROM (SELECT * FROM ({KNN}) WHERE src_id = '32' AND rank <= 100) k JOIN videos v USING (video_id) WHERE {USABLE}"
+RELATED = f"SELECT v.*, k.score AS similarity_score FROM (SELECT * FROM ({KNN}) WHERE src_id = '32' AND rank <= {C.SEARCH_LIMIT}) k JOIN videos v USING (video_id) WHERE {USABLE} QUALIFY row_number() OVER (PARTITION BY v.channel_id, v.instance_domain ORDER BY k.rank) <= {C.SIMILAR_AUTHOR_CAP} ORDER BY k.rank LIMIT {C.SIMILAR_PER_LIKE}"
 
 
 @register("related_rerank", sql(f"""WITH page AS (SELECT *, row_number() OVER (ORDER BY score DESC, similarity_score DESC, video_id) AS rank FROM (SELECT *, {_score_sql(C.UPNEXT, '0.0')} AS score FROM ({RELATED})) QUALIFY rank <= 20)

@@ -127,9 +127,10 @@ SQL_VIEWS = {
     "channel_moderation": "SELECT channel_id, instance_domain, CASE WHEN CAST(channel_id AS BIGINT) % 13 = 0 THEN 'blocked' ELSE 'allowed' END AS status FROM channels",
     "prod": "SELECT video_id, instance_domain, channel_id, title, views, likes, popularity FROM videos WHERE CAST(video_id AS BIGINT) % 3 <> 0",
     "stage": "SELECT video_id, instance_domain, channel_id, title || ' (new)' AS title, views + 1 AS views, CASE WHEN likes % 2 = 0 THEN likes END AS likes FROM videos WHERE CAST(video_id AS BIGINT) % 2 = 0",
-    "similar_items": """SELECT a.video_id AS source_video_id, a.instance_domain AS source_instance_domain, b.video_id AS similar_video_id, b.instance_domain AS similar_instance_domain,
-      CASE WHEN CAST(a.video_id AS BIGINT) % 20 <> 0 THEN 1.0 - (CAST(b.video_id AS BIGINT) - CAST(a.video_id AS BIGINT)) / 10.0 END AS score, CAST(CAST(b.video_id AS BIGINT) - CAST(a.video_id AS BIGINT) AS INTEGER) AS rank
-      FROM videos a JOIN videos b ON CAST(b.video_id AS BIGINT) BETWEEN CAST(a.video_id AS BIGINT) + 1 AND CAST(a.video_id AS BIGINT) + 3 WHERE CAST(a.video_id AS BIGINT) % 2 = 0 AND CAST(a.video_id AS BIGINT) < 400 AND CAST(b.video_id AS BIGINT) < 400""",
+    "similar_items": """SELECT CAST(s AS VARCHAR) AS source_video_id, source_instance_domain, b.video_id AS similar_video_id, b.instance_domain AS similar_instance_domain,
+      CASE WHEN s % 20 <> 0 THEN 1.0 - (n - s) / 10.0 END AS score, CAST(n - s AS INTEGER) AS rank
+      FROM (SELECT CAST(video_id AS BIGINT) AS s, instance_domain AS source_instance_domain, CAST(video_id AS BIGINT) + unnest([1, 2, 3]) AS n FROM videos WHERE CAST(video_id AS BIGINT) % 2 = 0) a
+      JOIN videos b ON CAST(b.video_id AS BIGINT) = n""",
     "signals": """SELECT video_uuid, instance_domain, CAST(arg_max(sl - least(0, ml), arrival) AS BIGINT) AS likes_count, CAST(arg_max(su - least(0, mu), arrival) AS BIGINT) AS undo_likes_count,
       CAST(arg_max(sc - least(0, mc), arrival) AS BIGINT) AS comments_count, arg_max(ss - least(0.0, ms), arrival) AS signal_score
       FROM (SELECT *, coalesce(min(CASE WHEN n > 1 THEN sl END) OVER w2, 0) AS ml, coalesce(min(CASE WHEN n > 1 THEN su END) OVER w2, 0) AS mu, coalesce(min(CASE WHEN n > 1 THEN sc END) OVER w2, 0) AS mc, coalesce(min(CASE WHEN n > 1 THEN ss END) OVER w2, 0.0) AS ms

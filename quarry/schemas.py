@@ -29,7 +29,7 @@ TABLES: dict[str, StructType] = {
         "similarity_items": "source_video_id string, source_instance_domain string, similar_video_id string, similar_instance_domain string, score double, rank int",
         "similarity_sources": "video_id string, instance_domain string, computed_at long",
         "random_rowids": "position long, video_id string, instance_domain string",
-        "interaction_raw_events": "event_id string, event_type string, actor_id string, video_uuid string, instance_domain string, canonical_url string, source_instance string, published_at long, raw_payload_json string, ingested_at long",
+        "interaction_raw_events": "event_id string, event_type string, actor_id string, video_uuid string, instance_domain string, canonical_url string, source_instance string, published_at long, raw_payload_json string, ingested_at long, arrival long",
         "interaction_signals": "video_uuid string, instance_domain string, likes_count long, undo_likes_count long, comments_count long, signal_score double, updated_at long",
         "instance_denylist": "host string, is_active int, reason string, note string, created_at long, updated_at long",
         "channel_moderation": "channel_id string, instance_domain string, status string, reason string, source_video_url string, updated_at long, created_at long",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,23 +13,30 @@ from ..schemas import TABLES
 
 
 class Store:
-    """Versions of tables under one folder; a small pointer table names the current one of each."""
+    """Versions of tables under one folder; a small pointer table names the current ones.
+
+    Pointers of several tables are appended by one commit of one file, so a write
+    of tables that belong together is seen whole or not at all.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointers(self, name: str) -> str:
-        return f"{self.folder}/_current/{name}"
-
-    def version(self, name: str) -> str | None:
+    def _pointers(self) -> DataFrame | None:
         try:
-            rows = self.spark.read.schema("at long, path string").json(self._pointers(name))
-            top = rows.orderBy(F.desc("at"), F.desc("path")).first()
+            return self.spark.read.schema("at long, turn long, name string, path string").json(f"{self.folder}/_current")
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 return None
             raise
-        return top["path"] if top else None
+
+    def versions(self, name: str) -> list[str]:
+        """Paths of all versions, the current one first."""
+        rows = self._pointers()
+        return [] if rows is None else [r["path"] for r in rows.where(F.col("name") == name).orderBy(F.desc("at"), F.desc("turn")).collect()]
+
+    def version(self, name: str) -> str | None:
+        return next(iter(self.versions(name)), None)
 
     def read(self, name: str) -> DataFrame:
         path = self.version(name)
@@ -36,18 +44,41 @@ class Store:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.parquet(path)
 
+    def write_all(self, tables: dict[str, DataFrame], at: int, partition_by: list[str] | None = None) -> None:
+        """Write new versions, then name them current together; the old ones stay until they are dropped."""
+        paths = {name: f"{self.folder}/{name}/{uuid.uuid4().hex}" for name in tables}
+        for name, df in tables.items():
+            w = df.write.option("compression", "zstd")
+            (w.partitionBy(*partition_by) if partition_by else w).parquet(paths[name])
+        turn = time.time_ns()
+        self.spark.createDataFrame([(at, turn, n, p) for n, p in paths.items()], "at long, turn long, name string, path string").coalesce(1).write.mode("append").json(f"{self.folder}/_current")
+
     def write(self, name: str, df: DataFrame, at: int, partition_by: list[str] | None = None) -> None:
-        """Write a new version, then name it current; the old one stays until it is dropped."""
-        path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
-        w = df.write.option("compression", "zstd")
-        (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-        self.spark.createDataFrame([(at, path)], "at long, path string").coalesce(1).write.mode("append").json(self._pointers(name))
+        self.write_all({name: df}, at, partition_by)
 
     def merge(self, name: str, df: DataFrame, keys: list[str], strategy: str, at: int) -> None:
         from ..operators.tables import STRATEGIES
 
         self.write(name, STRATEGIES[strategy](self.read(name), df, keys), at)
 
+    def backup(self, name: str, folder: str) -> str | None:
+        """Copy the current version elsewhere; its path there, None without a version."""
+        path = self.version(name)
+        if path is None:
+            return None
+        target = f"{folder.rstrip('/')}/{name}-{path.rsplit('/', 1)[-1]}"
+        self.spark.read.parquet(path).write.mode("overwrite").parquet(target)
+        return target
+
+    def drop_old(self, name: str, keep: int = 1) -> int:
+        """Delete all versions but the newest ``keep``; how many went."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        old = self.versions(name)[keep:]
+        for path in old:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        return len(old)
+
 
 def merge_rules(text: str) -> list[dict]:
     rules = json.loads(text)["tables"]

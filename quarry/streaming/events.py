@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import EVENT_DELTAS
+from ..workers import ship
 
 EVENTS = "event_id string, arrival long, event_type string, video_uuid string, instance_domain string"
 SIGNALS = "video_uuid string, instance_domain string, likes_count long, undo_likes_count long, comments_count long, signal_score double, version long"
@@ -44,15 +45,26 @@ def signals(events: DataFrame, watermark: str | None = None) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """Under the folder that driver and executors share; one of this machine only where the session runs on it alone."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='quarry-stream-')}/stream-{uuid.uuid4().hex}"
 
 
+def _writer(folder: str):
+    def write(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return write
+
+
 def run(events: DataFrame, folder: str) -> DataFrame:
     """Run the stream until its input ends; the latest signals of every video."""
     spark = events.sparkSession
+    ship(spark)
     query = signals(events).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-    query = query.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).start()
+    query = query.foreachBatch(_writer(f"{folder}/out")).start()
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
@@ -62,12 +74,14 @@ def run(events: DataFrame, folder: str) -> DataFrame:
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """Stored events (in two files by arrival) as a stream: what batch and stream must agree on."""
+    """Stored events as a stream, the earlier half of arrivals before the later: what batch and stream must agree on."""
     spark, folder = events.sparkSession, _folder(events.sparkSession)
     cut = events.agg(F.expr("percentile_approx(arrival, 0.5)")).first()[0] or 0
     columns = [c.split()[0] for c in EVENTS.split(", ")]
-    for late in (False, True):
+    out = None
+    for late in (False, True):  # files of one half may come in any order: a micro-batch is sorted as a whole
         part = events.where(F.col("arrival") > cut if late else F.col("arrival") <= cut)
-        part.select(*columns).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{folder}/in")
-    return run(stream, folder)
+        part.select(*columns).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(EVENTS).parquet(f"{folder}/in")
+        out = run(stream, folder)
+    return out
