@@ -86,7 +86,7 @@ class Engine:
         return K.lookup(self._t("videos"), self._t("channels"), ref, host)
 
     def health(self) -> DataFrame:
-        return self._t("video_embeddings").agg(F.count("*").alias("total"), F.any_value("embedding_dim").alias("dim"))
+        return N.health(self._t("video_embeddings"))
 
     def ingest(self, events: DataFrame, at: int) -> DataFrame:
         """Store new valid events (with arrival) and update the signals of the videos they touch, both or neither; the rejects are returned."""

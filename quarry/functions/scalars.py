@@ -185,3 +185,81 @@ def seeded(seed: str, key) -> Column:
 
 def request_id(*parts) -> Column:
     return F.substring(F.md5(F.concat_ws("|", *[_c(p).cast("string") for p in parts])), 1, 16)
+
+
+def pick_text(*values) -> Column:
+    """The first that is not blank, trimmed."""
+    return F.coalesce(*[clean_text(_c(v).cast("string")) for v in values])
+
+
+def pick_number(*values) -> Column:
+    """The first that reads as a number, cut to a whole one."""
+    return F.coalesce(*[_c(v).cast("string").try_cast("double").cast("long") for v in values])
+
+
+def tags_json(x) -> Column:
+    """A JSON list of the texts in a JSON list that are not blank, trimmed; null if there are none."""
+    kept = F.filter(F.transform(F.from_json(_c(x), "array<string>"), lambda t: F.trim(t)), lambda t: t.isNotNull() & (t != ""))
+    return F.when(F.size(kept) > 0, F.to_json(kept))
+
+
+def host_of(host, hostname, url, identity, name) -> Column:
+    """Host of an account or channel: the first of host, hostname, url, id and name that is one (id and name only as name@host)."""
+    after = lambda v: normalize_host(F.when(_c(v).contains("@"), F.regexp_extract(_c(v), r"@([^@]+)$", 1)).when(_c(v).contains("://"), _c(v)))
+    return F.coalesce(normalize_host(host), normalize_host(hostname), F.when(_c(url).contains("://"), normalize_host(url)), after(identity), after(name))
+
+
+def time_ago(then_ms, now_ms: int) -> Column:
+    """"3 days ago" and the like; seconds are taken for what they are, the future is now."""
+    s = F.greatest(F.floor((F.lit(now_ms) - as_ms(_c(then_ms))) / 1000), F.lit(0))
+    out = F.lit("just now")
+    for name, size in (("minute", 60), ("hour", 3600), ("day", 86_400), ("month", 30 * 86_400), ("year", 365 * 86_400)):
+        n = F.floor(s / size)
+        out = F.when(s >= size, F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, " ago").otherwise("s ago"))).otherwise(out)
+    return F.when(_c(then_ms).isNotNull(), out)
+
+
+def user_or_default(user) -> Column:
+    return F.coalesce(clean_text(user), F.lit("local-user"))
+
+
+def log_mode(mode) -> Column:
+    """Modes of logs; anything unknown is focused."""
+    m = F.lower(F.trim(_c(mode)))
+    return F.when(m.isin("dev", "focused", "verbose"), m).otherwise("focused")
+
+
+def similar_path_id(path) -> Column:
+    """The id in /videos/{id}/similar, null for other paths."""
+    return clean_text(F.regexp_extract(_c(path), r"^/(?:api/)?videos/([^/?#]+)/similar/?(?:[?#].*)?$", 1))
+
+
+def positive_int(x, default: int, most: int | None = None) -> Column:
+    """A parameter as a number above 0, else the default; cut at most."""
+    n = F.trim(_c(x).cast("string")).try_cast("bigint")
+    v = F.when(n > 0, n).otherwise(default)
+    return v if most is None else F.least(v, F.lit(most))
+
+
+def flag(x) -> Column:
+    """1, true, yes and on are true; 0, false, no and off false; else null."""
+    v = F.lower(F.trim(_c(x).cast("string")))
+    return F.when(v.isin("1", "true", "yes", "on"), True).when(v.isin("0", "false", "no", "off"), False)
+
+
+def http_status(message) -> Column:
+    return F.regexp_extract(_c(message), r"(?i)\bHTTP[ /](\d{3})\b", 1).try_cast("int")
+
+
+def allowed_params(params, names) -> Column:
+    """Of map<string, array<string>> the allowed keys that have one value, as map<string, string>."""
+    kept = F.map_filter(_c(params), lambda k, v: k.isin(*names) & (F.size(v) == 1))
+    return F.transform_values(kept, lambda k, v: v[0])
+
+
+def watch_url(host, ref) -> Column:
+    return F.concat(F.lit("https://"), _c(host), F.lit("/videos/watch/"), F.replace(F.url_encode(_c(ref)), F.lit("+"), F.lit("%20")))
+
+
+def channel_url(host, name) -> Column:
+    return F.concat(F.lit("https://"), _c(host), F.lit("/video-channels/"), F.replace(F.url_encode(_c(name)), F.lit("+"), F.lit("%20")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import ERROR_THRESHOLD
+from ..config import ERROR_THRESHOLD, LIKE_WEIGHT
 from ..functions import scalars as S
 
 KEY = ["video_id", "instance_domain"]
@@ -194,3 +194,31 @@ def full_page_stop(pages: DataFrame, after: int, per: list[str]) -> DataFrame:
 def due_for_health(table: DataFrame, now_ms: int, min_age: int, errors_only: bool = False) -> DataFrame:
     due = F.col("health_checked_at").isNull() | (F.col("health_checked_at") <= now_ms - min_age)
     return table.where(due & (F.col("health_status") == "error" if errors_only else F.lit(True)))
+
+
+LIVE_TEXT, LIVE_NUMBERS = ["title", "description", "channel_name"], ["views", "likes", "dislikes", "tags_json", "category", "nsfw"]
+
+
+def merged_live(stored: DataFrame, live: DataFrame) -> DataFrame:
+    """Stored videos with what was just fetched on top: texts unless blank, numbers unless null."""
+    j = stored.alias("l").join(live.withColumn("_live", F.lit(True)).alias("r"), [F.col(f"l.{k}") == F.col(f"r.{k}") for k in KEY], "left")
+    value = lambda c: F.coalesce(F.nullif(F.col(f"r.{c}"), F.lit("")), F.col(f"l.{c}")) if c in LIVE_TEXT else F.coalesce(f"r.{c}", f"l.{c}") if c in LIVE_NUMBERS else F.col(f"l.{c}")
+    here = set(live.columns)
+    return j.select(*[(value(c) if c in here else F.col(f"l.{c}")).alias(c) for c in stored.columns], F.coalesce("_live", F.lit(False)).alias("refreshed"))
+
+
+def refreshed(stored: DataFrame, live: DataFrame, now_ms: int, like_weight: float = LIKE_WEIGHT) -> DataFrame:
+    """The rows to store after a live fetch: merged, with popularity and time of check anew where something was fetched."""
+    m = merged_live(stored, live)
+    new = {"popularity": S.popularity("views", "likes", "published_at", now_ms, like_weight), "last_checked_at": F.lit(now_ms).cast("long")}
+    return m.select(*[F.when(F.col("refreshed"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in stored.columns])
+
+
+POPULARITY_MODES = {"missing": "popularity is null", "incremental": "popularity is null or popularity = 0", "reset": "true"}
+
+
+def with_popularity(videos: DataFrame, mode: str, now_ms: int, like_weight: float = LIKE_WEIGHT) -> DataFrame:
+    """Popularity where it is missing, where it is missing or 0 (incremental), or anew for all (reset)."""
+    if mode not in POPULARITY_MODES:
+        raise ValueError(f"unknown mode {mode}")
+    return videos.withColumn("popularity", F.when(F.expr(POPULARITY_MODES[mode]), S.popularity("views", "likes", "published_at", now_ms, like_weight)).otherwise(F.col("popularity")))

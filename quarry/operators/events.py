@@ -95,6 +95,11 @@ def remove_likes(stored: DataFrame, gone: DataFrame) -> DataFrame:
     return stored.join(gone.select("user_id", "video_id", "instance_domain"), ["user_id", "video_id", "instance_domain"], "left_anti")
 
 
+def clear_likes(stored: DataFrame, users: DataFrame) -> DataFrame:
+    """Without any like of these users."""
+    return stored.join(users.select("user_id"), "user_id", "left_anti")
+
+
 def published(actions: DataFrame) -> DataFrame:
     """User actions (action_id, user_id, action, video_uuid, instance_domain, at) as events; unknown actions give none."""
     return actions.withColumn("event_type", S.action_event("action")).where("event_type is not null").select(F.concat(F.lit("evt-"), F.col("action_id")).alias("event_id"), "event_type", F.col("user_id").alias("actor_id"), *KEY, F.col("at").alias("published_at"))

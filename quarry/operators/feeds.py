@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -186,3 +187,38 @@ def jittered(rows: DataFrame, window: int, seed: str) -> DataFrame:
 def page_rows(page: DataFrame) -> DataFrame:
     """What a client gets: the stable columns as one JSON text a row."""
     return page.select("rank_after", F.to_json(F.struct(*stable(page).columns)).alias("row"))
+
+
+def pool_stats(rows: DataFrame, column: str = "similarity_score") -> DataFrame:
+    """rows with least, largest and number of the finite scores of the pool."""
+    x = S.finite(column)
+    every = W.partitionBy()  # a pool: POOL rows at most
+    return rows.withColumns({"pool_min": F.min(x).over(every), "pool_max": F.max(x).over(every), "pool_size": F.count(x).over(every)})
+
+
+DEBUG = ["score", "similarity_score", "pool_min", "pool_max", "layer", "rank_before", "rank_after"]
+
+
+def with_debug(page: DataFrame, allowed: bool = True) -> DataFrame:
+    """The stable columns, and a struct of what led to each row; not allowed, it raises."""
+    if not allowed:
+        raise PermissionError("debug columns are disabled")
+    fields = [F.col(c) if c in page.columns else F.lit(None).cast("string").alias(c) for c in DEBUG]
+    return page.select(*stable(page).columns, F.struct(*fields).alias("debug"))
+
+
+def envelope(page: DataFrame, total: DataFrame, seed: str, at: int) -> DataFrame:
+    """One row: a page as a client gets it (rows as JSON, count, total, seed, time)."""
+    rows = page_rows(page).agg(F.array_sort(F.collect_list(F.struct("rank_after", "row"))).alias("r"))  # a page
+    return rows.crossJoin(F.broadcast(total.agg(F.count("*").alias("total")))).select(  # one row each
+        F.transform("r", lambda x: x["row"]).alias("rows"), F.size("r").alias("count"), "total", F.lit(seed).alias("seed"), F.lit(at).cast("long").alias("generated_at")
+    )
+
+
+def ordered_layers(profile: Profile, order: list[str] | None) -> Profile:
+    """The profile's layers in another order: named ones first, the rest as they were; unknown names raise."""
+    lost = [n for n in order or [] if n not in profile.layers]
+    if lost:
+        raise ValueError(f"no layer {lost}")
+    names = [*(order or []), *[n for n in profile.layers if n not in (order or [])]]
+    return replace(profile, layers={n: profile.layers[n] for n in names})

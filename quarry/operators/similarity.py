@@ -348,6 +348,16 @@ def host_stats(items: DataFrame, host: str) -> DataFrame:
     return items.agg(F.count_if(s).alias("as_source"), F.count_if(t).alias("as_similar"), F.count_if(s | t).alias("deletable"))
 
 
+def inspect(embeddings: DataFrame, count: int, values: int = 10) -> DataFrame:
+    """The first embeddings by key, with their first values."""
+    return embeddings.orderBy(*KEY).limit(count).select(*KEY, "embedding_dim", F.slice("embedding", 1, values).cast("array<double>").alias("head"))
+
+
+def health(embeddings: DataFrame) -> DataFrame:
+    """One row: how many embeddings, and a dimension and model of them."""
+    return embeddings.agg(F.count("*").alias("total"), F.any_value("embedding_dim").alias("dim"), F.any_value("model_name").alias("model_name"))
+
+
 def hashed_encoder(dim: int = 64):
     """A stand-in for a text encoder: signed feature hashing of words, unit length (Arrow batches)."""
     @F.pandas_udf("array<float>")

@@ -34,10 +34,14 @@ def register(name: str, text: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import more  # noqa: F401 - registers its queries
+
     return {n: (lambda spark, d, f=f: f(Catalogue(spark, d))) for n, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import more  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -414,8 +418,7 @@ def _(c):
 @register("popularity_recompute", sql("SELECT video_id, CASE WHEN CAST(video_id AS BIGINT) % 4 = 0 THEN round(popularity, 6) ELSE 7.0 END AS popularity FROM videos", "videos"))
 def _(c):
     old = F.when(F.col("video_id").cast("long") % 4 != 0, 7.0).otherwise(F.when(F.col("video_id").cast("long") % 8 == 0, 0.0))
-    v = c.videos.withColumn("old", old)
-    return v.select("video_id", F.when(F.coalesce("old", F.lit(0.0)) == 0, F.round(S.popularity("views", "likes", "published_at", NOW_MS), 6)).otherwise(F.col("old")).alias("popularity"))
+    return K.with_popularity(c.videos.withColumn("popularity", old), "incremental", NOW_MS).select("video_id", F.round("popularity", 6).alias("popularity"))
 
 
 @register("federation_edges", sql("WITH e AS (SELECT DISTINCT a.host AS source_host, b.host AS target_host FROM customer JOIN hosts a ON a.n_nationkey = c_nationkey JOIN hosts b ON b.n_nationkey = c_custkey % 25 WHERE a.host <> b.host) SELECT source_host, count(*) AS n FROM e GROUP BY 1", "hosts"))
