@@ -241,7 +241,7 @@ def ivf_knn(queries: DataFrame, index: Index, embeddings: DataFrame, k: int, pro
 
     asked = valid(queries, dim).select(*KEY, F.col("embedding").cast("array<double>")).mapInArrow(probe, "src_id string, src_host string, qv array<double>, lists array<int>")
     asked = asked.select("src_id", "src_host", "qv", F.explode("lists").alias("list_id"))
-    asked = _dealt(asked, index.split, F.lit(0)) if not index.split else _dealt(asked, index.split, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).cast("int"))
+    asked = _dealt(asked, index.split, F.lit(0)) if not index.split else _dealt(asked, index.split, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:

@@ -9,9 +9,13 @@ from quarry import config as C
 from quarry import schemas
 from quarry.functions import scalars as S
 from quarry.operators import catalogue as K
+from quarry.operators import crawl as R
 from quarry.operators import events as E
+from quarry.operators import feeds as P
+from quarry.operators import likes as L
+from quarry.operators import similarity as N
 from quarry.operators import tables as T
-from quarry.sources import hosts, pages, stores
+from quarry.sources import hosts, live, pages, stores
 
 
 def events(spark, *rows):
@@ -128,3 +132,184 @@ def test_rate_limit(spark):
 def test_cap_keeps_rows_without_channel(spark):
     df = spark.createDataFrame([(str(i), None, "h", i) for i in range(5)], "video_id string, channel_id string, instance_domain string, n int")
     assert K.capped(df, [F.col("n")], 1, 0).count() == 5
+
+
+def test_reachable_has_no_depth_limit(spark):
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}") for i in range(30)] + [("h30", "h4")], "source_host string, target_host string")
+    got = {r["host"]: r["depth"] for r in T.reachable(edges, spark.createDataFrame([("h0",)], "host string")).collect()}
+    assert got == {f"h{i}": i for i in range(31)}
+    assert T.reachable(edges.limit(0), spark.createDataFrame([("h0",)], "host string")).count() == 1
+
+
+def test_errors_are_counted_once_a_row(spark):
+    t = spark.createDataFrame([("a", 1, None), ("b", None, "old")], "k string, error_count int, last_error string")
+    bad = spark.createDataFrame([("a", "x"), ("a", "y"), ("c", "z")], "k string, message string")
+    assert sorted(map(tuple, T.count_errors(t, bad, ["k"]).collect())) == [("a", 3, "y"), ("b", None, "old")]
+
+
+def test_tags_of_json_strings(spark):
+    x = spark.createDataFrame([('"one tag"',), ('["a", " b "]',), ("plain",), (None,)], "x string")
+    assert [r[0] for r in x.select(S.parse_tags("x")).collect()] == [["one tag"], ["a", "b"], ["plain"], []]
+
+
+def test_signals_on_top_of_stored(spark):
+    """Batches on top of each other give what one fold over all events gives, whatever the slices."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(str(n), n * 40_000, rng.choice(list(S.EVENT_DELTAS)), f"u{rng.randint(0, 5)}", "h") for n in range(200)]
+    schema = "event_id string, arrival long, event_type string, video_uuid string, instance_domain string"
+    want, stored, signals = {}, spark.createDataFrame([], schema), None
+    for _, _, t, u, _ in rows:
+        want[u] = list(S.EVENT_DELTAS[t]) if u not in want else [max(0, a + b) for a, b in zip(want[u], S.EVENT_DELTAS[t])]
+    signals = E.signals(stored)
+    for k in range(0, 200, 67):
+        batch = spark.createDataFrame(rows[max(0, k - 5) : k + 67], schema)
+        new, touched, _ = E.ingest(batch, stored, signals)
+        new, touched = T.settled(new), T.settled(touched)
+        stored, signals = stored.unionByName(new), signals.join(touched.select(*E.KEY), E.KEY, "left_anti").unionByName(touched)
+    got = {r["video_uuid"]: [r["likes_count"], r["undo_likes_count"], r["comments_count"], r["signal_score"]] for r in signals.collect()}
+    assert got == want and stored.count() == 200
+    whole = {r["video_uuid"]: r["likes_count"] for r in E.signals(spark.createDataFrame(rows, schema)).collect()}
+    assert whole == {u: x[0] for u, x in want.items()}
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(str(i), "h", v) for i, v in enumerate(rows)], "video_id string, instance_domain string, embedding array<float>")
+
+
+def test_knn_skips_bad_vectors(spark):
+    good = [[1.0, 0.0], [0.8, 0.6], [0.0, 1.0]]
+    df = vectors(spark, [*good, None, [1.0], [float("nan"), 1.0], [], [None, 1.0]])
+    got = {(r["src_id"], r["rank"]): r["video_id"] for r in N.knn(df, df, 2).collect()}
+    assert got == {("0", 1): "1", ("0", 2): "2", ("1", 1): "0", ("1", 2): "2", ("2", 1): "1", ("2", 2): "0"}
+    assert N.knn(df.limit(0), df, 2).count() == 0 and N.knn(df, df.limit(0), 2).count() == 0
+
+
+def test_knn_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(90, 6)).round(2)
+    df = vectors(spark, x.tolist())
+    few = sorted(map(tuple, N.knn(df, df, 4).collect()))
+    monkeypatch.setattr(N, "BLOCK", 20)
+    assert sorted(map(tuple, N.knn(df, df, 4).collect())) == few and len(few) == 360
+
+
+def test_index(spark, tmp_path, monkeypatch):
+    """Saved and read again, with long lists dealt over parts, the index finds 9 of 10 neighbours; wrong dimensions are refused."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    df = vectors(spark, (centres[rng.integers(0, 12, 600)] + 0.3 * rng.normal(size=(600, 16))).tolist())
+    monkeypatch.setattr(N, "LIST_ROWS", 25)
+    index = N.build_index(df, *N.train_index(df, 12, 4))
+    assert index.split and index.rows.count() == 600
+    N.save_index(index, str(tmp_path / "index"))
+    stored = N.load_index(spark, str(tmp_path / "index"), 16)
+    assert stored.split == index.split
+    probes = N.probes_for(stored, df, 5, 0.9, 60)
+    assert N.recall(N.ivf_knn(df, stored, df, 5, probes), N.knn(df, df, 5)).first()["recall"] >= 0.9
+    with pytest.raises(ValueError):
+        N.load_index(spark, str(tmp_path / "index"), 8)
+
+
+def test_cache_policy(spark):
+    items = spark.createDataFrame([("0", "h", "1", "h", 0.9, 1), ("2", "h", "1", "h", None, 1)], schemas.TABLES["similarity_items"])
+    df = vectors(spark, [[1.0, 0.0], [0.8, 0.6], [0.0, 1.0]])
+    run = lambda **p: [df_.count() for df_ in N.similar_candidates(df, df, items, 2, N.CachePolicy(**p))]
+    assert run() == [5, 2] and run(allow_write=False) == [5, 0] and run(refresh=True) == [6, 6] and run(require_full=True) == [6, 2] and run(allow_compute=False) == [1, 0]
+
+
+def test_bodies_and_probes():
+    assert live.json_body(b'{"a": 1}') == {"a": 1} and live.json_body(b"") == {}
+    for bad in (b"[1]", b"{", b"x" * (live.MAX_BODY + 1)):
+        with pytest.raises(ValueError):
+            live.json_body(bad)
+    assert live.total_of('{"total": 3}') == 3
+    for bad in ('{"total": -1}', '{"total": true}', "{}"):
+        with pytest.raises(ValueError):
+            live.total_of(bad)
+
+
+def test_retries_and_fallback():
+    import urllib.error
+
+    waits, calls = [], []
+
+    def fetch(url):
+        calls.append(url)
+        if url.startswith("https"):
+            raise urllib.error.URLError("refused")
+        return "ok"
+
+    assert live.with_fallback(fetch, "h/x", 3, waits.append) == "ok" and calls == ["https://h/x"] * 3 + ["http://h/x"] and waits == [1.0, 2.0]
+    answers = iter([429, 503, 429, 200])
+
+    def server():
+        code = next(answers)
+        if code != 200:
+            raise urllib.error.HTTPError("u", code, "", {"Retry-After": "7"}, None)
+        return "done"
+
+    waits.clear()
+    assert pages.with_retry(server, 2, waits.append) == "done" and waits == [7.0, 1.0, 7.0]
+    with pytest.raises(urllib.error.HTTPError):
+        pages.with_retry(lambda: (_ for _ in ()).throw(urllib.error.HTTPError("u", 404, "", {}, None)), 3, waits.append)
+
+
+def test_page_source(spark, tmp_path):
+    for host, n in (("a.example", 120), ("b.example", 50)):
+        (tmp_path / host).mkdir()
+        for start in range(0, n + 1, 50):
+            (tmp_path / host / f"videos-{start}.json").write_text(json.dumps({"total": n, "data": [{"uuid": f"{host}-{i}", "name": f"n{i}"} for i in range(start, min(n, start + 50))]}))
+    pages.register(spark)
+    items = spark.read.format("catalogue_pages").option("hosts", "a.example, b.example").option("folder", str(tmp_path)).load()
+    assert items.groupBy("host").count().orderBy("host").collect() == [("a.example", 120), ("b.example", 50)]
+    rows = pages.video_rows(items, 5)
+    assert rows.count() == 170 and rows.where("video_id = 'a.example-7' and title = 'n7'").count() == 1
+
+
+def test_rate_limit_at_size(spark):
+    from collections import deque
+
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    rows = sorted((f"k{min(9, int(rng.exponential(2)))}", int(t), i) for i, t in enumerate(rng.integers(0, 200_000, 6000)))
+    want, times = {}, {}
+    for key, at, request in rows:
+        own = times.setdefault(key, deque())
+        while own and own[0] <= at - 5000:
+            own.popleft()
+        want[request] = len(own) < 4
+        if want[request]:
+            own.append(at)
+    got = {r["request"]: r["allowed"] for r in E.rate_limited(spark.createDataFrame(rows, "key string, at long, request long"), 4, 5000).collect()}
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
+def test_store_of_several_tables(spark, tmp_path):
+    s = stores.Store(spark, str(tmp_path / "s"))
+    e = spark.createDataFrame([("a", "b")], schemas.TABLES["edges"])
+    for k in range(3):
+        s.write_all({"edges": e.limit(k % 2 + 0 * k), "likes": spark.createDataFrame([], schemas.TABLES["likes"])}, 1)
+    assert len(s.versions("edges")) == 3 and s.read("edges").count() == 0 and s.backup("edges", str(tmp_path / "b")) and s.backup("channels", str(tmp_path / "b")) is None
+    assert s.drop_old("edges") == 2 and s.read("edges").count() == 0
+
+
+def test_unknown_names_raise(spark):
+    for f in (lambda: L.like_source("none", None, None, "s"), lambda: L.strategy("none"), lambda: K.with_popularity(None, "none", 0), lambda: R.effective_hosts(None, None, "none"), lambda: P.ordered_layers(C.HOME, ["none"])):
+        with pytest.raises(ValueError):
+            f()
+    with pytest.raises(PermissionError):
+        P.with_debug(spark.range(1), allowed=False)
+    assert list(P.ordered_layers(C.HOME, ["fresh"]).layers)[:2] == ["fresh", "explore"]
+
+
+def test_encoder_can_be_given(spark):
+    t = spark.createDataFrame([("1", "h", "a b"), ("2", "h", None), ("3", "h", "c")], "video_id string, instance_domain string, text string")
+    own = lambda text: F.array(F.length(text).cast("float"))
+    got = {r["video_id"]: r["embedding"] for r in N.encode_missing(t, t.where("video_id = '3'"), own).collect()}
+    assert got == {"1": [3.0]} and N.encode_missing(t, t, own, force=True).count() == 2

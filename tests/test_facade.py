@@ -58,6 +58,28 @@ def test_ingest_and_block(engine, spark):
     assert engine._t("instance_denylist").first()["is_active"] == 0
 
 
+def test_ingest_in_order_of_arrival(engine, spark):
+    """Arrival decides, not the time of publication; repeats of stored events change nothing, in later batches neither."""
+    schema = "event_id string, arrival long, event_type string, video_uuid string, instance_domain string, published_at long"
+    first = [("a1", 1, "Like", "au", "ah", 30), ("a2", 2, "UndoLike", "au", "ah", 20), ("a3", 3, "UndoLike", "au", "ah", 10)]
+    engine.ingest(spark.createDataFrame(first, schema), 11)
+    own = lambda: engine._t("interaction_signals").where("video_uuid = 'au'").first()
+    assert (own()["likes_count"], own()["undo_likes_count"]) == (0, 2)
+    engine.ingest(spark.createDataFrame([first[0], ("a4", 1, "Like", "au", "ah", 5), ("a5", 2, "Like", "bu", "ah", 5)], schema), 12)
+    assert own()["likes_count"] == 1 and own()["updated_at"] == 12
+    engine.ingest(spark.createDataFrame([("a6", 1, "UndoLike", "bu", "ah", 5), ("a7", 2, "UndoLike", "bu", "ah", 5)], schema), 13)
+    assert own()["updated_at"] == 12 and engine._t("interaction_signals").where("video_uuid = 'bu'").first()["likes_count"] == 0
+    assert engine._t("interaction_raw_events").where("instance_domain = 'ah'").count() == 7
+
+
+def test_similar_is_stored(engine):
+    uuid, host = refs(engine, 3)[2]
+    before = engine._t("similarity_items").count()
+    one = [r["video_id"] for r in engine.similar(uuid, host, 10, at=20).collect()]
+    stored = engine._t("similarity_items").count()
+    assert stored > before and [r["video_id"] for r in engine.similar(uuid, host, 10, at=21).collect()] == one and engine._t("similarity_items").count() == stored
+
+
 def test_schemas():
     assert "popularity" in TABLES["videos"].names
 
