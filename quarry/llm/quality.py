@@ -53,9 +53,9 @@ _STOP[list(b".!?:;\"')")] = True
 def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The features of each text, over all of it."""
     w = W.find(data, offsets, W.NOT_SPACE)
-    n, bytes_in = w.n, np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=bytes_in[1:])
+    n, bytes_in = w.n, W.running((data & 0xC0) != 0x80)
     chars = bytes_in[w.end] - bytes_in[w.start]
+    del bytes_in
     # words in 5-word windows that the text has twice or more
     h, doc, at = W.windows(w, REPEAT_WORDS)
     _, twice = W.seen_before(doc, h)
@@ -75,10 +75,9 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     first_word, last_word = np.searchsorted(w.start, start), np.searchsorted(w.start, stop)
     full = last_word > first_word
     start, stop, line_doc, last_word = start[full], stop[full], line_doc[full], last_word[full]
-    later, _ = W.seen_before(line_doc, W.hash_ranges(w.prefix, start, stop))
+    later, _ = W.seen_before(line_doc, W.hash_ranges(data, start, stop))
     ended = _STOP[data[w.end[last_word - 1] - 1]] if len(last_word) else np.zeros(0, bool)
-    letters = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(_LETTER[data] | (data >= 0x80), out=letters[1:])
+    letters = W.running(_LETTER[data] | (data >= 0x80))
     alpha = letters[w.end] > letters[w.start]
 
     def by(doc: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:

@@ -5,7 +5,8 @@ point is 0x80 or more, so both word patterns in use (anything but ASCII white
 space; ASCII letters, digits and non-ASCII) are classes of bytes, and words are
 the runs of one class.  A word's 64-bit hash is a difference of prefix sums,
 so the cost is a few array operations a byte and nothing runs per word or
-per document in the interpreter.
+per document in the interpreter.  Sums are taken piece by piece (``PIECE``), so
+that a very long text takes some bytes of memory a byte and not some tens.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pyarrow.compute as pc
 
 #: Texts are handled in slices of about so many bytes (one text at least).
 SLICE_BYTES = 1 << 21
+#: Bytes whose prefix sums are held at once.
+PIECE = 1 << 21
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5  # odd, so that it has an inverse modulo 2**64
@@ -35,19 +38,18 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        up = np.full(size, _BASE, _U)
-        down = np.full(size, _INVERSE, _U)
-        up[0] = down[0] = 1
-        with np.errstate(over="ignore"):
-            _powers[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers[size]
+def _power_tables() -> list[np.ndarray]:
+    """Powers of the base and of its inverse, for the places of a piece."""
+    if not _powers:
+        for base in (_BASE, _INVERSE):
+            table = np.full(PIECE + 1, base, _U)
+            table[0] = 1
+            with np.errstate(over="ignore"):
+                _powers.append(np.multiply.accumulate(table))
+    return _powers
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -70,7 +72,6 @@ class Words:
     doc: np.ndarray  # of each word
     first: np.ndarray  # words of text i: first[i]..first[i + 1]
     hash: np.ndarray  # of each word, uint64
-    prefix: np.ndarray  # sums from which the hash of any byte range follows
 
     @property
     def n(self) -> int:
@@ -111,28 +112,54 @@ def find(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = NOT_SPACE,
         finish[1:] = good
         finish[1:n] &= ~good[1:] | breaks[1:n]
     start, end = np.flatnonzero(begin), np.flatnonzero(finish)
-    with np.errstate(over="ignore"):
-        up, _ = _power_tables(n + 1)
-        prefix = np.zeros(n + 1, _U)
-        np.cumsum(_BYTE[data] * up[:n], out=prefix[1:])
-    h = hash_ranges(prefix, start, end)
+    del good, breaks, begin, finish
+    h = hash_ranges(data, start, end)
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(data, offsets, start, end, doc, first, h, prefix)
+    return Words(data, offsets, start, end, doc, first, h)
+
+
+def _sums(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomials of the bytes of ranges, all within one piece."""
+    up, down = _power_tables()
+    prefix = np.zeros(len(data) + 1, _U)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=prefix[1:])
+    return (prefix[end] - prefix[start]) * down[start]
 
 
-def hash_ranges(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each range."""
-    _, down = _power_tables(len(prefix))
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each range; ranges ascend and do not overlap."""
+    out = np.empty(len(start), _U)
     with np.errstate(over="ignore"):
-        return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(_U))
+        i = 0
+        while i < len(start):
+            lo = start[i]
+            j = int(np.searchsorted(end, lo + PIECE, "right"))  # ranges i..j-1 end within a piece
+            if j > i:
+                out[i:j] = _sums(data[lo : end[j - 1]], start[i:j] - lo, end[i:j] - lo)
+                i = j
+                continue
+            total, power, step = _U(0), _U(1), _U(pow(_BASE, PIECE, 1 << 64))  # a range longer than a piece
+            for at in range(int(lo), int(end[i]), PIECE):
+                part = data[at : min(at + PIECE, int(end[i]))]
+                total += power * _sums(part, np.array([0]), np.array([len(part)]))[0]
+                power *= step
+            out[i] = total
+            i += 1
+        return mix(out + (end - start).astype(_U))
+
+
+def running(flags: np.ndarray) -> np.ndarray:
+    """How many flags are set before each place, in the least type that holds it."""
+    total = np.zeros(len(flags) + 1, np.int32 if len(flags) < 1 << 31 else np.int64)
+    np.cumsum(flags, out=total[1:])
+    return total
 
 
 def per_text(offsets: np.ndarray, flags: np.ndarray) -> np.ndarray:
     """How many flags (one a byte) are set in each text."""
-    total = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=total[1:])
-    return np.diff(total[offsets])
+    total = running(flags)
+    return np.diff(total[offsets]).astype(np.int64)
 
 
 def seen_before(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -34,6 +34,36 @@ def test_words():
         assert [w.text(k).decode() for k in range(w.first[i], w.first[i + 1])] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
 
 
+def test_hashes_of_long_ranges(monkeypatch):
+    """Hashes do not depend on the piece that a range lies in, nor on the size of pieces."""
+    rng = np.random.default_rng(22)
+    data = rng.integers(97, 123, 5000).astype(np.uint8)
+    data[rng.integers(0, 5000, 300)] = 32
+    data[1000:3000] = 120  # one long word
+    offsets = np.array([0, 40, 40, 700, 5000])
+    want = W.find(data, offsets)
+    assert len(set(zip(want.hash.tolist(), [want.text(k) for k in range(len(want.hash))]))) == len({want.text(k) for k in range(len(want.hash))})
+    monkeypatch.setattr(W, "PIECE", 64)
+    monkeypatch.setattr(W, "_powers", [])
+    got = W.find(data, offsets)
+    assert (got.hash == want.hash).all() and (got.start == want.start).all()
+
+
+def test_very_long_text():
+    """30 MB of words, of one word and of white space, with bounded memory."""
+    import tracemalloc
+
+    for unit in (b"some words that go on. ", b"x", b" \n"):
+        data = np.frombuffer(unit * (30_000_000 // len(unit)), np.uint8)
+        offsets = np.array([0, len(data)])
+        tracemalloc.start()
+        got = quality.measure(data, offsets)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got["n_words"][0] == len(unit.split()) * (30_000_000 // len(unit)) if unit != b"x" else got["n_words"][0] == 1
+        assert peak < 45 * len(data)
+
+
 def test_quality_features():
     rng = random.Random(2)
     texts = [prose(rng, rng.randint(0, 80)).replace(" mu", "\n") for _ in range(60)] + [t or "" for t in ODD]
