@@ -103,9 +103,10 @@ def _(c):
     return d.select("doc_id", S.embedding_text(F.col("text"), F.lit(" "), tags, "lang", F.lit(None).cast("string"), "n_chars").alias("payload"))
 
 
-@register("parse_vector", "SELECT vec_id, 3 AS n, round(CAST(embedding[1] AS DOUBLE) + CAST(embedding[2] AS DOUBLE) + 2.5, 5) AS total FROM embeddings")
+@register("parse_vector", "SELECT vec_id, count(*) AS n, round(sum(CAST(CAST(x AS VARCHAR) AS DOUBLE)), 5) AS total FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY 1")
 def _(c):
-    text = F.concat(F.lit("["), F.col("embedding")[0].cast("string"), F.lit(", "), F.col("embedding")[1].cast("string"), F.lit(" x 2.5, nan]"))
+    """Whole vectors as text, with what is no number among them."""
+    text = F.concat(F.lit(" ["), F.array_join(F.transform("embedding", lambda x: x.cast("string")), ", "), F.lit(" x nan, inf 1e999]"))
     v = c.table("embeddings").withColumn("v", V.parse_vector(text))
     return v.select("vec_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
