@@ -42,7 +42,9 @@ from .cluster import ship, table
 
 TOKENIZER = "byte_bpe_50k.json"
 CHUNK = 256
-MAX_STATES = 1 << 17  # of the counting machine: 1.5 KB each
+MAX_STATES = 1 << 17  # of the counting machine, some 2 KB each
+KEPT_STATES = MAX_STATES // 8
+BATCH = 1 << 18  # bytes of pieces that run side by side, so that they reach fewer new states than there is room for
 FEW = 8  # pieces that are not worth a step side by side
 LIMIT = 512
 _SYNC = 8
@@ -199,9 +201,9 @@ class Machine:
     transition carries the (possibly negative) number of tokens by which the count
     changes.
 
-    States are made when first reached and kept between tasks, ``MAX_STATES`` at
-    most: then the machine is begun anew, at the price of making states again (what
-    is known of pairs of tokens stays).
+    States are made when first reached and kept between tasks.  Where a batch of
+    pieces finds ``MAX_STATES`` or more, all but ``KEPT_STATES`` go, at the price of
+    making some again: what was met first is what is met often.
     """
 
     def __init__(self, merges: Merges):
@@ -224,15 +226,24 @@ class Machine:
                     node = self.child[node << 8 | b]
                 self.token[node] = number
         self.pairs: dict[tuple[int, int], bool] = {}
-        self._clear()
+        self.states: dict[tuple, int] = {((0, -1, 0),): 0}
+        self.parts: list[tuple] = [((0, -1, 0),)]
+        self._tables()
 
-    def _clear(self) -> None:
+    def _tables(self) -> None:
+        """By state * 256 + byte: one more than the next state, 0 where it is not made yet, and the change of the count."""
+        self.next, self.emit = np.zeros(MAX_STATES << 9, np.int32), np.zeros(MAX_STATES << 9, np.int8)  # pages come as they are used
+
+    def keep(self, states: int) -> None:
+        """Forget all states but the first so many."""
         if len(self.pairs) > 8 * MAX_STATES:
             self.pairs.clear()
-        self.states: dict[tuple, int] = {((0, -1, 0),): 0}
-        self.parts: list[tuple] = [((0, -1, 0),)]
-        self.next = np.full(1 << 18, -1, np.int32)  # by state * 256 + byte
-        self.emit = np.zeros(1 << 18, np.int16)
+        for gone in self.parts[states:]:
+            del self.states[gone]
+        del self.parts[states:]
+        kept, change = self.next[: states << 8], self.emit[: states << 8]
+        self._tables()
+        self.next[: len(kept)], self.emit[: len(kept)] = np.where(kept > states, 0, kept), change
 
     def encode(self, text: bytes) -> list[int]:
         """Tokens of a piece by its merges, lowest rank first."""
@@ -257,6 +268,14 @@ class Machine:
             known = self.pairs[before, token] = self.encode(self.bytes[before] + self.bytes[token]) == [before, token]
         return known
 
+    def number(self, state: tuple) -> int:
+        """Of a state, which may be new."""
+        known = self.states.get(state)
+        if known is None:
+            known = self.states[state] = len(self.parts)
+            self.parts.append(state)
+        return known
+
     def make(self, spot: int) -> None:
         """The transition at state * 256 + byte."""
         byte = spot & 255
@@ -271,48 +290,55 @@ class Machine:
             if self.inner[after]:
                 alive.append((after, before, behind))
         state = (*((n, t, d - change) for n, t, d in alive), (0, last, 0))
-        number = self.states.get(state)
-        if number is None:
-            number = self.states[state] = len(self.parts)
-            self.parts.append(state)
-            if len(self.parts) << 8 > len(self.next):
-                self.next = np.concatenate([self.next, np.full(len(self.next), -1, np.int32)])
-                self.emit = np.concatenate([self.emit, np.zeros(len(self.emit), np.int16)])
-        self.next[spot], self.emit[spot] = number, change
+        number = self.number(state)
+        self.next[spot], self.emit[spot] = number + 1, change
 
     def count(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Tokens of the pieces data[start:end], all pieces side by side, the longest first."""
+        """Tokens of the pieces data[start:end], in batches of neighbours."""
+        upto = np.cumsum(end - start)
+        out, i = np.empty(len(start), np.int64), 0
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + BATCH, "right")))
+            out[i:j] = self._batch(data, start[i:j], end[i:j])
+            i = j
+        return out
+
+    def _batch(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """All pieces side by side, the longest first."""
         if len(self.parts) >= MAX_STATES:
-            self._clear()
+            self.keep(KEPT_STATES)
         order = np.argsort(start - end, kind="stable")
         begin, left = start[order], (end - start)[order]
-        ends = np.searchsorted(-left, -np.arange(1, int(left[0]) + 1 if len(left) else 1), "right")  # pieces with a byte k
         state, total = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int64)
-        for k, n in enumerate(ends):
-            if n < FEW:
-                break
+        k, n = 0, int(np.searchsorted(-left, 0, "left"))  # n pieces have a byte k
+        while n >= FEW:
             spot = (state[:n] << 8) + data[begin[:n] + k]
             state[:n] = self.next[spot]
-            if (state[:n] < 0).any():
-                for x in np.unique(spot[state[:n] < 0]).tolist():
+            if not state[:n].all():
+                for x in np.unique(spot[state[:n] == 0]).tolist():
                     self.make(x)
                 state[:n] = self.next[spot]
+            state[:n] -= 1
             total[:n] += self.emit[spot]
-        else:
-            k = len(ends)
-        for i in range(int(ends[k]) if k < len(ends) else 0):  # the few long ones, one by one
-            at, n = int(state[i]), 0
+            k += 1
+            n = int(np.searchsorted(-left, -k, "left"))
+        reached = [self.parts[x] for x in state[:n]]
+        for i in range(n):  # the few long ones, one by one
+            at, tokens = self.number(reached[i]), 0
             for byte in data[begin[i] + k : begin[i] + left[i]].tolist():
+                if len(self.parts) >= 2 * MAX_STATES - 1:
+                    own = self.parts[at]
+                    self.keep(KEPT_STATES)
+                    at = self.number(own)
                 spot = at << 8 | byte
-                if self.next[spot] < 0:
+                if not self.next[spot]:
                     self.make(spot)
-                at, n = int(self.next[spot]), n + int(self.emit[spot])
-            total[i] += n
+                at, tokens = int(self.next[spot]) - 1, tokens + int(self.emit[spot])
+            total[i] += tokens
         out = np.empty(len(begin), np.int64)
         out[order] = total
         return out
 
-
 _machines: dict[str, Machine] = {}
 
 

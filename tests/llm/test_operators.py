@@ -239,7 +239,7 @@ def test_token_counts():
     assert tokens.count_tokens(*W.text_bytes(pa.array(texts)), tokens.read_tokenizer(path)).tolist() == want
 
 
-def test_counting_machine():
+def test_counting_machine(monkeypatch):
     """Counts on transitions equal those of merging, piece by piece; the machine may begin anew at any time."""
     P = pytest.importorskip("public_tokenizers")
     merges = tokens.read_tokenizer(P.path(tokens.TOKENIZER))
@@ -248,9 +248,16 @@ def test_counting_machine():
     data, at = np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
     want = [len(m.encode(p)) for p in pieces]
     assert m.count(data, at[:-1], at[1:]).tolist() == want
-    m._clear()
-    assert m.count(data, at[:-1], at[1:]).tolist() == want and m.count(data, at[:0], at[:0]).tolist() == []
     assert (m.emit < 0).any()  # a merge takes back what was counted
+    m.keep(1)
+    assert m.count(data, at[:-1], at[1:]).tolist() == want and m.count(data, at[:0], at[:0]).tolist() == []
+    monkeypatch.setattr(tokens, "MAX_STATES", 3000)  # forgets again and again, inside long pieces too
+    monkeypatch.setattr(tokens, "KEPT_STATES", 300)
+    m.keep(1)
+    monkeypatch.setattr(tokens, "BATCH", 2000)
+    pieces += [bytes(rng.choices(b"etaoinshr", k=3000)) for _ in range(3)]
+    data, at = np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+    assert m.count(data, at[:-1], at[1:]).tolist() == [len(m.encode(p)) for p in pieces] and len(m.parts) <= 6000
 
 
 def test_token_counts_spark(spark):
