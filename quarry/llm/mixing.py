@@ -36,7 +36,6 @@ from math import lcm
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from .cluster import materialise, table
@@ -92,7 +91,7 @@ def _hash() -> Column:
 
 
 def schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """docs with columns q_block, q_release, q_deadline, q_slot and q_place (in the block)."""
+    """docs with columns q_block, q_release, q_deadline, q_slot, q_before (rows of the mix before the block) and q_place (in the block)."""
     spark = docs.sparkSession
     light = docs.select("source", _hash().alias("q_hash"))
     rows_by = light.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()  # a row for each source
@@ -108,10 +107,12 @@ def schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
     # sources that are not in the table keep their share of the slots
     shares = given | {s: w for s, w in weights.items() if s not in given and w > 0}
     number = {s: k for k, s in enumerate(sorted(given, key=lambda s: (s is not None, s)))}
-    times = [(number[s], i, slot, release, due) for s, i, slot, release, due in earliest_deadline_first(shares, {s: -(-n // size) for s, n in counted.items()})]
-    frame = lambda rows, columns: pd.DataFrame(rows, columns=columns)
-    one = spark.createDataFrame(frame(times, ["q_k", "q_b", "q_slot", "q_release", "q_deadline"]).astype("int64"), "q_k long, q_b long, q_slot long, q_release long, q_deadline long")
-    one = materialise(one)
+    times, before = [], 0
+    for s, i, slot, release, due in earliest_deadline_first(shares, {s: -(-n // size) for s, n in counted.items()}):
+        times.append((number[s], i, slot, release, due, before))
+        before += min(size, counted[s] - i * size)
+    names = ["q_k", "q_b", "q_slot", "q_release", "q_deadline", "q_before"]
+    one = materialise(spark.createDataFrame(pd.DataFrame(times, columns=names, dtype="int64"), ", ".join(f"{c} long" for c in names)))  # MAX_BLOCKS rows and one a source at most
     sources = spark.createDataFrame([(s, k) for s, k in number.items()], "q_source string, q_number long")  # a row for each source
     bucket = F.pmod(F.col("q_hash"), F.lit(buckets_for(max(counted.values(), default=0))))
     hashed = docs.withColumn("q_hash", _hash())
@@ -124,13 +125,8 @@ def schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
     return timed.drop("q_index", "q_number", "q_k", "q_b")
 
 
-def stretch(rows: int, block_rows: int = BLOCK_ROWS) -> Column:
-    """Neighbouring slots of a table of so many rows that are numbered or written together."""
-    return F.expr(f"q_slot div {max(1, BUCKET_ROWS // rows_of_block(rows, block_rows))}L")
-
-
-#: Rows up to which the table of stretches (16 bytes each) is broadcast; beyond, a shuffled join.
-MAX_BROADCAST_STRETCHES = 1_000_000
+#: Place of a row of a schedule in the mix: 0, 1, ...
+PLACE = "q_before + q_place"
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -140,25 +136,17 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     order, so that the files written from them, read one after the other, are
     the mixed stream.
     """
-    by = stretch(docs.count(), block_rows)
-    sizes = materialise(schedule(docs.select("doc_id", "source"), weights, block_rows).groupBy(by.alias("q_stretch")).agg(F.count("*").alias("q_rows")))
-    known = sizes.agg(F.count("*"), F.sum("q_rows")).first()
-    parts = max(1, -(-(known[1] or 0) // BUCKET_ROWS))
-    upto = Win.orderBy("q_stretch").rowsBetween(Win.unboundedPreceding, -1)  # a row for each stretch
-    before = sizes.withColumn("q_before", F.coalesce(F.sum("q_rows").over(upto), F.lit(0)))
-    part = before.select(F.col("q_stretch").alias("q_from"), F.expr(f"cast(q_before div {BUCKET_ROWS}L as int)").alias("q_part"))
-    part = F.broadcast(part) if known[0] <= MAX_BROADCAST_STRETCHES else part
     tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
     packed = docs.select("doc_id", "source", tie.alias("text_hash"), F.struct(*docs.columns).alias("q_row"))  # so that no column's name can clash
-    timed = schedule(packed, weights, block_rows).withColumn("q_stretch", by).join(part, F.col("q_stretch") == F.col("q_from"))
-    return timed.repartitionById(parts, F.col("q_part")).sortWithinPartitions("q_slot", "q_place").select("q_row.*")
+    placed = schedule(packed, weights, block_rows).withColumn("q_at", F.expr(PLACE))
+    parts = max(1, -(-docs.count() // BUCKET_ROWS))
+    return placed.repartitionById(parts, F.expr(f"cast(q_at div {BUCKET_ROWS}L as int)")).sortWithinPartitions("q_at").select("q_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """doc_id, source, block, release, deadline, slot, place and the gapless position in the mix."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    numbered = number_within(schedule(docs), [], [F.col("q_slot"), F.col("q_place")], stretch(docs.count()), "position")
-    return numbered.select(
+    return schedule(docs).select(
         "doc_id", "source", F.col("q_block").alias("block"), F.col("q_release").alias("release"), F.col("q_deadline").alias("deadline"),
-        F.col("q_slot").alias("slot"), F.col("q_place").cast("long").alias("place"), F.col("position").cast("long"),
+        F.col("q_slot").alias("slot"), F.col("q_place").cast("long").alias("place"), F.expr(PLACE).cast("long").alias("position"),
     )

@@ -29,15 +29,16 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from . import mixing
 from .cluster import materialise, table
-from .numbering import buckets_for, number_within
+from .numbering import BUCKET_ROWS, buckets_for, number_within
 
 BINS = 1024
 SLACK = 0.002
@@ -106,15 +107,22 @@ def metadata(docs: DataFrame, *others: str) -> DataFrame:
     )
 
 
-_HUNTS = "node long, dim int, part int, f0 long, f1 long, f2 long, lo long, hi long, width long, want double"
-_CUTS = "node long, dim int, c0 long, c1 long, c2 long, c3 long, half long"
+_HUNTS = "node bigint, dim int, part int, f0 bigint, f1 bigint, f2 bigint, lo bigint, hi bigint, width bigint, want double"
+_CUTS = "node bigint, dim int, c0 bigint, c1 bigint, c2 bigint, c3 bigint, half bigint"
 _DIM = f"element_at(array({', '.join(DIMS)}), dim + 1)"
 
 
+def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of whole numbers and doubles, from one text."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
+
+
 def _found(placed: DataFrame, hunts: list[_Hunt]) -> dict[int, tuple[int, float, float]]:
     """For each hunt the bin where its weight is reached (else its last one), the weight up to its end and its own."""
     spark = placed.sparkSession
-    sought = F.broadcast(spark.createDataFrame([h.row() for h in hunts], _HUNTS))  # a row a node
+    sought = F.broadcast(_small(spark, [h.row() for h in hunts], _HUNTS))  # a row a node
     key = F.expr(f"case part when 0 then {_DIM} when 1 then {TIES[0]} when 2 then {TIES[1]} else {TIES[2]} end")
     inside = F.expr(f"(part < 1 or {_DIM} = f0) and (part < 2 or {TIES[0]} = f1) and (part < 3 or {TIES[1]} = f2)")
     near = placed.join(sought, "node").where(inside).withColumn("key", key).where("key between lo and hi")
@@ -137,7 +145,7 @@ def grow(rows: DataFrame, shards: int) -> DataFrame:
     leaf = whole["weight"] / shards
     level = {0: shards}  # first shard of each node: its number of shards
     while open_nodes := {start: n for start, n in level.items() if n > 1}:
-        ids = spark.createDataFrame([(start,) for start in open_nodes], "node long")
+        ids = _small(spark, [(start,) for start in open_nodes], "node bigint")
         stats = placed.join(F.broadcast(ids), "node", "left_semi").groupBy("node").agg(F.sum("size").alias("weight"), *bounds)
         hunts = []
         for s in stats.collect():  # a row a node
@@ -154,7 +162,7 @@ def grow(rows: DataFrame, shards: int) -> DataFrame:
                 else:
                     cuts.append((h.node, h.dim, *key, open_nodes[h.node] // 2))
             hunts = left
-        table_of_cuts = F.broadcast(spark.createDataFrame(cuts, _CUTS))  # a row a node
+        table_of_cuts = F.broadcast(_small(spark, cuts, _CUTS))  # a row a node
         t0, t1, t2 = TIES
         goes_left = F.expr(f"c0 is null or {_DIM} < c0 or ({_DIM} = c0 and ({t0} < c1 or ({t0} = c1 and ({t1} < c2 or ({t1} = c2 and {t2} < c3)))))")
         moved = placed.join(table_of_cuts, "node", "left").withColumn("node", F.col("node") + F.when(goes_left, F.lit(0)).otherwise(F.col("half")))
@@ -177,8 +185,8 @@ def shard(docs: DataFrame, shards: int = 8, mixed: bool = False, target_bytes: i
     placed = grow(rows, shards)
     if mixed:
         placed = mixing.schedule(placed)
-        order = [F.col("q_slot"), F.col("q_place")]
-        bucket = mixing.stretch(known["n"])
+        order = [F.expr(mixing.PLACE)]
+        bucket = F.expr(f"({mixing.PLACE}) div {BUCKET_ROWS}L")
     else:
         order = [F.col("row_hash"), F.col("doc_id"), F.col("text_hash")]
         bucket = F.pmod(F.col("row_hash"), F.lit(buckets_for(-(-known["n"] // shards))))
