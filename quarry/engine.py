@@ -12,6 +12,7 @@ from .functions import scalars as S
 from .operators import catalogue as K
 from .operators import events as E
 from .operators import feeds as P
+from .operators import moderation as M
 from .operators import similarity as N
 from .operators import tables as T
 from .schemas import conform
@@ -34,8 +35,10 @@ class Engine:
     def metadata(self, entries: DataFrame) -> DataFrame:
         return K.metadata_of(entries, self._t("video_embeddings"), self._t("videos"), self._t("channels"))
 
-    def recommend(self, likes: Sequence[tuple[str, str]] = (), mode: str = "home") -> DataFrame:
-        """A page for the likes (uuid, host); too many or bad likes raise with what is wrong."""
+    def recommend(self, likes: Sequence[tuple[str, str]] = (), mode: str = "home", debug: bool = False, debug_allowed: bool = False) -> DataFrame:
+        """A page for the likes (uuid, host); too many or bad likes raise with what is wrong, and debug where it is not allowed."""
+        if debug and not debug_allowed:
+            raise PermissionError("debug columns are disabled")
         liked = None
         if likes:
             check = K.bad_like(self.likes_frame(likes), C.CLIENT_LIKES).first()
@@ -47,7 +50,8 @@ class Engine:
             liked = known.join(self._t("video_embeddings").select(*K.KEY, "embedding"), K.KEY)
             liked = None if liked.isEmpty() else liked
         layers = P.Candidates(self._t("videos"), self._t("video_embeddings"), self._t("interaction_signals"), liked, self.seed)
-        return P.feed(layers, C.profile_for(mode, liked is not None), self.now_ms, self._t("instance_denylist"), self._t("channel_moderation"))
+        page = P.feed(layers, C.profile_for(mode, liked is not None), self.now_ms, self._t("instance_denylist"), self._t("channel_moderation"))
+        return P.with_debug(page) if debug else page
 
     def random(self, limit: int = C.BATCH) -> DataFrame:
         """The random feed: from the stored cache, else from the videos."""
@@ -101,14 +105,45 @@ class Engine:
         """Deny a host; with purge and yes its rows go too.  The counts of what a purge concerns are returned."""
         one = self.spark.createDataFrame([(host,)], "host string").select(S.normalize_host("host").alias("host"), F.lit(1).alias("is_active"), F.lit(at).cast("long").alias("updated_at"))
         self.store.write("instance_denylist", T.upsert(self._t("instance_denylist"), one, ["host"]), at)
-        tables = {n: (self._t(n), "instance_domain") for n in ("channels", "videos", "video_embeddings")}
-        counts = T.host_counts(tables, one).collect()
+        left, counts = M.purge({n: self._t(n) for n in M.HOST_COLUMNS}, one, dry_run=not (purge and yes))
+        counts = counts.collect()
         if purge and yes:
-            for n, (df, column) in tables.items():
-                self.store.write(n, T.without_hosts(df, one, column), at)
-            self.store.write("similarity_items", N.purge_similar(self._t("similarity_items"), one), at)
+            self.store.write_all({**left, "similarity_items": N.purge_similar(self._t("similarity_items"), one)}, at)
         return self.spark.createDataFrame(counts, "table_name string, n long")
 
+    def set_channels(self, changes: DataFrame, at: int) -> None:
+        """Verdicts on channels (channel_id, instance_domain, status, reason, source_video_url)."""
+        self.store.write("channel_moderation", M.set_status(self._t("channel_moderation"), changes, at), at)
+
+    def moderated(self, status: str | None = None, host: str | None = None) -> DataFrame:
+        return M.listed_channels(self._t("channel_moderation"), status, host)
+
+    def act(self, user: str | None, actions: DataFrame, at: int, most: int = C.MAX_LIKES) -> DataFrame:
+        """A user's actions (action_id, action, video_uuid, instance_domain) at one time: likes recorded or removed, events published and returned."""
+        who = self.spark.range(1).select(S.user_or_default(F.lit(user))).first()[0]
+        mine = actions.withColumns({"user_id": F.lit(who), "at": F.lit(at).cast("long"), "event_type": S.action_event("action")}).where("event_type is not null")
+        known = mine.join(self._t("videos").select(*K.KEY, "video_uuid"), ["video_uuid", "instance_domain"])
+        rows = known.select("user_id", *K.KEY, "video_uuid", F.col("at").alias("updated_at"), F.col("action_id").cast("string").alias("event_id"), "event_type")
+        likes = self._t("likes")
+        likes = E.record_likes(likes, rows.where("event_type = 'Like'").drop("event_type"), most)
+        self.store.write("likes", E.remove_likes(likes, rows.where("event_type = 'UndoLike'")), at)
+        return E.published(mine)
+
+    def profile(self, user: str | None, limit: int = C.MAX_LIKES) -> DataFrame:
+        """A user's likes, newest first."""
+        return E.recent_likes(self._t("likes").where(F.col("user_id") == S.user_or_default(F.lit(user))), limit).orderBy("position")
+
+    def reset_profile(self, user: str | None, at: int) -> None:
+        gone = self.spark.range(1).select(S.user_or_default(F.lit(user)).alias("user_id"))
+        self.store.write("likes", E.clear_likes(self._t("likes"), gone), at)
+
+    def refresh_video(self, live: DataFrame, at: int) -> None:
+        """Freshly fetched videos put into the stored ones, and their hosts' last errors cleared, both or neither."""
+        instances = self._t("instances")
+        touched = live.select(F.col("instance_domain").alias("host")).distinct()
+        clean = touched.select("host", *[F.lit(None).cast(instances.schema[c].dataType).alias(c) for c in ("last_error", "last_error_at", "last_error_source")])
+        self.store.write_all({"videos": K.refreshed(self._t("videos"), live, at), "instances": T.patch(instances, clean, ["host"], ["last_error", "last_error_at", "last_error_source"])}, at)
+
     def unblock_host(self, host: str, at: int) -> None:
         """The row stays, inactive."""
         one = self.spark.createDataFrame([(host,)], "host string").select(S.normalize_host("host").alias("host"), F.lit(0).alias("is_active"), F.lit(at).cast("long").alias("updated_at"))

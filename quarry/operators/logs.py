@@ -38,3 +38,9 @@ def stage_durations(logs: DataFrame) -> DataFrame:
     df = df.withColumn("n", F.row_number().over(W.partitionBy("stage", "mark").orderBy("at")))
     pair = df.groupBy("stage", "n").agg(F.max(F.when(F.col("mark") == "started", F.col("at"))).alias("a"), F.max(F.when(F.col("mark") == "finished", F.col("at"))).alias("b"))
     return pair.where("a is not null and b is not null").select("stage", "n", (F.unix_millis("b") - F.unix_millis("a")).alias("ms"))
+
+
+def write(logs: DataFrame, path: str) -> None:
+    """Lines of JSON with event and pairs filled in, appended."""
+    c = classified(logs)
+    c.withColumn("context", F.coalesce("context", "pairs")).select(*[f.split()[0] for f in SCHEMA.split(", ")]).write.mode("append").json(path)

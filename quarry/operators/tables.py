@@ -156,6 +156,13 @@ def rebuild_content(channels: DataFrame, videos: DataFrame, embeddings: DataFram
     return {"channels": c, "videos": v, "embeddings": e}
 
 
+def sample_content(channels: DataFrame, videos: DataFrame, embeddings: DataFrame, hosts: DataFrame, per_host: int, per_channel: int) -> dict[str, DataFrame]:
+    """A small catalogue: of the hosts' channels the first so many a host, of theirs the first videos, and what belongs to them."""
+    some = only_hosts(channels, hosts).withColumn("_n", F.row_number().over(W.partitionBy("instance_domain").orderBy("channel_id"))).where(F.col("_n") <= per_host).drop("_n")
+    few = videos.withColumn("_n", F.row_number().over(W.partitionBy("channel_id", "instance_domain").orderBy("video_id"))).where(F.col("_n") <= per_channel).drop("_n")
+    return rebuild_content(some, few, embeddings, hosts)
+
+
 def drop_unhealthy(stage: DataFrame, prod: DataFrame) -> DataFrame:
     """Stage instances but those that prod has with a health other than ok."""
     bad = prod.where(~F.lower(F.trim(F.coalesce("health_status", F.lit("")))).eqNullSafe(F.lit("ok"))).select(F.lower(F.trim("host")).alias("_h"))

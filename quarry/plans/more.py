@@ -318,6 +318,18 @@ def _(c):
     return M.merge_report({"videos": old}, {"videos": T.insert_or_replace(old, c.stage, K.KEY)}, {"videos": K.KEY})
 
 
+@register("sample_catalogue", sql(f"""WITH c AS (SELECT channel_id, instance_domain FROM (SELECT *, row_number() OVER (PARTITION BY instance_domain ORDER BY channel_id) AS n FROM channels WHERE instance_domain IN ({BAD_HOSTS})) WHERE n <= 5),
+ v AS (SELECT video_id FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, instance_domain ORDER BY video_id) AS n FROM videos) JOIN c USING (channel_id, instance_domain) WHERE n <= 3)
+SELECT 'channels' AS name, count(*) AS n FROM c UNION ALL SELECT 'videos', count(*) FROM v UNION ALL SELECT 'embeddings', count(*) FROM video_embeddings WHERE video_id IN (SELECT video_id FROM v)""", "channels", "video_embeddings", "denylist"))
+def _(c):
+    kept = T.sample_content(c.channels, c.videos, c.embeddings, c.denylist.where("is_active = 1"), 5, 3)
+    out = None
+    for name, df in kept.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- likes, signals, caches
 
 

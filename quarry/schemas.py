@@ -33,8 +33,12 @@ TABLES: dict[str, StructType] = {
         "interaction_signals": "video_uuid string, instance_domain string, likes_count long, undo_likes_count long, comments_count long, signal_score double, updated_at long",
         "instance_denylist": "host string, is_active int, reason string, note string, created_at long, updated_at long",
         "channel_moderation": "channel_id string, instance_domain string, status string, reason string, source_video_url string, updated_at long, created_at long",
-        "likes": "user_id string, video_id string, instance_domain string, video_uuid string, updated_at long",
+        "likes": "user_id string, video_id string, instance_domain string, video_uuid string, updated_at long, event_id string",
         "edges": "source_host string, target_host string",
+        "video_crawl_progress": "instance_domain string, channel_id string, status string, error_count int, updated_at long",
+        "channel_crawl_progress": "instance_domain string, status string, error_count int, updated_at long",
+        "instance_crawl_progress": "host string, status string, error_count int, updated_at long",
+        "crawl_state": "key string, value string",
         "crawl_progress": "instance_domain string, channel_id string, status string, error_count int, last_start long, updated_at long",
     }.items()
 }

@@ -24,3 +24,8 @@ def from_text(spark: SparkSession, path: str) -> DataFrame:
     """One host a line; blank lines and # comments are skipped."""
     line = F.trim("value")
     return spark.read.text(path).where((line != "") & ~line.startswith("#")).select(S.host_token("value").alias("host")).where("host is not null").distinct()
+
+
+def to_text(hosts: DataFrame, path: str) -> None:
+    """One host a line, by name, as one text file that ``from_text`` reads."""
+    hosts.select(F.col("host").alias("value")).distinct().orderBy("value").coalesce(1).write.mode("overwrite").text(path)

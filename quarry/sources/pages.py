@@ -49,16 +49,18 @@ def with_retry(fetch: Callable[[], str], tries: int = 4, sleep: Callable[[float]
         sleep(min(30.0, 2.0 ** (failed - 1)))
 
 
-def read_all(get: Callable[[int], str], page: int = PAGE) -> Iterator[tuple[int, str]]:
-    """(start, item as JSON) of all pages."""
-    start = 0
+def read_all(get: Callable[[int], str], page: int = PAGE, known: Callable[[dict], bool] | None = None, stop_after: int = 0) -> Iterator[tuple[int, str]]:
+    """(start, item as JSON) of all pages; known items are left out, and with stop_after reading ends after so many pages in a row of known items only."""
+    start = full = 0
     while True:
         body = json.loads(get(start))
         data, total = body.get("data") or [], body.get("total")
-        for item in data:
+        new = [item for item in data if known is None or not known(item)]
+        for item in new:
             yield start, json.dumps(item, ensure_ascii=False)
         start += page
-        if not data or (start >= total if isinstance(total, int) else len(data) < page):
+        full = 0 if new or not data else full + 1
+        if not data or (stop_after and full >= stop_after) or (start >= total if isinstance(total, int) else len(data) < page):
             return
 
 
@@ -83,7 +85,12 @@ class _Reader(DataSourceReader):
             url = base.format(host=partition.host, kind=kind) + "?" + urllib.parse.urlencode({"start": start, "count": PAGE})
             return with_retry(lambda: urllib.request.urlopen(url, timeout=30).read().decode())
 
-        for start, item in read_all(get):
+        # options: known, a JSON list of ids that are there already; stop_after, pages; limit, items a host
+        seen, stop, left = set(json.loads(self.options.get("known", "[]"))), int(self.options.get("stop_after", 0)), int(self.options.get("limit", -1))
+        for start, item in read_all(get, known=(lambda x: (x.get("uuid") or x.get("id")) in seen) if seen else None, stop_after=stop):
+            if not left:
+                return
+            left -= 1
             yield partition.host, start, item
 
 

@@ -83,6 +83,8 @@ def test_allow_list(spark, tmp_path):
         hosts.from_json(spark, str(tmp_path / "e.json"))
     (tmp_path / "h.txt").write_text("# all\n\nA.example\na.example\n")
     assert [r["host"] for r in hosts.from_text(spark, str(tmp_path / "h.txt")).collect()] == ["a.example"]
+    hosts.to_text(spark.createDataFrame([("b.example",), ("a.example",), ("b.example",)], "host string"), str(tmp_path / "out"))
+    assert sorted(r["host"] for r in hosts.from_text(spark, str(tmp_path / "out")).collect()) == ["a.example", "b.example"]
 
 
 def test_pages():
@@ -267,6 +269,10 @@ def test_page_source(spark, tmp_path):
     pages.register(spark)
     items = spark.read.format("catalogue_pages").option("hosts", "a.example, b.example").option("folder", str(tmp_path)).load()
     assert items.groupBy("host").count().orderBy("host").collect() == [("a.example", 120), ("b.example", 50)]
+    known = json.dumps([f"a.example-{i}" for i in range(0, 120) if i != 110])
+    some = spark.read.format("catalogue_pages").option("hosts", "a.example,b.example").option("folder", str(tmp_path)).option("known", known)
+    assert some.load().groupBy("host").count().orderBy("host").collect() == [("a.example", 1), ("b.example", 50)]
+    assert some.option("stop_after", "2").option("limit", "7").load().groupBy("host").count().collect() == [("b.example", 7)]
     rows = pages.video_rows(items, 5)
     assert rows.count() == 170 and rows.where("video_id = 'a.example-7' and title = 'n7'").count() == 1
 

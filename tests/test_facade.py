@@ -80,13 +80,41 @@ def test_similar_is_stored(engine):
     assert stored > before and [r["video_id"] for r in engine.similar(uuid, host, 10, at=21).collect()] == one and engine._t("similarity_items").count() == stored
 
 
+def test_profile(engine, spark):
+    uuid, host = refs(engine, 4)[3]
+    do = lambda k, action, at: engine.act(" ", spark.createDataFrame([(k, action, uuid, host)], "action_id long, action string, video_uuid string, instance_domain string"), at)
+    assert do(1, "like", 30).first()["event_type"] == "Like" and engine.profile(None).first()["updated_at"] == 30
+    assert do(2, "open", 31).count() == 0 and engine.profile(None).count() == 1
+    assert do(3, "undo_like", 32).first()["event_id"] == "evt-3" and engine.profile(None).count() == 0
+    do(4, "like", 33)
+    engine.reset_profile("local-user", 34)
+    assert engine.profile(None).count() == 0
+
+
+def test_debug_needs_leave(engine):
+    with pytest.raises(PermissionError):
+        engine.recommend(debug=True)
+    assert engine.recommend(debug=True, debug_allowed=True).first()["debug"]["layer"] in ("popular", "random", "fresh")
+
+
+def test_live_refresh_and_verdicts(engine, spark):
+    v = engine._t("videos").orderBy("video_id").first()
+    engine.refresh_video(spark.createDataFrame([(v["video_id"], v["instance_domain"], "new title", 10**9)], "video_id string, instance_domain string, title string, views long"), 40)
+    now = engine.video(v["video_id"]).first()
+    assert now["title"] == "new title" and now["last_checked_at"] == 40 and now["popularity"] != v["popularity"]
+    engine.set_channels(spark.createDataFrame([(v["channel_id"], v["instance_domain"].upper(), "blocked", "r", None)], "channel_id string, instance_domain string, status string, reason string, source_video_url string"), 41)
+    assert [r["channel_id"] for r in engine.moderated("blocked").collect()] == [v["channel_id"]]
+
+
 def test_schemas():
     assert "popularity" in TABLES["videos"].names
 
 
-def test_logs(spark):
+def test_logs(spark, tmp_path):
     rows = [("2024-01-01T00:00:00Z", "INFO", None, "stage merge started rows=3", ["dev"], "r", None), ("2024-01-01T00:00:02Z", "INFO", None, "stage merge finished", None, "r", None), ("2024-01-01T00:00:03Z", "ERROR", None, "GET /x code=500", ["dev"], "r", None)]
     df = spark.createDataFrame(rows, logs.SCHEMA)
+    logs.write(df, str(tmp_path / "log"))
+    assert logs.read(spark, str(tmp_path / "log")).where("event = 'access' and context['code'] = '500'").count() == 1
     assert logs.stage_durations(df).first()["ms"] == 2000
     assert logs.visible(df, "focused").count() == 2
     assert [r["event"] for r in logs.classified(df).collect()][2] == "access" and logs.classified(df).first()["pairs"] == {"rows": "3"}
