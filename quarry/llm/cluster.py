@@ -52,7 +52,8 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: what is read later survives the loss of any executor,
-    and nothing above is computed twice.
+    and nothing above is computed twice.  The files go when the driver's JVM ends
+    in order, as results may be read until then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
@@ -60,6 +61,8 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    written = spark._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(written)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 

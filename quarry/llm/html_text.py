@@ -61,6 +61,10 @@ TEXT_NAMES = frozenset("article body content entry main post story text".split()
 NEUTRAL_NAMES = frozenset(
     "area bar block bottom box btn button buttons col column container element group holder icon icons inner item items js left links list outer page panel primary right row secondary section site slot top unit wrap wrapper zone".split()
 ) | TEXT_NAMES | frozenset("articles posts stories".split())
+#: Of the furniture's, those that as often name something that a text is about
+AMBIGUOUS_NAMES = frozenset("banner discussion form header login menu privacy reply respond share sharing skip social tags toc warning".split())
+#: What any other of them weighs against a word that is neither neutral nor furniture
+PLAIN_WEIGHT = 4
 #: A name with one of them tells of a state of the page
 STATE_NAMES = frozenset("has with no without is not enable enabled disable disabled".split())
 
@@ -107,7 +111,8 @@ def _named(names: list[str]) -> float:
         text |= bool(parts) and parts <= TEXT_NAMES
         told = parts & FURNITURE_NAMES
         if told:
-            best = max(best, len(told) / (len(told) + len(parts - FURNITURE_NAMES - NEUTRAL_NAMES)))
+            weight = sum(1 if x in AMBIGUOUS_NAMES else PLAIN_WEIGHT for x in told)
+            best = max(best, weight / (weight + len(parts - FURNITURE_NAMES - NEUTRAL_NAMES)))
     return best / 2 if text else best
 
 
@@ -253,7 +258,7 @@ class Tree:
         return out
 
 
-def train(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2) -> Tree:
+def train(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 2) -> Tree:
     """CART by Gini impurity; ties go to the feature named first, then to the least threshold."""
     leaf = Tree(bool(y.mean() >= 0.5) if len(y) else False)
     if depth == 0 or len(y) < 2 * least or y.all() or not y.any():
@@ -319,6 +324,8 @@ LABELLED = [
     f"<body><article>{_paragraphs(40, 30)}<div class=share-tools><a href=1>-Send it</a> <a href=2>print</a></div></article>{_FOOT}",
     # a whole name in the article tells
     f"<body>{_MENU}<article>{_paragraphs(50, 30)}<div class=newsletter-signup>{_paragraphs(28, mark='-')}</div>{_paragraphs(25)}<div class=related-posts>{_paragraphs(5, 44, 9, mark='-')}</div></article>{_FOOT}",
+    f"<body>{_MENU}<article>{_paragraphs(50, 30)}<section id=reader-comments>{_paragraphs(41, 7, 66, mark='-')}</section></article>{_FOOT}",
+    f"<body>{_MENU}<article>{_paragraphs(12, 30)}<div class=legal-notice>{_paragraphs(36, 19, mark='-')}</div>{_paragraphs(25, 4)}</article>{_FOOT}",
     f"<body>{_MENU}<article>{_paragraphs(20, 30)}<div class=comment-list>{_paragraphs(48, 60, 3, 90, 33, mark='-')}</div></article>{_FOOT}",
     f"<body><article>{_paragraphs(70)}</article><section class=comments>{_paragraphs(48, 60, 3, 90, 33, mark='-')}</section>",
     f"<body><div class=notice>{_paragraphs(42, mark='-')}</div><div>{_paragraphs(60, 33, 70)}</div><div class=comments>{_paragraphs(40, 25, mark='-')}</div>",

@@ -358,6 +358,8 @@ def test_html_edges():
     assert x("<article><p>a b</p><script src=https://x.com/>var leak=1</script><p>c &<b>amp;</b> d</p></article>") == "a b\nc &amp; d"
     assert len(x(f'<body><nav><a href=/>x</a></nav><div class="share-price">{words(60)}</div>').split()) == 60
     assert len(x(f'<article><p>hello there</p><section class="warning-signs">{words(60)}</section></article>').split()) == 62
+    for name in ("reader-comments", "userComments", "comment-thread", "legal-notice", "google-ad", "sidebar", "site-newsletter", "cookie-banner"):
+        assert x(f'<article>{words(30)}<div class="{name}">{words(45)}{words(8)}</div>{words(12)}</article>').count("word") == 42, name
     assert x('<article><p>a b</p><p class="hidden-gem">c d</p><p title="hidden">e f</p><p hidden>g</p><p style="display: none">h</p></article>') == "a b\nc d\ne f"
     assert x("<div>" * 40_000 + "</ul>" * 40_000 + words(30)) == " ".join(["word"] * 30)
     assert len(x("<article>" + words(500_000) + "</article>")) == 5 * 500_000 - 1
@@ -387,6 +389,18 @@ def test_urls_lists(spark, monkeypatch):
     assert urls.judge(df.limit(0), rules).count() == 0
 
 
+def test_shared_folder_is_asked_for():
+    """Off one machine the session must name the folder that driver and executors share."""
+    from types import SimpleNamespace as N
+
+    from quarry.llm import cluster
+
+    session = lambda master, named: N(conf=N(get=lambda k, d: named), sparkContext=N(master=master, getConf=lambda: {}, _quarry_own_dir=None))
+    assert cluster.shared_dir(session("spark://h:7077", "hdfs://x/y/")) == "hdfs://x/y" and cluster.shared_dir(session("local[2]", None)).startswith("file:///")
+    with pytest.raises(RuntimeError):
+        cluster.shared_dir(session("spark://h:7077", None))
+
+
 def test_urls_equal_digests(tmp_path, monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda x: len(x) % 3)
     keys = [(f"k{i}" * (i % 4 + 1), "block") for i in range(30)]
