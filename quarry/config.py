@@ -44,6 +44,7 @@ class Profile:
     batch: int = BATCH
     overfetch: float = 1.0
     max_per_layer: dict[str, int] = field(default_factory=dict)
+    min_per_layer: dict[str, int] = field(default_factory=dict)  # taken first, in this order
 
 
 HOME = Profile(

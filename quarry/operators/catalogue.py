@@ -177,6 +177,12 @@ def random_cache(videos: DataFrame, start: str, size: int, author_cap: int, inst
     return kept.withColumn("position", F.row_number().over(W.orderBy(*ring)))  # size rows
 
 
+def shuffled_cache(cache: DataFrame, seed: str) -> DataFrame:
+    """The cache to store: its rows at positions 1, 2, ... in a seeded random order."""
+    lot = S.seeded(seed, S.like_key("video_id", "instance_domain"))
+    return cache.withColumn("position", F.row_number().over(W.orderBy(lot, "video_id")).cast("long"))  # RANDOM_CACHE rows at most
+
+
 def cache_window(cache: DataFrame, start: int, count: int) -> DataFrame:
     return cache.where((F.col("position") > start) & (F.col("position") <= start + count))
 

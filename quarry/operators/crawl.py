@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .tables import count_errors, first_by, patch
+from .tables import count_errors, first_by, patch, rebuild_content
 
 # Fixed values
 RETRY_STEP_MS, RETRY_MOST_MS = 5_000, 30_000
@@ -81,12 +81,20 @@ def bump_state(state: DataFrame, key: str, by: int = 1) -> DataFrame:
     return put_state(state, old.select("key", (F.coalesce(F.expr("try_cast(value as bigint)"), F.lit(0)) + by).cast("string").alias("value")))
 
 
-def effective_hosts(joined: DataFrame, source: DataFrame, mode: str) -> DataFrame:
-    """Hosts to read: joined less those of the source (exclude), or those of the source that are joined (include)."""
+def selected_hosts(remote: DataFrame, source: DataFrame, denied: DataFrame, mode: str) -> DataFrame:
+    """Hosts to keep: those of the remote list (include), or the source's that are not on it (exclude); never denied ones."""
     norm = lambda df: df.select(S.normalize_host("host").alias("host")).where("host is not null").distinct()
     if mode not in ("exclude", "include"):
         raise ValueError(f"unknown mode {mode}")
-    return norm(joined).join(norm(source), "host", "left_anti" if mode == "exclude" else "left_semi")
+    chosen = norm(remote) if mode == "include" else norm(source).join(norm(remote), "host", "left_anti")
+    return chosen.join(norm(denied), "host", "left_anti")
+
+
+def synced(remote: DataFrame, denied: DataFrame, mode: str, instances: DataFrame, channels: DataFrame, videos: DataFrame, embeddings: DataFrame) -> dict[str, DataFrame]:
+    """The catalogue of the selected hosts: their instances (new ones with nulls) and what belongs to them."""
+    hosts = selected_hosts(remote, videos.select(F.col("instance_domain").alias("host")).distinct(), denied, mode)
+    kept = hosts.join(instances, "host", "left").select(*instances.columns)
+    return {"instances": kept, **rebuild_content(channels, videos, embeddings, hosts)}
 
 
 def sliced(hosts: DataFrame, channels: DataFrame, max_instances: int, max_channels: int) -> DataFrame:

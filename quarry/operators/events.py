@@ -19,6 +19,17 @@ def reject_reason() -> Column:
     )
 
 
+def normalised(payloads: DataFrame, now_ms: int) -> DataFrame:
+    """Events of JSON payloads (payload, arrival): trimmed texts, the object's fields, and now for a time that is no whole number."""
+    get = lambda path: S.clean_text(F.get_json_object("payload", path))
+    raw = F.get_json_object("payload", "$.raw_payload")
+    return payloads.select(
+        get("$.event_id").alias("event_id"), "arrival", get("$.event_type").alias("event_type"), get("$.actor_id").alias("actor_id"), get("$.object.video_uuid").alias("video_uuid"),
+        get("$.object.instance_domain").alias("instance_domain"), get("$.object.canonical_url").alias("canonical_url"), get("$.source_instance").alias("source_instance"),
+        F.coalesce(get("$.published_at").try_cast("long"), F.lit(now_ms)).alias("published_at"), F.when(F.ltrim(raw).startswith("{"), raw).otherwise("{}").alias("raw_payload_json"),
+    )
+
+
 def split(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid events, rejects with reason); a bad row never stops the others."""
     judged = events.withColumn("reason", reject_reason())

@@ -121,19 +121,29 @@ def mix(layers: dict[str, DataFrame], profile: Profile, now_ms: int) -> DataFram
     df = df.withColumn("_turn", F.when(first, (F.col("rank_before") - 1) / F.col("_t")))
     order = [(~first).cast("int"), F.when(first, F.col("_turn")), F.col("_k"), F.col("rank_before")]
     page = df.orderBy(*order).limit(profile.batch).withColumn("_pos", F.row_number().over(W.orderBy(*order)))
-    if any(m < profile.batch for m in profile.max_per_layer.values()):
-        caps = {n: m for n, m in profile.max_per_layer.items() if n in names}
+    least = {n: m for n, m in profile.min_per_layer.items() if n in names and m > 0}
+    if least or any(m < profile.batch for m in profile.max_per_layer.values()):
+        caps, batch = {n: m for n, m in profile.max_per_layer.items() if n in names and m > 0}, profile.batch
 
-        def fold(pdf):  # a page: profile.batch rows; a capped row does not hide a later one of its video
-            seen, taken, keep = set(), {}, []
-            for r in pdf.sort_values("_pos").itertuples():
+        def fold(pdf):  # at most a page's rows; a capped row does not hide a later one of its video
+            rows = list(pdf.sort_values("_pos").itertuples())
+            seen, taken, order = set(), {}, []
+
+            def take(r) -> None:
                 key = (r.video_id, r.instance_domain)
-                ok = key not in seen and taken.get(r.layer, 0) < caps.get(r.layer, 1 << 30)
-                keep.append((r._asdict()["Index"], ok))
-                if ok:
+                if key not in seen and taken.get(r.layer, 0) < caps.get(r.layer, 1 << 30):
                     seen.add(key)
                     taken[r.layer] = taken.get(r.layer, 0) + 1
-            return pdf.loc[[i for i, ok in keep if ok]]
+                    order.append(r.Index)
+
+            for layer, m in least.items():  # layers with a minimum come first
+                for r in rows:
+                    if r.layer == layer and taken.get(layer, 0) < m and len(order) < batch:
+                        take(r)
+            for r in rows:
+                if len(order) < batch:
+                    take(r)
+            return pdf.loc[order].assign(_pos=range(1, len(order) + 1))
 
         page = page.withColumn("_page", F.lit(0)).groupBy("_page").applyInPandas(lambda pdf: fold(pdf).drop(columns="_page"), page.schema)
     else:

@@ -56,6 +56,20 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update: Se
     return both.select(*out)
 
 
+def upsert_fresh(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Upsert of rows that were just read: every shared column is theirs, nulls too, and their errors are over."""
+    clean = {"error_count": F.lit(0), "last_error": F.lit(None).cast("string")}
+    for c, value in clean.items():
+        if c in target.columns:
+            source = source.withColumn(c, value)
+    return upsert(target, source, keys)
+
+
+def seeded_stage(prod: Mapping[str, DataFrame], denied: DataFrame, columns: Mapping[str, str]) -> dict[str, DataFrame]:
+    """A staging copy of production tables without the rows of denied hosts (host column by table)."""
+    return {n: without_hosts(df, denied, columns[n]) if n in columns else df for n, df in prod.items()}
+
+
 STRATEGIES = {"INSERT_ONLY": insert_only, "INSERT_OR_REPLACE": insert_or_replace, "UPSERT": upsert}
 
 

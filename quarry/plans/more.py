@@ -230,13 +230,65 @@ def _(c):
     return R.bump_state(put, "3", 9)
 
 
-@register("effective_hosts", sql(f"SELECT 'exclude' AS mode, host FROM hosts WHERE host NOT IN ({BAD_HOSTS}) UNION ALL SELECT 'include', host FROM hosts WHERE host IN ({BAD_HOSTS})", "hosts", "denylist"))
+@register("selected_hosts", sql(f"SELECT 'exclude' AS mode, host FROM hosts WHERE n_nationkey % 2 = 1 AND host NOT IN ({BAD_HOSTS}) UNION ALL SELECT 'include', host FROM hosts WHERE n_nationkey % 2 = 0 AND host NOT IN ({BAD_HOSTS})", "hosts", "denylist"))
 def _(c):
     bad = c.denylist.where("is_active = 1")
-    both = [R.effective_hosts(c.hosts.select(F.upper("host").alias("host")), bad, m).select(F.lit(m).alias("mode"), "host") for m in ("exclude", "include")]
+    both = [R.selected_hosts(c.hosts.where("n_nationkey % 2 = 0"), c.hosts.select(F.upper("host").alias("host")), bad, m).select(F.lit(m).alias("mode"), "host") for m in ("exclude", "include")]
     return both[0].unionByName(both[1])
 
 
+@register("allow_list_sync", sql(f"""WITH kept AS (SELECT host FROM hosts WHERE n_nationkey % 2 = 0 AND host NOT IN ({BAD_HOSTS}) UNION ALL SELECT 'new.example')
+SELECT 'instances' AS name, count(*) AS n FROM kept UNION ALL SELECT 'channels', count(*) FROM channels WHERE instance_domain IN (SELECT host FROM kept) UNION ALL SELECT 'videos', count(*) FROM videos WHERE instance_domain IN (SELECT host FROM kept)
+ UNION ALL SELECT 'embeddings', count(*) FROM video_embeddings WHERE instance_domain IN (SELECT host FROM kept)""", "hosts", "denylist", "channels", "video_embeddings"))
+def _(c):
+    remote = c.hosts.where("n_nationkey % 2 = 0").select("host").union(c.spark.range(1).select(F.lit("New.example")))
+    kept = R.synced(remote, c.denylist.where("is_active = 1"), "include", c.instances, c.channels, c.videos, c.embeddings)
+    out = None
+    for name, df in kept.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("fresh_upsert", sql("SELECT coalesce(s.video_id, p.video_id) AS video_id, CASE WHEN s.video_id IS NULL THEN p.title ELSE s.title END AS title, CASE WHEN s.video_id IS NULL THEN p.likes ELSE s.likes END AS likes, CASE WHEN s.video_id IS NULL THEN 4 ELSE 0 END AS error_count FROM prod p FULL JOIN stage s USING (video_id, instance_domain)", "prod", "stage"))
+def _(c):
+    old = c.prod.withColumns({"error_count": F.lit(4), "last_error": F.lit("old")})
+    return T.upsert_fresh(old, c.stage, K.KEY).select("video_id", "title", "likes", "error_count")
+
+
+@register("seeded_stage", sql(f"SELECT 'videos' AS name, count(*) AS n FROM videos WHERE instance_domain NOT IN ({BAD_HOSTS}) UNION ALL SELECT 'instances', count(*) FROM instances WHERE host NOT IN ({BAD_HOSTS}) UNION ALL SELECT 'state', 1", "videos", "instances", "denylist"))
+def _(c):
+    stage = T.seeded_stage({"videos": c.videos, "instances": c.instances, "state": c.spark.range(1)}, c.denylist.where("is_active = 1"), {"videos": "instance_domain", "instances": "host"})
+    out = None
+    for name, df in stage.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("normalised_events", "SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 3 = 0 THEN 77 ELSE event_id END AS published_at, CASE WHEN event_id % 2 = 0 THEN 'h.example' END AS instance_domain, CASE WHEN event_id % 5 = 0 THEN '{}' ELSE '{\"k\":1}' END AS raw_payload_json FROM events")
+def _(c):
+    k = F.col("event_id")
+    at = F.when(k % 3 == 0, "soon").otherwise(k.cast("string"))
+    raw = F.when(k % 5 == 0, F.lit("[1]")).otherwise('{"k":1}')
+    text = F.concat(F.lit('{"event_id": " '), k.cast("string"), F.lit('", "event_type": "Like", "published_at": "'), at, F.lit('", "object": {"video_uuid": "u", "instance_domain": "'), F.when(k % 2 == 0, "h.example ").otherwise(" "), F.lit('"}, "raw_payload": '), raw, F.lit("}"))
+    return E.normalised(c.table("events").select(text.alias("payload"), k.alias("arrival")), 77).select("event_id", "published_at", "instance_domain", "raw_payload_json")
+
+
+@register("video_details", sql("SELECT video_id, 'Video ' || video_id AS title, CASE WHEN CAST(video_id AS BIGINT) % 2 = 0 THEN views END AS views, likes, CASE WHEN CAST(video_id AS BIGINT) % 3 = 0 THEN 'Shown ' || channel_id ELSE channel_name END AS channel_name, '[\"a\",\"b\"]' AS tags_json, category, 1 AS nsfw FROM videos", "videos"))
+def _(c):
+    n = F.col("video_id").cast("long")
+    item = F.to_json(F.struct(F.concat("title", F.lit("  ")).alias("name"), F.when(n % 2 == 0, F.col("views")).alias("views"), "likes", F.array(F.lit("a"), F.lit(" "), F.lit(" b")).alias("tags"), F.struct(F.col("category").alias("label")).alias("category"), F.lit(True).alias("nsfw")))
+    channel = F.to_json(F.struct(F.when(n % 3 == 0, F.concat(F.lit("Shown "), "channel_id")).otherwise(" ").alias("displayName"), F.col("channel_name").alias("name")))
+    return live.video_details(c.videos.select("video_id", item.alias("item"), channel.alias("channel"))).select("video_id", "title", "views", "likes", "channel_name", "tags_json", "category", "nsfw")
+
+
+@register("stored_random_cache", sql("SELECT video_id, row_number() OVER (ORDER BY md5('s1:' || video_id || '::' || instance_domain), video_id) AS position FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, instance_domain ORDER BY CAST(video_id AS BIGINT)) AS ra FROM videos) WHERE ra <= 2", "videos"))
+def _(c):
+    cache = K.random_cache(c.videos.withColumn("video_number", F.col("video_id").cast("long")), "0", C.RANDOM_CACHE, 2, 0)
+    return K.shuffled_cache(cache, "s1").select("video_id", "position")
+
+
 @register("crawl_slices", sql("SELECT channel_id, instance_domain FROM (SELECT *, row_number() OVER (PARTITION BY instance_domain ORDER BY channel_id) AS n FROM channels WHERE instance_domain IN (SELECT host FROM hosts ORDER BY host LIMIT 6)) WHERE n <= 3", "hosts", "channels"))
 def _(c):
     return R.sliced(c.hosts, c.channels, 6, 3).select("channel_id", "instance_domain")

@@ -374,10 +374,14 @@ def _(c):
     return T.patch(c.prod, c.stage, K.KEY, ["likes"], only_if_null=True).select("video_id", "likes")
 
 
-@register("staging_deltas", sql("SELECT 'videos' AS name, count(*) AS n FROM stage WHERE video_id NOT IN (SELECT video_id FROM prod) UNION ALL SELECT 'channels', count(*) FROM (SELECT DISTINCT channel_id, instance_domain FROM stage EXCEPT SELECT channel_id, instance_domain FROM prod)", "prod", "stage"))
+@register("staging_deltas", sql("SELECT 'videos' AS name, count(*) AS n FROM stage WHERE video_id NOT IN (SELECT video_id FROM prod) UNION ALL SELECT 'channels', count(*) FROM (SELECT DISTINCT channel_id, instance_domain FROM stage EXCEPT SELECT channel_id, instance_domain FROM prod) UNION ALL SELECT 'instances', count(*) FROM (SELECT host FROM hosts WHERE n_nationkey % 2 = 0 EXCEPT SELECT host FROM hosts WHERE n_nationkey % 3 = 0) UNION ALL SELECT 'embeddings', count(*) FROM video_embeddings WHERE video_id IN (SELECT video_id FROM stage) AND video_id NOT IN (SELECT video_id FROM prod)", "hosts", "video_embeddings", "prod", "stage"))
 def _(c):
     key = ["channel_id", "instance_domain"]
-    return T.delta_counts({"videos": (c.prod, c.stage, K.KEY), "channels": (c.prod.select(*key), c.stage.select(*key).distinct(), key)})
+    return T.delta_counts({
+        "videos": (c.prod, c.stage, K.KEY), "channels": (c.prod.select(*key), c.stage.select(*key).distinct(), key),
+        "instances": (c.hosts.where("n_nationkey % 3 = 0").select("host"), c.hosts.where("n_nationkey % 2 = 0").select("host"), ["host"]),
+        "embeddings": (c.embeddings.join(c.prod.select(*K.KEY), K.KEY, "left_semi"), c.embeddings.join(c.stage.select(*K.KEY), K.KEY, "left_semi"), K.KEY),
+    })
 
 
 @register("changed_rows", sql("SELECT p.video_id FROM prod p JOIN stage s USING (video_id, instance_domain) WHERE p.likes IS DISTINCT FROM s.likes", "prod", "stage"))

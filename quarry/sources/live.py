@@ -13,7 +13,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from .pages import with_retry
 
 # Fixed values
@@ -83,3 +85,16 @@ def read_each(rows: DataFrame, address: str, fetch: Fetch = http_fetch, tries: i
     from pyspark.sql.types import StringType, StructField, StructType
 
     return rows.mapInPandas(read, StructType([*rows.schema.fields, StructField("body", StringType()), StructField("error", StringType())]))
+
+
+def video_details(items: DataFrame) -> DataFrame:
+    """Of one video's JSON (item) and its channel's (channel, may be null): what a detail page refreshes."""
+    text = lambda c, *paths: S.pick_text(*[F.get_json_object(c, p) for p in paths])
+    number = lambda c, *paths: S.pick_number(*[F.get_json_object(c, p) for p in paths])
+    others = [c for c in items.columns if c not in ("item", "channel")]
+    return items.select(
+        *others, text("item", "$.name", "$.title").alias("title"), text("item", "$.description").alias("description"), number("item", "$.views").alias("views"), number("item", "$.likes").alias("likes"),
+        number("item", "$.dislikes").alias("dislikes"), text("channel", "$.displayName", "$.name").alias("channel_name"), number("channel", "$.followersCount").alias("followers_count"),
+        S.tags_json(F.get_json_object("item", "$.tags")).alias("tags_json"), text("item", "$.category.label", "$.category.name", "$.category").alias("category"),
+        S.nullable_bool(F.get_json_object("item", "$.nsfw")).alias("nsfw"), number("item", "$.comments").alias("comments_count"),
+    )

@@ -306,7 +306,7 @@ def test_store_of_several_tables(spark, tmp_path):
 
 
 def test_unknown_names_raise(spark):
-    for f in (lambda: L.like_source("none", None, None, "s"), lambda: L.strategy("none"), lambda: K.with_popularity(None, "none", 0), lambda: R.effective_hosts(None, None, "none"), lambda: P.ordered_layers(C.HOME, ["none"])):
+    for f in (lambda: L.like_source("none", None, None, "s"), lambda: L.strategy("none"), lambda: K.with_popularity(None, "none", 0), lambda: R.selected_hosts(spark.createDataFrame([("a",)], "host string"), spark.createDataFrame([("a",)], "host string"), None, "none"), lambda: P.ordered_layers(C.HOME, ["none"])):
         with pytest.raises(ValueError):
             f()
     with pytest.raises(PermissionError):
@@ -319,3 +319,19 @@ def test_encoder_can_be_given(spark):
     own = lambda text: F.array(F.length(text).cast("float"))
     got = {r["video_id"]: r["embedding"] for r in N.encode_missing(t, t.where("video_id = '3'"), own).collect()}
     assert got == {"1": [3.0]} and N.encode_missing(t, t, own, force=True).count() == 2
+
+
+def test_layer_minimums_and_caps(spark):
+    """A mixed page with minimums and maximums by layer against a plain fold."""
+    import random
+    from dataclasses import replace
+
+    rng = random.Random(8)
+    cols = "video_id string, instance_domain string, channel_id string, published_at long, views long, likes long, similarity_score double, position int"
+    rows = {n: [(f"v{rng.randint(0, 60)}", "h", "c", 10**12, rng.randint(0, 9999), 1, 0.0, k + 1) for k in range(30)] for n in ("popular", "random", "fresh")}
+    profile = replace(C.GUEST_HOME, max_per_layer={"random": 6, "fresh": 12}, min_per_layer={"fresh": 3, "popular": 2}, batch=24)
+    page = P.mix({n: spark.createDataFrame(list({r[0]: r for r in own}.values()), cols) for n, own in rows.items()}, profile, 2 * 10**12).orderBy("rank_after").collect()
+    whole = P.mix({n: spark.createDataFrame(list({r[0]: r for r in own}.values()), cols) for n, own in rows.items()}, replace(profile, max_per_layer={"none": 1}, min_per_layer={}), 2 * 10**12).orderBy("rank_after").collect()
+    layers = [r["layer"] for r in page]
+    assert layers[:3] == ["fresh"] * 3 and layers[3:5] == ["popular"] * 2 and layers.count("random") <= 6 and layers.count("fresh") <= 12
+    assert len({r["video_id"] for r in page}) == len(page) <= len(whole) <= 24
