@@ -34,7 +34,6 @@ from collections.abc import Iterator, Mapping
 from fractions import Fraction
 from math import lcm
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +111,7 @@ def schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
         times.append((number[s], i, slot, release, due, before))
         before += min(size, counted[s] - i * size)
     names = ["q_k", "q_b", "q_slot", "q_release", "q_deadline", "q_before"]
-    one = materialise(spark.createDataFrame(pd.DataFrame(times, columns=names, dtype="int64"), ", ".join(f"{c} long" for c in names)))  # MAX_BLOCKS rows and one a source at most
+    one = materialise(spark.createDataFrame(times, ", ".join(f"{c} long" for c in names)))  # MAX_BLOCKS rows and one a source at most
     sources = spark.createDataFrame([(s, k) for s, k in number.items()], "q_source string, q_number long")  # a row for each source
     bucket = F.pmod(F.col("q_hash"), F.lit(buckets_for(max(counted.values(), default=0))))
     hashed = docs.withColumn("q_hash", _hash())

@@ -12,7 +12,7 @@ everything and the verdict returns by a broadcast of at most 3**R rows.
 
 Cases: a null text has no words and fails the base rules; so does a text of
 white space only.  An empty table gives an empty result (EM then keeps its
-starting values).  Repeated rows are judged each.  Columns other than
+starting values).  Texts of any length are read whole.  Repeated rows are judged each.  Columns other than
 ``doc_id`` and ``text`` are never read here, so their names cannot clash.
 """
 
