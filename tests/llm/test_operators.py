@@ -606,3 +606,83 @@ def test_pii_long_texts(spark):
     kinds = {names[i]: r["kinds"] for i, r in got.items()}
     assert kinds["hex"] == kinds["secret"] == kinds["ones"] == ["secret"] and kinds["mailbox"] == ["email"] and kinds["names"] == ["person"] and kinds["labels"] == []
     assert all(r["text"] != LONG[names[i]] for i, r in got.items() if r["kinds"])
+
+
+def test_pii_is_one_to_one(spark):
+    """Over many texts every entity has one surrogate wherever it stands, no two share one, and formats stay."""
+    rng = random.Random(23)
+    luhn = lambda n: sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(n))) % 10
+    pool = [f"{a}.{b}@{c}.{d}" for a in ("ann", "bob", "eve") for b in ("x", "lee", "kim") for c in ("mail", "corp") for d in ("org", "com")]
+    pool += [f"+49 {rng.randint(100, 999)} {rng.randint(1000, 9999)}" for _ in range(30)] + [f"{rng.randint(1, 223)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(1, 254)}" for _ in range(30)]
+    pool += [f"4{rng.randint(10**14, 10**15 - 1)}" for _ in range(30)] + [f"{rng.randint(100, 899)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}" for _ in range(30)]
+    pool = sorted(set(pool))
+    texts = [" | ".join(rng.choices(pool, k=rng.randint(1, 6))) for _ in range(300)]
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)] + [(1, texts[1]), (None, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as kinds", "1 as n_entities", "2 as hash")
+    got = pii.scrub(df).collect()
+    assert len(got) == len(rows)
+    named = {r["doc_id"]: r["text"] for r in got if r["doc_id"] is not None}
+    new = {}
+    for i, t in enumerate(texts):
+        if i % 7:
+            for a, b in zip(t.split(" | "), named[i].split(" | "), strict=True):
+                assert new.setdefault(a, b) == b
+    assert len(set(new.values())) == len(new) > 100 and not set(new) & set(new.values())
+    for a, b in new.items():
+        if "." in a and "@" not in a:
+            assert all(0 <= int(x) <= 255 for x in b.split("."))
+        else:
+            assert re.sub(r"[A-Za-z]", "a", re.sub(r"\d", "0", a)) == re.sub(r"[A-Za-z]", "a", re.sub(r"\d", "0", b))
+        if len(a) == 16 and a.isdigit():
+            assert luhn(a) == luhn(b) and a[0] == b[0]
+    assert sorted(map(str, [r["text"] for r in got if r["doc_id"] == 1])) == [named[1]] * 2
+    assert pii.scrub(df.limit(0)).count() == 0
+
+
+def test_mixing_plain(spark):
+    """Slots as a plain scheduler gives them that looks at every source's next block at every slot."""
+    rng = random.Random(24)
+    counts = {None: 130, "": 40, "a": 700, "b": 33, "c": 260}
+    weights = {s: rng.random() + 0.05 for s in counts}
+    rows = [(i, "t", "en", s, 1) for i, s in enumerate([s for s, n in counts.items() for _ in range(n)])]
+    total = sum(map(Fraction, weights.values()))
+    left = {s: -(-n // 16) for s, n in counts.items()}
+    placed, want, slot = dict.fromkeys(counts, 0), {}, 0
+    while any(placed[s] < left[s] for s in counts):
+        due = []
+        for s in sorted(counts, key=lambda s: (s is not None, s)):
+            share, i = Fraction(weights[s]) / total, placed[s]
+            if i < left[s] and slot >= i / share // 1:
+                due.append((-(-(i + 1) / share // 1), len(due), s))
+        if due:
+            s = min(due, key=lambda d: d[:2])[2]
+            want[s, placed[s]] = slot
+            placed[s] += 1
+        slot += 1
+    out = mixing.schedule(spark.createDataFrame(rows, DOCS), weights, block_rows=16).toPandas()
+    got = {(None if s is None or s != s else s, b): x for s, b, x in zip(out.source, out.q_block, out.q_slot)}
+    assert got == want
+    assert sorted(out.q_before + out.q_place) == list(range(len(rows)))
+
+
+def test_sharding_is_a_tree_of_cuts(spark):
+    """Between the halves of every node lies one cut of one dimension, and halves weigh what they should."""
+    rng = random.Random(25)
+    texts = [prose(rng, rng.randint(1, 200)).replace("mu", "\n").replace("xi", "日本") for _ in range(900)] + ["the same text"] * 300
+    docs = table(spark, texts)
+    meta = {r["doc_id"]: r for r in sharding.metadata(docs).collect()}
+    shard = {r["doc_id"]: (r["shard"], r["size"]) for r in sharding.shard(docs).collect()}
+    whole = sum(n for _, n in shard.values())
+    for low, high in (((0, 4), (4, 8)), ((0, 2), (2, 4)), ((4, 6), (6, 8)), ((0, 1), (1, 2)), ((2, 3), (3, 4)), ((4, 5), (5, 6)), ((6, 7), (7, 8))):
+        a, b = ([meta[i] for i, (s, _) in shard.items() if lo <= s < hi] for lo, hi in (low, high))
+        key = lambda d: lambda r: (r[d], r["text_hash"], r["row_hash"], r["row_no"])
+        assert any(max(map(key(d), a)) < min(map(key(d), b)) for d in sharding.DIMS)
+        assert abs(sum(r["size"] for r in a) - sum(r["size"] for r in b)) < 0.03 * whole / 8 * (low[1] - low[0] + 1)
+
+
+def test_language_of_a_very_long_text(spark):
+    rows = [(i, " ".join(random.Random(i).choices(["kalo mira tenu", "xyz qrst wvu"][i % 2].split(), k=15)), "ab"[i % 2], "s", 0) for i in range(80)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = langid.train(*langid.sample(docs))
+    long = spark.createDataFrame([(1, "kalo mira tenu " * 200_000, None, None, 0), (2, "1 2 3 " * 300_000, None, None, 0)], DOCS)
+    assert [r["lang_pred"] for r in langid.identify(long, model).orderBy("doc_id").collect()] == ["a", "und"]
