@@ -435,15 +435,15 @@ def _(c):
     return T.edges(found).groupBy("source_host").agg(F.count("*").alias("n"))
 
 
-@register("federation_reach", sql("""WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS a, 'c' || (c_custkey // 2) AS b FROM customer UNION SELECT 'c' || c_custkey, 'c' || (c_custkey - 25) FROM customer WHERE c_custkey > 25),
- r AS (SELECT DISTINCT 'c' || max(c_custkey) OVER (PARTITION BY c_nationkey) AS host, 0 AS depth FROM customer UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.host WHERE r.depth < 200)
+@register("federation_reach", sql("""WITH RECURSIVE e AS (SELECT 'c' || (c_custkey // 2) AS a, 'c' || c_custkey AS b FROM customer UNION SELECT 'c' || (c_custkey // 3), 'c' || c_custkey FROM customer),
+ r AS (SELECT DISTINCT 'c' || min(c_custkey) OVER (PARTITION BY c_nationkey) AS host, 0 AS depth FROM customer UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.host)
 SELECT host, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY 1""", "hosts").replace("WITH hosts", "WITH RECURSIVE hosts", 1).replace("RECURSIVE e AS", "e AS", 1))
 def _(c):
     t = c.table("customer")
     name = lambda x: F.concat(F.lit("c"), x.cast("string"))
     k = F.col("c_custkey")
-    found = t.select(name(k).alias("source_host"), name(F.expr("c_custkey div 2")).alias("target_host")).unionByName(t.where(k > 25).select(name(k).alias("source_host"), name(k - 25).alias("target_host")))
-    return T.reachable(T.edges(found), t.groupBy("c_nationkey").agg(name(F.max("c_custkey")).alias("host"))).select("host", F.col("depth").cast("long"))
+    found = [t.select(name(F.floor(k / n).cast("long")).alias("source_host"), name(k).alias("target_host")) for n in (2, 3)]
+    return T.reachable(T.edges(found[0].unionByName(found[1])), t.groupBy("c_nationkey").agg(name(F.min("c_custkey")).alias("host"))).select("host", F.col("depth").cast("long"))
 
 
 # --- similarity
