@@ -435,7 +435,7 @@ def _(c):
     return T.edges(found).groupBy("source_host").agg(F.count("*").alias("n"))
 
 
-@register("federation_reach", sql("""WITH RECURSIVE e AS (SELECT 'c' || (c_custkey // 2) AS a, 'c' || c_custkey AS b FROM customer UNION SELECT 'c' || (c_custkey // 3), 'c' || c_custkey FROM customer),
+@register("federation_reach", sql("""WITH RECURSIVE e AS (SELECT 'c' || (c_custkey // 2) AS a, 'c' || c_custkey AS b FROM customer WHERE c_custkey > 0 UNION SELECT 'c' || (c_custkey // 3), 'c' || c_custkey FROM customer WHERE c_custkey > 0),
  r AS (SELECT DISTINCT 'c' || min(c_custkey) OVER (PARTITION BY c_nationkey) AS host, 0 AS depth FROM customer UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.host)
 SELECT host, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY 1""", "hosts").replace("WITH hosts", "WITH RECURSIVE hosts", 1).replace("RECURSIVE e AS", "e AS", 1))
 def _(c):
