@@ -43,6 +43,8 @@ from .numbering import BUCKET_ROWS, buckets_for, number_within
 BLOCK_ROWS = 32
 MAX_BLOCKS = 1 << 20
 MAX_SOURCES = 1_000_000
+#: Blocks (some 80 bytes each) up to which their times are broadcast; beyond, a shuffled join.
+MAX_BROADCAST_BLOCKS = 200_000
 #: Default weights follow row counts to this power: large sources give way a little.
 TEMPERATURE = 0.7
 
@@ -105,23 +107,20 @@ def schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
     size = rows_of_block(sum(counted.values()), block_rows)
     # sources that are not in the table keep their share of the slots
     shares = given | {s: w for s, w in weights.items() if s not in given and w > 0}
-    number = {s: k for k, s in enumerate(sorted(given, key=lambda s: (s is not None, s)))}
     times, before = [], 0
     for s, i, slot, release, due in earliest_deadline_first(shares, {s: -(-n // size) for s, n in counted.items()}):
-        times.append((number[s], i, slot, release, due, before))
+        times.append((s, i, slot, release, due, before))
         before += min(size, counted[s] - i * size)
-    names = ["q_k", "q_b", "q_slot", "q_release", "q_deadline", "q_before"]
-    one = materialise(spark.createDataFrame(times, ", ".join(f"{c} long" for c in names)))  # MAX_BLOCKS rows and one a source at most
-    sources = spark.createDataFrame([(s, k) for s, k in number.items()], "q_source string, q_number long")  # a row for each source
-    bucket = F.pmod(F.col("q_hash"), F.lit(buckets_for(max(counted.values(), default=0))))
+    one = materialise(spark.createDataFrame(times, "q_source string, q_b long, q_slot long, q_release long, q_deadline long, q_before long"))  # MAX_BLOCKS rows and one a source at most
+    one = F.broadcast(one) if len(times) <= MAX_BROADCAST_BLOCKS else one
+    buckets = buckets_for(max(counted.values(), default=0))
     hashed = docs.withColumn("q_hash", _hash())
     tie = F.xxhash64("text") if "text" in docs.columns else F.col("text_hash") if "text_hash" in docs.columns else None
     order = [F.col("q_hash"), F.col("doc_id"), *([] if tie is None else [tie])]
-    numbered = number_within(hashed, ["source"], order, bucket, "q_index", light).drop("q_hash")
-    placed = numbered.join(sources, F.col("source").eqNullSafe(F.col("q_source")), "left").drop("q_source")
-    placed = placed.withColumns({"q_block": F.expr(f"q_index div {size}L"), "q_place": F.pmod("q_index", F.lit(size))})
-    timed = placed.join(one, (F.col("q_number") == F.col("q_k")) & (F.col("q_block") == F.col("q_b")), "left")
-    return timed.drop("q_index", "q_number", "q_k", "q_b")
+    numbered = number_within(hashed, ["source"], order, F.pmod(F.col("q_hash"), F.lit(buckets)), "q_index", light, buckets * len(counted)).drop("q_hash")
+    placed = numbered.withColumns({"q_block": F.expr(f"q_index div {size}L"), "q_place": F.pmod("q_index", F.lit(size))})
+    timed = placed.join(one, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("q_block") == F.col("q_b")), "left")
+    return timed.drop("q_index", "q_source", "q_b")
 
 
 #: Place of a row of a schedule in the mix: 0, 1, ...

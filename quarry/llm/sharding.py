@@ -186,11 +186,12 @@ def shard(docs: DataFrame, shards: int = 8, mixed: bool = False, target_bytes: i
     if mixed:
         placed = mixing.schedule(placed)
         order = [F.expr(mixing.PLACE)]
-        bucket = F.expr(f"({mixing.PLACE}) div {BUCKET_ROWS}L")
+        bucket, buckets = F.expr(f"({mixing.PLACE}) div {BUCKET_ROWS}L"), buckets_for(known["n"])
     else:
         order = [F.col("row_hash"), F.col("doc_id"), F.col("text_hash")]
-        bucket = F.pmod(F.col("row_hash"), F.lit(buckets_for(-(-known["n"] // shards))))
-    numbered = number_within(placed.withColumn("shard", F.col("shard").cast("int")), ["shard"], order, bucket, "slot")
+        buckets = buckets_for(-(-known["n"] // shards))
+        bucket = F.pmod(F.col("row_hash"), F.lit(buckets))
+    numbered = number_within(placed.withColumn("shard", F.col("shard").cast("int")), ["shard"], order, bucket, "slot", pairs=shards * buckets)
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
 
 
