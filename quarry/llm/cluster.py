@@ -63,8 +63,28 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     writer.parquet(path)
     written = spark._jvm.org.apache.hadoop.fs.Path(path)
     written.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(written)
+    sc = spark.sparkContext
+    sc._quarry_written = [*getattr(sc, "_quarry_written", []), path]
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def written(spark: SparkSession) -> list[str]:
+    """Paths of the tables written so far."""
+    return list(getattr(spark.sparkContext, "_quarry_written", []))
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    spark.sparkContext._quarry_written = [p for p in written(spark) if p not in set(paths)]
+
+
+def carried(read: DataFrame, names: tuple[str, ...]) -> str:
+    """DDL of further columns that rows of ``read`` take along."""
+    return "".join(f", `{n}` {read.schema[n].dataType.simpleString()}" for n in names)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

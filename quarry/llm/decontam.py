@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .cluster import ship, table
+from .cluster import carried, ship, table
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -224,7 +224,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 found.search(p)
         for part, found in held:
             own = [pa.array(x, t) for x, t in zip(found.result(), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *own, *part.columns[2:]], ["doc_id", "n_words", "spans", "items", *carry])
+            yield pa.RecordBatch.from_arrays([part.column(0), *own, *(part.column(c) for c in carry)], ["doc_id", "n_words", "spans", "items", *carry])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -237,8 +237,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                     held, size = [], 0
         yield from flush(held)
 
-    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carry)
-    return read.mapInArrow(each, _SCHEMA + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in read.schema[2:]))
+    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[c for c in carry if c != "text"])
+    return read.mapInArrow(each, _SCHEMA + carried(read, carry))
 
 
 def digest(found: DataFrame) -> DataFrame:

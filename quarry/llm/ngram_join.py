@@ -52,6 +52,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -475,8 +476,8 @@ def _packed_sets(wanted, bits: int, turn: int = 0):
     return run
 
 
-def passing(texts: DataFrame, ids: DataFrame, turn: int = 0) -> DataFrame:
-    """(doc_id, cls, set) of texts whose doc_id (or class, without one) is among ids(id), and perhaps of a few others."""
+def passing(texts: DataFrame, ids: DataFrame, turn: int = 0) -> tuple[DataFrame, Broadcast]:
+    """The filter, and (doc_id, cls, set) of texts whose doc_id (or class, without one) is among ids(id), and perhaps of a few others."""
     spark = texts.sparkSession
     bits = min(MAX_FILTER_BITS, max(FILTER_BITS, (8 * ids.count()).bit_length()))
     slices = 1 << (bits - 3 - SLICE_BITS)
@@ -484,7 +485,8 @@ def passing(texts: DataFrame, ids: DataFrame, turn: int = 0) -> DataFrame:
     marks = np.zeros((slices, 1 << SLICE_BITS), np.uint8)  # 2**MAX_FILTER_BITS bits at most
     for s, own in found:
         marks[s] = np.frombuffer(own, np.uint8)
-    return texts.mapInArrow(_packed_sets(spark.sparkContext.broadcast(marks.reshape(-1)), bits, turn), "doc_id long, cls long, set binary")
+    sent = spark.sparkContext.broadcast(marks.reshape(-1))
+    return texts.mapInArrow(_packed_sets(sent, bits, turn), "doc_id long, cls long, set binary"), sent
 
 
 def verify(pairs: DataFrame, texts: DataFrame, stand: DataFrame, turn: int = 0, unnamed: bool = False) -> DataFrame:
@@ -494,12 +496,14 @@ def verify(pairs: DataFrame, texts: DataFrame, stand: DataFrame, turn: int = 0,
     members = dealt.select(F.col("b").alias("want"), "a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.col("b").alias("member"))
     heads = led.select(F.col("a").alias("want"), "a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("member"))
     wants = materialise(members.unionByName(heads).join(stand, F.col("want") == F.col("k")).select("want", "doc", "a", "chunk", "member"))
-    sets = passing(texts, wants.select(F.coalesce("doc", "want").alias("id")).distinct(), turn)
+    sets, sent = passing(texts, wants.select(F.coalesce("doc", "want").alias("id")).distinct(), turn)
     both = wants.join(sets.where("doc_id is not null"), (F.col("doc") == F.col("doc_id")) & (F.col("want") == F.col("cls"))).select("a", "chunk", "member", "set")
     if unnamed:  # classes that only rows without doc_id have
         own = sets.where("doc_id is null").dropDuplicates(["cls"])
         both = both.unionByName(wants.where("doc is null").join(own, F.col("want") == F.col("cls")).select("a", "chunk", "member", "set"))
-    return both.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("member").asc_nulls_first()).mapInArrow(_search, "a long, b long")
+    found = materialise(both.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("member").asc_nulls_first()).mapInArrow(_search, "a long, b long"))
+    sent.destroy()
+    return found
 
 
 def clash(rows: DataFrame) -> bool:
@@ -530,6 +534,7 @@ def join(docs: DataFrame, short_list: int = SHORT_LIST, list_target: int = LIST_
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-postings // BUCKET_POSTINGS))
     posted = texts.mapInArrow(_postings(level_of, buckets, turn, list_target), "bucket int, blob binary").repartition(buckets, "bucket")
     merged_lists = materialise(posted.mapInArrow(partial(_lists, short_list=short_list), _LISTS_SQL))
+    level_of.destroy()
     lists = merged_lists.where("list is not null").select("list", "dealt", "lead", "members", "sizes", "places")
     plain = lists.where("not dealt").dropDuplicates(["list"])
     members = materialise(plain.unionByName(lists.where("dealt")).select("list", "members", "sizes", "places").mapInArrow(_members, "list long, cls long, n long, place long"))
@@ -547,7 +552,7 @@ def join(docs: DataFrame, short_list: int = SHORT_LIST, list_target: int = LIST_
     # a class's least document stands for it
     stand = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc")).withColumnRenamed("cls", "k")
     unnamed = not rows.where("doc_id is null and n > 0").isEmpty()
-    links = materialise(verify(pairs, texts, stand, turn, unnamed))
+    links = verify(pairs, texts, stand, turn, unnamed)
     comp = materialise(components(links))
     # shingles that no other class has cannot be shared: what is left bounds any overlap
     alone = f"(least(n, n - ceil({NUM} * n / {DEN}) + 1 + n div {PER_MEETING}L) - met)"
@@ -568,7 +573,7 @@ def join(docs: DataFrame, short_list: int = SHORT_LIST, list_target: int = LIST_
     still = close.join(of("a"), F.col("a") == F.col("ka"), "left").join(of("b"), F.col("b") == F.col("kb"), "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     rest = far.union(still).distinct()
     tried = materialise(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = materialise(verify(tried, texts, stand, turn, unnamed))
+    more = verify(tried, texts, stand, turn, unnamed)
     if more.isEmpty():
         final = comp
     else:

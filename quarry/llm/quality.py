@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .cluster import materialise, ship
+from .cluster import carried, materialise, ship
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10
@@ -101,14 +101,14 @@ def _measure_batches(batches: Iterator[pa.RecordBatch], carry: tuple[str, ...] =
     for batch in batches:
         for part, data, offsets in W.slices(batch):
             got = measure(data, offsets)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(got[x]) for x in FEATURES), *part.columns[2:]], ["doc_id", *FEATURES, *carry])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(got[x]) for x in FEATURES), *(part.column(c) for c in carry)], ["doc_id", *FEATURES, *carry])
 
 
 def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and the features of every row; columns named in carry go along."""
+    """doc_id and the features of every row; columns named in carry (the text may be one) go along."""
     ship(docs.sparkSession)
-    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carry)
-    return read.mapInArrow(partial(_measure_batches, carry=carry), _SCHEMA + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in read.schema[2:]))
+    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[c for c in carry if c != "text"])
+    return read.mapInArrow(partial(_measure_batches, carry=carry), _SCHEMA + carried(read, carry))
 
 
 @dataclass(frozen=True)
