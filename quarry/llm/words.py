@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 #: Texts are handled in slices of about so many bytes (one text at least).
 SLICE_BYTES = 1 << 21
 #: Bytes whose prefix sums are held at once.
-PIECE = 1 << 21
+PIECE = 1 << 18
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5  # odd, so that it has an inverse modulo 2**64
