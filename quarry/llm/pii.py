@@ -246,7 +246,8 @@ def scrub(docs: DataFrame, key: str = EXAMPLE_KEY) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     pattern = F.lit(PATTERN)
     hit = F.col("text").rlike(PATTERN)
-    found = base.where(hit).select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.regexp_extract_all("text", pattern, F.lit(0))).alias("place", "mention")).distinct()
+    held = materialise(base.where(hit).withColumn("hash", F.xxhash64("text")))  # documents with entities
+    found = held.select("doc_id", F.col("hash").alias("text_hash"), F.posexplode(F.regexp_extract_all("text", pattern, F.lit(0))).alias("place", "mention")).distinct()
     mentions = materialise(found.withColumn("kind", kind_of(F.col("mention"))).withColumn("parts", parts_of(F.col("kind"), F.col("mention"))))
     forms = mentions.groupBy("mention").agg(F.any_value("kind").alias("of"), F.any_value("parts").alias("parts"))
     parts = forms.select("mention", "of", F.posexplode("parts").alias("nth", "part")).select("mention", "of", "nth", "part.kind", "part.canon")
@@ -255,7 +256,7 @@ def scrub(docs: DataFrame, key: str = EXAMPLE_KEY) -> DataFrame:
     replaced = new.select("mention", laid_over(F.col("of"), F.col("mention"), F.col("new")).alias("new"))
     per_doc = mentions.join(replaced, "mention").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("place", "new"))).alias("news"), F.array_sort(F.collect_set("kind")).alias("kinds"))
     per_doc = per_doc.withColumnRenamed("doc_id", "id")
-    touched = base.where(hit).withColumn("hash", F.xxhash64("text")).join(per_doc, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash")))
+    touched = held.join(per_doc, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash")))
     gaps = F.split("text", PATTERN, -1)
     text = F.array_join(F.zip_with(gaps, F.transform("news", lambda n: n["new"]), lambda gap, n: F.concat(gap, F.coalesce(n, F.lit("")))), "")
     done = touched.select("doc_id", text.alias("text"), F.size("news").cast("long").alias("n_entities"), "kinds")
