@@ -96,24 +96,6 @@ def _both_ends(h: np.ndarray, start: np.ndarray, last: int) -> np.ndarray:
         return W.mix(h[start + last] + W.mix(h[start]))
 
 
-def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each i, (i, lo[i]), ..., (i, hi[i] - 1)."""
-    n = hi - lo
-    owner = np.repeat(np.arange(len(lo)), n)
-    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-
-
-def _same_words(a: W.Words, i: np.ndarray, b: W.Words, j: np.ndarray) -> np.ndarray:
-    """Whether the words a[i] and b[j] have the same bytes."""
-    n = a.end[i] - a.start[i]
-    same = n == b.end[j] - b.start[j]
-    at = np.flatnonzero(same)
-    owner, place = _ranges(np.zeros(len(at), np.int64), n[at])
-    differ = a.data[a.start[i[at]][owner] + place] != b.data[b.start[j[at]][owner] + place]
-    same[at[owner[differ]]] = False
-    return same
-
-
 def occurrences(p: Patterns, w: W.Words) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(first word, item, length) of all windows found, for each length."""
     for t in p.lengths:
@@ -135,14 +117,14 @@ def occurrences(p: Patterns, w: W.Words) -> Iterator[tuple[np.ndarray, np.ndarra
         start = np.concatenate(hits)
         start = start[w.doc[start] == w.doc[start + t.length - 1]]
         ends = _both_ends(h, start, t.length - t.block)
-        owner, window = _ranges(np.searchsorted(t.ends, ends, "left"), np.searchsorted(t.ends, ends, "right"))
+        owner, window = W.ranges(np.searchsorted(t.ends, ends, "left"), np.searchsorted(t.ends, ends, "right"))
         start = start[owner]
         for k in range(t.length):
             same = w.hash[start + k] == p.words.hash[t.start[window] + k]
             start, window = start[same], window[same]
         sure = np.ones(len(start), bool)
         for k in range(t.length):
-            sure &= _same_words(w, start + k, p.words, t.start[window] + k)
+            sure &= W.same_words(w, start + k, p.words, t.start[window] + k)
         yield start[sure], t.item[window[sure]], t.length
 
 

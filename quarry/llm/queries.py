@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, langid, mixing, ngram_join, phrases, pii, quality, sharding, tokens, urls
+from . import decontam, html_text, langid, mixing, ngram_join, phrases, pii, quality, ranked, sharding, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sharding": sharding.query,
         "op10_ngram_jaccard_join": ngram_join.query,
         "op11_phrase_collocations": phrases.query,
+        "op12_ranked_search": ranked.query,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filters": urls.SQL,
         "op10_ngram_jaccard_join": ngram_join.SQL,
         "op11_phrase_collocations": phrases.SQL,
+        "op12_ranked_search": ranked.SQL,
     }

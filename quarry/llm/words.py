@@ -191,6 +191,24 @@ def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[at], w.doc[at], at
 
 
+def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i, (i, lo[i]), ..., (i, hi[i] - 1)."""
+    n = hi - lo
+    owner = np.repeat(np.arange(len(lo)), n)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+
+def same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """Whether the words a[i] and b[j] have the same bytes."""
+    n = a.end[i] - a.start[i]
+    same = n == b.end[j] - b.start[j]
+    at = np.flatnonzero(same)
+    owner, place = ranges(np.zeros(len(at), np.int64), n[at])
+    differ = a.data[a.start[i[at]][owner] + place] != b.data[b.start[j[at]][owner] + place]
+    same[at[owner[differ]]] = False
+    return same
+
+
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batch with about SLICE_BYTES of text each, null as empty."""
     text = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "")
