@@ -228,6 +228,10 @@ class Walk:
         number = np.cumsum(places) - 1
         return Walk(self.item[places], self.lo[places], self.hi[places], number[self.owner[nodes]], self.node[nodes], self.term[nodes], self.weight[nodes])
 
+    def and_also(self, other: Walk) -> Walk:
+        owner = np.concatenate([self.owner, other.owner + len(self.item)])
+        return Walk(*(np.concatenate([getattr(self, c), getattr(other, c)]) if c != "owner" else owner for c in self.__dataclass_fields__))
+
     def halves(self) -> list[Walk]:
         first = np.arange(len(self.item)) < (len(self.item) + 1) // 2
         return [self.only(p, p[self.owner]) for p in (first, ~first)]
@@ -284,6 +288,8 @@ def walk(t: Treaps, items: Items, weight: np.ndarray, best: Best, doc_id: np.nda
     scored = 0
     while open_walks:
         now = open_walks.pop()
+        while open_walks and len(now.node) + len(open_walks[-1].node) <= STEP_NODES:
+            now = now.and_also(open_walks.pop())
         if not len(now.item):
             continue
         if len(now.node) > STEP_NODES and len(now.item) > 1:
