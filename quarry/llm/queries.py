@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, langid, mixing, ngram_join, phrases, pii, quality, ranked, sharding, tokens, urls
+from . import decontam, html_text, langid, licenses, mixing, ngram_join, phrases, pii, quality, ranked, sharding, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_ngram_jaccard_join": ngram_join.query,
         "op11_phrase_collocations": phrases.query,
         "op12_ranked_search": ranked.query,
+        "op13_license_scan": licenses.query,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_ngram_jaccard_join": ngram_join.SQL,
         "op11_phrase_collocations": phrases.SQL,
         "op12_ranked_search": ranked.SQL,
+        "op13_license_scan": licenses.SQL,
     }
