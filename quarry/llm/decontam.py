@@ -6,11 +6,15 @@ words, a block is two neighbouring words.  For the windows of one length:
 
 * the shift table says, for the block that ends at a place of a document, how
   many places no window can end at, so that most places are never looked at;
-* where the shift is 0, the hashes of the last and of the first block select the
-  bucket of windows that end and begin with them (so that one common pair of words
-  at the end of many windows does not make all of them candidates);
-* these windows are compared directly, word hashes first and then the words'
-  bytes, so that an occurrence is certain.
+* where the shift is 0, the hashes of the last and of the first block are those of a
+  bucket of windows that end and begin so; inside it the hash of the whole window
+  selects the one to test (so that one common pair of words at the end of many
+  windows does not make all of them candidates);
+* this window is compared directly, byte by byte, so that an occurrence is certain.
+
+Equal windows, of one item or of many, are one window with a list of items.  A place of
+a document is looked up once, words are counted from places and items from the distinct
+windows of a document, so repetitive items and texts cost what their lengths are.
 
 Documents are scanned in lanes of some hundred words side by side, whole texts,
 one vector step for all lanes; they are never shuffled.  The benchmark, a stated
@@ -19,8 +23,8 @@ query set of at most ``MAX_BENCHMARK_BYTES`` (more is refused), travels in block
 with one block after the other and holds one block at a time.
 
 Cases: a null text has no words; a null item text gives no windows; a row of
-the benchmark without item_id is left out, as it could not be named; repeated
-items count once; repeated documents are judged each.  An empty benchmark or
+the benchmark without item_id is searched and its words are hit, but it is not among the
+items, as it cannot be named; repeated items count once; repeated documents are judged each.  An empty benchmark or
 table gives no hits or no rows.  Other columns are not read.
 """
 
@@ -42,32 +46,35 @@ BLOCK_BYTES = 8 << 20
 MAX_BENCHMARK_BYTES = 1 << 30
 ROUND_BYTES = 32 << 20
 LANE = 512
+#: Windows that are compared at once.
+COMPARED = 1 << 17
 _U = np.uint64
 _SCHEMA = "doc_id long, n_words long, spans array<struct<first: long, last: long>>, items array<string>"
 
 
 @dataclass
 class _Length:
-    """Wu-Manber tables for the windows of one length."""
+    """Wu-Manber tables for the distinct windows of one length."""
 
     length: int
     block: int
     shift: np.ndarray  # by the low bits of a block's hash
-    ends: np.ndarray  # hashes of the last and first blocks together, sorted
-    start: np.ndarray  # first word of each window, in order of ends
-    item: np.ndarray
+    keys: np.ndarray  # hashes of both ends and of the whole window, sorted
+    start: np.ndarray  # first word of each window, in order of keys
+    items: np.ndarray  # those of window i are items[of[i] : of[i + 1]]
+    of: np.ndarray
 
 
 @dataclass
 class Patterns:
     """A block of benchmark items, compiled."""
 
-    ids: list[str]
+    ids: list[str | None]
     words: W.Words
     lengths: list[_Length]
 
 
-def compile_items(ids: list[str], texts: list[str], window: int = WINDOW) -> Patterns:
+def compile_items(ids: list[str | None], texts: list[str], window: int = WINDOW) -> Patterns:
     w = W.find(*W.text_bytes(pa.array(texts, pa.large_string())), W.ALNUM, True)
     per_length: dict[int, list[tuple[np.ndarray, int]]] = {}
     for i, n in enumerate(w.counts):
@@ -80,24 +87,47 @@ def compile_items(ids: list[str], texts: list[str], window: int = WINDOW) -> Pat
         item = np.concatenate([np.full(len(s), i) for s, i in found])
         block = min(2, length)
         h = W.chain(w.hash, block)
+        keys = _window_keys(w, h, start, length, block)
+        order = np.argsort(keys, kind="stable")
+        keys, start, item = keys[order], start[order], item[order]
+        new = np.ones(len(start), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        again = np.flatnonzero(~new)
+        new[again[~_same_windows(w, start[again], w, start[again - 1], length)]] = True
+        window = np.cumsum(new) - 1
+        named = np.array([i is not None for i in ids], bool)[item]
+        pairs = np.unique(window[named] * len(ids) + item[named])
+        start, keys = start[new], keys[new]
         bits = int(np.clip(np.ceil(np.log2(16 * len(start) * length)), 12, 24))
         shift = np.full(1 << bits, length - block + 1, np.uint8)
         mask = _U((1 << bits) - 1)
         for back in range(length - block, -1, -1):  # blocks nearer to the end overwrite
             shift[h[start + length - block - back] & mask] = back
-        ends = _both_ends(h, start, length - block)
-        order = np.argsort(ends, kind="stable")
-        lengths.append(_Length(length, block, shift, ends[order], start[order], item[order]))
+        lengths.append(_Length(length, block, shift, keys, start, pairs % len(ids), np.searchsorted(pairs // len(ids), np.arange(len(start) + 1))))
     return Patterns(ids, w, lengths)
 
 
-def _both_ends(h: np.ndarray, start: np.ndarray, last: int) -> np.ndarray:
+def _window_keys(w: W.Words, h: np.ndarray, start: np.ndarray, length: int, block: int) -> np.ndarray:
+    """Hashes of windows: of the last and first block (h), and of all words."""
     with np.errstate(over="ignore"):
-        return W.mix(h[start + last] + W.mix(h[start]))
+        key = W.mix(h[start + length - block] + W.mix(h[start]))
+        for k in range(length):
+            key = W.mix(key + w.hash[start + k] + _U(k + 1))
+    return key
+
+
+def _same_windows(a: W.Words, i: np.ndarray, b: W.Words, j: np.ndarray, length: int) -> np.ndarray:
+    """Whether the windows at words a[i] and b[j] have the same bytes."""
+    same = np.ones(len(i), bool)
+    for at in range(0, len(i), COMPARED):
+        part = slice(at, at + COMPARED)
+        for k in range(length):
+            same[part] &= W.same_words(a, i[part] + k, b, j[part] + k)
+    return same
 
 
-def occurrences(p: Patterns, w: W.Words) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(first word, item, length) of all windows found, for each length."""
+def occurrences(p: Patterns, w: W.Words) -> Iterator[tuple[np.ndarray, np.ndarray, _Length]]:
+    """(first words, windows, tables) of all windows found, for each length."""
     for t in p.lengths:
         h = W.chain(w.hash, t.block)  # block at words i..i+block-1
         if len(w.hash) < t.length:
@@ -116,16 +146,15 @@ def occurrences(p: Patterns, w: W.Words) -> Iterator[tuple[np.ndarray, np.ndarra
             at, limit = at[on], limit[on]
         start = np.concatenate(hits)
         start = start[w.doc[start] == w.doc[start + t.length - 1]]
-        ends = _both_ends(h, start, t.length - t.block)
-        owner, window = W.ranges(np.searchsorted(t.ends, ends, "left"), np.searchsorted(t.ends, ends, "right"))
-        start = start[owner]
-        for k in range(t.length):
-            same = w.hash[start + k] == p.words.hash[t.start[window] + k]
-            start, window = start[same], window[same]
-        sure = np.ones(len(start), bool)
-        for k in range(t.length):
-            sure &= W.same_words(w, start + k, p.words, t.start[window] + k)
-        yield start[sure], t.item[window[sure]], t.length
+        keys = _window_keys(w, h, start, t.length, t.block)
+        window = np.searchsorted(t.keys, keys)
+        while len(start):  # once, but for distinct windows with one hash
+            on = window < len(t.keys)
+            on[on] = t.keys[window[on]] == keys[on]
+            start, window, keys = start[on], window[on], keys[on]
+            sure = _same_windows(w, start, p.words, t.start[window], t.length)
+            yield start[sure], window[sure], t
+            start, window, keys = start[~sure], window[~sure] + 1, keys[~sure]
 
 
 class Scan:
@@ -138,12 +167,12 @@ class Scan:
 
     def search(self, p: Patterns) -> None:
         w = self.words
-        for start, item, length in occurrences(p, w):
+        for start, window, t in occurrences(p, w):
             np.add.at(self.cover, start, 1)
-            np.add.at(self.cover, start + length, -1)
-            if len(start):
-                for doc, i in np.unique(np.stack([w.doc[start], item], 1), axis=0):
-                    self.items[doc].add(p.ids[i])
+            np.add.at(self.cover, start + t.length, -1)
+            for pair in np.unique(w.doc[start] * len(t.start) + window).tolist():
+                doc, x = divmod(pair, len(t.start))
+                self.items[doc].update(p.ids[i] for i in t.items[t.of[x] : t.of[x + 1]].tolist())
 
     def result(self) -> tuple[np.ndarray, list[list[dict]], list[list[str]]]:
         """Number of words, spans of hit words and items found, for each text."""
@@ -171,7 +200,7 @@ def scan(data: np.ndarray, offsets: np.ndarray, blocks: Iterable[Patterns]) -> t
 
 def compiled(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Patterns]:
     """The benchmark in blocks of about block_bytes of text (one item at least)."""
-    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if total > MAX_BENCHMARK_BYTES:
         raise ValueError(f"a benchmark of {total} bytes; search it in parts of {MAX_BENCHMARK_BYTES}")
@@ -246,7 +275,7 @@ SQL = rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), b AS (
-  SELECT item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+  SELECT item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
 ), b2 AS (
   SELECT item_id, w, least(len(w), {WINDOW}) AS l FROM b WHERE len(w) > 0
 ), win AS (
@@ -259,7 +288,7 @@ WITH d AS (
 ), hit_words AS (
   SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS k FROM hits) GROUP BY doc_id
 ), hit_items AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated

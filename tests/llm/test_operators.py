@@ -140,10 +140,38 @@ def test_decontamination_blocks(spark):
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, "one"), (1, "one"), (None, "a b c"), (3, None)], "item_id long, text string")
     out = {r["doc_id"]: r for r in decontam.digest(decontam.decontaminate(table(spark, ODD, extra=True), bench)).collect()}
-    assert out[3]["contaminated"] and out[3]["n_items"] == 1 and not out[4]["contaminated"] and out[0]["n_words"] == 0
+    assert out[3]["contaminated"] and out[3]["n_items"] == 1 and out[0]["n_words"] == 0
+    assert out[4]["contaminated"] and out[4]["n_hit"] == 3 and out[4]["n_items"] == 0  # of an item without item_id
     assert decontam.decontaminate(table(spark, ODD), bench.limit(0)).count() == len(ODD)
 
 
+def test_decontamination_of_repetitive_texts():
+    """One item and one text of one word each, and very many items with one window: within seconds and bounded memory."""
+    import time
+    import tracemalloc
+
+    began = time.perf_counter()
+    tracemalloc.start()
+    p = decontam.compile_items(["1"], ["ab " * 5000])
+    n, spans, ids = decontam.scan(*W.text_bytes(pa.array(["ab " * 1_000_000, "ab " * 12])), [p])
+    assert list(n) == [1_000_000, 12] and spans == [[{"first": 0, "last": 999_999}], []] and ids == [["1"], []]
+    p = decontam.compile_items([str(i) for i in range(100_000)], ["a b c d e f g h i j k l m"] * 100_000)
+    n, spans, ids = decontam.scan(*W.text_bytes(pa.array(["x a b c d e f g h i j k l m y"] * 2)), [p])
+    assert [len(x) for x in ids] == [100_000] * 2 and spans[0] == [{"first": 1, "last": 13}]
+    assert time.perf_counter() - began < 60 and tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+
+
+def test_decontamination_with_equal_window_hashes(monkeypatch):
+    """Windows with one hash are told apart by their bytes."""
+    monkeypatch.setattr(decontam, "_window_keys", lambda w, h, start, length, block: np.zeros(len(start), np.uint64))
+    rng = random.Random(31)
+    items = [(str(i), prose(rng, n)) for i, n in enumerate([2, 13, 16, 16])]
+    texts = [prose(rng, 5) + " " + rng.choice(items)[1] + " " + prose(rng, 9) for _ in range(9)]
+    n, spans, ids = decontam.scan(*W.text_bytes(pa.array(texts)), [decontam.compile_items([i for i, _ in items], [x for _, x in items])])
+    assert [(int(a), sum(s["last"] - s["first"] + 1 for s in b), c) for a, b, c in zip(n, spans, ids)] == brute_windows(texts, items)
+
+
 def sets_of(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
