@@ -194,7 +194,7 @@ def test_licenses(spark):
     assert (rows[1]["n_base"], rows[1]["first_word"], rows[1]["last_word"], rows[1]["base_labels"], rows[1]["labels"]) == (2, 1, 5, "mit", "mit")
     assert (rows[8]["n_base"], rows[8]["first_word"], rows[8]["base_labels"], rows[8]["labels"]) == (0, None, "", "gpl-3") and 0 < rows[8]["score"] < 1
     assert [rows[i]["labels"] for i in (2, 3, 5, 7, 10, 11)] == ["", "", "", "cc-by-nc", "", ""] and rows[2]["score"] == 0
-    assert [(m["template"]) for m in out[12]["matches"]] == ["mit text"] and rows[12]["score"] > 0.99
+    assert {m["template"] for m in out[12]["matches"]} == {"mit text"}  # with and without what is optional before it and rows[12]["score"] > 0.99
     assert licenses.scan(table(spark, ODD).limit(0)).count() == 0
 
 
