@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as C
 from .functions import scalars as S
+from .jobs import Lease, Run
+from .operators import ann
 from .operators import catalogue as K
 from .operators import events as E
 from .operators import feeds as P
@@ -24,7 +27,21 @@ class Engine:
         self.spark, self.store, self.now_ms, self.seed = spark, store, now_ms, seed
 
     def _t(self, name: str) -> DataFrame:
-        return self.store.read(name)
+        """The current rows of a table; of signals, to which changes are appended, each video's latest."""
+        rows = self.store.read(name)
+        return E.latest(rows) if name == "interaction_signals" else rows
+
+    def _nearest(self) -> Callable[[DataFrame, int], DataFrame] | None:
+        """Search by the stored index, if there is one."""
+        return ann.StoredIndex(self.store).nearest if ann.StoredIndex.exists(self.store) else None
+
+    def build_index(self, at: int, **options) -> ann.StoredIndex:
+        """Store an index of all embeddings, which similar and recommend search from then on."""
+        return ann.StoredIndex.build(self.store, self._t("video_embeddings"), at, **options)
+
+    def extend_index(self, at: int) -> int:
+        """Append the embeddings that the index lacks; how many."""
+        return ann.StoredIndex(self.store).add(self._t("video_embeddings"), at)
 
     def likes_frame(self, likes: Sequence[tuple[str, str]]) -> DataFrame:
         return self.spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(likes)], "position int, uuid string, host string")
@@ -49,7 +66,7 @@ class Engine:
             known = self.resolve(likes).limit(C.LIKES_FOR_FEED)
             liked = known.join(self._t("video_embeddings").select(*K.KEY, "embedding"), K.KEY)
             liked = None if liked.isEmpty() else liked
-        layers = P.Candidates(self._t("videos"), self._t("video_embeddings"), self._t("interaction_signals"), liked, self.seed)
+        layers = P.Candidates(self._t("videos"), self._t("video_embeddings"), self._t("interaction_signals"), liked, self.seed, search=self._nearest())
         page = P.feed(layers, C.profile_for(mode, liked is not None), self.now_ms, self._t("instance_denylist"), self._t("channel_moderation"))
         return P.with_debug(page) if debug else page
 
@@ -66,7 +83,7 @@ class Engine:
         seed = K.lookup(videos, self._t("channels"), ref, host).join(embeddings.select(*K.KEY, "embedding"), K.KEY)
         if seed.isEmpty():
             raise LookupError(f"no embedding for {ref}")
-        near, new = N.similar_candidates(seed, embeddings, items, C.SEARCH_LIMIT, policy)
+        near, new = N.similar_candidates(seed, embeddings, items, C.SEARCH_LIMIT, policy, self._nearest())
         if at is not None and not new.isEmpty():
             self.store.write("similarity_items", N.store_similar(items, new), at)
         found = near.select(F.col("similar_video_id").alias("video_id"), F.col("similar_instance_domain").alias("instance_domain"), F.col("score").alias("similarity_score"), "rank")
@@ -93,14 +110,29 @@ class Engine:
         return N.health(self._t("video_embeddings"))
 
     def ingest(self, events: DataFrame, at: int) -> DataFrame:
-        """Store new valid events (with arrival) and update the signals of the videos they touch, both or neither; the rejects are returned."""
+        """Store new valid events (with arrival) and the signals of the videos they touch, both or neither; the rejects are returned.
+
+        Both are appended, so what is written follows the batch.  The latest row of a video counts.
+        """
         stored, old = self._t("interaction_raw_events"), self._t("interaction_signals")
-        new, touched, bad = E.ingest(events, stored, old)
+        good, bad = E.split(events)
+        new = T.settled(E.first_arrivals(good, stored))  # both tables are of the same rows
+        touched = E.signals(new, old).drop("last_arrival").withColumns({"updated_at": F.lit(at).cast("long"), "version": F.lit(time.time_ns())})
         rows = conform(new.withColumn("ingested_at", F.lit(at).cast("long")), "interaction_raw_events")
-        signals = old.join(touched.select(*E.KEY), E.KEY, "left_anti").unionByName(touched.drop("last_arrival").withColumn("updated_at", F.lit(at).cast("long")))
-        self.store.write_all({"interaction_raw_events": stored.unionByName(rows, allowMissingColumns=True), "interaction_signals": signals}, at)
+        added = {"interaction_raw_events": rows, "interaction_signals": conform(touched, "interaction_signals")}
+        self.store.write_all(added, at, added=frozenset(added))
         return bad
 
+    def compact(self, at: int, parts: int = 16) -> list[str]:
+        """Write tables of more than so many appends as one part, of signals the latest rows only; which were."""
+        done = [n for n in ("interaction_raw_events",) if self.store.compact(n, at, parts)]
+        if len(self.store.version("interaction_signals") or []) > parts:
+            self.store.write("interaction_signals", self._t("interaction_signals"), at)
+            done.append("interaction_signals")
+        if ann.StoredIndex.exists(self.store) and ann.StoredIndex(self.store).compact(at, parts):
+            done.append("ann_lists")
+        return done
+
     def block_host(self, host: str, at: int, purge: bool = False, yes: bool = False) -> DataFrame:
         """Deny a host; with purge and yes its rows go too.  The counts of what a purge concerns are returned."""
         one = self.spark.createDataFrame([(host,)], "host string").select(S.normalize_host("host").alias("host"), F.lit(1).alias("is_active"), F.lit(at).cast("long").alias("updated_at"))
@@ -149,20 +181,39 @@ class Engine:
         one = self.spark.createDataFrame([(host,)], "host string").select(S.normalize_host("host").alias("host"), F.lit(0).alias("is_active"), F.lit(at).cast("long").alias("updated_at"))
         self.store.write("instance_denylist", T.patch(self._t("instance_denylist"), one, ["host"], ["is_active", "updated_at"]), at)
 
-    def refresh(self, stage: dict[str, DataFrame], rules: Sequence[dict], at: int, top_k: int = C.SIMILAR_PER_LIKE, least_recall: float = 0.9) -> dict[str, int]:
-        """Batch refresh: deltas, merge, denylist prune, popularity, similarity (by the index, with the probes that reach least_recall on a sample).  A failure leaves the old versions current."""
+    def refresh(self, stage: dict[str, DataFrame], rules: Sequence[dict], at: int, top_k: int = C.SIMILAR_PER_LIKE, least_recall: float = 0.9, lease: Lease | None = None) -> dict[str, int]:
+        """Batch refresh: deltas, merge, denylist prune, popularity, a new index, similarity by it (with the probes that reach least_recall on a sample).
+
+        All tables become current by one commit after the last stage; a failure before leaves
+        every old version current, and another call with the same ``at`` goes on after the last finished stage.
+        """
+        run = Run(self.store, f"refresh-{at}", lease)
         prod = {r["name"]: self._t(r["name"]) for r in rules}
-        deltas = {r["name"]: r["n"] for r in T.delta_counts({r["name"]: (prod[r["name"]], stage[r["name"]], r["keys"]) for r in rules}).collect()}
+        deltas = run.stage("deltas", dict, note=lambda: {r["name"]: r["n"] for r in T.delta_counts({r["name"]: (prod[r["name"]], stage[r["name"]], r["keys"]) for r in rules}).collect()})["note"]
+        if run.committed:
+            return deltas
         denied = self._t("instance_denylist").where("is_active = 1")
-        merged = T.merge_tables(prod, stage, rules)
-        for name, df in merged.items():
+
+        def merged(name: str, df: DataFrame) -> dict[str, DataFrame]:
             kept = T.without_hosts(df, denied, "host" if name == "instances" else "instance_domain")
             if name == "videos":
                 kept = kept.withColumn("popularity", F.when(F.coalesce("popularity", F.lit(0.0)) == 0, S.popularity("views", "likes", "published_at", self.now_ms)).otherwise(F.col("popularity")))
-            self.store.write(name, kept, at)
-        e = self._t("video_embeddings").select(*K.KEY, "embedding")
-        lists = max(1, min(N.LISTS, int(e.count() ** 0.5)))
-        index = N.build_index(e, *N.train_index(e, lists))
-        near = N.ivf_knn(e, index, e, top_k, N.probes_for(index, e, min(top_k, 10), least_recall))
-        self.store.write("similarity_items", near.select(F.col("src_id").alias("source_video_id"), F.col("src_host").alias("source_instance_domain"), F.col("video_id").alias("similar_video_id"), F.col("instance_domain").alias("similar_instance_domain"), "score", "rank"), at)
+            return {name: kept}
+
+        stages = {name: run.stage(f"merge-{name}", lambda name=name, df=df: merged(name, df)) for name, df in T.merge_tables(prod, stage, rules).items()}
+        e = run.read(stages["video_embeddings"], "video_embeddings") if "video_embeddings" in stages else self._t("video_embeddings")
+
+        def indexed() -> dict[str, DataFrame]:
+            model, rows = ann.trained(e, least_recall, min(top_k, 10))
+            return {"ann_model": model.frame(self.spark, at), "ann_lists": ann.by_list(rows)}
+
+        def similar() -> dict[str, DataFrame]:
+            model = ann.Model.of(run.read(stages["index"], "ann_model").first())
+            rows = run.read(stages["index"], "ann_lists")
+            near = N.ivf_knn(rows, ann.index_of(rows, model), rows, top_k, model.probes, model.shortlist)
+            return {"similarity_items": near.select(F.col("src_id").alias("source_video_id"), F.col("src_host").alias("source_instance_domain"), F.col("video_id").alias("similar_video_id"), F.col("instance_domain").alias("similar_instance_domain"), "score", "rank")}
+
+        stages["index"] = run.stage("index", indexed, {"ann_lists": ["list_id"]})
+        stages["similar"] = run.stage("similar", similar)
+        run.commit(list(stages.values()), at)
         return deltas

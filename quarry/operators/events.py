@@ -37,9 +37,23 @@ def split(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def first_arrivals(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """One row for each event_id, the first to arrive, none that is stored.  Copies of one event are reduced before the shuffle."""
+    """One row for each event_id, the first to arrive, none that is stored.  Copies of one event are reduced before the shuffle.
+
+    Of what is stored only ids are read, and first cut to those of the batch: a small batch is
+    broadcast for that, for a large one Spark builds a Bloom filter of its ids that stored ids
+    pass before they are shuffled.  So the anti join meets repeats only.
+    """
     one = events.groupBy("event_id").agg(F.min_by(F.struct(*events.columns), "arrival").alias("_e")).select("_e.*")
-    return one if stored is None else one.join(stored.select("event_id"), "event_id", "left_anti")
+    if stored is None:
+        return one
+    repeats = stored.select("event_id").join(one.select("event_id"), "event_id", "left_semi")
+    return one.join(repeats, "event_id", "left_anti")
+
+
+def latest(signals: DataFrame) -> DataFrame:
+    """Of the rows of a video's counters the last written."""
+    order = W.partitionBy(*KEY).orderBy(F.desc_nulls_last("version"), F.desc_nulls_last("updated_at"))
+    return signals.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").drop("_turn")
 
 
 #: Arrival numbers that one slice of a video's events spans.

@@ -37,12 +37,14 @@ def in_range(rows: DataFrame, low: float | None, high: float | None) -> DataFram
 class Candidates:
     """The layers over one catalogue; each gives video columns, similarity_score and position.
 
+    ``search`` (queries, k) finds neighbours as :func:`similarity.knn` does, which it is without one.
     ``base`` (usable videos with signals, and whether they have an embedding) is what
     all layers start from; a feed computes it once.
     """
 
-    def __init__(self, videos: DataFrame, embeddings: DataFrame, signals: DataFrame, liked: DataFrame | None, seed: str, pools: dict[str, int] = POOL):
+    def __init__(self, videos: DataFrame, embeddings: DataFrame, signals: DataFrame, liked: DataFrame | None, seed: str, pools: dict[str, int] = POOL, search: Callable[[DataFrame, int], DataFrame] | None = None):
         self.embeddings, self.liked, self.seed, self.pools = embeddings, liked, seed, pools
+        self.search = search or (lambda queries, k: V.knn(queries, embeddings.select(*KEY, "embedding"), k))
         known = embeddings.select(*KEY).distinct().withColumn("_embedded", F.lit(True))
         self.base = with_signals(videos.where(usable()), signals).join(known, KEY, "left")
 
@@ -84,7 +86,7 @@ class Candidates:
 
     def exploit(self, layer: Layer, limit: int) -> DataFrame:
         """Similar to any like: each like's best, liked videos left out, the best score of each video counts."""
-        near = V.knn(self.liked.select(*KEY, "embedding"), self.embeddings.select(*KEY, "embedding"), self.pools["exploit"])
+        near = self.search(self.liked.select(*KEY, "embedding"), self.pools["exploit"])
         best = near.groupBy(*KEY).agg(F.max("score").alias("similarity_score")).join(self.liked.select(*KEY), KEY, "left_anti")
         rows = self.base.drop("_embedded", "adjusted_likes", "interaction_signal_score").join(best, KEY)
         order = [F.desc("similarity_score"), F.col("video_id")]

@@ -35,20 +35,20 @@ def sampled_likes(liked: DataFrame, seed: str, most: int = LIKES_FOR_FEED) -> Da
     return shuffled(liked, f"{seed}:likes", most)
 
 
-def by_like(liked: DataFrame, embeddings: DataFrame, items: DataFrame, limit: int, seed: str, policy: N.CachePolicy, per_like: int = SIMILAR_PER_LIKE) -> DataFrame:
+def by_like(liked: DataFrame, embeddings: DataFrame, items: DataFrame, limit: int, seed: str, policy: N.CachePolicy, per_like: int = SIMILAR_PER_LIKE, compute: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Each like's similars, from the cache or searched as the policy allows; a video once, liked ones left out, shuffled by seed."""
     some = sampled_likes(liked, seed)
-    near, _ = N.similar_candidates(some.select(*KEY, "embedding"), embeddings, items, per_like, policy)
+    near, _ = N.similar_candidates(some.select(*KEY, "embedding"), embeddings, items, per_like, policy, compute)
     rows = near.select(F.col("similar_video_id").alias("video_id"), F.col("similar_instance_domain").alias("instance_domain"), "score")
     one = rows.groupBy(*KEY).agg(F.max("score").alias("score")).join(some.select(*KEY), KEY, "left_anti")
     return shuffled(one, f"{seed}:exploit", limit)
 
 
-def like_source(name: str, embeddings: DataFrame, items: DataFrame, seed: str, overrides: dict[str, LikeSource] | None = None, allow_compute: bool = True) -> LikeSource:
-    """A source by name: "ann" searches what the cache lacks, "cache-optimized" takes full lists only and searches if it may."""
+def like_source(name: str, embeddings: DataFrame, items: DataFrame, seed: str, overrides: dict[str, LikeSource] | None = None, allow_compute: bool = True, compute: Callable[[DataFrame, int], DataFrame] | None = None) -> LikeSource:
+    """A source by name: "ann" searches (by ``compute``, if given) what the cache lacks, "cache-optimized" takes full lists only and searches if it may."""
     own: dict[str, Callable[[DataFrame, int], DataFrame]] = {
-        "ann": lambda liked, limit: by_like(liked, embeddings, items, limit, seed, N.CachePolicy(require_full=True)),
-        "cache-optimized": lambda liked, limit: by_like(liked, embeddings, items, limit, seed, N.CachePolicy(allow_write=False, require_full=True, allow_compute=allow_compute)),
+        "ann": lambda liked, limit: by_like(liked, embeddings, items, limit, seed, N.CachePolicy(require_full=True), compute=compute),
+        "cache-optimized": lambda liked, limit: by_like(liked, embeddings, items, limit, seed, N.CachePolicy(allow_write=False, require_full=True, allow_compute=allow_compute), compute=compute),
     }
     known = own | (overrides or {})
     if name not in known:

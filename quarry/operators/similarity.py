@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,10 +54,12 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def _best(q_ids: list[tuple], q: np.ndarray, v_ids: list[tuple], v: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k best of v for each row of q, its own key left out; equal scores by key."""
+def _best(q_ids: list[tuple], q: np.ndarray, v_ids: list[tuple], v: np.ndarray, k: int, shown: np.ndarray | None = None) -> pa.RecordBatch:
+    """The k best of v (of those shown to it) for each row of q, its own key left out; equal scores by key."""
     order = sorted(range(len(v_ids)), key=v_ids.__getitem__)
     v_ids, score = [v_ids[i] for i in order], np.round(q @ v[order].T, 6)
+    if shown is not None:
+        score[~shown[:, order]] = -np.inf
     at = {key: i for i, key in enumerate(v_ids)}
     picked = []
     for i, key in enumerate(q_ids):
@@ -203,79 +204,153 @@ def build_index(embeddings: DataFrame, centroids: np.ndarray, books: np.ndarray)
     return Index(centroids, books, _dealt(rows, split, F.pmod(F.xxhash64(*KEY), F.col("_parts")).cast("int")), split)
 
 
-def _dealt(rows: DataFrame, split: dict[int, int], part: Column) -> DataFrame:
+def _dealt(rows: DataFrame, split: dict[int, int], part: Column, name: str = "part") -> DataFrame:
+    """rows with their part of a list: 0, or for lists in split what ``part`` makes of ``_parts``."""
     if not split:
-        return rows.withColumn("part", F.lit(0))
+        return rows.withColumn(name, F.lit(0))
     parts = F.broadcast(rows.sparkSession.createDataFrame([(k, n) for k, n in split.items()], "_list int, _parts int"))  # a row a long list
-    return rows.join(parts, F.col("list_id") == F.col("_list"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).withColumn("part", part).drop("_list", "_parts")
-
-
-def save_index(index: Index, folder: str) -> None:
-    """Rows as Parquet by list, and centroids, books and counts as one JSON text beside them."""
-    spark = index.rows.sparkSession
-    index.rows.write.mode("overwrite").parquet(f"{folder}/rows")
-    meta = {"dim": index.dim, "lists": len(index.centroids), "parts": len(index.books), "codes": CODES, "total": index.rows.count(), "split": index.split, "centroids": index.centroids.tolist(), "books": index.books.tolist()}
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/meta")
-
-
-def load_index(spark: SparkSession, folder: str, dim: int | None = None) -> Index:
-    """A stored index; one of another dimension raises."""
-    meta = json.loads(spark.read.text(f"{folder}/meta", wholetext=True).first()["value"])
-    if dim is not None and meta["dim"] != dim:
-        raise ValueError(f"index of dimension {meta['dim']}, not {dim}")
-    return Index(np.array(meta["centroids"]), np.array(meta["books"]), spark.read.parquet(f"{folder}/rows"), {int(k): n for k, n in meta["split"].items()})
-
-
-def ivf_knn(queries: DataFrame, index: Index, embeddings: DataFrame, k: int, probes: int, shortlist: int = 8) -> DataFrame:
-    """Approximate knn: each query meets the lists it probes, codes give a shortlist of shortlist * k, which exact scores rank."""
-    ship(queries.sparkSession)
-    centroids, books, wide = index.centroids, index.books, shortlist * k
-    dim, step = index.dim, index.dim // len(index.books)
+    return rows.join(parts, F.col("list_id") == F.col("_list"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).withColumn(name, part).drop("_list", "_parts")
+
+
+#: Queries of one list that one task takes.
+LIST_QUERIES = 4096
+_TOP = "array<struct<away: double, video_id: string, instance_domain: string>>"
+_TOP_ARROW = pa.list_(pa.struct([("away", pa.float64()), ("video_id", pa.string()), ("instance_domain", pa.string())]))
+
+
+def _shortlists(q_ids: list[tuple], q: np.ndarray, most: np.ndarray, v_ids: list[tuple], v: np.ndarray, k: int) -> pa.Table:
+    """For each query the k nearest of v that are not further away than most, as one list."""
+    found = _best(q_ids, q, v_ids, v, k)
+    at = {key: i for i, key in enumerate(q_ids)}
+    src = np.array([at[key] for key in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)], int)
+    away = -found.column(4).to_numpy()
+    keep = away <= most[src] if len(src) else np.zeros(0, bool)
+    src, kept = src[keep], found.filter(pa.array(keep))
+    some = np.unique(src)
+    bounds = np.append(np.searchsorted(src, some), len(src)).astype(np.int32)
+    entries = pa.StructArray.from_arrays([pa.array(away[keep]), kept.column(2), kept.column(3)], fields=list(_TOP_ARROW.value_type))
+    ids = [pa.array([q_ids[i][j] for i in some], pa.string()) for j in (0, 1)]
+    return pa.table([*ids, pa.ListArray.from_arrays(pa.array(bounds), entries)], ["src_id", "src_host", "top"])
+
+
+def shortlisted(queries: DataFrame, index: Index, wide: int, probes: int, sent: list[int] | None = None) -> DataFrame:
+    """(src_id, src_host, top): by the codes, the wide nearest of the probed lists for every query, nearest first.
+
+    Lists are probed in rounds of 1, 2, 4, ... lists, the nearest first, and the wide best so far of
+    a query are a sketch that merges: what a list gives for a query is one row with
+    what is not further away than the worst of a full sketch, so that rounds after the
+    first give few entries.  A list's rows are dealt over parts of LIST_ROWS and its
+    queries over parts of LIST_QUERIES, and each part of one meets each of the other in a
+    task of its own.  ``sent`` takes the number of entries that each round shuffled.
+    """
+    spark = queries.sparkSession
+    ship(spark)
+    centroids, books, dim = index.centroids, index.books, index.dim
+    probes = min(probes, len(centroids))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(2))
-                near = np.argsort(-(x @ centroids.T), 1, kind="stable")[:, :probes].astype(np.int32)
+                near = np.argsort(-(_matrix(batch.column(2)) @ centroids.T), 1, kind="stable")[:, :probes].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int32()))], ["src_id", "src_host", "qv", "lists"])
 
-    asked = valid(queries, dim).select(*KEY, F.col("embedding").cast("array<double>")).mapInArrow(probe, "src_id string, src_host string, qv array<double>, lists array<int>")
-    asked = asked.select("src_id", "src_host", "qv", F.explode("lists").alias("list_id"))
-    asked = _dealt(asked, index.split, F.lit(0)) if not index.split else _dealt(asked, index.split, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.Table.from_batches([], pa.schema([(c, pa.string()) for c in _NEAR[:4]] + [("score", pa.float64())]))
-        q = _matrix(left.column("qv").combine_chunks())
+            return pa.Table.from_batches([], pa.schema([("src_id", pa.string()), ("src_host", pa.string()), ("top", _TOP_ARROW)]))
         code = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
         ids = list(zip(right.column("video_id").to_pylist(), right.column("instance_domain").to_pylist(), strict=True))
         decoded = np.concatenate([b[c] for b, c in zip(books, code.T, strict=True)], 1)
-        out = [_best(list(zip(left.column("src_id").to_pylist()[i : i + BLOCK], left.column("src_host").to_pylist()[i : i + BLOCK], strict=True)), q[i : i + BLOCK], ids, decoded, wide) for i in range(0, len(q), BLOCK)]
-        return pa.Table.from_batches(out)
+        most, out = left.column("most").to_numpy(), []
+        for i in range(0, left.num_rows, BLOCK):
+            some = left.slice(i, BLOCK)
+            out.append(_shortlists(list(zip(some.column("src_id").to_pylist(), some.column("src_host").to_pylist(), strict=True)), _matrix(some.column("qv").combine_chunks()), most[i : i + BLOCK], ids, decoded, wide))
+        return pa.concat_tables(out)
+
+    asked = settled(valid(queries, dim).select(*KEY, F.col("embedding").cast("array<double>")).mapInArrow(probe, "src_id string, src_host string, qv array<double>, lists array<int>"))
+    top, done, step = None, 0, 1
+    while done < probes:
+        now = asked.select("src_id", "src_host", "qv", F.explode(F.slice("lists", done + 1, min(step, probes - done))).alias("list_id"))
+        worst = F.when(F.size("top") == wide, F.col("top")[wide - 1]["away"]).alias("most")
+        now = now.withColumn("most", F.lit(float("inf"))) if top is None else now.join(top.select("src_id", "src_host", worst), ["src_id", "src_host"], "left").withColumn("most", F.coalesce("most", F.lit(float("inf"))))
+        many = {r["list_id"]: -(-r["count"] // LIST_QUERIES) for r in now.groupBy("list_id").count().where(F.col("count") > LIST_QUERIES).collect()}  # hot lists only
+        each = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+        now = _dealt(_dealt(now, many, F.pmod(F.xxhash64("src_id", "src_host"), F.col("_parts")).cast("int"), "query_part"), index.split, each)
+        rows = _dealt(index.rows, many, each, "query_part")
+        by = ["list_id", "part", "query_part"]
+        found = now.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(meet, f"src_id string, src_host string, top {_TOP}")
+        seen = Observation()
+        found = found.observe(seen, F.coalesce(F.sum(F.size("top")), F.lit(0)).alias("entries"))
+        both = found if top is None else found.unionByName(top)
+        top = settled(both.groupBy("src_id", "src_host").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, wide).alias("top")))
+        if sent is not None:
+            sent.append(seen.get["entries"])
+        done, step = done + step, 2 * step
+    return asked.limit(0).select("src_id", "src_host", F.lit(None).cast(_TOP).alias("top")) if top is None else top
+
 
-    rough = asked.groupBy("list_id", "part").cogroup(index.rows.groupBy("list_id", "part")).applyInArrow(meet, _NEAR_SQL)
-    near = ranked(rough, wide).select(*_NEAR[:4])
-    qv = valid(queries, dim).select(F.col("video_id").alias("src_id"), F.col("instance_domain").alias("src_host"), F.col("embedding").alias("qv"))
+def ivf_knn(queries: DataFrame, index: Index, embeddings: DataFrame, k: int, probes: int, shortlist: int = 8) -> DataFrame:
+    """Approximate knn of many queries: codes give a shortlist of shortlist * k, which exact scores rank."""
+    near = shortlisted(queries, index, shortlist * k, probes).select("src_id", "src_host", F.explode("top").alias("e")).select("src_id", "src_host", "e.video_id", "e.instance_domain")
+    qv = valid(queries, index.dim).select(F.col("video_id").alias("src_id"), F.col("instance_domain").alias("src_host"), F.col("embedding").alias("qv"))
     exact = near.join(embeddings.select(*KEY, "embedding"), KEY).join(qv, ["src_id", "src_host"])
     return ranked(exact.select("src_id", "src_host", *KEY, F.round(V.dot("qv", "embedding"), 6).alias("score")), k)
 
 
+def probed_knn(queries: list, rows: DataFrame, centroids: np.ndarray, k: int, probes: int) -> DataFrame:
+    """knn of BLOCK queries (rows with key and embedding) at most among the rows (list_id, key, embedding) of the lists that each probes.
+
+    The lists are known before the plan is made, so of rows stored by list no other is read.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    ids = [(r["video_id"], r["instance_domain"]) for r in queries]
+    q = np.array([r["embedding"] for r in queries], float).reshape(len(queries), -1)
+    shown = np.zeros((len(queries), len(centroids)), bool)
+    np.put_along_axis(shown, np.argsort(-(q @ centroids.T), 1, kind="stable")[:, :probes], True, 1)
+    lists = np.flatnonzero(shown.any(0)).tolist()
+    sent = spark.sparkContext.broadcast((ids, q, shown))  # BLOCK rows at most
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vectors, may = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+                yield _best(names, vectors, keys, _matrix(batch.column(3)), k, may[:, np.asarray(batch.column(0))])
+
+    return ranked(rows.where(F.col("list_id").isin(lists)).select("list_id", *KEY, "embedding").mapInArrow(scan, _NEAR_SQL), k)
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row: the share of exact neighbours that were found, and their number."""
     hits = found.select("src_id", "src_host", *KEY, F.lit(1).alias("hit"))
     return exact.join(hits, ["src_id", "src_host", *KEY], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"), F.count("*").alias("n"))
 
 
-def probes_for(index: Index, embeddings: DataFrame, k: int, least: float, sample: int = 200, seed: int = 11) -> int:
-    """The fewest probes, doubling, that reach a recall on a bounded sample of queries; all lists if none does."""
+#: Widest shortlist of codes, in multiples of k, that is tried for a recall.
+WIDEST = 128
+
+
+def measured_probes(index: Index, embeddings: DataFrame, k: int, least: float, sample: int = 200, seed: int = 11) -> tuple[int, int, float]:
+    """(probes, shortlist, recall): the fewest probes, doubling, that reach a recall on a bounded sample of queries.
+
+    Where all lists do not, the codes are too coarse for the shortlist, which then grows
+    fourfold; beyond WIDEST it raises.
+    """
     some = settled(valid(embeddings, index.dim).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), *KEY)), *KEY).limit(sample).select(*KEY, "embedding"))
     exact = settled(knn(some, embeddings, k))
-    probes = max(1, len(index.centroids) // 16)
-    while probes < len(index.centroids):
-        if (recall(ivf_knn(some, index, embeddings, k, probes), exact).first()["recall"] or 0) >= least:
-            return probes
-        probes *= 2
-    return len(index.centroids)
+    lists, shortlist = len(index.centroids), 8
+    probes = max(1, lists // 16)
+    while True:
+        probes = min(probes, lists)
+        reached = recall(ivf_knn(some, index, embeddings, k, probes, shortlist), exact).first()["recall"]
+        if reached is None or reached >= least:
+            return probes, shortlist, 1.0 if reached is None else reached
+        if probes < lists:
+            probes *= 2
+        elif shortlist < WIDEST:
+            shortlist *= 4
+        else:
+            raise ValueError(f"all {lists} lists and a shortlist of {shortlist} k reach a recall of {reached}, not {least}")
 
 
 # --- caches
@@ -307,9 +382,12 @@ class CachePolicy:
     allow_compute: bool = True
 
 
-def similar_candidates(seeds: DataFrame, embeddings: DataFrame, items: DataFrame, limit: int, policy: CachePolicy, index: Index | None = None, probes: int = 24) -> tuple[DataFrame, DataFrame]:
+def similar_candidates(seeds: DataFrame, embeddings: DataFrame, items: DataFrame, limit: int, policy: CachePolicy, compute: Callable[[DataFrame, int], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates of every seed, new lists to store): from the cache where its list is valid, searched otherwise.
 
+    ``compute`` may give the lists of seeds (key, embedding) that the cache lacks, as
+    :func:`knn` would; a stored index's ``nearest`` is one.
+
     Candidates have source and similar keys, score and rank.  Only seeds without
     stored list, or all with refresh, give lists to store, and none without allow_write.
     """
@@ -323,7 +401,7 @@ def similar_candidates(seeds: DataFrame, embeddings: DataFrame, items: DataFrame
     missed = seeds.join(hits.select(*[F.col(b).alias(a) for a, b in same.items()]), KEY, "left_anti")
     if not policy.allow_compute:
         return cached, cached.limit(0)
-    found = knn(missed, embeddings, limit) if index is None else ivf_knn(missed, index, embeddings, limit, probes)
+    found = knn(missed, embeddings, limit) if compute is None else compute(missed, limit)
     found = found.select(F.col("src_id").alias(src[0]), F.col("src_host").alias(src[1]), F.col("video_id").alias("similar_video_id"), F.col("instance_domain").alias("similar_instance_domain"), "score", "rank")
     stored = items.select(*src).distinct()
     new = found.limit(0) if not policy.allow_write else found if policy.refresh else found.join(stored, src, "left_anti")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, IntegerType, LongType, StringType, StructType
 
-_TYPES = {"string": StringType(), "long": LongType(), "int": IntegerType(), "double": DoubleType(), "array<float>": ArrayType(FloatType())}
+_TYPES = {"string": StringType(), "long": LongType(), "int": IntegerType(), "double": DoubleType(), "array<float>": ArrayType(FloatType()), "array<double>": ArrayType(DoubleType()), "binary": BinaryType()}
 
 
 def _schema(columns: str) -> StructType:
@@ -27,10 +27,12 @@ TABLES: dict[str, StructType] = {
         "videos": "video_id string, instance_domain string, video_uuid string, video_numeric_id long, channel_id string, channel_name string, account_name string, title string, description string, tags_json string, category string, published_at long, video_url string, duration long, thumbnail_url string, embed_path string, views long, likes long, dislikes long, comments_count long, nsfw int, preview_path string, last_checked_at long, last_error string, error_count int, invalid_reason string, popularity double",
         "video_embeddings": "video_id string, instance_domain string, embedding array<float>, embedding_dim int, model_name string, created_at string",
         "similarity_items": "source_video_id string, source_instance_domain string, similar_video_id string, similar_instance_domain string, score double, rank int",
+        "ann_model": "dim int, lists int, parts int, probes int, shortlist int, recall double, recall_at int, trained_at long, centroids array<double>, books array<double>",
+        "ann_lists": "video_id string, instance_domain string, code binary, embedding array<float>, list_id int",
         "similarity_sources": "video_id string, instance_domain string, computed_at long",
         "random_rowids": "position long, video_id string, instance_domain string",
         "interaction_raw_events": "event_id string, event_type string, actor_id string, video_uuid string, instance_domain string, canonical_url string, source_instance string, published_at long, raw_payload_json string, ingested_at long, arrival long",
-        "interaction_signals": "video_uuid string, instance_domain string, likes_count long, undo_likes_count long, comments_count long, signal_score double, updated_at long",
+        "interaction_signals": "video_uuid string, instance_domain string, likes_count long, undo_likes_count long, comments_count long, signal_score double, updated_at long, version long",
         "instance_denylist": "host string, is_active int, reason string, note string, created_at long, updated_at long",
         "channel_moderation": "channel_id string, instance_domain string, status string, reason string, source_video_url string, updated_at long, created_at long",
         "likes": "user_id string, video_id string, instance_domain string, video_uuid string, updated_at long, event_id string",

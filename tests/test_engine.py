@@ -198,25 +198,6 @@ def test_knn_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, N.knn(df, df, 4).collect())) == few and len(few) == 360
 
 
-def test_index(spark, tmp_path, monkeypatch):
-    """Saved and read again, with long lists dealt over parts, the index finds 9 of 10 neighbours; wrong dimensions are refused."""
-    import numpy as np
-
-    rng = np.random.default_rng(4)
-    centres = rng.normal(size=(12, 16))
-    df = vectors(spark, (centres[rng.integers(0, 12, 600)] + 0.3 * rng.normal(size=(600, 16))).tolist())
-    monkeypatch.setattr(N, "LIST_ROWS", 25)
-    index = N.build_index(df, *N.train_index(df, 12, 4))
-    assert index.split and index.rows.count() == 600
-    N.save_index(index, str(tmp_path / "index"))
-    stored = N.load_index(spark, str(tmp_path / "index"), 16)
-    assert stored.split == index.split
-    probes = N.probes_for(stored, df, 5, 0.9, 60)
-    assert N.recall(N.ivf_knn(df, stored, df, 5, probes), N.knn(df, df, 5)).first()["recall"] >= 0.9
-    with pytest.raises(ValueError):
-        N.load_index(spark, str(tmp_path / "index"), 8)
-
-
 def test_cache_policy(spark):
     items = spark.createDataFrame([("0", "h", "1", "h", 0.9, 1), ("2", "h", "1", "h", None, 1)], schemas.TABLES["similarity_items"])
     df = vectors(spark, [[1.0, 0.0], [0.8, 0.6], [0.0, 1.0]])
