@@ -11,6 +11,7 @@ that a very long text takes some bytes of memory a byte and not some tens.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -209,6 +210,13 @@ def same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
     return same
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's pool and the C library keep it for later, which adds up over idle workers."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batch with about SLICE_BYTES of text each, null as empty."""
     text = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "")
@@ -221,3 +229,5 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
         upto = min(max(upto, at + 1), len(text))
         yield batch.slice(at, upto - at), data[offsets[at] : offsets[upto]], offsets[at : upto + 1] - offsets[at]
         at = upto
+    del text, data, offsets
+    give_back()
