@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.limiting import allowed
+from ..workers import ship
 
 KEY = ["video_uuid", "instance_domain"]
 
@@ -130,31 +136,52 @@ def published(actions: DataFrame) -> DataFrame:
     return actions.withColumn("event_type", S.action_event("action")).where("event_type is not null").select(F.concat(F.lit("evt-"), F.col("action_id")).alias("event_id"), "event_type", F.col("user_id").alias("actor_id"), *KEY, F.col("at").alias("published_at"))
 
 
+def _stretches(requests: DataFrame, window_ms: int) -> DataFrame:
+    """requests with _stretch: it changes where a key has no request for a window, as nothing before counts there.
+
+    Gaps that long lie between stretches of time of one window's length, so they follow
+    from the first and last request in each, which are aggregated before anything is ordered.
+    """
+    slot = F.expr(f"at div {window_ms}L")
+    ends = requests.withColumn("_slot", slot).groupBy("key", "_slot").agg(F.min("at").alias("_first"), F.max("at").alias("_last"))
+    order = W.partitionBy("key").orderBy("_slot")
+    new = F.coalesce(F.col("_first") - F.lag("_last").over(order) >= window_ms, F.lit(True))
+    ends = ends.withColumn("_new", new.cast("int")).select(F.col("key").alias("_key"), "_slot", F.sum("_new").over(order).alias("_stretch"))
+    same = (F.col("key") == F.col("_key")) & (F.col("_slot") == F.col("_of"))
+    return requests.withColumn("_slot", slot).join(ends.withColumnRenamed("_slot", "_of"), same).drop("_key", "_of", "_slot")
+
+
 def rate_limited(requests: DataFrame, limit: int, window_ms: int) -> DataFrame:
-    """requests (key, at, request) with allowed: fewer than limit allowed ones in the last window.
+    """requests (key, at, request) with allowed: fewer than limit allowed ones in the last window; all, if limit or window is not positive.
 
-    Refused requests do not count, so this is a fold in time order within a key;
-    the state kept is the limit's worth of times, and rows stream through it.
+    Refused requests do not count.  Keys are dealt with by stretches without a gap of a window's
+    length, in time order, some rows at a time; what is kept between them is the last
+    limit allowed times.  A request without key or time is refused.
     """
-    from collections import deque
-
-    import pandas as pd
-
-    def fold(batches):
-        key, times = None, deque()
-        for pdf in batches:
-            ok = []
-            for k, at in zip(pdf["key"], pdf["at"], strict=True):
-                if k != key:
-                    key, times = k, deque()
-                while times and times[0] <= at - window_ms:
-                    times.popleft()
-                ok.append(len(times) < limit)
-                if ok[-1]:
-                    times.append(at)
-            yield pdf.assign(allowed=pd.Series(ok, index=pdf.index, dtype=bool))
+    if limit <= 0 or window_ms <= 0:
+        return requests.withColumn("allowed", F.lit(True))
+    ship(requests.sparkSession)
+    known, columns = F.col("key").isNotNull() & F.col("at").isNotNull(), requests.columns
+    dealt = _stretches(requests.where(known), window_ms).repartition("key", "_stretch").sortWithinPartitions("key", "_stretch", "at", "request")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, times = None, np.zeros(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.column("at").to_numpy(zero_copy_only=False)
+            stretch, key = batch.column("_stretch").to_numpy(zero_copy_only=False), batch.column("key").dictionary_encode()
+            code = key.indices.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (stretch[1:] != stretch[:-1])))
+            ok = np.zeros(batch.num_rows, bool)
+            for lo, hi in zip(starts, np.append(starts[1:], batch.num_rows), strict=True):
+                own = (key.dictionary[int(code[lo])].as_py(), int(stretch[lo]))
+                if own != group:
+                    group, times = own, np.zeros(0, np.int64)
+                ok[lo:hi], times = allowed(at[lo:hi], times, limit, window_ms)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(ok)], [*columns, "allowed"])
 
     from pyspark.sql.types import BooleanType, StructField, StructType
 
-    dealt = requests.repartition("key").sortWithinPartitions("key", "at", "request")
-    return dealt.mapInPandas(fold, StructType([*requests.schema.fields, StructField("allowed", BooleanType())]))
+    out = dealt.mapInArrow(fold, StructType([*requests.schema.fields, StructField("allowed", BooleanType())]))
+    return out.unionByName(requests.where(~known).withColumn("allowed", F.lit(False)))

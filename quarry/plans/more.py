@@ -10,6 +10,7 @@ from .. import config as C
 from .. import schemas
 from ..functions import scalars as S
 from ..operators import catalogue as K
+from ..operators import ann
 from ..operators import crawl as R
 from ..operators import events as E
 from ..operators import feeds as P
@@ -19,6 +20,8 @@ from ..operators import moderation as M
 from ..operators import similarity as N
 from ..operators import tables as T
 from ..sources import live, pages
+from ..sources.stores import Store
+from ..streaming.events import shared_folder
 from .queries import _NEEDS, BAD_HOSTS, KNN, LIKED_IDS, MAXCOS, TUNED, USABLE, _layer, _lot, _pool, candidates, liked, register
 from .views import NOW_MS, sql
 
@@ -599,3 +602,31 @@ def _(c):
     e = c.table("events").withColumn("n", F.row_number().over(W.partitionBy("event_type").orderBy("ts", "event_id")))
     text = F.concat(F.lit("Stage "), "event_type", F.when(F.col("n") % 2 == 1, " started").otherwise(" finished"))
     return logs.stage_durations(e.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("ts"), text.alias("message"))).select("stage", F.col("n").cast("long"), "ms")
+
+
+# --- the stored index
+
+
+def _stored(c, name):
+    """An index over the videos with even number, to which the others are then added."""
+    even = F.col("video_id").cast("long") % 2 == 0
+    store = Store(c.spark, shared_folder(c.spark, name))
+    e = T.settled(c.embeddings.select(*K.KEY, "embedding"))
+    ann.StoredIndex.build(store, e.where(even), 1).add(e, 2)
+    return ann.StoredIndex(store), e
+
+
+@register("stored_index_search", sql(f"SELECT src_id, video_id, score, rank FROM ({KNN}) WHERE src_id IN {LIKED_IDS} AND rank <= 50", "video_embeddings"))
+def _(c):
+    """Liked videos against the lists of a stored and extended index, all of them, so that the result is exact."""
+    index, _ = _stored(c, "index-search")
+    return index.nearest(liked(c), 50, probes=len(index.model.centroids)).select("src_id", "video_id", "score", "rank")
+
+
+@register("stored_index_recall")
+def _(c):
+    """The share of exact neighbours that searches with the stored number of probes find, and how many there are: few queries by their lists, all by codes."""
+    index, e = _stored(c, "index-recall")
+    few = e.where(F.col("video_id").isin(*LIKED_IDS))
+    rows = [N.recall(index.nearest(q, 10), N.knn(q, e, 10)).select(F.lit(kind).alias("kind"), "recall", "n") for kind, q in (("few", few), ("all", e))]
+    return rows[0].unionByName(rows[1])

@@ -345,10 +345,25 @@ def _(c):
     return E.published(a).select("event_id", "event_type")
 
 
-@register("rate_limited")
+#: The k-th allowed request is the first one after the last that is a window later than the (k-3)-th: a step of the recursion for each.
+RATE_SQL = """WITH RECURSIVE r AS (
+  SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) // 1000 AS asked_at, event_id AS request FROM events
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY asked_at, request) AS n, count(*) OVER (PARTITION BY key) AS many FROM r
+), later AS (
+  SELECT a.key, a.n, coalesce(min(b.n), a.many + 1) AS free FROM o a LEFT JOIN o b ON b.key = a.key AND b.asked_at >= a.asked_at + 86400000 GROUP BY a.key, a.n, a.many
+), steps AS (
+  SELECT key, many, CAST(1 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS p2, CAST(NULL AS BIGINT) AS p3 FROM o WHERE n = 1
+  UNION ALL
+  SELECT key, many, next, n, p2 FROM (SELECT s.key, s.many, s.n, s.p2, s.p3, greatest(s.n + 1, coalesce(l.free, 0)) AS next FROM steps s LEFT JOIN later l ON l.key = s.key AND l.n = s.p3) WHERE next <= many
+)
+SELECT o.key, o.asked_at, o.request, s.n IS NOT NULL AS allowed FROM o LEFT JOIN steps s ON s.key = o.key AND s.n = o.n"""
+
+
+@register("rate_limited", RATE_SQL)
 def _(c):
     r = c.table("events").select(F.col("user_id").cast("string").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("request"))
-    return E.rate_limited(r, 3, 86_400_000)
+    return E.rate_limited(r, 3, 86_400_000).withColumnRenamed("at", "asked_at")
 
 
 # --- merges and set algebra

@@ -44,12 +44,12 @@ def signals(events: DataFrame, watermark: str | None = None) -> DataFrame:
     return one.groupBy("video_uuid", "instance_domain").applyInPandasWithState(_fold, SIGNALS, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def _folder(spark: SparkSession) -> str:
-    """Under the folder that driver and executors share; one of this machine only where the session runs on it alone."""
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the folder that driver and executors share; one of this machine only where the session runs on it alone."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='quarry-stream-')}/stream-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='quarry-')}/{name}-{uuid.uuid4().hex}"
 
 
 def _writer(folder: str):
@@ -75,7 +75,7 @@ def run(events: DataFrame, folder: str) -> DataFrame:
 
 def replay(events: DataFrame) -> DataFrame:
     """Stored events as a stream, the earlier half of arrivals before the later: what batch and stream must agree on."""
-    spark, folder = events.sparkSession, _folder(events.sparkSession)
+    spark, folder = events.sparkSession, shared_folder(events.sparkSession, "stream")
     cut = events.agg(F.expr("percentile_approx(arrival, 0.5)")).first()[0] or 0
     columns = [c.split()[0] for c in EVENTS.split(", ")]
     out = None
