@@ -125,34 +125,39 @@ def mix(layers: dict[str, DataFrame], profile: Profile, now_ms: int) -> DataFram
     page = df.orderBy(*order).limit(profile.batch).withColumn("_pos", F.row_number().over(W.orderBy(*order)))
     least = {n: m for n, m in profile.min_per_layer.items() if n in names and m > 0}
     if least or any(m < profile.batch for m in profile.max_per_layer.values()):
-        caps, batch = {n: m for n, m in profile.max_per_layer.items() if n in names and m > 0}, profile.batch
-
-        def fold(pdf):  # at most a page's rows; a capped row does not hide a later one of its video
-            rows = list(pdf.sort_values("_pos").itertuples())
-            seen, taken, order = set(), {}, []
-
-            def take(r) -> None:
-                key = (r.video_id, r.instance_domain)
-                if key not in seen and taken.get(r.layer, 0) < caps.get(r.layer, 1 << 30):
-                    seen.add(key)
-                    taken[r.layer] = taken.get(r.layer, 0) + 1
-                    order.append(r.Index)
-
-            for layer, m in least.items():  # layers with a minimum come first
-                for r in rows:
-                    if r.layer == layer and taken.get(layer, 0) < m and len(order) < batch:
-                        take(r)
-            for r in rows:
-                if len(order) < batch:
-                    take(r)
-            return pdf.loc[order].assign(_pos=range(1, len(order) + 1))
-
-        page = page.withColumn("_page", F.lit(0)).groupBy("_page").applyInPandas(lambda pdf: fold(pdf).drop(columns="_page"), page.schema)
+        page = taken(page, profile.batch, least, {n: m for n, m in profile.max_per_layer.items() if n in names and m > 0})
     else:
         page = page.withColumn("_rn", F.row_number().over(W.partitionBy(*KEY).orderBy("_pos"))).where("_rn = 1").drop("_rn")
     return page.withColumn("rank_after", F.row_number().over(W.orderBy("_pos"))).drop("_k", "_t", "_turn", "_pos", "position")
 
 
+def taken(page: DataFrame, batch: int, least: dict[str, int], most: dict[str, int], request: list[str] | None = None) -> DataFrame:
+    """Rows of a page (layer, key, _pos) that are taken, with the _pos at which they are.
+
+    Layers with a minimum come first, in their order, each until it has its minimum; then all rows
+    in theirs.  A video is taken once, a layer most times at most, and a row that a
+    cap refuses does not hide a later one of its video.  So each row depends on those taken
+    before it: a fold over the page's rows, which are few (batch), as an expression of
+    one row a request.  ``request`` names the columns of many requests' pages.
+    """
+    by, unbounded = request or [], 1 << 30
+    fields = [F.col("_pos").cast("int").alias("pos"), F.col("layer").alias("layer"), S.like_key("video_id", "instance_domain").alias("key")]
+    rows = page.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_rows"))
+    tries = lambda name, quota: F.transform(F.filter("_rows", lambda r: r["layer"] == name), lambda r: F.struct(r["pos"].alias("pos"), r["layer"].alias("layer"), r["key"].alias("key"), F.lit(quota).alias("quota")))
+    quota = lambda layer: F.coalesce(*[F.when(layer == n, m) for n, m in most.items()], F.lit(unbounded))
+    rest = F.transform("_rows", lambda r: F.struct(r["pos"].alias("pos"), r["layer"].alias("layer"), r["key"].alias("key"), quota(r["layer"]).alias("quota")))
+    attempts = F.concat(*[tries(n, min(m, most.get(n, unbounded))) for n, m in least.items()], rest)
+
+    def step(out, x):
+        free = ~F.exists(out, lambda o: o["key"] == x["key"]) & (F.size(F.filter(out, lambda o: o["layer"] == x["layer"])) < x["quota"])
+        one = F.array(F.struct(x["pos"].alias("pos"), x["layer"].alias("layer"), x["key"].alias("key")))
+        return F.when((F.size(out) < batch) & free, F.concat(out, one)).otherwise(out)
+
+    none = F.array().cast("array<struct<pos:int,layer:string,key:string>>")
+    places = rows.select(*by, F.posexplode(F.aggregate(attempts, none, step)).alias("_at", "_row")).select(*by, (F.col("_at") + 1).alias("_at"), F.col("_row.pos").alias("_pos"))
+    return page.join(places, [*by, "_pos"]).withColumn("_pos", F.col("_at")).drop("_at")
+
+
 def feed(source: Candidates, profile: Profile, now_ms: int, denylist: DataFrame | None = None, moderation: DataFrame | None = None, custom: dict[str, Callable[[Layer, int], DataFrame]] | None = None) -> DataFrame:
     """A page for the request's likes; moderation comes last and may shorten it."""
     has_likes = source.liked is not None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from ..operators import logs
 from ..operators import moderation as M
 from ..operators import similarity as N
 from ..operators import tables as T
-from ..sources import live, pages
+from ..sources import layout, live, pages
 from ..sources.stores import Store
 from ..streaming.events import shared_folder
 from .queries import _NEEDS, BAD_HOSTS, KNN, LIKED_IDS, MAXCOS, TUNED, USABLE, _layer, _lot, _pool, candidates, liked, register
@@ -630,3 +631,12 @@ def _(c):
     few = e.where(F.col("video_id").isin(*LIKED_IDS))
     rows = [N.recall(index.nearest(q, 10), N.knn(q, e, 10)).select(F.lit(kind).alias("kind"), "recall", "n") for kind, q in (("few", few), ("all", e))]
     return rows[0].unionByName(rows[1])
+
+
+@register("stored_layout_join", sql(f"SELECT e.video_id, e.instance_domain, v.title, v.channel_id, e.embedding_dim, x.n FROM video_embeddings e JOIN videos v USING (video_id, instance_domain) JOIN (SELECT video_id, instance_domain, count(*) AS n FROM videos GROUP BY ALL) x USING (video_id, instance_domain) WHERE {USABLE}", "video_embeddings"))
+def _(c):
+    """Embeddings, videos and a count by their key, all on tables stored in buckets of it: no exchange in the plan."""
+    name = f"quarry_{uuid.uuid4().hex}_"
+    t = layout.store_all(c.spark, {"videos": c.videos, "video_embeddings": c.embeddings}, name, layout.buckets_for(0))
+    counts = t["videos"].groupBy(*K.KEY).agg(F.count("*").alias("n"))
+    return t["video_embeddings"].join(t["videos"].where(K.usable()), K.KEY).join(counts, K.KEY).select(*K.KEY, "title", "channel_id", "embedding_dim", "n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -629,6 +630,35 @@ def _(c):
     return P.feed(candidates(c, False), C.GUEST_HOME, NOW_MS, c.denylist, c.channel_moderation).select("video_id", "layer", "score", "rank_after")
 
 
+#: Caps that bind on both sides.
+CAPPED = replace(TUNED, max_per_layer={"exploit": 12, "fresh": 2}, min_per_layer={"random": 3, "popular": 4})
+
+
+def _capped_sql(p: C.Profile) -> str:
+    """The feed's page, then its rows one after the other: a step of the recursion each."""
+    pool, _, _ = _feed_sql(p, True).rpartition("\nSELECT video_id, layer, score, rank_after")
+    key = "video_id || '::' || instance_domain AS key"
+    first = [f"SELECT {i} AS phase, pos, layer, {key}, {min(m, p.max_per_layer.get(n, m))} AS quota FROM page WHERE layer = '{n}'" for i, (n, m) in enumerate(p.min_per_layer.items())]
+    caps = "CASE layer " + " ".join(f"WHEN '{n}' THEN {m}" for n, m in p.max_per_layer.items()) + " ELSE 1000000 END"
+    return f"""{pool},
+attempts AS (SELECT row_number() OVER (ORDER BY phase, pos) AS i, pos, layer, key, quota FROM ({' UNION ALL '.join([*first, f'SELECT 99 AS phase, pos, layer, {key}, {caps} AS quota FROM page'])})),
+fold AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS seen, CAST([] AS VARCHAR[]) AS layers, CAST([] AS BIGINT[]) AS chosen
+  UNION ALL
+  SELECT i, CASE WHEN ok THEN list_append(seen, key) ELSE seen END, CASE WHEN ok THEN list_append(layers, layer) ELSE layers END, CASE WHEN ok THEN list_append(chosen, pos) ELSE chosen END
+  FROM (SELECT a.*, f.seen, f.layers, f.chosen, len(f.chosen) < {p.batch} AND NOT list_contains(f.seen, a.key) AND len(f.layers) - len([x for x in f.layers if x <> a.layer]) < a.quota AS ok FROM fold f JOIN attempts a ON a.i = f.i + 1)
+), last AS (
+  SELECT unnest(chosen) AS pos, unnest(range(1, len(chosen) + 1)) AS rank_after FROM (SELECT chosen FROM fold ORDER BY i DESC LIMIT 1)
+)
+SELECT video_id, layer, score, CAST(rank_after AS INTEGER) AS rank_after FROM page JOIN last USING (pos)"""
+
+
+@register("capped_feed", sql(_capped_sql(CAPPED), *_NEEDS).replace("WITH ", "WITH RECURSIVE ", 1))
+def _(c):
+    """A feed whose layers have minimums and maximums that both bind."""
+    return P.feed(candidates(c), CAPPED, NOW_MS).select("video_id", "layer", "score", "rank_after")
+
+
 @register("layer_schedule", "WITH x AS (SELECT layer, k, t, unnest(range(1, t + 1)) AS r FROM (VALUES ('explore', 0, 10), ('exploit', 1, 25), ('popular', 2, 5), ('random', 3, 4), ('fresh', 4, 4)) v(layer, k, t)) SELECT layer, CAST(r AS BIGINT) AS turn, row_number() OVER (ORDER BY (r - 1) / CAST(t AS DOUBLE), k) AS slot FROM x")
 def _(c):
     want = C.shares(C.BATCH, {n: x.ratio for n, x in C.HOME.layers.items()})
