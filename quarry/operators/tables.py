@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -73,6 +73,33 @@ def seeded_stage(prod: Mapping[str, DataFrame], denied: DataFrame, columns: Mapp
 STRATEGIES = {"INSERT_ONLY": insert_only, "INSERT_OR_REPLACE": insert_or_replace, "UPSERT": upsert}
 
 
+def merge_counted(target: DataFrame, source: DataFrame, keys: Sequence[str], strategy: str, update: Sequence[str] | None = None) -> tuple[DataFrame, Observation]:
+    """The merged rows and what is counted while they are written: rows before and after, and those that are new or changed.
+
+    Both sides have a key once.  One outer join gives rows and counts, so nothing is scanned again for a report.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}")
+    shared = common_columns(target, source)
+    s, t = source.select(*shared).withColumn("_s", F.lit(True)).alias("r"), target.withColumn("_t", F.lit(True)).alias("l")
+    both = t.join(s, _on(keys), "full_outer")
+    there, given = F.coalesce("_t", F.lit(False)), F.coalesce("_s", F.lit(False))
+    values = {}
+    for c in target.columns:
+        new, old = F.col(f"r.{c}") if c in shared else F.lit(None).cast(target.schema[c].dataType), F.col(f"l.{c}")
+        if c in keys:
+            values[c] = F.coalesce(old, new)
+        elif strategy == "INSERT_ONLY" or (strategy == "UPSERT" and c not in (update or shared)):
+            values[c] = F.when(there, old).otherwise(new)
+        else:
+            values[c] = F.when(given, new).otherwise(old)
+    changed = ~F.struct(*[values[c].alias(c) for c in target.columns]).eqNullSafe(F.struct(*[F.col(f"l.{c}") for c in target.columns]))
+    flagged = both.select(*[v.alias(c) for c, v in values.items()], there.alias("_there"), (given & (~there | changed)).alias("_affected"))
+    seen = Observation()
+    counted = flagged.observe(seen, F.count_if("_there").alias("before"), F.count(F.lit(1)).alias("after"), F.count_if("_affected").alias("affected"))
+    return counted.drop("_there", "_affected"), seen
+
+
 def merge_tables(prod: Mapping[str, DataFrame], stage: Mapping[str, DataFrame], rules: Sequence[Mapping]) -> dict[str, DataFrame]:
     """Merged tables by rules {name, strategy, keys, update_columns}; bad rules raise before anything is read."""
     out = {}

@@ -374,6 +374,15 @@ def _(c):
     return M.merge_report({"videos": old}, {"videos": T.insert_or_replace(old, c.stage, K.KEY)}, {"videos": K.KEY})
 
 
+@register("merge_counted", sql("SELECT 'videos' AS table_name, (SELECT count(*) FROM prod) AS before, (SELECT count(*) FROM prod FULL JOIN stage USING (video_id, instance_domain)) AS after, (SELECT count(*) FROM stage LEFT JOIN prod p USING (video_id, instance_domain) WHERE p.video_id IS NULL OR stage.title IS DISTINCT FROM p.title OR stage.views IS DISTINCT FROM p.views OR stage.likes IS DISTINCT FROM p.likes) AS affected", "prod", "stage"))
+def _(c):
+    """The same numbers, counted by the job that writes the merged table."""
+    old, store = c.prod.drop("popularity"), Store(c.spark, shared_folder(c.spark, "merge"))
+    store.write("videos", old, 1)
+    n = store.merge("videos", c.stage, K.KEY, "INSERT_OR_REPLACE", 2)
+    return c.spark.createDataFrame([("videos", n["before"], n["after"], n["affected"])], "table_name string, before long, after long, affected long")
+
+
 @register("sample_catalogue", sql(f"""WITH c AS (SELECT channel_id, instance_domain FROM (SELECT *, row_number() OVER (PARTITION BY instance_domain ORDER BY channel_id) AS n FROM channels WHERE instance_domain IN ({BAD_HOSTS})) WHERE n <= 5),
  v AS (SELECT video_id FROM (SELECT *, row_number() OVER (PARTITION BY channel_id, instance_domain ORDER BY video_id) AS n FROM videos) JOIN c USING (channel_id, instance_domain) WHERE n <= 3)
 SELECT 'channels' AS name, count(*) AS n FROM c UNION ALL SELECT 'videos', count(*) FROM v UNION ALL SELECT 'embeddings', count(*) FROM video_embeddings WHERE video_id IN (SELECT video_id FROM v)""", "channels", "video_embeddings", "denylist"))

@@ -88,10 +88,13 @@ class Store:
         self.write(name, rows.repartition(*partition_by) if partition_by else rows, at, partition_by)
         return True
 
-    def merge(self, name: str, df: DataFrame, keys: list[str], strategy: str, at: int) -> None:
-        from ..operators.tables import STRATEGIES
+    def merge(self, name: str, df: DataFrame, keys: list[str], strategy: str, at: int) -> dict[str, int]:
+        """Merge rows into a table; rows before and after and those affected, as counted while the new version was written."""
+        from ..operators.tables import merge_counted
 
-        self.write(name, STRATEGIES[strategy](self.read(name), df, keys), at)
+        merged, seen = merge_counted(self.read(name), df, keys, strategy)
+        self.write(name, merged, at)
+        return dict(seen.get)
 
     def backup(self, name: str, folder: str) -> str | None:
         """Copy the current version elsewhere; its path there, None without a version."""

@@ -98,3 +98,22 @@ def test_refresh_is_one_commit_and_goes_on(spark, tmp_path, monkeypatch):
     assert engine._t("videos").count() == c.videos.count() and e == c.embeddings.count() == store.read("ann_lists").count() and deltas["videos"] > 0
     assert engine._t("similarity_items").groupBy("source_video_id").count().where("count = 5").count() == e
     assert engine.refresh(stage, RULES, 5, top_k=5) == deltas and {n: store.version(n) for n in names} == now  # committed: nothing is done again
+
+
+def test_counts_of_a_merge(spark, tmp_path):
+    """Counted while writing, for every strategy as by comparing both versions afterwards."""
+    from quarry.operators import moderation as M
+    from quarry.operators import tables as T
+
+    old = spark.createDataFrame([("a", 1, "x"), ("b", 2, None), ("c", 3, "z")], "k string, n int, only string")
+    new = spark.createDataFrame([("b", 2), ("c", 4), ("d", None)], "k string, n int")
+    for strategy in T.STRATEGIES:
+        store = Store(spark, str(tmp_path / strategy))
+        store.write("t", old, 1)
+        got = store.merge("t", new, ["k"], strategy, 2)
+        want = T.STRATEGIES[strategy](old, new, ["k"])
+        rows = lambda df: sorted(map(str, df.select("k", "n", "only").collect()))
+        assert rows(store.read("t")) == rows(want)
+        assert got == M.merge_report({"t": old}, {"t": want}, {"t": ["k"]}).drop("table_name").first().asDict()
+    with pytest.raises(ValueError):
+        store.merge("t", new, ["k"], "NONE", 3)
