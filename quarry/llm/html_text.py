@@ -3,7 +3,7 @@
 A page is cut into flat text blocks at block-level tags.  A block is described
 by its number of words and link density, those of its neighbours, and where it
 stands: its kind of tag, whether an element around it is page furniture by tag or
-role, or the page's article; how much of a name (class or id) around it speaks of
+role, or the page's article (a form counts as a name does, as it may hold the page); how much of a name (class or id) around it speaks of
 furniture, from 0 ("share-price" is half a name) to 1, and how much of the
 page's words lie under such names, for a name that holds most of the page cannot
 be furniture.  A decision tree, trained here on a small table of labelled blocks
@@ -49,7 +49,9 @@ FOREIGN = frozenset("svg math".split())
 CLOSED_BY_SAME = frozenset("p li dt dd option tr td th".split())
 #: Block-level tags that end an open paragraph.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog search fieldset".split())
+FURNITURE_TAGS = frozenset("nav header footer aside menu dialog search".split())
+#: Of elements that are furniture unless they hold the page, as a name would be; an article inside is none the less one
+WRAPPERS = {"form": 0.9, "fieldset": 0.9}
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 TEXT_TAGS = frozenset("article main".split())
 #: Parts of class and id names that page furniture goes by
@@ -70,11 +72,11 @@ STATE_NAMES = frozenset("has with no without is not enable enabled disable disab
 
 _TOKEN = re.compile(
     r"""<!--(?:.*?--!?>|.*\Z) | <!\[CDATA\[.*?(?:\]\]>|\Z) | <[!?][^>]*(?:>|\Z)
-    | <(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
+    | <(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>
     | </?[a-zA-Z][^>]*(?:>|\Z) | <(?=/)[^>]*(?:>|\Z)""",
     re.S | re.X,
 )
-_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in SKIPPED}
 _SPLIT = re.compile(r"[^a-z]+")
@@ -101,11 +103,23 @@ class Place:
     named: float = 0.0
 
 
+@lru_cache(1 << 14)
+def _parts(name: str) -> frozenset[str]:
+    """The words of a name: parted by signs and capitals, and where two known words, one of them furniture's, are written as one."""
+    out = set()
+    for part in _SPLIT.split(_CAMEL.sub("-", name).lower()):
+        known = FURNITURE_NAMES | NEUTRAL_NAMES
+        pairs = [(part[:i], part[i:]) for i in range(2, min(len(part), 40) - 1)] if part not in known else []
+        two = next((p for p in pairs if p[0] in known and p[1] in known and any(x in FURNITURE_NAMES - AMBIGUOUS_NAMES and len(x) > 3 for x in p)), (part,))
+        out.update(x for x in two if x)
+    return frozenset(out)
+
+
 def _named(names: list[str]) -> float:
     """How much of an element's names speaks of furniture."""
     best, text = 0.0, False
     for name in names:
-        parts = {x for x in _SPLIT.split(_CAMEL.sub("-", name).lower()) if x}
+        parts = _parts(name)
         if parts & STATE_NAMES:
             continue
         text |= bool(parts) and parts <= TEXT_NAMES
@@ -129,7 +143,7 @@ def _inside(outer: Place, name: str, attrs: str) -> Place:
         elif key == "role":
             furniture |= value.lower() in FURNITURE_ROLES
             article |= value.lower() in TEXT_TAGS
-    own = 0.0 if name in ("html", "body") else _named(names)
+    own = 0.0 if name in ("html", "body") else max(_named(names), WRAPPERS.get(name, 0.0))
     before = 0.0 if article and outer.named < 1 else outer.named  # what half speaks of furniture cannot hold the article
     return Place(outer.furniture or furniture, outer.article or article, max(own, before))
 
@@ -333,6 +347,11 @@ LABELLED = [
     # a name that holds the page is no furniture
     f"<body>{_MENU}<div class=widget><h1>+Title of it</h1>{_paragraphs(80, 60, 44)}</div>{_FOOT}",
     f"<body><div class=notice>{_paragraphs(38, 90, 51, 27)}</div>{_FOOT}",
+    # a form that holds the page, with an article or without
+    f"<body><form id=aspnetForm>{_MENU}<div id=content><h1>+Title of this page</h1>{_paragraphs(70, 44, 9)}</div>{_FOOT}</form>",
+    f"<body><form id=aspnetForm>{_MENU}<article>{_paragraphs(31, 3, 60)}</article>{_FOOT}</form>",
+    f"<body><form method=post><div>{_paragraphs(52, 38, 41)}</div></form>",
+    f"<body>{_MENU}<article>{_paragraphs(44, 35)}<form>{_paragraphs(12, 40, mark='-')}</form>{_paragraphs(21)}</article>{_FOOT}",
     # pages that end with their text
     f"<body><article>{_paragraphs(20, 5, 12)}</article>",
     f"<body>{_MENU}<article><h1>+T</h1>{_paragraphs(3, 2)}</article>",

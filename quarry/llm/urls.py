@@ -3,7 +3,7 @@
 The rules' keys (host and path, as one string) are 64-bit xxhash digests in one
 sorted array; the array, the offsets of the strings and the strings lie in
 files that Spark's file server brings to every executor, which memory-maps
-them.  A url's candidate keys are its host and every parent domain, each with
+them.  A url's candidate keys are its parent domains of no more labels than a rule has, each with
 the path cut to the lengths that rules have; all candidates of a batch are
 probed by one vectorised binary search, and a hit counts only if the stored
 full string is equal, whatever the digests say.  The longest rule that fits
@@ -85,9 +85,9 @@ class DigestArray:
         return out
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> Iterator[str]:
-    """Keys of all rules that could fit: parent domains times path starts."""
-    labels = host.split(".")
+def candidates(host: str, path: str, lengths: list[int], most: int) -> Iterator[str]:
+    """Keys of all rules that could fit: parent domains of no more labels than a rule has (most), times path starts."""
+    labels = host.rsplit(".", most)[-most:]
     for k in range(len(labels)):
         domain = ".".join(labels[k:])
         for n in lengths:
@@ -128,6 +128,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = DEFAULT
     names = ship_lists(spark, rules)
     lengths = sorted({len(k) - k.index("/") if "/" in k else 0 for k, _ in rules if k is not None})
 
+    most = max((k.partition("/")[0].count(".") + 1 for k, _ in rules if k is not None), default=1)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = [[SparkFiles.get(f"{n}.{end}") for end in ("keys", "at", "text")] for n in names]
         for batch in batches:
@@ -135,7 +137,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = DEFAULT
             owner, keys = [], []
             for i, (host, path) in enumerate(zip(hosts, routes, strict=True)):
                 if host:
-                    for c in candidates(host, path, lengths):
+                    for c in candidates(host, path, lengths, most):
                         owner.append(i)
                         keys.append(c)
             best: list[tuple[int, str, str] | None] = [None] * len(hosts)

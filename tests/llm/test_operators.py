@@ -388,6 +388,15 @@ def test_html_edges():
     assert len(x(f'<article><p>hello there</p><section class="warning-signs">{words(60)}</section></article>').split()) == 62
     for name in ("reader-comments", "userComments", "comment-thread", "legal-notice", "google-ad", "sidebar", "site-newsletter", "cookie-banner"):
         assert x(f'<article>{words(30)}<div class="{name}">{words(45)}{words(8)}</div>{words(12)}</article>').count("word") == 42, name
+    for name in ("cookiebar", "gdprBox", "commentsection", "newsletterform"):  # written as one word
+        assert x(f'<article>{words(30)}<div class="{name}">{words(45)}{words(8)}</div>{words(12)}</article>').count("word") == 42, name
+    for name in ("adaptation", "commentary", "formation", "shareholders"):
+        assert x(f'<article>{words(30)}<div class="{name}">{words(45)}{words(8)}</div>{words(12)}</article>').count("word") == 95, name
+    wrapped = f"<nav><a href=/>x</a></nav><article>{words(5)}{words(40)}</article><footer>c</footer>"
+    assert x(f"<body><form id=aspnetForm>{wrapped}</form>") == x(f"<body>{wrapped}") and len(x(f"<body><form id=f><div>{words(50)}{words(40)}</div></form>").split()) == 90
+    assert x("<article><p title=it's>a b c</p><p>d n's e</p></article>") == "a b c\nd n's e"
+    assert x("""<article><p title="a > b" x='c > d' y = "e">a b</p><p "stray>c</p></article>""") == "a b\nc"
+    assert x('<article><p a="b>c d</p>' + '<p a="' * 50_000) == "c d"
     assert x('<article><p>a b</p><p class="hidden-gem">c d</p><p title="hidden">e f</p><p hidden>g</p><p style="display: none">h</p></article>') == "a b\nc d\ne f"
     assert x("<div>" * 40_000 + "</ul>" * 40_000 + words(30)) == " ".join(["word"] * 30)
     assert len(x("<article>" + words(500_000) + "</article>")) == 5 * 500_000 - 1
@@ -415,6 +424,9 @@ def test_urls_lists(spark, monkeypatch):
         got = urls.judge(df, rules).collect()
         assert len(got) == len(rows) and all((r["rule"], r["verdict"]) == plain(rows[r["page_id"]][1]) for r in got)
     assert urls.judge(df.limit(0), rules).count() == 0
+    long = [(0, "x://" + "a." * 1_000_000 + "h1.net/a/b/c"), (1, "x://" + "." * 1_000_000), (2, "x://net/" + "p" * 1_000_000)]  # hosts of very many labels
+    got = urls.judge(spark.createDataFrame(long, "page_id long, url string"), [("h1.net/a/", "block"), ("net/p", "block")]).select("page_id", "rule").orderBy("page_id").collect()
+    assert [r["rule"] for r in got] == ["h1.net/a/", None, "net/p"]
 
 
 def test_shared_folder_is_asked_for():
