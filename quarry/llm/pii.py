@@ -79,7 +79,8 @@ SSN = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"\d(?:[ -]?\d){12,18}(?!\d)"
 PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
-_WORD = r"\p{Lu}\p{Ll}++"
+#: A capitalised name to its end: capitals inside (McDonald), apostrophes (O'Brien) and up to three further parts after hyphens
+_WORD = r"\p{Lu}(?:\p{Ll}\p{L}*+|['’]\p{Lu}\p{L}++)(?:[-'’]\p{Lu}\p{L}*+){0,3}"
 _GIVEN = "|".join(n for by in NAMES.values() for names in by.values() for n in names)
 PERSON = rf"(?=\p{{Lu}})(?:(?:{_TITLES})\b\.? {_WORD}(?: {_WORD})?|(?:{_GIVEN}) {_WORD})"
 _NUMERIC = f"(?=[0-9+(])(?:{IPV4}|{SSN}|{CARD}|{PHONE})"

@@ -623,6 +623,19 @@ def test_pii_coreference(spark):
     assert ips[0].startswith("10.") and ips[1].startswith("192.168.") and re.match(r"172\.(1[6-9]|2\d|3[01])\.", ips[2]) and not re.match(r"10\.|192\.168|172", ips[3])
 
 
+def test_pii_whole_names(spark):
+    """Capitals, apostrophes and hyphens inside names: nothing of a name stays, and the same name has the same surrogate."""
+    names = ["Frau McDonald", "Anna Schmidt-Meier", "John O'Brien", "Mr. O’Neill-MacArthur", "Herr Peter D'Angelo", "Mme Durand"]
+    texts = [f"Es schrieb {n}, und {n} kam." for n in names] + ["Herr Peter sagte: Anna war da."]
+    out = {r["doc_id"]: r for r in pii.scrub(table(spark, texts)).collect()}
+    for i, n in enumerate(names):
+        text = out[i]["text"]
+        left = [p for p in re.split(r"[^\w]+", n) if len(p) > 2 and p not in ("Frau", "Herr", "Mme") and p in text]
+        assert not left, (n, text)
+        one, two = re.fullmatch(r"Es schrieb (.*), und (.*) kam\.", text).groups()
+        assert one == two and len(one.split()) == len(n.split())
+
+
 def test_pii_few_values(spark):
     """A format with too few values gives longer surrogates instead of none."""
     mails = [f"{c}@q.org" for c in "abcdefghijklmnopqrstuvwxyz"]
