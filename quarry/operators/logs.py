@@ -2,33 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SCHEMA = "ts string, level string, event string, message string, modes array<string>, request_id string, context map<string,string>"
-#: Events by a pattern of the message, in order.
-EVENT_RULES = [("access", r"^(GET|POST|PUT|DELETE) "), ("recommendations", r"\brecommend"), ("similar", r"\bsimilar"), ("moderation", r"\b(block|deny|moderat)"), ("startup", r"\b(listening|started)\b")]
+# What a message of each kind of event holds, in the order in which they are tried, and the modes in which lines are seen
+EVENT_RULES = [
+    ("[access.start]", "access.start"),
+    ("[access]", "access"),
+    ("[service] lifecycle", "service.lifecycle"),
+    ("[recommendations] layer timing:", "recommendations.layer_timing"),
+    ("[recommendations] profile=", "recommendations.profile"),
+    ("[recommendations] exploit cache seed batch", "recommendations.exploit_seed_batch"),
+    ("[recommendations] incoming likes body=", "recommendations.incoming_likes_body"),
+    ("[similar-cache] hit source=", "similarity.cache_hit"),
+    ("[similar-server] candidates=", "similarity.candidates"),
+    ("] done count=", "similarity.request_done"),
+]
+MODES = ["focused", "verbose"]
+#: What is told instead of the message.
+MESSAGES = {"access.start": "request started", "access": "request finished", "recommendations.incoming_likes_body": "[recommendations] incoming likes", "service.lifecycle": None}
+GRAVE = ["WARNING", "ERROR", "CRITICAL"]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(path)
 
 
+def _fields(message: Column) -> Column:
+    """The key=value tokens behind a message's leading [blocks], without commas around values; the last of a key counts."""
+    tokens = F.filter(F.split(F.trim(F.regexp_replace(message, r"^(?:\[[^\]]+\])+\s*", "")), r"\s+"), lambda t: F.instr(t, "=") > 1)
+    backwards = F.reverse(tokens)
+    keys = F.transform(backwards, lambda t: F.substring_index(t, "=", 1))
+    values = F.transform(backwards, lambda t: F.btrim(F.regexp_replace(t, "^[^=]*=", ""), F.lit(",")))
+    return F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), F.element_at(values, F.array_position(keys, k).cast("int")).alias("value"))))
+
+
 def classified(logs: DataFrame) -> DataFrame:
-    """With event, where it is missing, by the message, and the message's k=v pairs added to context."""
-    event = F.lit("log")
-    for name, pattern in reversed(EVENT_RULES):
-        event = F.when(F.lower("message").rlike(pattern.lower()), name).otherwise(event)
-    keys, values = (F.regexp_extract_all("message", F.lit(r"(\w+)=(\S+)"), F.lit(k)) for k in (1, 2))
-    first = F.filter(F.arrays_zip(F.array_distinct(keys).alias("k")), lambda x: x["k"].isNotNull())
-    pairs = F.map_from_entries(F.transform(first, lambda x: F.struct(x["k"].alias("key"), F.element_at(values, F.array_position(keys, x["k"]).cast("int")).alias("value"))))
-    return logs.withColumns({"event": F.coalesce("event", event), "pairs": pairs})
+    """With event, modes and request_id where they are missing, the message's fields as ``pairs``, and what is told instead of the message.
+
+    Lines of less than a warning are named by the first rule that they hold, and are seen in
+    all modes; others by the scope in front of the message, graver ones in all modes, the rest in verbose.
+    """
+    message, grave = F.coalesce("message", F.lit("")), F.upper("level").isin(*GRAVE)
+    scope = F.replace(F.lower(F.trim(F.regexp_extract(message, r"^\[([^\]]+)\]", 1))), F.lit("-"), F.lit("_"))
+    derived = F.when(scope == "", "engine.log").otherwise(F.concat(scope, F.lit(".info")))
+    ruled = F.coalesce(*[F.when(~F.coalesce(grave, F.lit(False)) & F.contains(message, F.lit(needle)), name) for needle, name in EVENT_RULES])
+    event, all_modes = F.coalesce("event", ruled, derived), F.array(*map(F.lit, MODES))
+    modes = F.coalesce("modes", F.when(grave | ruled.isNotNull(), all_modes).otherwise(F.array(F.lit("verbose"))))
+    request = F.coalesce(F.when(F.trim("request_id") != "", F.trim("request_id")), F.nullif(F.trim(F.regexp_extract(message, r"^\[[^\]]+\]\[([^\]]+)\]", 1)), F.lit("")))
+    df = logs.withColumns({"pairs": _fields(message), "event": event, "modes": modes, "request_id": request})
+    told = F.col("message")
+    for name, text in MESSAGES.items():
+        told = F.when(F.col("event") == name, F.lit(text)).otherwise(told)
+    return df.withColumn("message", told)
 
 
 def visible(logs: DataFrame, mode: str) -> DataFrame:
-    """Lines of the mode; warnings and errors always, and lines without modes."""
-    return logs.where(F.upper("level").isin("WARNING", "ERROR", "CRITICAL") | F.coalesce(F.size("modes") <= 0, F.lit(True)) | F.array_contains("modes", mode))
+    """Lines of the mode (verbose, if it is none of MODES): warnings and graver ones always, lines without modes in verbose."""
+    mode = (mode or "").strip().lower()
+    mode = mode if mode in MODES else "verbose"
+    tagged = F.coalesce(F.size("modes") > 0, F.lit(False))
+    return logs.where(F.coalesce(F.upper("level").isin(*GRAVE), F.lit(False)) | F.when(tagged, F.array_contains("modes", mode)).otherwise(F.lit(mode == "verbose")))
 
 
 def stage_durations(logs: DataFrame) -> DataFrame:

@@ -582,26 +582,35 @@ def _(c):
 
 # --- logs
 
-_LOG_SQL = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'INFO' WHEN 1 THEN 'ERROR' ELSE 'DEBUG' END AS level, CASE event_type WHEN 'click' THEN 'GET /videos/7 code=200 ms=12' WHEN 'view' THEN 'recommend page size=48' ELSE 'server listening' END AS message, CASE WHEN event_id % 5 = 0 THEN 'dev' WHEN event_id % 5 = 1 THEN NULL ELSE 'verbose' END AS mode FROM events"
+_LOG_SQL = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'INFO' WHEN 1 THEN 'ERROR' ELSE 'DEBUG' END AS level, CASE event_type WHEN 'click' THEN '[access] method=GET code=200, ms=12' WHEN 'view' THEN '[recommendations] profile=home size=47 size=48' WHEN 'purchase' THEN '[similar-server][r-7] no rule' ELSE 'server listening' END AS message, CASE WHEN event_id % 5 = 0 THEN 'focused' WHEN event_id % 5 <> 1 THEN 'verbose' END AS mode FROM events"
 
 
-def _logs(c):
-    k = F.col("event_id")
+def _logs(c, modes=True):
+    k, kind = F.col("event_id"), F.col("event_type")
+    tagged = F.when(k % 5 == 0, F.array(F.lit("focused"))).when(k % 5 != 1, F.array(F.lit("verbose")))
     return c.table("events").select(
         "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.when(k % 4 == 0, "INFO").when(k % 4 == 1, "ERROR").otherwise("DEBUG").alias("level"), F.lit(None).cast("string").alias("event"),
-        F.when(F.col("event_type") == "click", "GET /videos/7 code=200 ms=12").when(F.col("event_type") == "view", "recommend page size=48").otherwise("server listening").alias("message"),
-        F.when(k % 5 == 0, F.array(F.lit("dev"))).when(k % 5 != 1, F.array(F.lit("verbose"))).alias("modes"), F.lit("r").alias("request_id"), F.lit(None).cast("map<string,string>").alias("context"),
+        F.when(kind == "click", "[access] method=GET code=200, ms=12").when(kind == "view", "[recommendations] profile=home size=47 size=48").when(kind == "purchase", "[similar-server][r-7] no rule").otherwise("server listening").alias("message"),
+        (tagged if modes else F.lit(None).cast("array<string>")).alias("modes"), F.lit(None).cast("string").alias("request_id"), F.lit(None).cast("map<string,string>").alias("context"),
     )
 
 
-@register("logs_visible", f"SELECT event_id FROM ({_LOG_SQL}) WHERE level = 'ERROR' OR mode IS NULL OR mode = 'dev'")
+@register("logs_visible", f"SELECT event_id FROM ({_LOG_SQL}) WHERE level = 'ERROR' OR mode = 'focused'")
+def _(c):
+    return logs.visible(_logs(c), " Focused ").select("event_id")
+
+
+@register("logs_visible_verbose", f"SELECT event_id FROM ({_LOG_SQL}) WHERE level = 'ERROR' OR coalesce(mode, 'verbose') = 'verbose'")
 def _(c):
-    return logs.visible(_logs(c), "dev").select("event_id")
+    return logs.visible(_logs(c), "unknown").select("event_id")
 
 
-@register("logs_classified", f"SELECT event_id, CASE WHEN message LIKE 'GET%' THEN 'access' WHEN message LIKE 'rec%' THEN 'recommendations' ELSE 'startup' END AS event, CASE WHEN message LIKE 'GET%' THEN '200' END AS code, CASE WHEN message LIKE 'rec%' THEN '48' END AS size FROM ({_LOG_SQL})")
+@register("logs_classified", f"""SELECT event_id, CASE WHEN message LIKE '[access]%' THEN CASE WHEN level = 'ERROR' THEN 'access.info' ELSE 'access' END WHEN message LIKE '[rec%' THEN CASE WHEN level = 'ERROR' THEN 'recommendations.info' ELSE 'recommendations.profile' END
+  WHEN message LIKE '[sim%' THEN 'similar_server.info' ELSE 'engine.log' END AS event, CASE WHEN level <> 'ERROR' AND message NOT LIKE '[access]%' AND message NOT LIKE '[rec%' THEN 'verbose' ELSE 'focused,verbose' END AS modes, CASE WHEN message LIKE '[sim%' THEN 'r-7' END AS request_id,
+  CASE WHEN message LIKE '[access]%' THEN '200' END AS code, CASE WHEN message LIKE '[rec%' THEN '48' END AS size, CASE WHEN level <> 'ERROR' AND message LIKE '[access]%' THEN 'request finished' ELSE message END AS message FROM ({_LOG_SQL})""")
 def _(c):
-    return logs.classified(_logs(c)).select("event_id", "event", F.col("pairs")["code"].alias("code"), F.col("pairs")["size"].alias("size"))
+    pairs = F.col("pairs")
+    return logs.classified(_logs(c, modes=False)).select("event_id", "event", F.array_join("modes", ",").alias("modes"), "request_id", F.try_element_at(pairs, F.lit("code")).alias("code"), F.try_element_at(pairs, F.lit("size")).alias("size"), "message")
 
 
 @register("log_stages", "WITH e AS (SELECT event_type AS stage, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events) SELECT a.stage, CAST((a.n + 1) // 2 AS BIGINT) AS n, epoch_us(b.ts) // 1000000 * 1000 - epoch_us(a.ts) // 1000000 * 1000 AS ms FROM e a JOIN e b ON a.stage = b.stage AND b.n = a.n + 1 WHERE a.n % 2 = 1")

@@ -111,10 +111,14 @@ def test_schemas():
 
 
 def test_logs(spark, tmp_path):
-    rows = [("2024-01-01T00:00:00Z", "INFO", None, "stage merge started rows=3", ["dev"], "r", None), ("2024-01-01T00:00:02Z", "INFO", None, "stage merge finished", None, "r", None), ("2024-01-01T00:00:03Z", "ERROR", None, "GET /x code=500", ["dev"], "r", None)]
+    rows = [("2024-01-01T00:00:00Z", "INFO", None, "stage merge started rows=3", ["focused"], "r", None), ("2024-01-01T00:00:02Z", "INFO", None, "stage merge finished", None, "r", None), ("2024-01-01T00:00:03Z", "INFO", None, "[access] GET /x code=500, code=501", ["focused"], "r", None)]
+    rows += [("2024-01-01T00:00:04Z", "warning", None, "[similar-server][id 7] candidates=3 a=b=c", None, " ", None), ("2024-01-01T00:00:05Z", "INFO", None, "[service] lifecycle state=up =x", None, None, None), ("2024-01-01T00:00:06Z", "INFO", None, None, None, None, None)]
     df = spark.createDataFrame(rows, logs.SCHEMA)
     logs.write(df, str(tmp_path / "log"))
-    assert logs.read(spark, str(tmp_path / "log")).where("event = 'access' and context['code'] = '500'").count() == 1
+    assert logs.read(spark, str(tmp_path / "log")).where("event = 'access' and context['code'] = '501' and message = 'request finished'").count() == 1
     assert logs.stage_durations(df).first()["ms"] == 2000
-    assert logs.visible(df, "focused").count() == 2
-    assert [r["event"] for r in logs.classified(df).collect()][2] == "access" and logs.classified(df).first()["pairs"] == {"rows": "3"}
+    assert logs.visible(df, "focused").count() == 3 and logs.visible(df, "none").count() == 4
+    got = logs.classified(df).orderBy("ts").collect()
+    assert [r["event"] for r in got] == ["engine.log", "engine.log", "access", "similar_server.info", "service.lifecycle", "engine.log"]
+    assert got[0]["pairs"] == {"rows": "3"} and got[3]["pairs"] == {"candidates": "3", "a": "b=c"} and got[4]["pairs"] == {"state": "up"} and got[4]["message"] is None
+    assert [r["modes"] for r in got[3:]] == [logs.MODES, logs.MODES, ["verbose"]] and [r["request_id"] for r in got[3:]] == ["id 7", None, None]
