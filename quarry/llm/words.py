@@ -21,6 +21,9 @@ import pyarrow.compute as pc
 
 #: Texts are handled in slices of about so many bytes (one text at least).
 SLICE_BYTES = 1 << 21
+#: Bytes of text after which a worker gives freed memory back.
+GIVE_BACK_BYTES = 1 << 24
+_since = 0
 #: Bytes whose prefix sums are held at once.
 PIECE = 1 << 18
 
@@ -219,6 +222,7 @@ def give_back() -> None:
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batch with about SLICE_BYTES of text each, null as empty."""
+    global _since
     text = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "")
     if len(text) == 0:
         return
@@ -229,5 +233,8 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
         upto = min(max(upto, at + 1), len(text))
         yield batch.slice(at, upto - at), data[offsets[at] : offsets[upto]], offsets[at : upto + 1] - offsets[at]
         at = upto
-    del text, data, offsets
-    give_back()
+    _since += len(data)
+    if _since > GIVE_BACK_BYTES:
+        del text, data, offsets
+        give_back()
+        _since = 0
