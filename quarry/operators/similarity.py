@@ -455,6 +455,22 @@ def hashed_encoder(dim: int = 64):
     return encode
 
 
+#: Texts that an encoder gets at once.
+ENCODER_BATCH = 64
+
+
+def batched_encoder(encode: Callable[[list[str]], list[list[float]]], size: int = ENCODER_BATCH):
+    """A column function of any encoder of lists of texts, which gets size texts at once and is loaded once a worker if ``encode`` does so."""
+
+    @F.pandas_udf("array<float>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            texts = part.fillna("").tolist()
+            yield pd.Series([list(v) for at in range(0, len(texts), size) for v in encode(texts[at : at + size])], dtype=object)
+
+    return run
+
+
 def encode_missing(texts: DataFrame, stored: DataFrame, encoder: Column | None = None, force: bool = False) -> DataFrame:
     """texts (video_id, instance_domain, text) without stored embedding (all, if force), encoded; null texts are left out."""
     new = texts if force else texts.join(stored.select(*KEY), KEY, "left_anti")

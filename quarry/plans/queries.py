@@ -538,6 +538,15 @@ def _(c):
     return N.encode_missing(d, d.where("cast(video_id as bigint) % 2 = 0")).select("video_id", F.size("embedding").alias("dim"))
 
 
+@register("encode_given", "SELECT CAST(doc_id AS VARCHAR) AS video_id, CAST(length(text) AS BIGINT) AS letters, CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS spaces, 64 AS most FROM documents WHERE doc_id % 2 = 1 AND text IS NOT NULL")
+def _(c):
+    """The texts without stored vector through an encoder that is given: it sees lists of 64 texts at most, and its values are simple enough for SQL."""
+    d = c.table("documents").select(F.col("doc_id").cast("string").alias("video_id"), F.lit("docs.example").alias("instance_domain"), "text")
+    encoder = N.batched_encoder(lambda texts: [[len(t), t.count(" "), 64 if len(texts) <= 64 else len(texts)] for t in texts])
+    e = F.col("embedding")
+    return N.encode_missing(d, d.where("cast(video_id as bigint) % 2 = 0"), encoder).select("video_id", e[0].cast("long").alias("letters"), e[1].cast("long").alias("spaces"), e[2].cast("int").alias("most"))
+
+
 # --- candidates and feeds
 
 

@@ -316,3 +316,20 @@ def test_layer_minimums_and_caps(spark):
     layers = [r["layer"] for r in page]
     assert layers[:3] == ["fresh"] * 3 and layers[3:5] == ["popular"] * 2 and layers.count("random") <= 6 and layers.count("fresh") <= 12
     assert len({r["video_id"] for r in page}) == len(page) <= len(whole) <= 24
+
+
+def test_encoder_gets_small_lists(spark):
+    """An encoder never gets more texts at once than asked for, and every text is encoded once."""
+    t = spark.createDataFrame([(str(i), "h", None if i == 7 else "x" * i) for i in range(150)], "video_id string, instance_domain string, text string").coalesce(1)
+    encoder = N.batched_encoder(lambda texts: [[len(x), len(texts)] for x in texts], 20)
+    got = {r["video_id"]: r["embedding"] for r in N.encode_missing(t, t.limit(0), encoder).collect()}
+    assert len(got) == 149 and all(got[k][0] == int(k) and got[k][1] <= 20 for k in got)
+
+
+def test_given_search_fills_the_cache(spark):
+    """Similar videos by a function that a caller gives instead of the search."""
+    df = vectors(spark, [[1.0, 0.0], [0.8, 0.6], [0.0, 1.0]])
+    items = spark.createDataFrame([], schemas.TABLES["similarity_items"])
+    own = lambda seeds, k: seeds.selectExpr("video_id src_id", "instance_domain src_host", "'given' video_id", "'g' instance_domain", "0.5D score", "1 rank")
+    found, new = N.similar_candidates(df, df, items, 2, N.CachePolicy(), own)
+    assert {r["similar_video_id"] for r in found.collect()} == {"given"} and new.count() == 3
