@@ -75,7 +75,7 @@ class Engine:
         cache = self._t("random_rowids")
         videos = K.with_signals(self._t("videos").where(K.usable()), self._t("interaction_signals"))
         rows = K.shuffled(videos, self.seed, limit) if cache.isEmpty() else videos.join(K.cache_window(cache, 0, limit).select(*K.KEY, "position"), K.KEY).orderBy("position")
-        return K.moderate(rows, self._t("instance_denylist"), self._t("channel_moderation"))
+        return K.moderate(K.with_channel(rows, self._t("channels")), self._t("instance_denylist"), self._t("channel_moderation"))
 
     def similar(self, ref: str, host: str | None = None, limit: int = C.BATCH, likes: DataFrame | None = None, policy: N.CachePolicy = N.CachePolicy(), at: int | None = None) -> DataFrame:
         """Videos like one: from the cache if its list is valid, else searched (and the new list stored, where policy and ``at`` allow); one a channel; ordered by unified score."""

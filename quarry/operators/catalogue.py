@@ -26,10 +26,15 @@ def _named(channels: DataFrame) -> DataFrame:
     return channels.select("channel_id", "instance_domain", "display_name", "followers_count")
 
 
+def with_channel(rows: DataFrame, channels: DataFrame) -> DataFrame:
+    """Video rows with their channel's display name and followers, null where it is not known."""
+    return rows.join(_named(channels), ["channel_id", "instance_domain"], "left")
+
+
 def metadata(embeddings: DataFrame, videos: DataFrame, channels: DataFrame, threshold: int | None = ERROR_THRESHOLD) -> DataFrame:
     """Videos that have an embedding, with their channel if it is known."""
     e = embeddings.select(*KEY, "embedding_dim", "model_name")
-    return e.join(videos.where(usable(threshold)), KEY).join(_named(channels), ["channel_id", "instance_domain"], "left")
+    return with_channel(e.join(videos.where(usable(threshold)), KEY), channels)
 
 
 def metadata_of(entries: DataFrame, embeddings: DataFrame, videos: DataFrame, channels: DataFrame, threshold: int | None = ERROR_THRESHOLD) -> DataFrame:

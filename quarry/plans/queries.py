@@ -168,9 +168,10 @@ def _(c):
     return K.moderate(K.capped(v.orderBy(*order).limit(C.POOL["popular"]), order, C.AUTHOR_CAP, C.INSTANCE_CAP), c.denylist, c.channel_moderation).select("video_id", "instance_domain", "channel_id", "title", "views", "likes")
 
 
-@register("random_rows", sql(f"SELECT video_id, adjusted_likes FROM ({SIGNALLED}) WHERE {USABLE} ORDER BY md5('s1:' || video_id || '::' || instance_domain), video_id LIMIT 50", "signals"))
+@register("random_rows", sql(f"SELECT r.video_id, r.adjusted_likes, c.display_name, c.followers_count FROM (SELECT * FROM ({SIGNALLED}) WHERE {USABLE} ORDER BY md5('s1:' || video_id || '::' || instance_domain), video_id LIMIT 50) r LEFT JOIN channels c ON c.channel_id = r.channel_id AND c.instance_domain = r.instance_domain", "signals", "channels"))
 def _(c):
-    return K.shuffled(K.with_signals(c.videos.where(K.usable()), E.signals(E.split(c.raw_events)[0])), "s1", 50).select("video_id", "adjusted_likes")
+    rows = K.shuffled(K.with_signals(c.videos.where(K.usable()), E.signals(E.split(c.raw_events)[0])), "s1", 50)
+    return K.with_channel(rows, c.channels).select("video_id", "adjusted_likes", "display_name", "followers_count")
 
 
 @register("video_by_id_or_uuid", sql("SELECT v.video_id, v.title, c.display_name FROM videos v LEFT JOIN channels c ON c.channel_id = v.channel_id AND c.instance_domain = v.instance_domain WHERE v.video_uuid = 'u-32'", "videos", "channels"))
