@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,8 +92,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     Vectors that are null, not finite or of another dimension than the first query
     are skipped.  Up to BLOCK queries travel as one matrix and the vectors stay where
     they are; of each partition only the k best a query go on.  More queries are a
-    job for :func:`ivf_knn`; here (as its yardstick) both sides are dealt into blocks
-    and every block of queries meets every block of vectors in one task.
+    job for :func:`ivf_knn`; here (as its yardstick) every query still meets every
+    vector, group by stripe as :func:`scanned` deals them.
     """
     ship(queries.sparkSession)
     some = valid(queries).select(*KEY, "embedding")
@@ -113,19 +114,133 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                     yield _best(ids, q, keys, _matrix(batch.column(2)), k)
 
         return ranked(good.mapInArrow(scan, _NEAR_SQL), k)
-    n, m = (max(1, -(-df.count() // BLOCK)) for df in (good, some))
-    of = lambda df, b, a: df.groupBy(F.pmod(F.xxhash64(*KEY), F.lit(b)).cast("int").alias(a)).agg(F.collect_list(F.struct(*KEY)).alias(f"{a}_ids"), F.flatten(F.collect_list("embedding")).alias(f"{a}_rows"))
-    left = of(valid(queries, dim), m, "qb").withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pairs = left.join(of(good, n, "vb"), "vb").repartition(max(1, min(n * m, 2000)), "qb", "vb")
+    right = settled(good)
+    left = right if queries is vectors else settled(valid(queries, dim).select(*KEY, "embedding"))
+    return _exploded(scanned(left, right.withColumn("list_id", F.lit(0)), k, dim))
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                part = [batch.column(c)[r] for c in ("qb_ids", "qb_rows", "vb_ids", "vb_rows")]
-                (qi, q), (vi, v) = (([tuple(x.values()) for x in ids.as_py()], rows.values.to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)) for ids, rows in (part[:2], part[2:]))
-                yield _best(qi, q, vi, v, k)
 
-    return ranked(pairs.mapInArrow(meet, _NEAR_SQL), k)
+#: Numbers that one task of a scan holds of its queries or of their best, and of its vectors.
+HELD, STRIPE = 1 << 21, 1 << 23
+#: Queries and vectors whose scores one step of a scan has in memory.
+STEP_QUERIES, STEP_VECTORS = 512, 4096
+_TOP = "array<struct<away: double, video_id: string, instance_domain: string>>"
+_TOP_ARROW = pa.list_(pa.struct([("away", pa.float64()), ("video_id", pa.string()), ("instance_domain", pa.string())]))
+
+
+def _scan_shape(m: int, n: int, k: int, dim: int, tasks: int) -> tuple[int, int]:
+    """(groups of queries, stripes of vectors): a task each pair, within HELD and STRIPE; more than tasks only where memory asks for it."""
+    stripes = max(1, -(-n * dim // STRIPE))
+    groups = max(1, -(-m * max(dim, k) // HELD), min(-(-m // 256), -(-tasks // stripes)))
+    return groups, max(stripes, min(-(-n // BLOCK), tasks // groups))
+
+
+class _Tops:
+    """The k best vectors so far for each query: rounded scores, best first, equal ones by the vectors' rank."""
+
+    def __init__(self, m: int, k: int, rank: np.ndarray):
+        self.k, self.rank = k, rank
+        self.score, self.at = np.full((m, k), -np.inf), np.full((m, k), -1)
+
+    def meet(self, rows: np.ndarray, q: np.ndarray, v: np.ndarray, first: int, own: np.ndarray) -> None:
+        """Queries ``rows`` (their vectors q, own places own) meet vectors first, first + 1, ..."""
+        score = q @ v.T
+        here = np.flatnonzero((own >= first) & (own < first + len(v)))
+        score[here, own[here] - first] = -np.inf
+        worst = self.score[rows, -1]
+        if self.k <= len(v) and (worst == -np.inf).any():
+            worst = np.maximum(worst, np.partition(score, -self.k, 1)[:, -self.k])
+        r, c = np.nonzero((score >= (worst - 1e-6)[:, None]) & (score > -np.inf))  # rounding may lift a score by half of that
+        if not len(r):
+            return
+        some, at = np.unique(r, return_inverse=True)
+        old = self.at[rows[some]]
+        i, j = np.nonzero(old >= 0)
+        row = np.concatenate([at, i])
+        place = np.concatenate([c + first, old[i, j]])
+        value = np.concatenate([np.round(score[r, c], 6), self.score[rows[some]][i, j]])
+        order = np.lexsort((self.rank[place], -value, row))
+        row, place, value = row[order], place[order], value[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = nth < self.k
+        self.score[rows[some][row[keep]], nth[keep]] = value[keep]
+        self.at[rows[some][row[keep]], nth[keep]] = place[keep]
+
+
+def scanned(queries: DataFrame, rows: DataFrame, k: int, dim: int, books: np.ndarray | None = None) -> DataFrame:
+    """(src_id, src_host, top): the k best rows for every query (key, embedding, and ``lists`` if it sees these only), nearest first.
+
+    Rows are (list_id, key, embedding), or with ``books`` (list_id, key, code).  Queries are dealt
+    into groups and rows into stripes, and a task scans one stripe for one group, with
+    the best so far of its queries.  So rows travel once a group, queries and
+    their k best once a stripe, and no scores but these leave a task.
+    """
+    spark = queries.sparkSession
+    ship(spark)
+    groups, stripes = _scan_shape(queries.count(), rows.count(), k, dim, 3 * spark.sparkContext.defaultParallelism)
+    what = "embedding" if books is None else "code"
+    lists = F.col("lists") if "lists" in queries.columns else F.lit(None).cast("array<int>")
+    deal = lambda parts: F.pmod(F.xxhash64(*KEY), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    asks = queries.select(deal(groups).alias("_g"), every(stripes).alias("_s"), *KEY, F.col("embedding").alias("asked"), lists.alias("lists"))
+    held = rows.select(deal(stripes).alias("_s"), every(groups).alias("_g"), *KEY, what, "list_id")
+    cell = (F.col("_g") * stripes + F.col("_s")).cast("int").alias("cell")
+    both = asks.unionByName(held, allowMissingColumns=True).select(cell, *KEY, "asked", "lists", what, "list_id").repartitionById(groups * stripes, "cell")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = [b for b in batches if b.num_rows]
+        if not every:
+            return
+        table = pa.Table.from_batches(every)
+        query = pc.is_valid(table.column("asked"))
+        asks, held = table.filter(query), table.filter(pc.invert(query)).sort_by([("list_id", "ascending"), ("video_id", "ascending"), ("instance_domain", "ascending")])
+        if not asks.num_rows or not held.num_rows:
+            return
+        q_ids, v_ids = (list(zip(t.column("video_id").to_pylist(), t.column("instance_domain").to_pylist(), strict=True)) for t in (asks, held))
+        q = _matrix(asks.column("asked").combine_chunks())
+        if books is None:
+            v = _matrix(held.column("embedding").combine_chunks())
+        else:
+            code = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(held.num_rows, -1)
+            v = np.concatenate([b[c] for b, c in zip(books, code.T, strict=True)], 1)
+        listed = held.column("list_id").to_numpy()
+        rank = np.empty(len(v_ids), int)
+        rank[sorted(range(len(v_ids)), key=v_ids.__getitem__)] = np.arange(len(v_ids))
+        at = {key: i for i, key in enumerate(v_ids)}
+        own = np.array([at.get(key, -1) for key in q_ids])
+        shown = asks.column("lists").combine_chunks()
+        if shown.null_count:
+            seen = {int(x): np.arange(len(q)) for x in np.unique(listed)}
+        else:
+            of, which = np.repeat(np.arange(len(q)), pc.list_value_length(shown).to_numpy()), shown.flatten().to_numpy()
+            order = np.argsort(which, kind="stable")
+            of, which = of[order], which[order]
+            seen = {int(x): of[slice(*np.searchsorted(which, [x, x + 1]))] for x in np.unique(listed)}
+        tops = _Tops(len(q), k, rank)
+        for x, rows in seen.items():
+            begin, end = np.searchsorted(listed, [x, x + 1])
+            for i in range(0, len(rows), STEP_QUERIES):
+                some = rows[i : i + STEP_QUERIES]
+                for j in range(begin, end, STEP_VECTORS):
+                    tops.meet(some, q[some], v[j : min(end, j + STEP_VECTORS)], j, own[some])
+        names = [held.column(c).combine_chunks() for c in KEY]
+        for i in range(0, len(q), BLOCK):
+            score, place = tops.score[i : i + BLOCK], tops.at[i : i + BLOCK]
+            good = place >= 0
+            entries = pa.StructArray.from_arrays([pa.array(-score[good]), *[x.take(pa.array(place[good])) for x in names]], fields=list(_TOP_ARROW.value_type))
+            bounds = pa.array(np.append(0, np.cumsum(good.sum(1))).astype(np.int32))
+            ids = [pa.array([key[c] for key in q_ids[i : i + BLOCK]], pa.string()) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.ListArray.from_arrays(bounds, entries)], ["src_id", "src_host", "top"])
+
+    found = both.mapInArrow(scan, f"src_id string, src_host string, top {_TOP}")
+    if stripes == 1:
+        return found
+    return found.groupBy("src_id", "src_host").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
+
+
+def _exploded(found: DataFrame) -> DataFrame:
+    """Rows as :func:`ranked` gives them, of lists that are in order."""
+    e = found.select("src_id", "src_host", F.posexplode("top").alias("at", "e"))
+    return e.select("src_id", "src_host", "e.video_id", "e.instance_domain", (F.lit(0.0) - F.col("e.away")).alias("score"), (F.col("at") + 1).alias("rank"))
 
 
 # --- approximate search: inverted lists, product codes, exact re-ranking
@@ -214,8 +329,6 @@ def _dealt(rows: DataFrame, split: dict[int, int], part: Column, name: str = "pa
 
 #: Queries of one list that one task takes.
 LIST_QUERIES = 4096
-_TOP = "array<struct<away: double, video_id: string, instance_domain: string>>"
-_TOP_ARROW = pa.list_(pa.struct([("away", pa.float64()), ("video_id", pa.string()), ("instance_domain", pa.string())]))
 
 
 def _shortlists(q_ids: list[tuple], q: np.ndarray, most: np.ndarray, v_ids: list[tuple], v: np.ndarray, k: int) -> pa.Table:

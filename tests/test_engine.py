@@ -198,6 +198,38 @@ def test_knn_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, N.knn(df, df, 4).collect())) == few and len(few) == 360
 
 
+def shuffled_rows(spark, df):
+    """Rows that the exchanges of df's plan write."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.collect()
+        nodes, rows = [df._jdf.queryExecution().executedPlan()], 0
+        while nodes:
+            node = nodes.pop()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+            written = node.metrics().get("shuffleRecordsWritten")
+            rows += written.get().value() if node.nodeName() == "Exchange" and written.isDefined() else 0
+        return rows
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_knn_scan_sends_no_pairs(spark, monkeypatch):
+    """Groups of queries by stripes of vectors: equal scores by key, and a vector travels once a group, a query and its list twice a stripe."""
+    import numpy as np
+
+    x = np.random.default_rng(3).integers(-1, 2, size=(90, 6)).astype(float)
+    df = vectors(spark, x.tolist())
+    for name, size in (("BLOCK", 20), ("HELD", 120), ("STRIPE", 180)):
+        monkeypatch.setattr(N, name, size)
+    plan = N.knn(df, df, 4)
+    score = np.round(x @ x.T, 6)
+    want = {(str(i), r + 1): (j, score[i, int(j)]) for i in range(90) for r, j in enumerate(sorted((str(j) for j in range(90) if j != i), key=lambda j: (-score[i, int(j)], j))[:4])}
+    assert {(r["src_id"], r["rank"]): (r["video_id"], r["score"]) for r in plan.collect()} == want
+    groups, stripes = N._scan_shape(90, 90, 4, 6, 12)
+    assert groups > 1 and stripes > 1 and shuffled_rows(spark, plan) <= (groups + 2 * stripes) * 90 < 5 * 90 * 4
+
+
 def test_cache_policy(spark):
     items = spark.createDataFrame([("0", "h", "1", "h", 0.9, 1), ("2", "h", "1", "h", None, 1)], schemas.TABLES["similarity_items"])
     df = vectors(spark, [[1.0, 0.0], [0.8, 0.6], [0.0, 1.0]])
