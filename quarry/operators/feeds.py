@@ -17,11 +17,14 @@ from .tables import settled
 
 
 def sampled(pool: DataFrame, limit: int, seed: str, order: list[Column]) -> DataFrame:
-    """limit rows at random (by seed); a pool that is not larger stays, in its order.  The position is kept."""
+    """limit rows at random (by seed); a pool that is not larger stays, in its order.  The position is kept.
+
+    One row more than the limit, by lot, tells whether the pool is larger, so no window sees more.
+    """
     total = F.count("*").over(W.partitionBy())
     lot = S.seeded(seed, S.like_key("video_id", "instance_domain"))
-    df = pool.withColumn("_many", total > limit)
-    pos = F.row_number().over(W.orderBy(F.when(F.col("_many"), lot), *order, "video_id"))  # a pool: POOL rows at most
+    df = pool.orderBy(lot, *order, "video_id").limit(limit + 1).withColumn("_many", total > limit)
+    pos = F.row_number().over(W.orderBy(F.when(F.col("_many"), lot), *order, "video_id"))  # limit + 1 rows
     return df.withColumn("position", pos).where(F.col("position") <= limit).drop("_many")
 
 
@@ -38,11 +41,12 @@ class Candidates:
     """The layers over one catalogue; each gives video columns, similarity_score and position.
 
     ``search`` (queries, k) finds neighbours as :func:`similarity.knn` does, which it is without one.
+    A pool of None is every usable video with an embedding (fresh, random and explore).
     ``base`` (usable videos with signals, and whether they have an embedding) is what
     all layers start from; a feed computes it once.
     """
 
-    def __init__(self, videos: DataFrame, embeddings: DataFrame, signals: DataFrame, liked: DataFrame | None, seed: str, pools: dict[str, int] = POOL, search: Callable[[DataFrame, int], DataFrame] | None = None):
+    def __init__(self, videos: DataFrame, embeddings: DataFrame, signals: DataFrame, liked: DataFrame | None, seed: str, pools: dict[str, int | None] = POOL, search: Callable[[DataFrame, int], DataFrame] | None = None):
         self.embeddings, self.liked, self.seed, self.pools = embeddings, liked, seed, pools
         self.search = search or (lambda queries, k: V.knn(queries, embeddings.select(*KEY, "embedding"), k))
         known = embeddings.select(*KEY).distinct().withColumn("_embedded", F.lit(True))
@@ -56,9 +60,9 @@ class Candidates:
             return pool.withColumn("similarity_score", F.lit(0.0))
         return V.max_similarity(pool.join(self.embeddings.select(*KEY, "embedding"), KEY), self.liked).drop("embedding")
 
-    def _random_pool(self, name: str, size: int) -> DataFrame:
+    def _random_pool(self, name: str, size: int | None) -> DataFrame:
         lot = S.seeded(f"{self.seed}:{name}", S.like_key("video_id", "instance_domain"))
-        return shuffled(self._able(), f"{self.seed}:{name}", size).withColumn("_lot", lot)
+        return (self._able() if size is None else shuffled(self._able(), f"{self.seed}:{name}", size)).withColumn("_lot", lot)
 
     def popular(self, layer: Layer, limit: int) -> DataFrame:
         ranked = ranked_popular(self.base, self.pools["popular"]).where("_embedded")
@@ -68,7 +72,7 @@ class Candidates:
 
     def fresh(self, layer: Layer, limit: int) -> DataFrame:
         order = [F.desc_nulls_last("published_at"), F.desc("video_id")]
-        pool = self._able().orderBy(*order).limit(self.pools["fresh"])
+        pool = self._able() if self.pools["fresh"] is None else self._able().orderBy(*order).limit(self.pools["fresh"])
         kept = self._scored(capped(pool, order, layer.author_cap, layer.instance_cap))
         return sampled(kept, limit, f"{self.seed}:fresh", order)
 
@@ -77,6 +81,7 @@ class Candidates:
         kept = self._scored(capped(self._random_pool("random", self.pools["random"]), [F.col("_lot")], layer.author_cap, layer.instance_cap))
         if self.liked is not None and layer.high is not None:
             low = F.col("similarity_score") < layer.high
+            kept = kept.orderBy(F.coalesce(low, F.lit(False)).desc(), "_lot", "video_id").limit(limit + 1)  # those below come first
             kept = kept.withColumn("_any", F.count_if(low).over(W.partitionBy()) > 0).where(low | ~F.col("_any")).drop("_any")
         return sampled(kept, limit, f"{self.seed}:random", [F.col("_lot")]).drop("_lot")
 
