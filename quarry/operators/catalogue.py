@@ -175,17 +175,33 @@ def capped(rows: DataFrame, order: list[Column], author_cap: int, instance_cap:
     return df if limit is None else df.orderBy(*order).limit(limit)
 
 
+#: Hex digits of a lot by which a shuffled cache is dealt.
+LOT_DIGITS = 3
+
+
+def ring_order(start: str, number: str = "video_number") -> list[Column]:
+    return [F.expr(f"{number} < {start}"), F.col(number)]
+
+
 def random_cache(videos: DataFrame, start: str, size: int, author_cap: int, instance_cap: int, number: str = "video_number") -> DataFrame:
     """Videos in ring order from a start number, capped, with their position."""
-    ring = [F.expr(f"{number} < {start}"), F.col(number)]
+    ring = ring_order(start, number)
     kept = capped(videos, ring, author_cap, instance_cap, size)
     return kept.withColumn("position", F.row_number().over(W.orderBy(*ring)))  # size rows
 
 
 def shuffled_cache(cache: DataFrame, seed: str) -> DataFrame:
-    """The cache to store: its rows at positions 1, 2, ... in a seeded random order."""
+    """The cache to store: its rows at positions 1, 2, ... in a seeded random order.
+
+    The lots are md5 in hex, evenly spread, so rows are dealt by the first LOT_DIGITS of
+    them, numbered in each part, and what precedes a part is a prefix sum of their counts.
+    """
     lot = S.seeded(seed, S.like_key("video_id", "instance_domain"))
-    return cache.withColumn("position", F.row_number().over(W.orderBy(lot, "video_id")).cast("long"))  # RANDOM_CACHE rows at most
+    df = cache.withColumn("_lot", lot).withColumn("_part", F.substring("_lot", 1, LOT_DIGITS))
+    sums = df.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # 16 ** LOT_DIGITS rows at most
+    place = F.row_number().over(W.partitionBy("_part").orderBy("_lot", "video_id"))
+    return df.withColumn("_at", place).join(F.broadcast(sums.select("_part", before.alias("_before"))), "_part").withColumn("position", (F.col("_at") + F.col("_before")).cast("long")).drop("_lot", "_part", "_n", "_at", "_before")
 
 
 def cache_window(cache: DataFrame, start: int, count: int) -> DataFrame:
