@@ -73,7 +73,7 @@ def placed(embeddings: DataFrame, model: Model) -> DataFrame:
 def trained(embeddings: DataFrame, least_recall: float = 0.9, recall_at: int = 10, lists: int | None = None) -> tuple[Model, DataFrame]:
     """A model for the vectors with the fewest probes that reach the recall, and the placed rows."""
     n = N.valid(embeddings).count()
-    centroids, books = N.train_index(embeddings, lists or max(1, min(N.LISTS, n // LIST_VECTORS, int(4 * n**0.5))))
+    centroids, books = N.fitted_index(embeddings, recall_at, least_recall, lists or max(1, min(N.LISTS, n // LIST_VECTORS, int(4 * n**0.5))))
     model = Model(centroids, books)
     rows = settled(placed(embeddings, model))
     probes, shortlist, recall = N.measured_probes(index_of(rows, model), rows, recall_at, least_recall)

@@ -270,17 +270,25 @@ def _means(x: np.ndarray, k: int, rounds: int = 10, unit: bool = False) -> np.nd
     c = x[:k].copy()
     for _ in range(rounds):
         near = _nearest(x, c, unit)
-        total, n = np.zeros_like(c), np.bincount(near, minlength=len(c))
-        np.add.at(total, near, x)
+        n = np.bincount(near, minlength=len(c))
+        total = np.stack([np.bincount(near, col, len(c)) for col in x.T], 1)
         c[n > 0] = total[n > 0] / n[n > 0, None]
         if unit:
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     return c
 
 
+#: Rows of x that _nearest takes at once, so that its scores stay small however many rows and centroids there are.
+NEAR_ROWS = 2048
+
+
 def _nearest(x: np.ndarray, c: np.ndarray, unit: bool = False) -> np.ndarray:
-    near = x @ c.T
-    return (near if unit else 2 * near - (c * c).sum(1)).argmax(1)
+    out, length = np.empty(len(x), np.int64), 0.0 if unit else (c * c).sum(1)
+    for i in range(0, len(x), NEAR_ROWS):
+        near = (x[i : i + NEAR_ROWS] if unit else 2 * x[i : i + NEAR_ROWS]) @ c.T
+        near -= length
+        out[i : i + NEAR_ROWS] = near.argmax(1)
+    return out
 
 
 def _encode(x: np.ndarray, books: np.ndarray) -> np.ndarray:
@@ -291,15 +299,61 @@ def _encode(x: np.ndarray, books: np.ndarray) -> np.ndarray:
 
 def train_index(embeddings: DataFrame, lists: int = LISTS, parts: int = PARTS, sample: int = TRAINING, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Centroids and code books from a bounded, reproducible sample."""
+    x = _training(embeddings, sample, seed)
+    return _means(x, min(lists, len(x)), unit=True), _books(x, parts)
+
+
+def _training(embeddings: DataFrame, sample: int, seed: int) -> np.ndarray:
+    """Unit vectors of a bounded, reproducible sample."""
     rows = valid(embeddings).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), *KEY)), *KEY).limit(sample).select("embedding").toPandas()["embedding"]
     if not len(rows):
         raise ValueError("no embeddings to train on")
     dim = len(rows.iloc[0])
     x = np.array([r for r in rows if len(r) == dim], float)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    centroids = _means(x, min(lists, len(x)), unit=True)
+    return x
+
+
+def _books(x: np.ndarray, parts: int) -> np.ndarray:
+    dim = x.shape[1]
     parts = next(p for p in range(min(parts, dim), 0, -1) if dim % p == 0)
-    return centroids, np.stack([np.pad(b := _means(p, min(CODES, len(p))), ((0, CODES - len(b)), (0, 0)), mode="edge") for p in np.split(x, parts, axis=1)])
+    return np.stack([np.pad(b := _means(p, min(CODES, len(p))), ((0, CODES - len(b)), (0, 0)), mode="edge") for p in np.split(x, parts, axis=1)])
+
+
+def fitted_index(embeddings: DataFrame, k: int, least: float, lists: int = LISTS, queries: int = 200, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids and code books fine enough: twice the parts, from PARTS to a part a number, until a shortlist of 8 k by codes holds ``least`` of the k nearest.
+
+    That is measured on a bounded sample of queries against all rows, in one pass for
+    each number of parts.  Wider shortlists would do with coarser codes, but every entry
+    of one is a row that is joined with its vector, so the codes grow first.
+    """
+    x = _training(embeddings, TRAINING, 7)
+    centroids, parts, dim = _means(x, min(lists, len(x)), unit=True), PARTS, x.shape[1]
+    some = settled(valid(embeddings, dim).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), *KEY)), *KEY).limit(queries).select(*KEY, "embedding"))
+    exact = settled(knn(some, embeddings, k))
+    while True:
+        books = _books(x, parts)
+        if parts >= dim:
+            return centroids, books
+        reached = recall(knn(some, _decoded(embeddings, books, dim), 8 * k), exact).first()["recall"]
+        if reached is None or reached >= least:
+            return centroids, books
+        parts *= 2
+
+
+def _decoded(embeddings: DataFrame, books: np.ndarray, dim: int) -> DataFrame:
+    """The vectors as their codes show them."""
+    ship(embeddings.sparkSession)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(2))
+                code = _encode(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), books)
+                shown = np.concatenate([b[c] for b, c in zip(books, code.T, strict=True)], 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(shown), pa.list_(pa.float64()))], [*KEY, "embedding"])
+
+    return valid(embeddings, dim).select(*KEY, "embedding").mapInArrow(decode, "video_id string, instance_domain string, embedding array<double>")
 
 
 def build_index(embeddings: DataFrame, centroids: np.ndarray, books: np.ndarray) -> Index:
@@ -401,9 +455,31 @@ def shortlisted(queries: DataFrame, index: Index, wide: int, probes: int, sent:
     return asked.limit(0).select("src_id", "src_host", F.lit(None).cast(_TOP).alias("top")) if top is None else top
 
 
+#: Probed lists up to which queries travel once a list; beyond, a scan by groups of queries sends less.
+FEW_PROBES = 8
+
+
+def _scanned_lists(queries: DataFrame, index: Index, wide: int, probes: int) -> DataFrame:
+    """What :func:`shortlisted` gives, by one scan in which each query carries the numbers of its lists."""
+    ship(queries.sparkSession)
+    centroids = index.centroids
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = np.argsort(-(_matrix(batch.column(2)) @ centroids.T), 1, kind="stable")[:, :probes].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int32()))], [*KEY, "embedding", "lists"])
+
+    good = valid(queries, index.dim).select(*KEY, F.col("embedding").cast("array<double>"))
+    asked = settled(good.mapInArrow(probe, "video_id string, instance_domain string, embedding array<double>, lists array<int>")) if probes < len(centroids) else settled(good)
+    return scanned(asked, index.rows.select("list_id", *KEY, "code"), wide, index.dim, index.books)
+
+
 def ivf_knn(queries: DataFrame, index: Index, embeddings: DataFrame, k: int, probes: int, shortlist: int = 8) -> DataFrame:
     """Approximate knn of many queries: codes give a shortlist of shortlist * k, which exact scores rank."""
-    near = shortlisted(queries, index, shortlist * k, probes).select("src_id", "src_host", F.explode("top").alias("e")).select("src_id", "src_host", "e.video_id", "e.instance_domain")
+    wide, probes = shortlist * k, min(probes, len(index.centroids))
+    near = (shortlisted if probes <= FEW_PROBES else _scanned_lists)(queries, index, wide, probes)
+    near = near.select("src_id", "src_host", F.explode("top").alias("e")).select("src_id", "src_host", "e.video_id", "e.instance_domain")
     qv = valid(queries, index.dim).select(F.col("video_id").alias("src_id"), F.col("instance_domain").alias("src_host"), F.col("embedding").alias("qv"))
     exact = near.join(embeddings.select(*KEY, "embedding"), KEY).join(qv, ["src_id", "src_host"])
     return ranked(exact.select("src_id", "src_host", *KEY, F.round(V.dot("qv", "embedding"), 6).alias("score")), k)
@@ -443,6 +519,15 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 WIDEST = 128
 
 
+def _lists_needed(queries: DataFrame, exact: DataFrame, index: Index) -> np.ndarray:
+    """For each neighbour of the sample's queries, how many lists its query probes before the neighbour's."""
+    held = exact.join(index.rows.select(*KEY, "list_id"), KEY).select("src_id", "src_host", "list_id").collect()  # the sample times k rows
+    asked = queries.collect()
+    order = np.argsort(-(np.array([r["embedding"] for r in asked], float).reshape(len(asked), -1) @ index.centroids.T), 1, kind="stable") if asked else np.zeros((0, 1), int)
+    place = {(r["video_id"], r["instance_domain"]): np.argsort(o) for r, o in zip(asked, order, strict=True)}
+    return np.array([place[r["src_id"], r["src_host"]][r["list_id"]] for r in held], int)
+
+
 def measured_probes(index: Index, embeddings: DataFrame, k: int, least: float, sample: int = 200, seed: int = 11) -> tuple[int, int, float]:
     """(probes, shortlist, recall): the fewest probes, doubling, that reach a recall on a bounded sample of queries.
 
@@ -452,7 +537,9 @@ def measured_probes(index: Index, embeddings: DataFrame, k: int, least: float, s
     some = settled(valid(embeddings, index.dim).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), *KEY)), *KEY).limit(sample).select(*KEY, "embedding"))
     exact = settled(knn(some, embeddings, k))
     lists, shortlist = len(index.centroids), 8
-    probes = max(1, lists // 16)
+    probes, shown = max(1, lists // 16), _lists_needed(some, exact, index)
+    while probes < lists and len(shown) and round(float((shown < probes).mean()), 4) < least:
+        probes *= 2  # so few lists do not even hold the neighbours
     while True:
         probes = min(probes, lists)
         reached = recall(ivf_knn(some, index, embeddings, k, probes, shortlist), exact).first()["recall"]

@@ -121,3 +121,14 @@ def test_serving_reads_the_index(spark, tmp_path):
     finally:
         ann.StoredIndex.nearest = search
     assert asked == [C.SEARCH_LIMIT, C.POOL["exploit"]]
+
+
+def test_codes_grow_before_the_shortlist(spark, monkeypatch):
+    """Where PARTS codes are too coarse for the recall, finer ones reach it with the narrow shortlist; many probed lists are one scan with the same result."""
+    df = vectors(spark, np.random.default_rng(9).normal(size=(3000, 64)))
+    monkeypatch.setattr(N, "WIDEST", 8)
+    model, rows = ann.trained(df, 0.95, 5, lists=8)
+    assert model.recall >= 0.95 and model.shortlist == 8 and len(model.books) > N.PARTS
+    some, index = df.where("cast(video_id as int) % 30 = 0"), ann.index_of(rows, model)
+    by_scan, by_rounds = ({(r["src_id"]): [(e["video_id"], round(e["away"], 5)) for e in r["top"]] for r in f(some, index, 20, 5).collect()} for f in (N._scanned_lists, N.shortlisted))
+    assert by_scan == by_rounds and len(by_scan) == 100
