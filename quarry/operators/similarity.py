@@ -103,26 +103,31 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     dim = len(few[0]["embedding"])
     good = valid(vectors, dim).select(*KEY, "embedding")
     if len(few) <= BLOCK:
-        few = [r for r in few if len(r["embedding"]) == dim]
-        sent = queries.sparkSession.sparkContext.broadcast(([(r["video_id"], r["instance_domain"]) for r in few], np.array([r["embedding"] for r in few], float)))  # BLOCK rows at most
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for batch in batches:
-                if batch.num_rows:
-                    keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-                    yield _best(ids, q, keys, _matrix(batch.column(2)), k)
-
-        return ranked(good.mapInArrow(scan, _NEAR_SQL), k)
+        return _knn_of_few([r for r in few if len(r["embedding"]) == dim], good, k)
     right = settled(good)
     left = right if queries is vectors else settled(valid(queries, dim).select(*KEY, "embedding"))
     return _exploded(scanned(left, right.withColumn("list_id", F.lit(0)), k, dim))
 
 
+def _knn_of_few(few: list, good: DataFrame, k: int, books: np.ndarray | None = None) -> DataFrame:
+    """knn of BLOCK rows at most among (key, embedding), or with ``books`` among what their codes show of the unit vectors."""
+    spark = good.sparkSession
+    sent = spark.sparkContext.broadcast(([(r["video_id"], r["instance_domain"]) for r in few], np.array([r["embedding"] for r in few], float)))  # BLOCK rows at most
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                keys, x = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), _matrix(batch.column(2))
+                yield _best(ids, q, keys, x if books is None else _decoded(_encode(_units(x), books), books), k)
+
+    return ranked(good.mapInArrow(scan, _NEAR_SQL), k)
+
+
 #: Numbers that one task of a scan holds of its queries or of their best, and of its vectors.
 HELD, STRIPE = 1 << 21, 1 << 23
-#: Queries and vectors whose scores one step of a scan has in memory.
-STEP_QUERIES, STEP_VECTORS = 512, 4096
+#: Queries and vectors whose scores one step of a scan has in memory, queries whose lists it has, and pairs that are scored again or sorted at once.
+STEP_QUERIES, STEP_VECTORS, STEP_LISTS, STEP_PAIRS = 512, 1024, 4096, 1 << 16
 _TOP = "array<struct<away: double, video_id: string, instance_domain: string>>"
 _TOP_ARROW = pa.list_(pa.struct([("away", pa.float64()), ("video_id", pa.string()), ("instance_domain", pa.string())]))
 
@@ -134,57 +139,110 @@ def _scan_shape(m: int, n: int, k: int, dim: int, tasks: int) -> tuple[int, int]
     return groups, max(stripes, min(-(-n // BLOCK), tasks // groups))
 
 
+def _dots(q: np.ndarray, row: np.ndarray, v: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rounded scores of pairs."""
+    out = np.empty(len(row))
+    for i in range(0, len(row), STEP_PAIRS):
+        out[i : i + STEP_PAIRS] = np.einsum("ij,ij->i", q[row[i : i + STEP_PAIRS]], v[place[i : i + STEP_PAIRS]])
+    return np.round(out, 6)
+
+
 class _Tops:
-    """The k best vectors so far for each query: rounded scores, best first, equal ones by the vectors' rank."""
+    """The k best vectors so far for each query: rounded scores, best first, equal ones by the vectors' rank.
 
-    def __init__(self, m: int, k: int, rank: np.ndarray):
-        self.k, self.rank = k, rank
-        self.score, self.at = np.full((m, k), -np.inf), np.full((m, k), -1)
+    A block of scores is made in single precision, if the vectors' lengths allow that.  Only what may be
+    among the k best by more than its error can be waits, to be scored in double precision and
+    sorted in together with what waits from other blocks.
+    """
 
-    def meet(self, rows: np.ndarray, q: np.ndarray, v: np.ndarray, first: int, own: np.ndarray) -> None:
-        """Queries ``rows`` (their vectors q, own places own) meet vectors first, first + 1, ..."""
-        score = q @ v.T
-        here = np.flatnonzero((own >= first) & (own < first + len(v)))
+    def __init__(self, q: np.ndarray, v: np.ndarray, k: int, rank: np.ndarray, own: np.ndarray):
+        self.q, self.v, self.k, self.rank, self.own = q, v, k, rank, own
+        self.score, self.at = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
+        self.least = np.full(len(q), -np.inf)  # nothing below is among the k best
+        long, self.v_long = np.sqrt((q * q).sum(1)), np.sqrt((v * v).sum(1))
+        self.kind = np.float32 if max(long.max(), self.v_long.max()) < 1e18 else np.float64
+        self.q_fast, self.v_fast = q.astype(self.kind, copy=False), v.astype(self.kind, copy=False)
+        self.error = long * float((q.shape[1] + 4) * np.finfo(self.kind).eps)
+        self.waiting, self.n = [], 0
+
+    def meet(self, rows: np.ndarray, first: int, end: int) -> None:
+        """Queries ``rows`` meet vectors first to end - 1."""
+        score, own = self.q_fast[rows] @ self.v_fast[first:end].T, self.own[rows]
+        here = np.flatnonzero((own >= first) & (own < end))
         score[here, own[here] - first] = -np.inf
-        worst = self.score[rows, -1]
-        if self.k <= len(v) and (worst == -np.inf).any():
-            worst = np.maximum(worst, np.partition(score, -self.k, 1)[:, -self.k])
-        r, c = np.nonzero((score >= (worst - 1e-6)[:, None]) & (score > -np.inf))  # rounding may lift a score by half of that
-        if not len(r):
+        least, slack = self.least[rows], 1e-6 + self.error[rows] * self.v_long[first:end].max()  # rounding may lift a score by half of 1e-6
+        new = np.flatnonzero(least == -np.inf)
+        if self.k <= end - first and len(new):
+            least[new] = np.partition(score[new], -self.k, 1)[:, -self.k] - slack[new]
+            self.least[rows] = least
+        floor = np.maximum(least - slack, np.finfo(self.kind).min).astype(self.kind)
+        r, c = np.divmod(np.flatnonzero(score >= floor[:, None]), end - first)
+        if len(r):
+            self.waiting.append((rows[r], c + first))
+            self.n += len(r)
+            if self.n >= max(self.score.size, STEP_PAIRS):
+                self.settle()
+
+    def settle(self) -> None:
+        """Sort in what waits."""
+        if not self.n:
             return
-        some, at = np.unique(r, return_inverse=True)
-        old = self.at[rows[some]]
-        i, j = np.nonzero(old >= 0)
-        row = np.concatenate([at, i])
-        place = np.concatenate([c + first, old[i, j]])
-        value = np.concatenate([np.round(score[r, c], 6), self.score[rows[some]][i, j]])
+        row, place = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        self.waiting, self.n = [], 0
+        value = _dots(self.q, row, self.v, place)
+        order = np.flatnonzero(value >= self.score[row, -1])
+        order = order[np.argsort(row[order], kind="stable")]
+        row, place, value = row[order], place[order], value[order]
+        step = max(1, STEP_PAIRS // self.k)
+        for i in range(0, len(self.q), step):
+            part = slice(*np.searchsorted(row, [i, i + step]))
+            if part.start < part.stop:
+                self._merge(row[part], place[part], value[part])
+        self.least = np.maximum(self.least, self.score[:, -1])
+
+    def _merge(self, row: np.ndarray, place: np.ndarray, value: np.ndarray) -> None:
+        some = np.unique(row)
+        i, j = np.nonzero(self.at[some] >= 0)
+        row, place, value = np.concatenate([row, some[i]]), np.concatenate([place, self.at[some[i], j]]), np.concatenate([value, self.score[some[i], j]])
         order = np.lexsort((self.rank[place], -value, row))
         row, place, value = row[order], place[order], value[order]
         nth = np.arange(len(row)) - np.searchsorted(row, row)
         keep = nth < self.k
-        self.score[rows[some][row[keep]], nth[keep]] = value[keep]
-        self.at[rows[some][row[keep]], nth[keep]] = place[keep]
-
-
-def scanned(queries: DataFrame, rows: DataFrame, k: int, dim: int, books: np.ndarray | None = None) -> DataFrame:
-    """(src_id, src_host, top): the k best rows for every query (key, embedding, and ``lists`` if it sees these only), nearest first.
-
-    Rows are (list_id, key, embedding), or with ``books`` (list_id, key, code).  Queries are dealt
-    into groups and rows into stripes, and a task scans one stripe for one group, with
-    the best so far of its queries.  So rows travel once a group, queries and
-    their k best once a stripe, and no scores but these leave a task.
+        self.score[row[keep], nth[keep]] = value[keep]
+        self.at[row[keep], nth[keep]] = place[keep]
+
+    def ranked_by(self, v: np.ndarray, k: int) -> None:
+        """Of the best only the k best by other vectors for the same places."""
+        score, at = np.full((len(self.q), k), -np.inf), np.full((len(self.q), k), -1)
+        step = max(1, STEP_PAIRS // self.k)
+        for i in range(0, len(self.q), step):
+            place = self.at[i : i + step]
+            value = _dots(self.q, np.repeat(np.arange(i, i + len(place)), self.k), v, place.ravel()).reshape(place.shape)
+            value[place < 0] = -np.inf
+            order = np.lexsort((self.rank[place], -value))[:, :k]
+            score[i : i + step], at[i : i + step] = np.take_along_axis(value, order, 1), np.take_along_axis(place, order, 1)
+        self.k, self.score, self.at = k, score, at
+
+
+def scanned(queries: DataFrame, rows: DataFrame, k: int, dim: int, books: np.ndarray | None = None, probe: tuple[np.ndarray, int] | None = None, best: int | None = None) -> DataFrame:
+    """(src_id, src_host, top): the k best rows for every query (key, embedding), nearest first; with ``probe`` (centroids, number) among that many lists.
+
+    Rows are (list_id, key, embedding), or with ``books`` (list_id, key, code); with ``best``
+    they have both, the k best are those by codes, and the best of these by their
+    vectors are given.  Queries are dealt into groups and rows into stripes, and a task scans
+    one stripe for one group, with the best so far of its queries.  So rows travel
+    once a group, queries and their best once a stripe, and no scores but these leave a task.
     """
     spark = queries.sparkSession
     ship(spark)
     groups, stripes = _scan_shape(queries.count(), rows.count(), k, dim, 3 * spark.sparkContext.defaultParallelism)
-    what = "embedding" if books is None else "code"
-    lists = F.col("lists") if "lists" in queries.columns else F.lit(None).cast("array<int>")
+    what = ["embedding"] if books is None else ["code"] if best is None else ["code", "embedding"]
     deal = lambda parts: F.pmod(F.xxhash64(*KEY), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    asks = queries.select(deal(groups).alias("_g"), every(stripes).alias("_s"), *KEY, F.col("embedding").alias("asked"), lists.alias("lists"))
-    held = rows.select(deal(stripes).alias("_s"), every(groups).alias("_g"), *KEY, what, "list_id")
+    asks = queries.select(deal(groups).alias("_g"), every(stripes).alias("_s"), *KEY, F.col("embedding").alias("asked"))
+    held = rows.select(deal(stripes).alias("_s"), every(groups).alias("_g"), *KEY, *what, "list_id")
     cell = (F.col("_g") * stripes + F.col("_s")).cast("int").alias("cell")
-    both = asks.unionByName(held, allowMissingColumns=True).select(cell, *KEY, "asked", "lists", what, "list_id").repartitionById(groups * stripes, "cell")
+    both = asks.unionByName(held, allowMissingColumns=True).select(cell, *KEY, "asked", *what, "list_id").repartitionById(groups * stripes, "cell")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = [b for b in batches if b.num_rows]
@@ -200,28 +258,25 @@ def scanned(queries: DataFrame, rows: DataFrame, k: int, dim: int, books: np.nda
         if books is None:
             v = _matrix(held.column("embedding").combine_chunks())
         else:
-            code = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(held.num_rows, -1)
-            v = np.concatenate([b[c] for b, c in zip(books, code.T, strict=True)], 1)
-        listed = held.column("list_id").to_numpy()
+            v = _decoded(np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(held.num_rows, -1), books)
         rank = np.empty(len(v_ids), int)
         rank[sorted(range(len(v_ids)), key=v_ids.__getitem__)] = np.arange(len(v_ids))
         at = {key: i for i, key in enumerate(v_ids)}
-        own = np.array([at.get(key, -1) for key in q_ids])
-        shown = asks.column("lists").combine_chunks()
-        if shown.null_count:
-            seen = {int(x): np.arange(len(q)) for x in np.unique(listed)}
+        tops = _Tops(q, v, k, rank, np.array([at.get(key, -1) for key in q_ids]))
+        if probe is None:
+            _meet_all(tops, np.arange(len(q)), 0, len(v))
         else:
-            of, which = np.repeat(np.arange(len(q)), pc.list_value_length(shown).to_numpy()), shown.flatten().to_numpy()
-            order = np.argsort(which, kind="stable")
-            of, which = of[order], which[order]
-            seen = {int(x): of[slice(*np.searchsorted(which, [x, x + 1]))] for x in np.unique(listed)}
-        tops = _Tops(len(q), k, rank)
-        for x, rows in seen.items():
-            begin, end = np.searchsorted(listed, [x, x + 1])
-            for i in range(0, len(rows), STEP_QUERIES):
-                some = rows[i : i + STEP_QUERIES]
-                for j in range(begin, end, STEP_VECTORS):
-                    tops.meet(some, q[some], v[j : min(end, j + STEP_VECTORS)], j, own[some])
+            listed = held.column("list_id").to_numpy()
+            lists, begin = np.unique(listed, return_index=True)
+            for i in range(0, len(q), STEP_LISTS):
+                some = np.arange(i, min(len(q), i + STEP_LISTS))
+                shown = np.zeros((len(probe[0]), len(some)), bool)
+                shown[np.argpartition(-(q[some] @ probe[0].T), probe[1] - 1, 1)[:, : probe[1]].T, some - i] = True
+                for x, first, end in zip(lists, begin, [*begin[1:], len(v)], strict=True):
+                    _meet_all(tops, some[shown[x]], first, end)
+        tops.settle()
+        if best is not None:
+            tops.ranked_by(_matrix(held.column("embedding").combine_chunks()), best)
         names = [held.column(c).combine_chunks() for c in KEY]
         for i in range(0, len(q), BLOCK):
             score, place = tops.score[i : i + BLOCK], tops.at[i : i + BLOCK]
@@ -234,7 +289,13 @@ def scanned(queries: DataFrame, rows: DataFrame, k: int, dim: int, books: np.nda
     found = both.mapInArrow(scan, f"src_id string, src_host string, top {_TOP}")
     if stripes == 1:
         return found
-    return found.groupBy("src_id", "src_host").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
+    return found.groupBy("src_id", "src_host").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, best or k).alias("top"))
+
+
+def _meet_all(tops: _Tops, rows: np.ndarray, first: int, end: int) -> None:
+    for i in range(0, len(rows), STEP_QUERIES):
+        for j in range(first, end, STEP_VECTORS):
+            tops.meet(rows[i : i + STEP_QUERIES], j, min(end, j + STEP_VECTORS))
 
 
 def _exploded(found: DataFrame) -> DataFrame:
@@ -247,6 +308,8 @@ def _exploded(found: DataFrame) -> DataFrame:
 
 # Fixed values of the index: lists, parts of a vector, values of a part's code, training rows
 LISTS, PARTS, CODES, TRAINING = 4096, 8, 256, 200_000
+#: Training rows, 256 for each value of a code, that code books are made of.
+BOOK_TRAINING = 1 << 16
 #: Rows of one list that one task takes.
 LIST_ROWS = 20_000
 
@@ -283,7 +346,9 @@ NEAR_ROWS = 2048
 
 
 def _nearest(x: np.ndarray, c: np.ndarray, unit: bool = False) -> np.ndarray:
-    out, length = np.empty(len(x), np.int64), 0.0 if unit else (c * c).sum(1)
+    """The nearest centroid of unit vectors or parts of them, in single precision."""
+    x, c = x.astype(np.float32, copy=False), c.astype(np.float32, copy=False)
+    out, length = np.empty(len(x), np.int64), np.float32(0) if unit else (c * c).sum(1)
     for i in range(0, len(x), NEAR_ROWS):
         near = (x[i : i + NEAR_ROWS] if unit else 2 * x[i : i + NEAR_ROWS]) @ c.T
         near -= length
@@ -297,6 +362,15 @@ def _encode(x: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.stack([_nearest(p, b) for p, b in zip(parts, books, strict=True)], 1).astype(np.uint8)
 
 
+def _decoded(code: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The vectors as their codes show them."""
+    return np.concatenate([b[c] for b, c in zip(books, code.T, strict=True)], 1)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 def train_index(embeddings: DataFrame, lists: int = LISTS, parts: int = PARTS, sample: int = TRAINING, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Centroids and code books from a bounded, reproducible sample."""
     x = _training(embeddings, sample, seed)
@@ -309,53 +383,38 @@ def _training(embeddings: DataFrame, sample: int, seed: int) -> np.ndarray:
     if not len(rows):
         raise ValueError("no embeddings to train on")
     dim = len(rows.iloc[0])
-    x = np.array([r for r in rows if len(r) == dim], float)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    return x
+    return _units(np.array([r for r in rows if len(r) == dim], float))
 
 
 def _books(x: np.ndarray, parts: int) -> np.ndarray:
-    dim = x.shape[1]
+    x, dim = x[:BOOK_TRAINING], x.shape[1]
     parts = next(p for p in range(min(parts, dim), 0, -1) if dim % p == 0)
     return np.stack([np.pad(b := _means(p, min(CODES, len(p))), ((0, CODES - len(b)), (0, 0)), mode="edge") for p in np.split(x, parts, axis=1)])
 
 
 def fitted_index(embeddings: DataFrame, k: int, least: float, lists: int = LISTS, queries: int = 200, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids and code books fine enough: twice the parts, from PARTS to a part a number, until a shortlist of 8 k by codes holds ``least`` of the k nearest.
+    """Centroids and code books fine enough: twice the parts, from PARTS to a part a number, until a shortlist of 8 k by codes lacks half of what a recall of ``least`` may lack at most.
 
-    That is measured on a bounded sample of queries against all rows, in one pass for
-    each number of parts.  Wider shortlists would do with coarser codes, but every entry
-    of one is a row that is joined with its vector, so the codes grow first.
+    The other half is for the lists that a search leaves out.  It is measured on a bounded
+    sample of queries against all rows, in one pass for each number of parts.  Wider
+    shortlists would do with coarser codes, but cost every search, so the codes grow first.
     """
+    ship(embeddings.sparkSession)
     x = _training(embeddings, TRAINING, 7)
     centroids, parts, dim = _means(x, min(lists, len(x)), unit=True), PARTS, x.shape[1]
-    some = settled(valid(embeddings, dim).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), *KEY)), *KEY).limit(queries).select(*KEY, "embedding"))
-    exact = settled(knn(some, embeddings, k))
+    good = valid(embeddings, dim).select(*KEY, "embedding")
+    some = good.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), *KEY)), *KEY).limit(min(queries, BLOCK)).collect()  # BLOCK rows at most
+    exact = settled(_knn_of_few(some, good, k))
     while True:
         books = _books(x, parts)
         if parts >= dim:
             return centroids, books
-        reached = recall(knn(some, _decoded(embeddings, books, dim), 8 * k), exact).first()["recall"]
-        if reached is None or reached >= least:
+        reached = recall(_knn_of_few(some, good, 8 * k, books), exact).first()["recall"]
+        if reached is None or reached >= (1 + least) / 2:
             return centroids, books
         parts *= 2
 
 
-def _decoded(embeddings: DataFrame, books: np.ndarray, dim: int) -> DataFrame:
-    """The vectors as their codes show them."""
-    ship(embeddings.sparkSession)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column(2))
-                code = _encode(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), books)
-                shown = np.concatenate([b[c] for b, c in zip(books, code.T, strict=True)], 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(shown), pa.list_(pa.float64()))], [*KEY, "embedding"])
-
-    return valid(embeddings, dim).select(*KEY, "embedding").mapInArrow(decode, "video_id string, instance_domain string, embedding array<double>")
-
-
 def build_index(embeddings: DataFrame, centroids: np.ndarray, books: np.ndarray) -> Index:
     """Every valid vector in its nearest list; lists of more than LIST_ROWS rows are dealt over parts."""
     ship(embeddings.sparkSession)
@@ -364,8 +423,7 @@ def build_index(embeddings: DataFrame, centroids: np.ndarray, books: np.ndarray)
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(2))
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                x = _units(_matrix(batch.column(2)))
                 yield pa.RecordBatch.from_arrays([pa.array(_nearest(x, centroids, True).astype(np.int32)), batch.column(0), batch.column(1), pa.array([c.tobytes() for c in _encode(x, books)], pa.binary())], ["list_id", *KEY, "code"])
 
     rows = settled(valid(embeddings, dim).select(*KEY, "embedding").mapInArrow(place, "list_id int, video_id string, instance_domain string, code binary"))
@@ -426,7 +484,7 @@ def shortlisted(queries: DataFrame, index: Index, wide: int, probes: int, sent:
             return pa.Table.from_batches([], pa.schema([("src_id", pa.string()), ("src_host", pa.string()), ("top", _TOP_ARROW)]))
         code = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
         ids = list(zip(right.column("video_id").to_pylist(), right.column("instance_domain").to_pylist(), strict=True))
-        decoded = np.concatenate([b[c] for b, c in zip(books, code.T, strict=True)], 1)
+        decoded = _decoded(code, books)
         most, out = left.column("most").to_numpy(), []
         for i in range(0, left.num_rows, BLOCK):
             some = left.slice(i, BLOCK)
@@ -459,27 +517,25 @@ def shortlisted(queries: DataFrame, index: Index, wide: int, probes: int, sent:
 FEW_PROBES = 8
 
 
-def _scanned_lists(queries: DataFrame, index: Index, wide: int, probes: int) -> DataFrame:
-    """What :func:`shortlisted` gives, by one scan in which each query carries the numbers of its lists."""
-    ship(queries.sparkSession)
-    centroids = index.centroids
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                near = np.argsort(-(_matrix(batch.column(2)) @ centroids.T), 1, kind="stable")[:, :probes].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int32()))], [*KEY, "embedding", "lists"])
-
-    good = valid(queries, index.dim).select(*KEY, F.col("embedding").cast("array<double>"))
-    asked = settled(good.mapInArrow(probe, "video_id string, instance_domain string, embedding array<double>, lists array<int>")) if probes < len(centroids) else settled(good)
-    return scanned(asked, index.rows.select("list_id", *KEY, "code"), wide, index.dim, index.books)
+def _scanned_lists(queries: DataFrame, index: Index, wide: int, probes: int, embeddings: DataFrame | None = None, best: int | None = None) -> DataFrame:
+    """What :func:`shortlisted` gives, by one scan in which a task finds the lists of its queries; with ``embeddings`` and ``best`` the best of it by exact scores."""
+    rows = index.rows
+    if embeddings is not None and "embedding" not in rows.columns:
+        rows = settled(rows.select("list_id", *KEY, "code").join(embeddings.select(*KEY, "embedding"), KEY))
+    asked = settled(valid(queries, index.dim).select(*KEY, "embedding"))
+    return scanned(asked, rows, wide, index.dim, index.books, (index.centroids, probes) if probes < len(index.centroids) else None, best)
 
 
 def ivf_knn(queries: DataFrame, index: Index, embeddings: DataFrame, k: int, probes: int, shortlist: int = 8) -> DataFrame:
-    """Approximate knn of many queries: codes give a shortlist of shortlist * k, which exact scores rank."""
+    """Approximate knn of many queries: codes give a shortlist of shortlist * k, which exact scores rank.
+
+    Up to FEW_PROBES lists, shortlists are joined with the vectors.  Beyond, these travel
+    with the codes, and the task that makes a shortlist also ranks it, so that k entries leave it, not shortlist * k.
+    """
     wide, probes = shortlist * k, min(probes, len(index.centroids))
-    near = (shortlisted if probes <= FEW_PROBES else _scanned_lists)(queries, index, wide, probes)
-    near = near.select("src_id", "src_host", F.explode("top").alias("e")).select("src_id", "src_host", "e.video_id", "e.instance_domain")
+    if probes > FEW_PROBES:
+        return _exploded(_scanned_lists(queries, index, wide, probes, embeddings, k))
+    near = shortlisted(queries, index, wide, probes).select("src_id", "src_host", F.explode("top").alias("e")).select("src_id", "src_host", "e.video_id", "e.instance_domain")
     qv = valid(queries, index.dim).select(F.col("video_id").alias("src_id"), F.col("instance_domain").alias("src_host"), F.col("embedding").alias("qv"))
     exact = near.join(embeddings.select(*KEY, "embedding"), KEY).join(qv, ["src_id", "src_host"])
     return ranked(exact.select("src_id", "src_host", *KEY, F.round(V.dot("qv", "embedding"), 6).alias("score")), k)
@@ -528,11 +584,20 @@ def _lists_needed(queries: DataFrame, exact: DataFrame, index: Index) -> np.ndar
     return np.array([place[r["src_id"], r["src_host"]][r["list_id"]] for r in held], int)
 
 
+def _surely(found: DataFrame, exact: DataFrame) -> tuple[float | None, float]:
+    """The recall of a sample of queries, and that less two standard errors."""
+    src = ["src_id", "src_host"]
+    hits = found.select(*src, *KEY, F.lit(1).alias("hit"))
+    each = exact.join(hits, [*src, *KEY], "left").groupBy(*src).agg(F.sum(F.coalesce("hit", F.lit(0))).alias("hits"), F.count("*").alias("n"))
+    r = each.agg(F.round(F.sum("hits") / F.sum("n"), 4).alias("recall"), (F.stddev_samp(F.col("hits") / F.col("n")) / F.sqrt(F.count("*"))).alias("error")).first()
+    return r["recall"], (r["recall"] or 0.0) - 2 * (r["error"] or 0.0)
+
+
 def measured_probes(index: Index, embeddings: DataFrame, k: int, least: float, sample: int = 200, seed: int = 11) -> tuple[int, int, float]:
-    """(probes, shortlist, recall): the fewest probes, doubling, that reach a recall on a bounded sample of queries.
+    """(probes, shortlist, recall): the fewest probes, doubling, that reach a recall on a bounded sample of queries by two standard errors.
 
     Where all lists do not, the codes are too coarse for the shortlist, which then grows
-    fourfold; beyond WIDEST it raises.
+    fourfold; beyond WIDEST the recall itself must be reached, or it raises.
     """
     some = settled(valid(embeddings, index.dim).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), *KEY)), *KEY).limit(sample).select(*KEY, "embedding"))
     exact = settled(knn(some, embeddings, k))
@@ -542,13 +607,15 @@ def measured_probes(index: Index, embeddings: DataFrame, k: int, least: float, s
         probes *= 2  # so few lists do not even hold the neighbours
     while True:
         probes = min(probes, lists)
-        reached = recall(ivf_knn(some, index, embeddings, k, probes, shortlist), exact).first()["recall"]
-        if reached is None or reached >= least:
+        reached, surely = _surely(ivf_knn(some, index, embeddings, k, probes, shortlist), exact)
+        if reached is None or surely >= least:
             return probes, shortlist, 1.0 if reached is None else reached
         if probes < lists:
             probes *= 2
         elif shortlist < WIDEST:
             shortlist *= 4
+        elif reached >= least:
+            return probes, shortlist, reached
         else:
             raise ValueError(f"all {lists} lists and a shortlist of {shortlist} k reach a recall of {reached}, not {least}")
 

@@ -11,6 +11,8 @@ from quarry.plans.views import NOW_MS, Catalogue
 from quarry.schemas import conform
 from quarry.sources.stores import Store
 
+from test_engine import shuffled_rows
+
 
 def vectors(spark, x):
     return spark.createDataFrame([(str(i), "h", [float(v) for v in row]) for i, row in enumerate(x)], "video_id string, instance_domain string, embedding array<float>")
@@ -132,3 +134,24 @@ def test_codes_grow_before_the_shortlist(spark, monkeypatch):
     some, index = df.where("cast(video_id as int) % 30 = 0"), ann.index_of(rows, model)
     by_scan, by_rounds = ({(r["src_id"]): [(e["video_id"], round(e["away"], 5)) for e in r["top"]] for r in f(some, index, 20, 5).collect()} for f in (N._scanned_lists, N.shortlisted))
     assert by_scan == by_rounds and len(by_scan) == 100
+
+
+def test_many_probes_shuffle_no_shortlists(spark):
+    """Of shortlists by codes only the k best leave a task, ranked by the vectors; nothing is joined with 8 k rows a query."""
+    df = vectors(spark, clustered(10, 1200, 40))
+    index = ann.index_of(ann.placed(df, ann.Model(*N.train_index(df, 30))), ann.Model(*N.train_index(df, 30)))
+    plan = N.ivf_knn(df, index, df, 5, 12)
+    groups, stripes = N._scan_shape(1200, 1200, 40, 16, 3 * spark.sparkContext.defaultParallelism)
+    assert shuffled_rows(spark, plan) <= (groups + 2 * stripes) * 1200 < 1200 * 40
+    assert plan.count() == 1200 * 5 and N.recall(plan, N.knn(df, df, 5)).first()["recall"] >= 0.9
+
+
+def test_recall_holds_beyond_the_sample(spark):
+    """The probes are those whose recall less two standard errors reaches what is asked, not those whose sample just does."""
+    df = vectors(spark, np.random.default_rng(12).normal(size=(800, 16)))
+    index, exact, some = N.build_index(df, *N.train_index(df, 16, 16)), N.knn(df, df, 5), df.limit(40)
+    reached, surely = N._surely(N.ivf_knn(df, index, df, 5, 9), exact)
+    assert reached == N.recall(N.ivf_knn(df, index, df, 5, 9), exact).first()["recall"] and reached - 0.03 < surely < reached
+    assert N._surely(N.knn(some, df, 5), N.knn(some, df, 5)) == (1.0, 1.0)
+    probes, shortlist, mean = N.measured_probes(index, df, 5, reached, 800)
+    assert probes > 9 or shortlist > 8
