@@ -230,6 +230,31 @@ def test_knn_scan_sends_no_pairs(spark, monkeypatch):
     assert groups > 1 and stripes > 1 and shuffled_rows(spark, plan) <= (groups + 2 * stripes) * 90 < 5 * 90 * 4
 
 
+def test_scan_scores_few_pairs_twice(monkeypatch):
+    """Exact search makes its scores in single precision and only what may be among the k best again in double precision; vectors too long for that are exact too."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    q, v, k = rng.normal(size=(120, 16)), rng.normal(size=(4000, 16)), 5
+    q, v = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (q, v))
+    v[1000:1010] = v[0]  # equal scores
+    v[:120] = q
+    rank, own, pairs, dots = rng.permutation(len(v)), np.arange(120), [], N._dots
+    monkeypatch.setattr(N, "_dots", lambda q, row, v, place: pairs.append(len(row)) or dots(q, row, v, place))
+    monkeypatch.setattr(N, "STEP_VECTORS", 300)
+    for lengths, kind in ((1.0, np.float32), (10.0 ** rng.integers(-3, 4, (len(v), 1)), np.float32), (1e19, np.float64)):
+        pairs.clear()
+        tops = N._Tops(q, v * lengths, k, rank, own)
+        N._meet_all(tops, np.arange(120), 0, len(v))
+        tops.settle()
+        score = np.round(np.einsum("ij,kj->ik", q, v * lengths), 6)
+        score[own, own] = -np.inf
+        want = np.lexsort((np.broadcast_to(rank, score.shape), -score))[:, :k]
+        if kind is np.float32:
+            assert (tops.at == want).all()
+        assert tops.kind is kind and np.allclose(tops.score, np.take_along_axis(score, want, 1)) and sum(pairs) < 120 * 4000 / 20
+
+
 def test_cache_policy(spark):
     items = spark.createDataFrame([("0", "h", "1", "h", 0.9, 1), ("2", "h", "1", "h", None, 1)], schemas.TABLES["similarity_items"])
     df = vectors(spark, [[1.0, 0.0], [0.8, 0.6], [0.0, 1.0]])
