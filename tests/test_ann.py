@@ -155,3 +155,12 @@ def test_recall_holds_beyond_the_sample(spark):
     assert N._surely(N.knn(some, df, 5), N.knn(some, df, 5)) == (1.0, 1.0)
     probes, shortlist, mean = N.measured_probes(index, df, 5, reached, 800)
     assert probes > 9 or shortlist > 8
+
+
+def test_fit_is_bounded(monkeypatch):
+    """However many training rows there are, code books are made of BOOK_TRAINING of them, and nearest centroids found in single precision."""
+    x = clustered(13, 3000, dim=8)
+    monkeypatch.setattr(N, "BOOK_TRAINING", 700)
+    assert (N._books(x, 4) == N._books(x[:700], 4)).all()
+    near, c = N._nearest(x, x[:50], True), x[:50]
+    assert (near == (x @ c.T).argmax(1)).mean() > 0.999 and N._nearest(x, c).dtype == np.int64
